@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import html, mixing, pieces, secrets, toxicity
+from lectern.llm import fingerprints, html, lines, minhash, mixing, pieces, secrets, toxicity
 from lectern.llm.store import small_batches, table
 
 
@@ -14,6 +14,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that stay when repeated and nearly repeated ones go."""
+    small_batches(spark)
+    return lines.counted(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document as counts, spans and their digest."""
     small_batches(spark)
@@ -25,6 +31,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, with the number of near ones."""
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: sets of three words, linked at a similarity of 0.85."""
+    small_batches(spark)
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     small_batches(spark)
@@ -37,5 +55,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_secrets, op5_mixing, op9_toxicity, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_lines, op4_secrets, op5_mixing, op6_fingerprints, op8_minhash, op9_toxicity, op10_html)}
 ORACLES: dict[str, str] = {}
