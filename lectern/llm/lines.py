@@ -164,15 +164,14 @@ def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col:
 
     Null and blank texts stay as they are. A text none of whose lines stays is a copy line by line: its row goes.
     """
-    stay = repeated_lines(docs, similarity, id_col=id_col, text_col=text_col).select(F.col("id").alias("_id"), F.col("content").alias("_content"), "stay")
-    mine = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn("_content", F.xxhash64(text_col))
-    split = F.split(text_col, "\n")
+    stay = repeated_lines(docs, similarity, id_col=id_col, text_col=text_col)
+    text = F.col(f"row.{text_col}")
+    mine = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text_col).alias("content"))
     blank = lambda x: F.regexp_replace(x, "[ \t-\r]", "") == ""
-    left = F.array_join(F.filter(split, lambda x, k: blank(x) | F.array_contains("_stay", k)), "\n")
-    out = mine.join(stay.withColumnRenamed("stay", "_stay"), ["_id", "_content"], "left")
-    nothing = F.coalesce(blank(F.col(text_col)), F.lit(True))
-    out = out.filter(nothing | F.col("_stay").isNotNull()).withColumn(text_col, F.when(nothing, F.col(text_col)).otherwise(left))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: blank(x) | F.array_contains("stay", k)), "\n")
+    nothing = F.coalesce(blank(text), F.lit(True))
+    out = mine.join(stay, ["id", "content"], "left").filter(nothing | F.col("stay").isNotNull())
+    return out.select(*[(F.when(nothing, text).otherwise(left) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.llm import grams
 from lectern.llm.links import link
@@ -134,9 +134,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each group, the one of the smallest doc_id, with all its columns; its repeated rows go as well."""
-    keys = near_duplicates(docs, words, percent).filter("kept").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct()
-    mine = docs.withColumn("_content", F.xxhash64("text"))
-    kept = mine.join(keys, mine["doc_id"].eqNullSafe(keys["_id"]) & (mine["_content"] == keys["_content"]), "left_semi")
-    blank = F.coalesce(F.regexp_replace("text", "[ \t-\r]", "") == "", F.lit(True))
-    once = kept.filter(~blank & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "_content"])
-    return once.unionByName(kept.filter(blank | F.col("doc_id").isNull())).drop("_content")
+    keys = near_duplicates(docs, words, percent).filter("kept").select(F.col("doc_id").alias("id"), F.col("content").alias("kept_content")).distinct()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    blank = (F.regexp_replace(text, "[ \t-\r]", "") == "") | F.col("doc_id").isNull()
+    mine = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("content"), blank.alias("blank"))
+    kept = mine.join(keys, mine["doc_id"].eqNullSafe(keys["id"]) & (mine["content"] == keys["kept_content"]), "left_semi")
+    # repeated rows of an id: the first stays, but blank ones and those without an id are nobody's copies
+    once = Window.partitionBy("doc_id", "content").orderBy(F.lit(0))
+    return kept.withColumn("k", F.when(~F.col("blank"), F.row_number().over(once)).otherwise(1)).filter("k = 1").select("row.*")

@@ -119,7 +119,7 @@ def plan(docs: DataFrame, target_entropy: float | None = 0.98, max_repeats: floa
     raw = F.when(F.col("tokens") > 0, F.exp(found.exponent * F.log(F.col("tokens") / F.lit(float(total))))).otherwise(0.0)
     norm = shares.select(raw.alias("w")).agg(F.sum("w")).first()[0]
     weight = raw / F.lit(norm)
-    drawn = shares.select("source", "tokens", weight.alias("weight"), (weight * F.lit(budget)).alias("aim")).withColumn(
+    drawn = shares.select("source", "tokens", weight.alias("weight"), F.round(weight * F.lit(budget)).alias("aim")).withColumn(
         "epochs", F.when(F.col("tokens") > 0, F.floor(F.col("aim") / F.col("tokens") + 1e-9)).otherwise(1).cast("long")
     )
     drawn = drawn.withColumn("rest", F.greatest(F.col("aim") - F.col("epochs") * F.col("tokens"), F.lit(0.0)))
@@ -143,26 +143,28 @@ def plan(docs: DataFrame, target_entropy: float | None = 0.98, max_repeats: floa
 
 
 def draws(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, keep: list[str] | None = None, blocks: int = BLOCKS) -> DataFrame:
-    """One row for each time that a document is drawn: the columns `keep` of docs, `_epoch`, `_block` and `_place`.
+    """(row, epoch, block, place, weight) for each time that a document is drawn; row holds the columns `keep` of docs.
 
-    Sorted by these three, the draws are the training order: block permutations, each with all sources in proportion.
+    Sorted by epoch, block and place, the draws are the training order: block permutations, each with all sources in proportion.
     Rows of the same id and source share their place, so they are drawn together.
     """
     keep = docs.columns if keep is None else keep
-    source, tokens, place = keyed(docs, id_col, text_col, source_col, seed)
-    laid = docs.select(*[F.col(c) for c in keep], source.alias("_source"), place.alias("_place"))
-    limits = planned.select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"))
-    times = (F.col("_epochs") + (F.col("_place") < F.col("_cut")).cast("long")).cast("int")
-    again = F.explode(F.sequence(F.lit(1), times)).alias("_epoch")
-    drawn = laid.join(limits, "_source").filter(times > 0).select(*keep, "_place", again)
-    mixed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_epoch"), F.col("_place")))
+    source, _, place = keyed(docs, id_col, text_col, source_col, seed)
+    laid = docs.select(F.struct(*keep).alias("row"), source, place)
+    times = (F.col("epochs") + (F.col("place") < F.col("cut")).cast("long")).cast("int")
+    drawn = laid.join(planned, "source").filter(times > 0).select("row", "place", F.explode(F.sequence(F.lit(1), times)).alias("epoch"), "weight")
+    mixed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch"), F.col("place")))
     block = (F.conv(F.substring(mixed, 1, 8), 16, 10).cast("long") * blocks / (1 << 32)).cast("int")
-    return drawn.select(*keep, "_epoch", block.alias("_block"), mixed.alias("_place"))
+    return drawn.select("row", "epoch", block.alias("block"), mixed.alias("place"), "weight")
 
 
 def mix(docs: DataFrame, target_entropy: float | None = 0.98, max_repeats: float | None = 2.0, budget: float | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, epoch, block, place, weight) of every draw of the mixture."""
     planned = plan(docs, target_entropy, max_repeats, budget)
     light = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source"), n_tokens(F.col("text")).alias("n_tokens"), F.lit("").alias("text"))
-    rows = draws(light, planned, keep=["doc_id", "source", "n_tokens"])
-    return rows.join(planned.select("source", "weight"), "source").select("doc_id", "source", "n_tokens", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_place").alias("place"), "weight")
+    return draws(light, planned, keep=["doc_id", "source", "n_tokens"]).select("row.*", "epoch", "block", "place", "weight")
+
+
+def mixed_documents(docs: DataFrame, target_entropy: float | None = 0.98, max_repeats: float | None = 2.0, budget: float | None = None) -> DataFrame:
+    """The drawn documents with their columns, a row for each draw."""
+    return draws(docs, plan(docs, target_entropy, max_repeats, budget)).select("row.*")

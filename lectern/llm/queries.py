@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import fingerprints, html, lines, minhash, mixing, pieces, secrets, toxicity
+from lectern.llm import fingerprints, html, lines, minhash, mixing, pieces, repeats, secrets, toxicity, vectors
 from lectern.llm.store import small_batches, table
 
 
@@ -14,6 +14,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all vectors, linked at a cosine of 0.95."""
+    small_batches(spark)
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that stay when repeated and nearly repeated ones go."""
     small_batches(spark)
@@ -36,6 +42,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document under a string of 200 that starts elsewhere too, and a digest of the rest."""
+    small_batches(spark)
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents: sets of three words, linked at a similarity of 0.85."""
     small_batches(spark)
@@ -55,5 +67,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_lines, op4_secrets, op5_mixing, op6_fingerprints, op8_minhash, op9_toxicity, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_vectors, op3_lines, op4_secrets, op5_mixing, op6_fingerprints, op7_repeats, op8_minhash, op9_toxicity, op10_html)}
 ORACLES: dict[str, str] = {}
