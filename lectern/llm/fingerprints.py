@@ -111,7 +111,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     versions = both.select("id", "content", F.explode(F.array(F.struct(F.lit(False).alias("changed"), F.col("text").alias("t")), F.struct(F.lit(True).alias("changed"), F.col("edited").alias("t")))).alias("v")).select("id", "content", "v.*")
     prints = simhash(versions, ["id", "content", "changed"], "t")
     made = prints.groupBy("id", "content").agg(F.max(F.when(~F.col("changed"), F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("changed"), F.col("fingerprint"))).alias("edited_fingerprint"))
-    made = cut(made)
+    # digests and fingerprints in one job, so that the texts are dealt out once
+    made = cut(made.join(digests.dropDuplicates(["id", "content"]), ["id", "content"]))
     rows = light.join(made, ["id", "content"])
     held = rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
     pairs = near(held)
@@ -119,8 +120,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     others = sides.join(held.select(F.col("fingerprint").alias("other"), "n"), "other").groupBy("fingerprint").agg(F.sum("n").alias("others"))
     counted = held.join(others, "fingerprint", "left").select("fingerprint", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_within"))
     after = order.join(made.select(F.col("id").alias("next_id"), F.col("content").alias("next_content"), F.col("fingerprint").alias("after")), ["next_id", "next_content"]).select("id", "content", "after")
-    digests = digests.dropDuplicates(["id", "content"])
-    out = rows.join(after, ["id", "content"]).join(digests, ["id", "content"]).join(counted, "fingerprint")
+    out = rows.join(after, ["id", "content"]).join(counted, "fingerprint")
     shown = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return out.select(
         F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", shown("fingerprint").alias("fingerprint"), shown("edited_fingerprint").alias("edited_fingerprint"),

@@ -38,23 +38,36 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: Callable[[DataFrame], tuple[DataFrame, Callable]] | None = None) -> DataFrame:
     """(id, component) of the ids that verified links connect, among all pairs of (key, id) rows that share a key.
 
-    No group's pairs are all formed: first each id is held against the smallest id of its buckets, then only ids that
-    share a bucket and are still in different components are held against each other. Pairs inside a component can't
-    change it, so the result is that of all pairs. `verify` gets pairs (a, b), a < b, and returns those that hold.
+    No group's pairs are all formed: first each id is held against a hub of its buckets, the id whose buckets are the
+    fullest (copies share more keys with what they are copied from than with each other). Then only ids that share a
+    bucket and are still in different components are held against each other. Pairs inside a component can't change
+    it, so the result is that of all pairs. `verify` gets pairs (a, b), a < b, and returns those that hold.
+
+    `bound` may spare pairs that can't hold: given the ids still in question (column id) it returns a table of them with
+    columns x and y, and a condition on (xa, ya, xb, yb) that every pair that holds fulfils.
     """
-    low = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("key", "a")
-    shared = cut(buckets.join(low, "key").select("key", "id", "a").distinct())
-    tried = cut(shared.filter("id != a").select("a", F.col("id").alias("b")).distinct())
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(buckets.join(sizes, "key").distinct())
+    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+    hubs = shared.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
+    met = shared.join(hubs, "key").filter("id != hub")
+    tried = cut(met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     first = cut(verify(tried))
     known = components(first)
     placed = shared.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key")
+    split = placed.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("key")
     placed = cut(placed.join(split, "key"))
-    one, two = placed.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), placed.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = one.join(two, "key").filter("a < b and ca != cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    may = F.lit(True)
+    if bound is not None:
+        limits, fits = bound(placed.select("id").distinct())
+        placed = cut(placed.join(limits, "id"))
+        may = fits(*[F.col(c) for c in ("xa", "ya", "xb", "yb")])
+    more = [c for c in ("x", "y") if c in placed.columns]
+    one, two = (placed.select(F.col("key").alias(f"key{z}"), F.col("id").alias(z), F.col("c").alias(f"c{z}"), *[F.col(m).alias(m + z) for m in more]) for z in "ab")
+    rest = one.join(two, (F.col("keya") == F.col("keyb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     second = cut(verify(cut(rest)))
     if not second.limit(1).count():
         return known

@@ -15,6 +15,8 @@ from lectern.llm.store import cut
 U = np.uint64
 #: Coordinates of a sketch, and those of a band. At a similarity of 0.85 all 16 bands miss once in 100,000 pairs.
 COORDINATES, BAND = 64, 4
+#: Bits of the odd sketch that spares pairs which can't be similar enough.
+PARITIES = 512
 #: Words of a shingle and least similarity in percent, where a caller gives none.
 WORDS, PERCENT = 5, 80
 
@@ -62,23 +64,31 @@ def _signature(items: np.ndarray) -> tuple[int, int]:
     return int(items.sum().view(np.int64)), int(grams.mix(items ^ U(0x5851F42D4C957F2D)).sum().view(np.int64))
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """Odd sketch: for each of PARITIES classes of items, whether the set has an odd number of them."""
+    odd = np.bincount((items >> U(13)).astype(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, content, n, s1, s2, bands) of each row: set size, two sums that identify the set, and the band keys."""
+    """(id, content, n, s1, s2, bands, odd) of each row: set size, two sums that identify the set, band keys, odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s1, s2, keys = [], [], [], []
+            n, s1, s2, keys, odd = [], [], [], [], []
             for items in grams.shingle_sets(batch.column(2).to_pylist(), words):
                 n.append(len(items))
                 for out, x in zip((s1, s2), _signature(items)):
                     out.append(x)
                 keys.append(band_keys(sketch(items)) if len(items) else np.empty(0, np.uint64))
+                odd.append(parities(items))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), grams.list_array(keys, pa.int64())], ["id", "content", "n", "s1", "s2", "bands"]
-            )
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), grams.list_array(keys, pa.int64()), grams.list_array(odd, pa.int64())],
+                ["id", "content", "n", "s1", "s2", "bands", "odd"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, content long, n long, s1 long, s2 long, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, content long, n long, s1 long, s2 long, bands array<long>, odd array<long>")
 
 
 def _sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -106,7 +116,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     rows = cut(sketches(docs, words, id_col, text_col)).withColumn("cls", F.xxhash64("n", "s1", "s2"))
     real = rows.filter("n > 0 and id is not null")
-    classes = cut(real.groupBy("cls").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    classes = cut(real.groupBy("cls").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")))
     buckets = cut(classes.select(F.col("cls").alias("id"), F.explode("bands").alias("key")))
     shared = buckets.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     buckets = cut(buckets.join(shared, "key"))
@@ -122,7 +132,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         both = F.size(F.array_intersect("ia", "ib"))
         return near.join(one, "a").join(two, "b").filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
-    found = link(buckets.select("key", "id"), verify)
+    def bound(ids: DataFrame) -> tuple[DataFrame, object]:
+        """Each item that only one of two sets has flips one parity, so the sets differ by as many items as parities at least."""
+        held = classes.select(F.col("cls").alias("id"), F.col("n").alias("x"), F.col("odd").alias("y")).join(ids, "id", "left_semi")
+        apart = lambda ya, yb: sum((F.bit_count(ya[k].bitwiseXOR(yb[k])) for k in range(PARITIES // 64)), F.lit(0))
+        return held, lambda xa, ya, xb, yb: (100 + percent) * apart(ya, yb) <= (100 - percent) * (xa + xb)
+
+    found = link(buckets.select("key", "id"), verify, bound)
     lows = found.join(classes.select(F.col("cls").alias("id"), "low"), "id")
     lead = lows.groupBy("component").agg(F.min("low").alias("lead"))
     placed = classes.select("cls", "low").join(lows.join(lead, "component").select(F.col("id").alias("cls"), "lead"), "cls", "left").select("cls", F.coalesce("lead", "low").alias("lead"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import fingerprints, html, lines, minhash, mixing, pieces, repeats, secrets, toxicity, vectors
@@ -67,5 +68,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_vectors, op3_lines, op4_secrets, op5_mixing, op6_fingerprints, op7_repeats, op8_minhash, op9_toxicity, op10_html)}
-ORACLES: dict[str, str] = {}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of the corpus pipeline on all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_vectors, op3_lines, op4_secrets, op5_mixing, op6_fingerprints, op7_repeats, op8_minhash, op9_toxicity, op10_html, pipeline)}
+ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
