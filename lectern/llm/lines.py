@@ -7,7 +7,7 @@ distance in words / words of the longer line) is high enough. Of each connected
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -51,10 +51,23 @@ def _line_hashes(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _simhashes(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Majority of each bit over the words of each line; ties leave it unset."""
+    """Majority of each bit over the distinct words of each line, so that a word that fills a line doesn't decide alone."""
+    at = np.repeat(np.arange(len(ends), dtype=np.uint64), np.diff(np.concatenate([[0], ends])))
+    keys = np.sort((at << np.uint64(40)) | (hashes >> np.uint64(24)))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    stops = np.searchsorted(keys, np.arange(1, len(ends) + 1, dtype=np.uint64) << np.uint64(40))
+    starts = np.concatenate([[0], stops[:-1]])
+    bits = np.unpackbits(grams.mix(keys & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8), axis=1)
+    votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    return np.packbits(2 * votes > (stops - starts)[:, None], axis=1).view(np.uint64).ravel()
+
+
+def _odd(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Odd sketch of each line's words, 128 bits in two halves: one edit of a word flips two of them at most."""
     starts = np.concatenate([[0], ends[:-1]])
-    votes = np.add.reduceat(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), starts, axis=0, dtype=np.int32)
-    return np.packbits(2 * votes > (ends - starts)[:, None], axis=1).view(np.uint64).ravel()
+    one = np.uint64(1) << ((hashes >> np.uint64(7)) & np.uint64(63))
+    half = (hashes >> np.uint64(13)) & np.uint64(1)
+    return tuple(np.bitwise_xor.reduceat(np.where(half == k, one, np.uint64(0)), starts) for k in (0, 1))
 
 
 def _spelled(hashes: np.ndarray) -> str:
@@ -67,7 +80,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, content, line, h, sim) of every non-blank line; content is a hash of the text that it stands in."""
+    """(id, content, line, h, sim, n, o, p) of every non-blank line: hashes of the text it stands in and of its words, SimHash,
+    number of words, odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,11 +89,12 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if len(row):
                     at = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(_line_hashes(hashes, ends).view(np.int64)), pa.array(_simhashes(hashes, ends).view(np.int64))],
-                        ["id", "content", "line", "h", "sim"],
+                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(_line_hashes(hashes, ends).view(np.int64)), pa.array(_simhashes(hashes, ends).view(np.int64)),
+                         pa.array(np.diff(np.concatenate([[0], ends])).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in _odd(hashes, ends))],
+                        ["id", "content", "line", "h", "sim", "n", "o", "p"],
                     )
 
-    return _named(docs, id_col, text_col).mapInArrow(run, "id long, content long, line int, h long, sim long")
+    return _named(docs, id_col, text_col).mapInArrow(run, "id long, content long, line int, h long, sim long, n int, o long, p long")
 
 
 def _spellings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,7 +131,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     """
     lines = line_hashes(docs, id_col, text_col)
     first = F.min(F.struct("id", "content", "line")).alias("at")
-    classes = cut(lines.groupBy("h", "sim").agg(first).select(F.col("h").alias("id"), "sim", "at"))
+    classes = cut(lines.groupBy("h", "sim", "n", "o", "p").agg(first).withColumnRenamed("h", "id"))
     low = [64 * k // blocks for k in range(blocks + 1)]
     part = [F.shiftrightunsigned("sim", low[k]).bitwiseAND(F.lit((1 << (low[k + 1] - low[k])) - 1)) for k in range(blocks)]
     keys = [F.xxhash64(F.lit(t), *[part[k] for k in chosen]) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
@@ -124,27 +139,36 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     shared = buckets.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     buckets = cut(buckets.join(shared, "key"))
     ids = buckets.select("id").distinct()
-    sims = cut(classes.select("id", "sim").join(ids, "id"))
+    sims = cut(classes.select("id", "sim", "n", "o", "p").join(ids, "id"))
     wanted = cut(_close(buckets, sims, radius))
     spelled = cut(_spellings(docs, wanted, id_col, text_col))
 
+    def alike(xa, ya, xb, yb):
+        """Words in only one of two lines flip one parity each, and an edit of a word leaves two such words at most."""
+        apart = F.bit_count(ya[0].bitwiseXOR(yb[0])) + F.bit_count(ya[1].bitwiseXOR(yb[1]))
+        return apart <= 2 * F.floor(F.greatest(xa, xb) * F.lit(1 - similarity) + 1e-9)
+
+    def bound(ids: DataFrame) -> tuple[DataFrame, object]:
+        return sims.join(ids, "id", "left_semi").select("id", F.col("n").alias("x"), F.array("o", "p").alias("y")), alike
+
     def verify(pairs: DataFrame) -> DataFrame:
         one, two = (spelled.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-        near = _within(pairs, sims, radius).join(one, "a").join(two, "b")
+        near = _within(pairs, sims, radius, alike).join(one, "a").join(two, "b")
         most = F.greatest(F.length("sa"), F.length("sb"))
         near = near.withColumn("most", F.floor(most * F.lit(1 - similarity) + 1e-9).cast("int"))
         near = near.filter(F.abs(F.length("sa") - F.length("sb")) <= F.col("most"))
         return near.withColumn("d", F.expr("levenshtein(sa, sb, most)")).filter("d >= 0 and d <= most").select("a", "b")
 
-    found = link(buckets.join(wanted, "id", "left_semi").select("key", "id"), verify)
+    found = link(buckets.join(wanted, "id", "left_semi").select("key", "id"), verify, bound)
     grouped = classes.join(found, "id", "left").select(F.coalesce("component", "id").alias("group"), "at")
     stay = grouped.groupBy("group").agg(F.min("at").alias("at")).select("at.*")
     return stay.groupBy("id", "content").agg(F.array_sort(F.collect_list("line")).alias("stay"))
 
 
-def _within(pairs: DataFrame, sims: DataFrame, radius: int) -> DataFrame:
-    one, two = (sims.select(F.col("id").alias(c), F.col("sim").alias(f"x{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").filter(F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) <= radius).select("a", "b")
+def _within(pairs: DataFrame, sims: DataFrame, radius: int, alike: Callable) -> DataFrame:
+    one, two = (sims.select(F.col("id").alias(c), F.col("sim").alias(f"s{c}"), F.col("n").alias(f"x{c}"), F.array("o", "p").alias(f"y{c}")) for c in "ab")
+    close = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= radius
+    return pairs.join(one, "a").join(two, "b").filter(close & alike(*[F.col(c) for c in ("xa", "ya", "xb", "yb")])).select("a", "b")
 
 
 def _close(buckets: DataFrame, sims: DataFrame, radius: int) -> DataFrame:

@@ -20,7 +20,7 @@ from lectern.llm.store import cut
 ORDERS = (3, 4, 5)
 BITS = 20
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of their id.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 #: Features that the regression sees: those with the strongest class contrast, so that long texts gather no noise.
 FEATURES = 1_024
 SMOOTH = 1.0
@@ -58,14 +58,22 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def scorer(self):
+    def finder(self):
+        """Function from a text to the chosen features that it has, ascending."""
         mark = np.zeros(1 << BITS, np.bool_)
         mark[self.chosen] = True
 
-        def score(text: str | None) -> float:
+        def find(text: str | None) -> np.ndarray:
             hits = [x[mark[x]] for x in _ngrams(text or "")]
-            found = np.unique(np.concatenate(hits)) if hits else []
-            z = self.bias + float(self.weights[np.searchsorted(self.chosen, found)].sum()) if len(found) else self.bias
+            return np.unique(np.concatenate(hits)).astype(np.int64) if hits else np.empty(0, np.int64)
+
+        return find
+
+    def scorer(self):
+        find = self.finder()
+
+        def score(text: str | None) -> float:
+            z = self.bias + float(self.weights[np.searchsorted(self.chosen, find(text))].sum())
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         return score
@@ -115,22 +123,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .limit(fit_rows)
     )
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic, all_ = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
         for batch in batches:
-            found = [features(t).astype(np.int32) for t in batch.column(1).to_pylist()]
-            at = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            values = np.concatenate(found) if found else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(values, pa.int32()))], ["y", "f"])
+            for y, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found = features(text)
+                all_[found] += 1
+                toxic[found] += y
+        f = np.flatnonzero(all_)
+        yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), pa.array(toxic[f]), pa.array(all_[f])], ["f", "pos", "n"])
 
     # at most fit_rows ids and labels: a bounded side
-    sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("y", "t")
-    rows = cut(sample.mapInArrow(extract, "y int, f array<int>"))
+    rows = cut(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("y", "t"))
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     base = (toxic + SMOOTH) / (total + 2 * SMOOTH) if total else 0.0
     if not toxic or toxic == total:
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log(base / (1 - base))) if 0 < base < 1 else -30.0)
     share = toxic / total
-    counts = rows.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    counts = rows.mapInArrow(count, "f int, pos int, n int").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     expected = F.col("n") * share
     spread = F.sqrt(F.greatest(expected * (1 - share) * (1 - F.col("n") / total), F.lit(1.0)))
     best = counts.orderBy(F.abs((F.col("pos") - expected) / spread).desc(), "f").limit(width).toPandas().sort_values("f")
@@ -138,11 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ratios = np.log((pos + SMOOTH) / (toxic + 2 * SMOOTH)) - np.log((n - pos + SMOOTH) / (total - toxic + 2 * SMOOTH))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column = np.full(1 << BITS, -1, np.int32)
-        column[ids] = np.arange(len(ids))
+        find = Model(ids, ratios, 0.0).finder()
         for batch in batches:
-            found = [(c := column[np.asarray(f, np.int64)])[c >= 0] for f in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in found], pa.binary())], ["y", "c"])
+            found = [np.searchsorted(ids, find(t)).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["y", "c"])
 
     fit = rows.mapInArrow(pick, "y int, c binary").toPandas()
     matrix = [np.frombuffer(c, np.int32).astype(np.int64) for c in fit["c"]]
