@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.functions import text as T
+from lectern.jobs import translate
 from lectern.jobs.fixtures import duck, view
 from lectern.operators import graph, latex, markdown, memory, styles, texblocks, validate
 
@@ -447,3 +448,26 @@ def map_font_sizes(spark, sf_dir):
     runs = view(spark, sf_dir, "runs_v").select(F.lit("p").alias("path"), F.col("para_id").alias("para_no"), "run_no", F.when(F.col("run_style") % 3 == 0, F.col("run_style").cast("int")).alias("size"), (F.col("para_id") % 40).cast("string").alias("pstyle"))
     size_map = spark.range(20).select((F.col("id") * 2).cast("int").alias("old_size"), (F.col("id") * 2 + 3).cast("int").alias("new_size"))
     return styles.map_font_sizes(runs, sizes, size_map, 24).select(F.col("para_no").alias("para_id"), "old_size", "new_size")
+
+
+# -- whole paths
+
+
+def _prefix(texts):
+    return "T:" + texts
+
+
+@query(duck(f"+ {APPLIED} select doc_id, md5(string_agg(line, chr(10) order by line_no)) text_md5 from a group by doc_id", "md_lines_v"))
+def translate_with_memory(spark, sf_dir):
+    """The Markdown path with a memory that knows some of the texts, and a translator that sets a prefix."""
+    docs = markdown.reassemble(view(spark, sf_dir, "md_lines_v"))
+    held = _memory(spark, sf_dir).filter("text <> ''")
+    return translate.translate_markdown(docs, held, _prefix, MODEL, DIRECTION, NOW)[0].select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query()
+def document_report(spark, sf_dir):
+    """The LaTeX path with a translator that gives back what it gets."""
+    held = _memory(spark, sf_dir)
+    report = translate.translate_latex(_tex(spark, sf_dir), held, lambda texts: texts, MODEL, DIRECTION, NOW)[2]
+    return report.select("doc_id", "chunks", "hits", "hit_rate", F.size("failed").alias("n_failed"), "placeholders", "ratio")

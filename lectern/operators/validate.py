@@ -74,7 +74,7 @@ def first_valid_attempt(replies: DataFrame, most: int = 3, least: int = 0) -> Da
 def parse_responses(responses: DataFrame) -> DataFrame:
     """(unit_id, attempt, outcome, reply, truncated, total_tokens) of (unit_id, attempt, status_code, body).
 
-    outcome: http_error (not 200), api_error (an error object or a body that is no JSON), no_choices, ok.
+    outcome: http_error (not 200), api_error (an error object or no body), no_choices (none given, or a body that is no JSON), ok.
     """
     schema = "choices array<struct<message:struct<content:string>,finish_reason:string>>, error string, usage struct<total_tokens:long>"
     body = F.from_json("body", schema)
