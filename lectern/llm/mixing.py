@@ -20,6 +20,8 @@ ROUNDS = 6
 #: Blocks of a permutation: a cut lies in one of them, so that no more than its rows are sorted in one task.
 BLOCKS = 4096
 SEED = 20240
+#: Sources up to which their plan is sent to every task; beyond, it is joined, each source dealt out over SALTS tasks.
+FEW_SOURCES, SALTS = 10_000, 64
 NO_SOURCE = "(none)"
 
 
@@ -139,7 +141,7 @@ def plan(docs: DataFrame, target_entropy: float | None = 0.98, max_repeats: floa
         .groupBy("source").agg(F.min("place").alias("cut"))
     )
     # a source whose rest covers all its documents has been drawn whole already, up to rounding: nothing is left to cut
-    return drawn.join(ends, "source", "left").select("source", "tokens", "weight", "epochs", F.coalesce("cut", F.lit("")).alias("cut"), F.lit(found.exponent).alias("exponent"))
+    return stored(drawn.join(ends, "source", "left").select("source", "tokens", "weight", "epochs", F.coalesce("cut", F.lit("")).alias("cut"), F.lit(found.exponent).alias("exponent")))
 
 
 def draws(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, keep: list[str] | None = None, blocks: int = BLOCKS) -> DataFrame:
@@ -152,7 +154,12 @@ def draws(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", text_col:
     source, _, place = keyed(docs, id_col, text_col, source_col, seed)
     laid = docs.select(F.struct(*keep).alias("row"), source, place)
     times = (F.col("epochs") + (F.col("place") < F.col("cut")).cast("long")).cast("int")
-    drawn = laid.join(planned, "source").filter(times > 0).select("row", "place", F.explode(F.sequence(F.lit(1), times)).alias("epoch"), "weight")
+    if planned.count() <= FEW_SOURCES:
+        joined = laid.join(F.broadcast(planned), "source")
+    else:
+        salted = planned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = laid.withColumn("salt", F.conv(F.substring("place", 9, 8), 16, 10).cast("long") % SALTS).join(salted, ["source", "salt"])
+    drawn = joined.filter(times > 0).select("row", "place", F.explode(F.sequence(F.lit(1), times)).alias("epoch"), "weight")
     mixed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch"), F.col("place")))
     block = (F.conv(F.substring(mixed, 1, 8), 16, 10).cast("long") * blocks / (1 << 32)).cast("int")
     return drawn.select("row", "epoch", block.alias("block"), mixed.alias("place"), "weight")

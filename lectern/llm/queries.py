@@ -18,7 +18,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all vectors, linked at a cosine of 0.95."""
     small_batches(spark)
-    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).drop("audited_recall")
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_vectors, op3_lines, op4_secrets, op5_mixing, op6_fingerprints, op7_repeats, op8_minhash, op9_toxicity, op10_html, pipeline)}
-ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+_REACH = """, both_ways as (select x, y from links union all select y, x from links),
+  reach(a, b) as (select x, y from both_ways union select reach.a, both_ways.y from reach join both_ways on reach.b = both_ways.x),
+  least as (select a, min(b) m from reach group by a)"""
+
+ORACLES: dict[str, str] = {
+    "op2_vectors": f"""with recursive v as (select vec_id, embedding::double[] e from embeddings where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  links as (select a.vec_id x, b.vec_id y from v a join v b on a.vec_id < b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95) {_REACH},
+  n as (select x, count(*) n from both_ways group by x)
+  select vec_id, coalesce(n.n, 0)::bigint n_links, least(vec_id, coalesce(m, vec_id)) component_id, vec_id <= coalesce(m, vec_id) kept
+  from embeddings left join n on n.x = vec_id left join least on least.a = vec_id""",
+    "op8_minhash": f"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda x: x <> '') ws from documents),
+  s as (select distinct doc_id, unnest(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) s from w),
+  n as (select doc_id, count(*) n from s group by doc_id), p as (select a.doc_id x, b.doc_id y, count(*) i from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+  links as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * i >= 85 * (a.n + b.n - i)) {_REACH}
+  select doc_id, coalesce(n.n, 0)::bigint n_shingles, least(doc_id, coalesce(m, doc_id)) component_id, doc_id <= coalesce(m, doc_id) kept from documents left join n using (doc_id) left join least on least.a = doc_id""",
+}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
