@@ -7,6 +7,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# References to classes, packages and style files.
+CLASS = r"\\documentclass(?:\[.*?\])?\{([^}]+)\}"
+PACKAGE = r"\\usepackage(?:\[.*?\])?\{([^}]+)\}"
+REQUIRED = r"\\RequirePackage(?:\[.*?\])?\{([^}]+)\}"
+STYLE_INPUT = r"\\input\{([^}]+\.(?:cls|sty))\}"
 # What a project copy leaves out.
 EXCLUDED_DIRS = ["__pycache__", "node_modules", "build", "dist", "__MACOSX"]
 EXCLUDED_ENDS = [".aux", ".log", ".out", ".toc", ".synctex.gz", ".fdb_latexmk", ".fls", ".bbl", ".blg", ".bcf", ".run.xml", ".nav", ".snm", ".vrb", ".lof", ".lot", ".bak", ".swp", ".tmp", "~", ".xdv"]
@@ -34,10 +39,7 @@ def style_refs(files: DataFrame) -> DataFrame:
         names = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), lambda x: F.split(x, ",")))
         return F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), F.concat(F.trim(x), F.lit(end)).alias("raw")))
 
-    found = F.concat(
-        hits(r"\\documentclass(?:\[.*?\])?\{([^}]+)\}", "class", ".cls"), hits(r"\\usepackage(?:\[.*?\])?\{([^}]+)\}", "package", ".sty"),
-        hits(r"\\RequirePackage(?:\[.*?\])?\{([^}]+)\}", "package", ".sty"), hits(r"\\input\{([^}]+\.(?:cls|sty))\}", "input", ""),
-    )
+    found = F.concat(hits(CLASS, "class", ".cls"), hits(PACKAGE, "package", ".sty"), hits(REQUIRED, "package", ".sty"), hits(STYLE_INPUT, "input", ""))
     return files.select(F.col("path").alias("src"), F.explode(found).alias("x")).select("src", "x.*")
 
 

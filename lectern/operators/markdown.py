@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.text import strip
 
+# Marks and patterns of the lines that are protected.
 FENCE = "```"
+TAG = r"\A</?[a-zA-Z][^>]*>\z"
+TABLE_RULE = r"\A\|\s*-+(\s*\|\s*-+)*\s*\|?\s*\z"
+KEY_VALUE = r"\A[a-zA-Z_][a-zA-Z0-9_]*\s*:\s*[^|]*\z"
+FRONT = r"(?s)\A(---\n.*?\n---\n)"
 
 
 def split_frontmatter(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with `front` (the leading block between --- lines, kept verbatim, or empty) and `body` (the rest)."""
-    front = F.regexp_extract(text_col, r"(?s)\A(---\n.*?\n---\n)", 1)
+    front = F.regexp_extract(text_col, FRONT, 1)
     return docs.withColumn("front", front).withColumn("body", F.expr(f"substring({text_col}, length(front) + 1)"))
 
 
@@ -27,10 +32,10 @@ def rule(line: Column) -> Column:
         F.when(s == "", "blank")
         .when(s.startswith(FENCE), "fence")
         .when(line.startswith("    ") | line.startswith("\t"), "indented")
-        .when(s.rlike(r"\A</?[a-zA-Z][^>]*>\z"), "tag")
-        .when(s.rlike(r"\A\|\s*-+(\s*\|\s*-+)*\s*\|?\s*\z"), "table_rule")
+        .when(s.rlike(TAG), "tag")
+        .when(s.rlike(TABLE_RULE), "table_rule")
         .when(s == "---", "frontmatter_mark")
-        .when(s.rlike(r"\A[a-zA-Z_][a-zA-Z0-9_]*\s*:\s*[^|]*\z"), "key_value")
+        .when(s.rlike(KEY_VALUE), "key_value")
     )
 
 
