@@ -305,6 +305,12 @@ def test_mixing_limit_and_repeats(spark):
     assert tight["small"] in (19, 20) and 79 <= tight["big"] <= 80
 
 
+def test_many_sources_are_joined_with_salts(docs, monkeypatch):
+    few = sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == few
+
+
 # -- toxicity
 
 
