@@ -146,3 +146,9 @@ def materialize_report(runs: DataFrame) -> DataFrame:
     return runs.groupBy("path", "part_name").agg(
         F.count("*").alias("found"), F.count_if(live).alias("processed"), F.count_if(F.col("rstyle").isNotNull()).alias("linked"), F.count_if(live & F.map_contains_key("rpr", "b")).alias("bold")
     )
+
+
+def classify_child(tag: Column, special: Column) -> Column:
+    """Segment type of a paragraph's child (M10): null for one that is skipped."""
+    formula = tag.isin("oMath", "oMathPara", "drawing", "object")
+    return F.when(tag == "r", F.when(special, "non_text_node").otherwise("text_run_group")).when(formula, "non_text_node").when(tag == "hyperlink", "hyperlink")
