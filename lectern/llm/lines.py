@@ -8,7 +8,6 @@ distance in words / words of the longer line) is high enough. Of each connected
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +18,10 @@ from lectern.llm.links import link
 from lectern.llm.store import cut
 
 SIMILARITY = 0.8
-#: Radius of the candidates and blocks of a SimHash; all blocks but RADIUS make a key of 25 bits or more.
-RADIUS, BLOCKS = 3, 5
+#: Radius of the candidates.
+RADIUS = 3
+#: Ids of a block beyond which it is dealt out by parts; of a bucket up to which its pairs are looked at; rows gathered in a task.
+FULL_BLOCK, SMALL_BUCKET, GATHER = 1 << 18, 32, 1 << 17
 #: Bits of the filter that keeps most lines out of the second pass; of fixed size, and only ever lets too many pass.
 FILTER_BITS = 1 << 26
 _NO_ID = -(1 << 63)
@@ -123,7 +124,7 @@ def _spellings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
     return lines.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
-def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, content, stay): the lines of each text that stay, as an ascending list of line numbers from 0.
 
     Blank lines are in no list, as they are neither repeated nor unique; texts without a line that stays are missing.
@@ -132,15 +133,9 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     lines = line_hashes(docs, id_col, text_col)
     first = F.min(F.struct("id", "content", "line")).alias("at")
     classes = cut(lines.groupBy("h", "sim", "n", "o", "p").agg(first).withColumnRenamed("h", "id"))
-    low = [64 * k // blocks for k in range(blocks + 1)]
-    part = [F.shiftrightunsigned("sim", low[k]).bitwiseAND(F.lit((1 << (low[k + 1] - low[k])) - 1)) for k in range(blocks)]
-    keys = [F.xxhash64(F.lit(t), *[part[k] for k in chosen]) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-    buckets = classes.select("id", F.explode(F.array(*keys)).alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    buckets = cut(buckets.join(shared, "key"))
-    ids = buckets.select("id").distinct()
-    sims = cut(classes.select("id", "sim", "n", "o", "p").join(ids, "id"))
-    wanted = cut(_close(buckets, sims, radius))
+    buckets = cut(near_buckets(classes, radius))
+    wanted = cut(buckets.select("id").distinct())
+    sims = cut(classes.select("id", "sim", "n", "o", "p").join(wanted, "id"))
     spelled = cut(_spellings(docs, wanted, id_col, text_col))
 
     def alike(xa, ya, xb, yb):
@@ -159,7 +154,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
         near = near.filter(F.abs(F.length("sa") - F.length("sb")) <= F.col("most"))
         return near.withColumn("d", F.expr("levenshtein(sa, sb, most)")).filter("d >= 0 and d <= most").select("a", "b")
 
-    found = link(buckets.join(wanted, "id", "left_semi").select("key", "id"), verify, bound)
+    found = link(buckets, verify, bound)
     grouped = classes.join(found, "id", "left").select(F.coalesce("component", "id").alias("group"), "at")
     stay = grouped.groupBy("group").agg(F.min("at").alias("at")).select("at.*")
     return stay.groupBy("id", "content").agg(F.array_sort(F.collect_list("line")).alias("stay"))
@@ -171,16 +166,84 @@ def _within(pairs: DataFrame, sims: DataFrame, radius: int, alike: Callable) ->
     return pairs.join(one, "a").join(two, "b").filter(close & alike(*[F.col(c) for c in ("xa", "ya", "xb", "yb")])).select("a", "b")
 
 
-def _close(buckets: DataFrame, sims: DataFrame, radius: int) -> DataFrame:
-    """(id) of those that have another id within the radius in one of their buckets.
+def near_buckets(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(key, id): buckets of ids whose SimHashes agree on a block and on a part of the rest, for radius + 1 blocks and parts.
 
-    SimHashes that many ids of a bucket share are looked at once, so a large group forms no pairs of its members.
+    Two SimHashes that differ in at most radius bits agree on one of radius + 1 blocks, and, as their other bits hold
+    all that differs, on one of radius + 1 parts of those too. Blocks are what Spark deals out by; parts are grouped
+    inside the task. A block that very many ids share is dealt out by its parts instead, so no task gets it whole. Ids
+    of small buckets stay only if another one of the bucket is within the radius; large buckets stay as they are.
     """
-    held = buckets.join(sims, "id").groupBy("key", "sim").agg(F.count("*").alias("n"))
-    one, two = held.select("key", F.col("sim").alias("x"), "n"), held.select(F.col("key").alias("other"), F.col("sim").alias("y"))
-    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    met = one.join(two, (F.col("key") == F.col("other")) & (apart <= radius) & ((apart > 0) | (F.col("n") > 1)), "left_semi")
-    return sims.join(met.select(F.col("x").alias("sim")).distinct(), "sim").select("id")
+    count = radius + 1
+    low = [64 * k // count for k in range(count + 1)]
+    widths = [64 - (low[t + 1] - low[t]) for t in range(count)]
+
+    def rest(sim, t: int):  # the bits outside block t, moved together
+        above = F.shiftrightunsigned(sim, low[t + 1]) if t + 1 < count else F.lit(0).cast("long")
+        return sim.bitwiseAND(F.lit((1 << low[t]) - 1)).bitwiseOR(F.shiftleft(above, low[t]))
+
+    def part(value, t: int, j: int):
+        a, b = widths[t] * j // count, widths[t] * (j + 1) // count
+        return F.shiftrightunsigned(value, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+
+    sim = F.col("sim")
+    block = lambda t: F.shiftrightunsigned(sim, low[t]).bitwiseAND(F.lit((1 << (low[t + 1] - low[t])) - 1))
+    tables = F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), block(t).alias("b"), rest(sim, t).alias("r")) for t in range(count)])
+    laid = classes.select("id", "sim", F.explode(tables).alias("x")).select("id", "sim", "x.*")
+    # no more rows than blocks have values: 4 times 65,536 at the radius of 3
+    full = F.broadcast(laid.groupBy("t", "b").agg(F.count("*").alias("m")).filter(F.col("m") > FULL_BLOCK).select("t", "b", F.lit(True).alias("full")))
+    parts = F.array(*[F.struct(F.lit(j).cast("byte").alias("j"), sum((F.when(F.col("t") == t, part(F.col("r"), t, j)).otherwise(F.lit(0)) for t in range(count)), F.lit(0)).alias("v")) for j in range(count)])
+    dealt = laid.join(full, ["t", "b"], "left")
+    few = dealt.filter("full is null").select("id", "sim", "t", F.lit(-1).cast("byte").alias("j"), F.xxhash64("t", "b").alias("g"))
+    many = dealt.filter("full").select("id", "sim", "t", "b", F.explode(parts).alias("x")).select("id", "sim", "t", "x.j", F.xxhash64("t", "b", "x.j", "x.v").alias("g"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ids, sims, t, j, g = rows
+            sims = sims.view(np.uint64)
+            for k in range(count):
+                at = np.flatnonzero((j == -1) | (j == k))
+                value = np.zeros(len(at), np.uint64)
+                for x in range(count):
+                    mine = t[at] == x
+                    s = sims[at[mine]]
+                    r = (s & np.uint64((1 << low[x]) - 1)) | ((s >> np.uint64(low[x + 1]) if x + 1 < count else np.zeros_like(s)) << np.uint64(low[x]))
+                    a, b = widths[x] * k // count, widths[x] * (k + 1) // count
+                    value[mine] = (r >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+                keys = grams.mix(grams.mix(value * np.uint64(count) + np.uint64(k)) + g[at].view(np.uint64))
+                order = np.argsort(keys, kind="stable")
+                keys, at = keys[order], at[order]
+                edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+                size = np.repeat(np.diff(edge), np.diff(edge))
+                near = size > SMALL_BUCKET
+                own = sims[at]
+                for d in range(1, min(SMALL_BUCKET, len(keys))):
+                    one = np.flatnonzero((keys[d:] == keys[:-d]) & (size[d:] <= SMALL_BUCKET))
+                    if not len(one):
+                        break
+                    close = one[np.bitwise_count(own[one] ^ own[one + d]) <= radius]
+                    near[close] = near[close + d] = True
+                yield pa.RecordBatch.from_arrays([pa.array(keys[near].view(np.int64)), pa.array(ids[at[near]])], ["key", "id"])
+
+        waiting = 0
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            held.append(rows)
+            waiting += rows.shape[1]
+            if waiting >= GATHER:
+                rows = np.concatenate(held, axis=1)
+                stop = int(np.searchsorted(rows[4], rows[4, -1]))  # the last group may go on in the next batch
+                if stop:
+                    yield from solve(rows[:, :stop])
+                held, waiting = [rows[:, stop:]], rows.shape[1] - stop
+        if held:
+            yield from solve(np.concatenate(held, axis=1))
+
+    columns = ("id", "sim", "t", "j", "g")
+    together = few.select(*columns).unionByName(many.select(*columns)).repartition("g").sortWithinPartitions("g")
+    return together.mapInArrow(find, "key long, id long").distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

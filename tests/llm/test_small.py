@@ -151,6 +151,29 @@ def test_lines(docs, rows):
     assert got == want
 
 
+def test_buckets_hold_all_near_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sims = list(base)
+    for v in base:
+        for _ in range(5):
+            x = int(v)
+            for bit in rng.choice(64, rng.integers(0, 5), replace=False):
+                x ^= 1 << int(bit)
+            sims.append(np.uint64(x))
+    sims = np.array(sims, np.uint64).view(np.int64).tolist()
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(sims)], "id long, sim long")
+    want = {(a, b) for a in range(len(sims)) for b in range(a) if bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1") <= 3}
+    for full, small in ((1 << 18, 32), (3, 32), (1 << 18, 2)):
+        monkeypatch.setattr(lines, "FULL_BLOCK", full)
+        monkeypatch.setattr(lines, "SMALL_BUCKET", small)
+        by = defaultdict(set)
+        for r in lines.near_buckets(frame).collect():
+            by[r["key"]].add(r["id"])
+        met = {(a, b) for v in by.values() for a in v for b in v if a > b}
+        assert want <= met and len(met) < 3 * len(want)
+
+
 def test_lines_are_taken_out(spark, none):
     docs = spark.createDataFrame([(1, "a b c\n\nd e f", "k"), (2, "A  b c\ng h i", "k"), (3, "d e f", "k"), (4, None, "k"), (5, "", "k")], "doc_id long, text string, _stay string")
     got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(docs).collect()}
