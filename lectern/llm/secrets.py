@@ -1,8 +1,8 @@
 """Secret scan with multipart credential linking.
 
 Base findings come from three fixed patterns over each whole text. Beyond these, parts that are weak on their
-own (account names, endpoints, mixed strings) are laid on overlapping scopes of the text and reported only when a
-scope also holds the parts that complete a credential: an access identifier, a secret and, for endpoints and
+own (account names, endpoints, mixed strings) are looked for in every text and reported only when a scope, wherever it
+starts, also holds the parts that complete a credential: an access identifier, a secret and, for endpoints and
 account names, both of them.
 """
 
@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 # The patterns of the base findings, in the order in which kinds are listed.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -21,11 +21,13 @@ HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 # Weak parts. They count only beside parts that complete them.
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/-]*)?|(?<![A-Za-z0-9.-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:amazonaws|internal|local)\.?[a-z]*(?::[0-9]+)?"
-ACCOUNT = r"(?:user|username|login|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})"
-MIXED = r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=])"
+ACCOUNT = r"(?:[Uu][Ss][Ee][Rr](?:[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})"
+MIXED = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])"
+#: What a mixed string holds, each at least once.
+MIXTURE = ("[A-Z]", "[a-z]", "[0-9]")
 
 KINDS = ("assign", "access", "hex", "mixed", "endpoint", "account")
-#: Code points of one scope; scopes start every half of it, so that parts within half a scope always share one.
+#: Code points of one scope: parts share one if their starts lie less than this apart.
 SCOPE = 512
 
 _FOUND = "array<struct<kind:int,start:int,stop:int>>"
@@ -35,6 +37,7 @@ def _scanner():
     assign, access = re.compile(ASSIGN), re.compile(ACCESS)
     hexa = re.compile(HEX[:-1] + "{%d,}" % HEX_LEAST)  # the same maximal runs, those that are long enough
     endpoint, account, mixed = re.compile(ENDPOINT), re.compile(ACCOUNT), re.compile(MIXED)
+    mixture = [re.compile(x) for x in MIXTURE]
 
     def scan(text: str) -> list[tuple[int, int, int]]:
         found = []
@@ -44,12 +47,17 @@ def _scanner():
         if "AKIA" in text:
             found += [(1, m.start(), m.end()) for m in access.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
         found += [(2, m.start(), m.end()) for m in hexa.finditer(text)]
-        if found:  # a weak part needs a strong one in its text
-            found += [(3, m.start(), m.end()) for m in mixed.finditer(text)]
-            if "://" in text or ".internal" in text or ".local" in text or "amazonaws" in text:
-                found += [(4, m.start(), m.end()) for m in endpoint.finditer(text)]
-            if "user" in text or "login" in text or "account" in text:
-                found += [(5, m.start(), m.end()) for m in account.finditer(text)]
+        weak = [(3, m.start(), m.end()) for m in mixed.finditer(text) if all(x.search(m[0]) for x in mixture)]
+        # each filter is implied by its pattern
+        if "://" in text or ".internal" in text or ".local" in text or ".amazonaws" in text:
+            weak += [(4, m.start(), m.end()) for m in endpoint.finditer(text)]
+        if "user" in low or "login" in low or "account" in low:
+            weak += [(5, m.start(), m.end()) for m in account.finditer(text)]
+        if weak:
+            kinds = {k for k, _, _ in found + weak}
+            ident, secret = 1 in kinds, bool(kinds & {0, 2, 3})
+            if ident and 3 in kinds or secret and (ident and kinds & {4, 5} or {4, 5} <= kinds):
+                found += weak  # else no weak part is completed, whatever the distance
         return found
 
     return scan
@@ -58,8 +66,8 @@ def _scanner():
 def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, parts): every base finding and weak part of each whole text, as (kind, start, stop) in code points.
 
-    A null text has no parts. Kinds are positions in KINDS. Texts without any base finding carry no weak part,
-    as nothing could complete it.
+    A null text has no parts. Kinds are positions in KINDS. Texts whose parts taken together complete no weak part
+    carry none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,23 +87,24 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(id, kind, start, stop) of the weak parts that complementary parts complete within a scope.
 
-    An interval join of parts with scopes: a part belongs to each scope that holds its start, scopes being
-    `scope` wide and starting every half of it. What a scope holds is summed before it is joined back, so no
-    pair of parts is ever formed. A mixed string needs an access identifier; an endpoint or account name needs
-    an access identifier or account name together with a secret (assignment, hex or mixed string).
+    A scope is any `scope` code points of the text, and holds the parts that start in it. What is held by the scope
+    that starts with a part is gathered over the parts ahead, and each part then looks back at the scopes it is in, so
+    no pair of parts is ever formed. A mixed string needs an access identifier; an endpoint needs an access
+    identifier or account name, an account name an access identifier, both together with a secret (assignment, hex or
+    mixed string).
     """
-    step = scope // 2
-    last = F.floor(F.col("start") / step).cast("int")
-    laid = parts.withColumn("scope", F.explode(F.array(last - 1, last)))
-    has = {n: F.max(F.col("kind").isin(*k)) for n, k in (("ident", [1]), ("secret", [0, 2, 3]), ("account", [5]))}
-    held = laid.groupBy("id", "scope").agg(*[c.alias(n) for n, c in has.items()])
-    weak = laid.filter(F.col("kind") >= 3)
-    complete = (
-        F.when(F.col("kind") == 3, F.col("ident"))
-        .when(F.col("kind") == 4, F.col("secret") & (F.col("ident") | F.col("account")))
-        .otherwise(F.col("secret") & F.col("ident"))
-    )
-    return weak.join(held, ["id", "scope"]).filter(complete).select("id", "kind", "start", "stop").distinct()
+    by_start = Window.partitionBy("id").orderBy("start")
+    ahead, behind = by_start.rangeBetween(0, scope - 1), by_start.rangeBetween(1 - scope, 0)
+    has = {n: F.max(F.col("kind").isin(*k)).over(ahead) for n, k in (("ident", [1]), ("secret", [0, 2, 3]), ("account", [5]))}
+    held = parts.select("*", *[c.alias(n) for n, c in has.items()])
+    complete = {
+        3: F.max("ident").over(behind),
+        4: F.max(F.col("secret") & (F.col("ident") | F.col("account"))).over(behind),
+        5: F.max(F.col("secret") & F.col("ident")).over(behind),
+    }
+    done = held.select("id", "kind", "start", "stop", *[c.alias(f"c{k}") for k, c in complete.items()])
+    weak = " or ".join(f"kind = {k} and c{k}" for k in complete)
+    return done.filter(weak).select("id", "kind", "start", "stop").distinct()
 
 
 def _joined(spans) -> F.Column:
