@@ -2,8 +2,8 @@
 
 A page becomes a tree of its elements. Each paragraph-like block passes points for its length and commas to its
 parent and, halved with each step, to the ancestors above; an element's points are discounted by the share of its
-text that stands in links. The best container and those of its siblings that look like text too are kept; blocks
-that belong to menus, forms, adverts and the like never count.
+text that stands in links. The best container is kept, or the article it stands in, and from there upwards what stands beside it
+and holds unlinked text; blocks that belong to menus, forms, adverts and the like never count.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ ENDS = {k: frozenset(v.split()) for k, v in {"p": "p", "li": "p li", "dt": "p dt
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 #: Names in class, id and role that mark what is not the article.
 AWAY = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu nav navbar navigation newsletter notice pagination pager popup promo promoted related reply replies respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget modal search complementary contentinfo alert dialog".split())
+#: Words that make a name a remark on its element (has-sidebar, comments-open), not what the element is.
+REMARKS = frozenset("has with without no not hide show is are open closed enabled disabled".split())
+CONTAINERS = frozenset("article main body div section".split())
 KEEP = frozenset("article main content entry post story body text".split())
 SCORED = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main body".split())
 
@@ -46,17 +49,28 @@ class _Element:
         self.blocks: list[tuple[int, str]] = []
 
 
-def _attributes(text: str) -> tuple[set[str], bool]:
-    names, hidden = set(), False
+def _attributes(text: str) -> tuple[list[frozenset[str]], bool]:
+    """The words of each name in class, id and role; whether the element is hidden."""
+    names, hidden = [], False
     for m in _ATTR.finditer(text):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id", "role"):
-            names.update(w.lower() for w in _WORD.findall(value))
+            names += [frozenset(w.lower() for w in _WORD.findall(name)) for name in value.split()]
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             hidden = True
     return names, hidden
 
 
+def _away(name: str, names: list[frozenset[str]]) -> bool:
+    """Names mark what is not the article; in containers, a name that marks the article outweighs those that only mention such."""
+    marks = [n for n in names if n & AWAY and not n & REMARKS]
+    if not marks or name == "body":
+        return False
+    if name in ("article", "main") and any(n & KEEP for n in names):
+        return False
+    return not (name in CONTAINERS and any(n & KEEP and not n & AWAY for n in names) and not any(n <= AWAY for n in marks))
+
+
 def _tree(page: str) -> tuple[_Element, list[tuple[str, _Element]]]:
     """Root of the elements and the page's blocks (text, element) in page order."""
     root = here = _Element("html", None, False)
@@ -119,7 +133,7 @@ def _tree(page: str) -> tuple[_Element, list[tuple[str, _Element]]]:
             away = here.away or name in DROPPED
             if not away and m[3]:
                 names, hidden = _attributes(m[3])
-                away = hidden or bool(names & AWAY) and not (names & KEEP and name in ("article", "main", "body") or name == "body")
+                away = hidden or _away(name, names)
             if name in ("html", "body") and here.parent is None:
                 continue
             node = _Element(name, here, away)
@@ -159,14 +173,26 @@ def main_text(page: str | None) -> str:
     worth = lambda e: e.points * (1 - e.linked / max(e.chars, 1))
     best = max(scored, key=worth, default=root)
     limit = max(10.0, 0.2 * worth(best))
-    keep = {id(best)}
-    if best.parent is not None:
-        for node in best.parent.children:
-            if node.away or node is best:
-                continue
-            density = node.linked / max(node.chars, 1)
-            if worth(node) >= limit or node.name in ("p", "h1", "h2") and (node.chars > 80 and density < 0.25 or 0 < node.chars <= 80 and not node.linked and node.name != "p"):
-                keep.add(id(node))
+
+    def prose(e: _Element) -> bool:
+        scored_itself = e.points > 0 or e.name in ("p", "pre", "blockquote") and e.chars >= 25
+        return scored_itself and (e.linked < 0.25 * e.chars or worth(e) >= limit)
+
+    top = best
+    while top is not None and top.name not in ("article", "main"):
+        top = top.parent
+    top = top or best
+    keep = {id(top)}
+    while top.parent is not None:
+        beside = [e for e in top.parent.children if e is not top and not e.away]
+        text = [e for e in beside if prose(e)]
+        keep.update(id(e) for e in beside if e.chars and not e.linked and e.name in ("h1", "h2", "h3", "h4", "h5", "h6"))
+        keep.update(id(e) for e in text)
+        if text and top.parent.parent is not None:  # a part of the page, not all of it
+            keep.add(id(top.parent))
+        elif not text and top.parent.chars > top.chars:
+            break
+        top = top.parent
 
     def kept(node: _Element | None) -> bool:
         dense = node is not None and node.name in ("ul", "ol", "div", "table", "section")

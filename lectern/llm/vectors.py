@@ -2,9 +2,10 @@
 
 Equal vectors form a class. Classes are laid into overlapping clusters around centroids that are fitted on a bounded
 sample. In each shard of a cluster a graph is built whose neighbour lists are pruned robustly, the lists of a vector
-from all its shards are united, and every vector searches the shards of its clusters: greedily from the shard's medoid,
-then through everything within range. What is found is verified in double precision, counted, and reduced to a forest
-before it leaves the task. Recall is audited against brute force on a sample of queries, and the search widened if short.
+from all its shards are united, and every vector searches the shards of its clusters: greedily from the shard's medoid and
+from its own place, then through everything within range. What is found is verified in double precision, counted, and
+reduced to a forest before it leaves the task. Recall is audited against brute force on a sample of queries; the search is
+widened if short, and shards are compared exactly if it stays short or no link is met.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ AUDIT, RECALL = 256, 0.97
 #: (clusters of each vector, width of the beam), tried in turn.
 WIDTHS = ((2, 32), (4, 64), (8, 128))
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
+#: Vectors of a shard of which the nearest is where a query starts that isn't in the shard.
+PIVOTS = 64
 SEED = 7
 
 
@@ -46,7 +49,8 @@ def centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def pruned_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
     """Neighbour lists of unit vectors: from a vector's nearest candidates the nearest is taken again and again, and those
-    that are closer to a taken one than to the vector, by the factor alpha, are left out. Edges are also followed back."""
+    that are closer to a taken one than to the vector, by the factor alpha, are left out. Edges are also followed back. What the medoid doesn't reach by them is joined by
+    edges both ways to what it does reach."""
     n = len(x)
     if n < 2:
         return [np.empty(0, np.int64)] * n
@@ -73,17 +77,54 @@ def pruned_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> l
         for q in t:
             if len(back[q]) < degree:
                 back[q].append(p)
-    return [np.unique(np.concatenate([t, np.array(b, np.int64)])) for t, b in zip(out, back)]
+    lists = [np.unique(np.concatenate([t, np.array(b, np.int64)])) for t, b in zip(out, back)]
+    return _connected(lists, s, _medoid(x))
 
 
-def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, least: float, beam: int) -> np.ndarray:
-    """Marks [query, vector] of those found within range, by greedy search from the medoid and expansion of the range.
+def _medoid(x: np.ndarray) -> int:
+    return int((x @ x.mean(0)).argmax())
 
-    lists: neighbours of each vector, padded with -1.
+
+def _connected(lists: list[np.ndarray], s: np.ndarray, start: int) -> list[np.ndarray]:
+    """The lists with edges added, from the nearest vector that is reached to the one that isn't, until start reaches all."""
+    n = len(lists)
+    reached = np.zeros(n, np.bool_)
+    to = np.full(n, -1)  # the nearest that is reached, and how near
+    near = np.full(n, -np.inf)
+    edge = [start]
+    while True:
+        grown = []
+        reached[edge] = True
+        while edge:
+            grown += edge
+            step = np.unique(np.concatenate([lists[k] for k in edge]))
+            edge = step[~reached[step]].tolist()
+            reached[edge] = True
+        rest = np.flatnonzero(~reached)
+        if not len(rest):
+            return lists
+        sub = s[np.ix_(rest, grown)]
+        best = sub.argmax(1)
+        value = sub[np.arange(len(rest)), best]
+        closer = value > near[rest]
+        near[rest[closer]], to[rest[closer]] = value[closer], np.array(grown)[best[closer]]
+        q = int(rest[near[rest].argmax()])
+        lists[to[q]], lists[q] = np.append(lists[to[q]], q), np.append(lists[q], to[q])
+        edge = [q]
+
+
+def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, least: float, beam: int, own: np.ndarray | None = None) -> np.ndarray:
+    """Marks [query, vector] of those found within range, by greedy search and expansion of the range.
+
+    lists: neighbours of each vector, padded with -1. Queries start at the medoid and at their own place in x, `own`;
+    where that isn't given, at the nearest of a few vectors.
     """
     n, m = len(x), len(queries)
     found = np.zeros((m, n), np.bool_)
-    start = int((x @ x.mean(0)).argmax())
+    start = _medoid(x)
+    if own is None:
+        pivots = np.random.default_rng(SEED).choice(n, min(n, PIVOTS), replace=False)
+        own = pivots[(queries @ x[pivots].T).argmax(1)]
     for a in range(0, m, 256):
         q = queries[a : a + 256]
         b = len(q)
@@ -95,6 +136,11 @@ def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, least: f
         ids[:, 0], sims[:, 0], done[:, 0] = start, q @ x[start], False
         hit = found[a : a + 256]
         hit[:, start] = sims[:, 0] >= least
+        mine = own[a : a + 256]
+        other = np.flatnonzero(mine != start)
+        seen[other, mine[other]] = True
+        ids[other, 1], sims[other, 1], done[other, 1] = mine[other], np.einsum("ij,ij->i", q[other], x[mine[other]]), False
+        hit[other, mine[other]] |= sims[other, 1] >= least
         while True:
             rank = np.where(done, -4.0, sims)
             at = rank.argmax(1)
@@ -161,8 +207,11 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def _search(classes: DataFrame, n: int, least: float, overlap: int, beam: int) -> tuple[DataFrame, DataFrame]:
-    """(id, found): weight of the classes linked with each class; (a, b): edges that connect what is linked."""
+def _search(classes: DataFrame, n: int, least: float, overlap: int, beam: int | None) -> tuple[DataFrame, DataFrame]:
+    """(id, found): weight of the classes linked with each class; (a, b): edges that connect what is linked.
+
+    Without a beam the shards that meet are compared exactly.
+    """
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
     by_size: dict[int, list] = {}
     for v in sample:
@@ -209,13 +258,19 @@ def _search(classes: DataFrame, n: int, least: float, overlap: int, beam: int) -
         ids, weight, part = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["part"].to_numpy()
         found = np.zeros((len(x), len(x)), np.bool_)
         sides = [np.flatnonzero(part == p) for p in sorted(set(part))]
-        for index in sides:
+        if beam is None:
+            found |= x @ x.T >= np.float32(least - 1e-5)
+            if len(sides) == 2:  # each of them meets itself elsewhere
+                for side in sides:
+                    found[np.ix_(side, side)] = False
+        for index in sides if beam is not None else []:
             place = {v: k for k, v in enumerate(ids[index])}
             lists = _padded([np.array([place[y] for y in near if y in place], np.int64) for near in rows["near"].iloc[index]])
             asks = [s for s in sides if len(sides) == 1 or s is not index]
             for queries in asks:
                 if len(index) and len(queries):
-                    found[np.ix_(queries, index)] |= range_search(x[index], lists, x[queries], np.float32(least - 1e-5), beam)
+                    own = np.arange(len(index)) if queries is index else None
+                    found[np.ix_(queries, index)] |= range_search(x[index], lists, x[queries], np.float32(least - 1e-5), beam, own)
         found |= found.T
         np.fill_diagonal(found, False)
         # two vectors may share several clusters: the first of them counts
@@ -271,12 +326,16 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, id_col: str = "vec
     n = classes.count()
     recall = None
     found = edges = None
-    for overlap, beam in WIDTHS:
+    widths = [*WIDTHS, (WIDTHS[-1][0], None)]
+    while widths:
+        overlap, beam = widths.pop(0)
         found, edges = _search(classes, n, least, overlap, beam)
         got, real = audit(classes, found, least)
         recall = got / real if real else None
-        if recall is None or recall >= RECALL:
+        if recall is not None and recall >= RECALL:
             break
+        if recall is None:  # no link was met, so the search can't be judged: exactly, once
+            widths = widths[-1:]
     grouped = components(edges)
     placed = classes.select("id", "v", "n").join(found, "id", "left").join(grouped, "id", "left")
     per = placed.select("v", (F.col("n") - 1 + F.coalesce("found", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))

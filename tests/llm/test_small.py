@@ -383,6 +383,16 @@ def test_pages(spark):
     assert html.unescape("&amp;") == "&"
 
 
+@pytest.mark.parametrize("shell", [
+    "<article><section>{0}{1}{2}</section><section>{3}</section><h3>{4}</h3></article>", "<div><div><section>{0}{1}{2}</section></div><div>{3}</div><h3>{4}</h3></div>",
+    "<div class='content has-sidebar'>{0}{1}{2}{3}{4}</div>", "<div class='post with-comments'>{0}{1}{2}{3}{4}</div>", "<main><div class='wrap comments-open'><section>{0}{1}</section><section>{2}{3}</section></div><h2>{4}</h2></main>",
+])
+def test_no_part_of_an_article_is_dropped(shell):
+    texts = [f"Part {k}, " + "with words, and more of them, " * n + "at last." for k, n in enumerate((12, 12, 12, 4))] + ["A heading"]
+    page = f"<body><nav><a href='/'>Home</a></nav>{shell.format(*(f'<p>{t}</p>' for t in texts[:4]), texts[4])}<div class='comment-body'><p>{texts[0]} not this</p></div><div class='sidebar'><p>{texts[1]} nor this</p></div><ul><li><a href='/a'>Another story that is long enough</a></li></ul></body>"
+    assert pages_text.main_text(page) == "\n".join(texts)
+
+
 # -- repeated passages
 
 
@@ -467,3 +477,30 @@ def test_shards_of_a_large_cluster_meet(spark, monkeypatch):
     want = int((u @ u.T >= 0.95).sum() - len(x))
     got = vectors.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"))
     assert 0.97 * want <= got.agg(F.sum("n_links")).first()[0] <= want
+
+
+def test_groups_larger_than_a_neighbourhood_are_linked(spark):
+    from lectern.llm import vectors
+
+    rng = np.random.default_rng(21)
+    x = (np.repeat(rng.normal(size=(18, 32)), 100, 0) + 0.1 * rng.normal(size=(1800, 32))).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95).sum(1) - 1
+    assert near.min() > 64
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    assert all((got[k]["n_links"], got[k]["component_id"]) == (near[k], k // 100 * 100) for k in range(1800))
+    unit = u.astype(np.float32)
+    lists = vectors.pruned_graph(unit)
+    want = unit @ unit.T >= np.float32(0.95)
+    for own in (np.arange(1800), None):  # the graph alone, without the audit's help
+        assert (vectors.range_search(unit, vectors._padded(lists), unit, np.float32(0.95), 32, own) & want).sum() >= 0.97 * want.sum()
+
+
+def test_shards_are_compared_exactly_if_the_search_finds_nothing(spark, monkeypatch):
+    from lectern.llm import vectors
+
+    monkeypatch.setattr(vectors, "range_search", lambda x, lists, queries, *_: np.zeros((len(queries), len(x)), np.bool_))
+    x = np.random.default_rng(3).normal(size=(40, 8))
+    x = np.concatenate([x, x + 0.01]).astype(np.float32)
+    got = vectors.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    assert {r["n_links"] for r in got.collect()} == {1}
