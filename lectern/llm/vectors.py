@@ -49,8 +49,8 @@ def centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def pruned_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
     """Neighbour lists of unit vectors: from a vector's nearest candidates the nearest is taken again and again, and those
-    that are closer to a taken one than to the vector, by the factor alpha, are left out. Edges are also followed back. What the medoid doesn't reach by them is joined by
-    edges both ways to what it does reach."""
+    that are closer to a taken one than to the vector, by the factor alpha, are left out. Edges are also followed back.
+    What the medoid doesn't reach by them is joined by edges both ways to what it does reach."""
     n = len(x)
     if n < 2:
         return [np.empty(0, np.int64)] * n
