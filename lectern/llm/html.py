@@ -2,8 +2,8 @@
 
 A page becomes a tree of its elements. Each paragraph-like block passes points for its length and commas to its
 parent and, halved with each step, to the ancestors above; an element's points are discounted by the share of its
-text that stands in links. The best container is kept, or the article it stands in, and from there upwards what stands beside it
-and holds unlinked text; blocks that belong to menus, forms, adverts and the like never count.
+text that stands in links. The best container is kept, or the article it stands in, and from there upwards what stands
+beside it and holds unlinked text; blocks that belong to menus, forms, adverts and the like never count.
 """
 
 from __future__ import annotations
