@@ -1,8 +1,12 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence a group.
 
-A line is normalised to its words, A-Z lower-cased. Lines of equal words form a class. Classes whose 64-bit SimHashes
-differ in at most RADIUS bits are candidates; they are linked if the edit similarity of their word sequences (1 - edit
-distance in words / words of the longer line) is high enough. Of each connected group the first occurrence stays.
+A line is normalised to its words, A-Z lower-cased. Lines of equal words form a class. Two kinds of pigeonhole blocks
+make candidates. Blocks of bits: classes whose 64-bit SimHashes differ in at most RADIUS bits. Those are few of the lines
+that are alike enough, as a fifth of all words changed turns 13 of 64 bits in the mean. Blocks of words: edits of words
+leave some runs of words untouched, so that two lines near each other share one of the first few runs in a common order;
+of these pairs, those whose SimHashes differ in at most FAR bits are candidates. Candidates are linked if the edit
+similarity of their word sequences (1 - edit distance in words / words of the longer line) is high enough. Of each
+connected group the first occurrence stays. Lines of fewer than five words have exact copies only: one edit is too many.
 """
 
 from __future__ import annotations
@@ -18,8 +22,12 @@ from lectern.llm.links import link
 from lectern.llm.store import cut
 
 SIMILARITY = 0.8
-#: Radius of the candidates.
-RADIUS = 3
+#: Radius of the candidates by blocks of bits, and of those by blocks of words.
+RADIUS, FAR = 3, 24
+#: Words of a run: (words, shortest line, longest line). Where kinds overlap, lines of both lengths may be near each other.
+RUNS = ((2, 5, 15), (3, 12, None))
+#: Runs of each kind that a line is found by, the first by hash. Two lines of up to 14 words always share one of them.
+KEYS = 6
 #: Ids of a block beyond which it is dealt out by parts; of a bucket up to which its pairs are looked at; rows gathered in a task.
 FULL_BLOCK, SMALL_BUCKET, GATHER = 1 << 18, 32, 1 << 17
 #: Bits of the filter that keeps most lines out of the second pass; of fixed size, and only ever lets too many pass.
@@ -71,9 +79,62 @@ def _odd(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.bitwise_xor.reduceat(np.where(half == k, one, np.uint64(0)), starts) for k in (0, 1))
 
 
-def _spelled(hashes: np.ndarray) -> str:
-    """A word sequence as a string with one character for each word, so that edits of words are edits of characters."""
-    return ((hashes % np.uint64(1_000_000)).astype(np.uint32) + np.uint32(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
+def run_keys(hashes: np.ndarray, ends: np.ndarray, kinds: tuple = RUNS, most: int = KEYS) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ends): for each line, the first `most` of its runs of words of each kind in the order of their hashes."""
+    counts = np.diff(np.concatenate([[0], ends]))
+    at = np.repeat(np.arange(len(ends), dtype=np.uint64), counts)
+    found = []
+    for words, low, high in kinds:
+        m = len(hashes) - words + 1
+        if m < 1:
+            continue
+        fits = counts >= low if high is None else (counts >= low) & (counts <= high)
+        start = np.flatnonzero((at[:m] == at[words - 1 :]) & fits[at[:m].astype(np.int64)])
+        h = np.full(len(start), words, np.uint64)
+        for k in range(words):
+            h = grams.mix(h + hashes[start + k])
+        laid = np.sort((at[start] << np.uint64(40)) | (h >> np.uint64(24)))
+        laid = laid[np.concatenate([[True], laid[1:] != laid[:-1]])] if len(laid) else laid
+        line = laid >> np.uint64(40)
+        begin = np.searchsorted(line, line)
+        laid = laid[np.arange(len(laid)) - begin < most]
+        found.append((laid >> np.uint64(40), grams.mix((laid & np.uint64((1 << 40) - 1)) + (np.uint64(words) << np.uint64(56)))))
+    if not found:
+        return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
+    line, keys = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(line, kind="stable")
+    return keys[order], np.cumsum(np.bincount(line.astype(np.int64), minlength=len(ends)))
+
+
+def edits(a: list, b: list, most: int) -> int:
+    """Edit distance of two word sequences, or something above `most` if it is above; all places of a column at once, as bits."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    a, b = a[low:], b[low:]
+    while a and b and a[-1] == b[-1]:
+        a.pop()
+        b.pop()
+    if len(a) > len(b):
+        a, b = b, a
+    if not a or len(b) - len(a) > most:
+        return len(b)
+    places: dict = {}
+    for k, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << k
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for left, word in zip(range(len(b) - 1, -1, -1), b):
+        same = places.get(word, 0)
+        level = ((same & up) + up ^ up) | same
+        rise, fall = down | ~(level | up) & full, up & level
+        score += 1 if rise & last else -1 if fall & last else 0
+        if score - left > most:
+            return score - left
+        rise, fall = rise << 1 | 1, fall << 1
+        steep = same | down
+        up, down = (fall | ~(steep | rise)) & full, rise & steep & full
+    return score
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -81,25 +142,27 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, content, line, h, sim, n, o, p) of every non-blank line: hashes of the text it stands in and of its words, SimHash,
-    number of words, odd sketch."""
+    """(id, content, line, h, sim, n, o, p, runs) of every non-blank line: hashes of the text it stands in and of its words,
+    SimHash, number of words, odd sketch, keys of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, line, hashes, ends in _line_words(batch.column(2).to_pylist()):
                 if len(row):
                     at = pa.array(row)
+                    keys, stops = run_keys(hashes, ends)
+                    runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(keys.view(np.int64)))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(at), batch.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(_line_hashes(hashes, ends).view(np.int64)), pa.array(_simhashes(hashes, ends).view(np.int64)),
-                         pa.array(np.diff(np.concatenate([[0], ends])).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in _odd(hashes, ends))],
-                        ["id", "content", "line", "h", "sim", "n", "o", "p"],
+                         pa.array(np.diff(np.concatenate([[0], ends])).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in _odd(hashes, ends)), runs],
+                        ["id", "content", "line", "h", "sim", "n", "o", "p", "runs"],
                     )
 
-    return _named(docs, id_col, text_col).mapInArrow(run, "id long, content long, line int, h long, sim long, n int, o long, p long")
+    return _named(docs, id_col, text_col).mapInArrow(run, "id long, content long, line int, h long, sim long, n int, o long, p long, runs array<long>")
 
 
 def _spellings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, s): word sequences of the lines whose hash is in `wanted` (column id)."""
+    """(id, s): words, lower-cased and joined by spaces, of the lines whose hash is in `wanted` (column id)."""
     place = F.col("id").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
     maps = wanted.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)  # FILTER_BITS bits reach the driver at most, however many lines there are
@@ -107,20 +170,26 @@ def _spellings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
         part = np.frombuffer(bytes(m["bits"]), np.uint8)
         bits[(m["k"] - 1) * len(part) : m["k"] * len(part)] = part
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    low = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            for _, _, hashes, ends in _line_words(batch.column(0).to_pylist()):
-                if not len(ends):
-                    continue
-                h = _line_hashes(hashes, ends)
+            texts = batch.column(0).to_pylist()
+            split: dict[int, list[bytes]] = {}
+            for row, line, hashes, ends in _line_words(texts):
+                h = _line_hashes(hashes, ends) if len(ends) else np.empty(0, np.uint64)
                 at = h & np.uint64(FILTER_BITS - 1)
                 hit = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-                starts = np.concatenate([[0], ends[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array([_spelled(hashes[starts[k] : ends[k]]) for k in hit], pa.string())], ["id", "s"])
-
-    lines = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "id long, s string")
+                out = []
+                for k in hit:
+                    r = int(row[k])
+                    if r not in split:
+                        split = {r: texts[r].encode("utf-8", "surrogatepass").split(b"\n")}
+                    out.append(b" ".join(split[r][line[k]].translate(low).split()))
+                yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(out, pa.binary())], ["id", "s"])
+
+    lines = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "id long, s binary")
     return lines.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
@@ -131,28 +200,35 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     id is the smallest long where the document's is null. Rows of one id with equal texts count as one row.
     """
     lines = line_hashes(docs, id_col, text_col)
-    first = F.min(F.struct("id", "content", "line")).alias("at")
-    classes = cut(lines.groupBy("h", "sim", "n", "o", "p").agg(first).withColumnRenamed("h", "id"))
-    buckets = cut(near_buckets(classes, radius))
+    first = F.min(F.struct("id", "content", "line", "sim", "n", "o", "p", "runs")).alias("at")
+    classes = cut(lines.groupBy("h").agg(first).select(F.col("h").alias("id"), F.struct("at.id", "at.content", "at.line").alias("at"), *[f"at.{c}" for c in ("sim", "n", "o", "p", "runs")]))
+    buckets = cut(near_buckets(classes, radius).union(run_buckets(classes, similarity)))
     wanted = cut(buckets.select("id").distinct())
     sims = cut(classes.select("id", "sim", "n", "o", "p").join(wanted, "id"))
     spelled = cut(_spellings(docs, wanted, id_col, text_col))
 
     def alike(xa, ya, xb, yb):
-        """Words in only one of two lines flip one parity each, and an edit of a word leaves two such words at most."""
+        """SimHashes are near, and so are odd sketches: words in only one of two lines flip one parity each, and an edit of a word leaves two such words at most."""
         apart = F.bit_count(ya[0].bitwiseXOR(yb[0])) + F.bit_count(ya[1].bitwiseXOR(yb[1]))
-        return apart <= 2 * F.floor(F.greatest(xa, xb) * F.lit(1 - similarity) + 1e-9)
+        return (F.bit_count(ya[2].bitwiseXOR(yb[2])) <= FAR) & (apart <= 2 * F.floor(F.greatest(xa, xb) * F.lit(1 - similarity) + 1e-9))
 
     def bound(ids: DataFrame) -> tuple[DataFrame, object]:
-        return sims.join(ids, "id", "left_semi").select("id", F.col("n").alias("x"), F.array("o", "p").alias("y")), alike
+        return sims.join(ids, "id", "left_semi").select("id", F.col("n").alias("x"), F.array("o", "p", "sim").alias("y")), alike
 
     def verify(pairs: DataFrame) -> DataFrame:
+        sides = [sims.select(F.col("id").alias(c), F.col("n").alias(f"x{c}"), F.array("o", "p", "sim").alias(f"y{c}")) for c in "ab"]
+        near = pairs.join(sides[0], "a").join(sides[1], "b").filter(alike(*[F.col(c) for c in ("xa", "ya", "xb", "yb")])).select("a", "b")
         one, two = (spelled.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-        near = _within(pairs, sims, radius, alike).join(one, "a").join(two, "b")
-        most = F.greatest(F.length("sa"), F.length("sb"))
-        near = near.withColumn("most", F.floor(most * F.lit(1 - similarity) + 1e-9).cast("int"))
-        near = near.filter(F.abs(F.length("sa") - F.length("sb")) <= F.col("most"))
-        return near.withColumn("d", F.expr("levenshtein(sa, sb, most)")).filter("d >= 0 and d <= most").select("a", "b")
+        return near.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(near_words, "a long, b long")
+
+    def near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = x.split(b" "), y.split(b" ")
+                most = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
+                good.append(edits(x, y, most) <= most)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     found = link(buckets, verify, bound)
     grouped = classes.join(found, "id", "left").select(F.coalesce("component", "id").alias("group"), "at")
@@ -160,10 +236,60 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     return stay.groupBy("id", "content").agg(F.array_sort(F.collect_list("line")).alias("stay"))
 
 
-def _within(pairs: DataFrame, sims: DataFrame, radius: int, alike: Callable) -> DataFrame:
-    one, two = (sims.select(F.col("id").alias(c), F.col("sim").alias(f"s{c}"), F.col("n").alias(f"x{c}"), F.array("o", "p").alias(f"y{c}")) for c in "ab")
-    close = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= radius
-    return pairs.join(one, "a").join(two, "b").filter(close & alike(*[F.col(c) for c in ("xa", "ya", "xb", "yb")])).select("a", "b")
+def run_buckets(classes: DataFrame, similarity: float = SIMILARITY, far: int = FAR) -> DataFrame:
+    """(key, id): buckets of ids (id, sim, n, runs) that share the key of a run.
+
+    Ids of small buckets stay only if another one of the bucket is near enough by SimHash and length; the ids of large
+    buckets all stay, and pass through a task one batch after the other.
+    """
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        waiting, full = 0, None
+
+        def out(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "id"])
+
+        def solve(rows: np.ndarray) -> pa.RecordBatch:
+            edge = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1], [True]]))
+            size = np.repeat(np.diff(edge), np.diff(edge))
+            rows, size = rows[:, size > 1], size[size > 1]
+            keys, ids, sims, n = rows
+            near = size > SMALL_BUCKET
+            for d in range(1, min(SMALL_BUCKET, len(keys))):
+                one = np.flatnonzero((keys[d:] == keys[:-d]) & (size[d:] <= SMALL_BUCKET))
+                if not len(one):
+                    break
+                least, most = np.minimum(n[one], n[one + d]), np.maximum(n[one], n[one + d])
+                close = one[(np.bitwise_count((sims[one] ^ sims[one + d]).view(np.uint64)) <= far) & (most - least <= most * (1 - similarity) + 1e-9)]
+                near[close] = near[close + d] = True
+            return out(keys[near], ids[near])
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            if full is not None:  # the bucket that has been found to be large goes on
+                stop = int(np.searchsorted(rows[0], full, side="right"))
+                yield out(rows[0, :stop], rows[1, :stop])
+                rows = rows[:, stop:]
+            if not rows.shape[1]:
+                continue
+            full = None
+            held.append(rows)
+            waiting += rows.shape[1]
+            if waiting >= GATHER:
+                rows = np.concatenate(held, axis=1)
+                stop = int(np.searchsorted(rows[0], rows[0, -1]))  # the last bucket may go on in the next batch
+                if stop:
+                    yield solve(rows[:, :stop])
+                held, waiting = [rows[:, stop:]], rows.shape[1] - stop
+                if waiting > SMALL_BUCKET:
+                    yield out(held[0][0], held[0][1])
+                    full, held, waiting = held[0][0, -1], [], 0
+        if waiting:
+            yield solve(np.concatenate(held, axis=1))
+
+    keyed = classes.select(F.explode("runs").alias("key"), "id", "sim", "n").repartition("key").sortWithinPartitions("key")
+    return keyed.mapInArrow(thin, "key long, id long")
 
 
 def near_buckets(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -171,8 +297,8 @@ def near_buckets(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Two SimHashes that differ in at most radius bits agree on one of radius + 1 blocks, and, as their other bits hold
     all that differs, on one of radius + 1 parts of those too. Blocks are what Spark deals out by; parts are grouped
-    inside the task. A block that very many ids share is dealt out by its parts instead, so no task gets it whole. Ids
-    of small buckets stay only if another one of the bucket is within the radius; large buckets stay as they are.
+    inside the task. A block that very many ids share makes a bucket of each of its parts instead, so no task gets it
+    whole. Ids of small buckets stay only if another one of the bucket is within the radius; large buckets stay whole.
     """
     count = radius + 1
     low = [64 * k // count for k in range(count + 1)]
@@ -194,21 +320,21 @@ def near_buckets(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     full = F.broadcast(laid.groupBy("t", "b").agg(F.count("*").alias("m")).filter(F.col("m") > FULL_BLOCK).select("t", "b", F.lit(True).alias("full")))
     parts = F.array(*[F.struct(F.lit(j).cast("byte").alias("j"), sum((F.when(F.col("t") == t, part(F.col("r"), t, j)).otherwise(F.lit(0)) for t in range(count)), F.lit(0)).alias("v")) for j in range(count)])
     dealt = laid.join(full, ["t", "b"], "left")
-    few = dealt.filter("full is null").select("id", "sim", "t", F.lit(-1).cast("byte").alias("j"), F.xxhash64("t", "b").alias("g"))
-    many = dealt.filter("full").select("id", "sim", "t", "b", F.explode(parts).alias("x")).select("id", "sim", "t", "x.j", F.xxhash64("t", "b", "x.j", "x.v").alias("g"))
+    few = dealt.filter("full is null").select("id", "sim", "t", F.xxhash64("t", "b").alias("g"))
+    many = dealt.filter("full").select("id", "t", "b", F.explode(parts).alias("x")).select("id", F.xxhash64("t", "b", "x.j", "x.v").alias("g"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            ids, sims, t, j, g = rows
+            ids, sims, t, g = rows
             sims = sims.view(np.uint64)
             for k in range(count):
-                at = np.flatnonzero((j == -1) | (j == k))
+                at = np.arange(len(ids))
                 value = np.zeros(len(at), np.uint64)
                 for x in range(count):
-                    mine = t[at] == x
-                    s = sims[at[mine]]
+                    mine = t == x
+                    s = sims[mine]
                     r = (s & np.uint64((1 << low[x]) - 1)) | ((s >> np.uint64(low[x + 1]) if x + 1 < count else np.zeros_like(s)) << np.uint64(low[x]))
                     a, b = widths[x] * k // count, widths[x] * (k + 1) // count
                     value[mine] = (r >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
@@ -234,16 +360,15 @@ def near_buckets(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
             waiting += rows.shape[1]
             if waiting >= GATHER:
                 rows = np.concatenate(held, axis=1)
-                stop = int(np.searchsorted(rows[4], rows[4, -1]))  # the last group may go on in the next batch
+                stop = int(np.searchsorted(rows[3], rows[3, -1]))  # the last block may go on in the next batch
                 if stop:
                     yield from solve(rows[:, :stop])
                 held, waiting = [rows[:, stop:]], rows.shape[1] - stop
         if held:
             yield from solve(np.concatenate(held, axis=1))
 
-    columns = ("id", "sim", "t", "j", "g")
-    together = few.select(*columns).unionByName(many.select(*columns)).repartition("g").sortWithinPartitions("g")
-    return together.mapInArrow(find, "key long, id long").distinct()
+    inside = few.select("id", "sim", "t", "g").repartition("g").sortWithinPartitions("g").mapInArrow(find, "key long, id long")
+    return inside.union(many.select(F.col("g").alias("key"), "id")).distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -121,26 +121,26 @@ def test_sketch_fills_and_estimates():
 # -- lines
 
 
+def normal(t):
+    return tuple(re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)))
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for k, x in enumerate(a, 1):
+        last, row[0] = row[0], k
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_lines(docs, rows):
     got = {(r["doc_id"], r["n_lines"], tuple(r["stay"])) for r in lines.counted(docs).collect()}
-    normal = lambda t: tuple(re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)))
     at = {(i if i is not None else -(2**63), k): normal(x) for i, t, *_ in rows for k, x in enumerate((t or "").split("\n")) if normal(x)}
-    first, sim = {}, {}
+    first = {}
     for place in sorted(at):
         first.setdefault(at[place], place)
-    for w in first:
-        h, ends = grams.words(np.frombuffer(" ".join(w).encode(), np.uint8), np.array([0, len(" ".join(w).encode())]))
-        sim[w] = int(lines._simhashes(h, ends)[0])
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for k, x in enumerate(a, 1):
-            last, row[0] = row[0], k
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    pairs = [(first[a], first[b]) for a in first for b in first if first[a] < first[b] and bin(sim[a] ^ sim[b]).count("1") <= 3 and distance(a, b) <= math.floor(0.2 * max(len(a), len(b)) + 1e-9)]
+    pairs = [(first[a], first[b]) for a in first for b in first if first[a] < first[b] and distance(a, b) <= math.floor(0.2 * max(len(a), len(b)) + 1e-9)]
     assert pairs, "the fixture must hold near lines"
     up = closed(first.values(), pairs)
     stay = defaultdict(list)
@@ -151,6 +151,37 @@ def test_lines(docs, rows):
     assert got == want
 
 
+def test_edits():
+    rng = np.random.default_rng(15)
+    for _ in range(400):
+        a, b = (list(rng.integers(0, 4, rng.integers(0, 14))) for _ in range(2))
+        d = distance(a, b)
+        for most in (0, 2, 5, 20):
+            got = lines.edits(list(a), list(b), most)
+            assert got == d if d <= most else got > most
+
+
+def test_lines_at_the_similarity_are_found(spark, monkeypatch):
+    """Pairs with as many edited words as 0.8 allows, at random places, of all lengths and edits: nine of ten and more."""
+    rng = np.random.default_rng(16)
+    vocabulary = words(17, 4000)
+    texts, pairs = [], []
+    for n in [*range(5, 45), 60, 90, 150] * 8:
+        base = list(rng.choice(vocabulary, n))
+        other = list(base)
+        for at in rng.choice(n, n // 5, replace=False):
+            other[at] = f"new{rng.integers(10**9)}"
+        if n % 3 == 0 and n // 5 > 1:  # some words dropped and added instead
+            other = [*base[: n // 2], *base[n // 2 + 1 :], f"end{rng.integers(10**9)}"]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(other)]
+    for small in (32, 1):  # all buckets looked into, none
+        monkeypatch.setattr(lines, "SMALL_BUCKET", small)
+        stay = {r["doc_id"] for r in lines.counted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r["stay"]}
+        assert {a for a, _ in pairs} <= stay
+        assert sum(b in stay for _, b in pairs) <= 0.06 * len(pairs)
+
+
 def test_buckets_hold_all_near_pairs(spark, monkeypatch):
     rng = np.random.default_rng(12)
     base = rng.integers(0, 2**63, 60).astype(np.uint64)
