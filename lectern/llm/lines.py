@@ -23,11 +23,11 @@ from lectern.llm.store import cut
 
 SIMILARITY = 0.8
 #: Radius of the candidates by blocks of bits, and of those by blocks of words.
-RADIUS, FAR = 3, 24
+RADIUS, FAR = 3, 20
 #: Words of a run: (words, shortest line, longest line). Where kinds overlap, lines of both lengths may be near each other.
 RUNS = ((2, 5, 15), (3, 12, None))
-#: Runs of each kind that a line is found by, the first by hash. Two lines of up to 14 words always share one of them.
-KEYS = 6
+#: Runs of each kind that a line is found by, the first by hash. Two lines of up to 14 words always share one of them, as two edits touch four runs at most.
+KEYS = 5
 #: Ids of a block beyond which it is dealt out by parts; of a bucket up to which its pairs are looked at; rows gathered in a task.
 FULL_BLOCK, SMALL_BUCKET, GATHER = 1 << 18, 32, 1 << 17
 #: Bits of the filter that keeps most lines out of the second pass; of fixed size, and only ever lets too many pass.
@@ -237,10 +237,10 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
 
 
 def run_buckets(classes: DataFrame, similarity: float = SIMILARITY, far: int = FAR) -> DataFrame:
-    """(key, id): buckets of ids (id, sim, n, runs) that share the key of a run.
+    """(key, id): buckets of ids (id, sim, n, o, p, runs) that share the key of a run.
 
-    Ids of small buckets stay only if another one of the bucket is near enough by SimHash and length; the ids of large
-    buckets all stay, and pass through a task one batch after the other.
+    Ids of small buckets stay only if another one of the bucket is near enough by SimHash and odd sketch; the ids of
+    large buckets all stay, and pass through a task one batch after the other.
     """
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,14 +254,16 @@ def run_buckets(classes: DataFrame, similarity: float = SIMILARITY, far: int = F
             edge = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1], [True]]))
             size = np.repeat(np.diff(edge), np.diff(edge))
             rows, size = rows[:, size > 1], size[size > 1]
-            keys, ids, sims, n = rows
+            keys, ids, sims, n, o, p = rows
+            apart = lambda x, one, d: np.bitwise_count((x[one] ^ x[one + d]).view(np.uint64)).astype(np.int64)
             near = size > SMALL_BUCKET
             for d in range(1, min(SMALL_BUCKET, len(keys))):
                 one = np.flatnonzero((keys[d:] == keys[:-d]) & (size[d:] <= SMALL_BUCKET))
                 if not len(one):
                     break
-                least, most = np.minimum(n[one], n[one + d]), np.maximum(n[one], n[one + d])
-                close = one[(np.bitwise_count((sims[one] ^ sims[one + d]).view(np.uint64)) <= far) & (most - least <= most * (1 - similarity) + 1e-9)]
+                one = one[apart(sims, one, d) <= far]
+                most = np.floor(np.maximum(n[one], n[one + d]) * (1 - similarity) + 1e-9)
+                close = one[apart(o, one, d) + apart(p, one, d) <= 2 * most]
                 near[close] = near[close + d] = True
             return out(keys[near], ids[near])
 
@@ -288,7 +290,7 @@ def run_buckets(classes: DataFrame, similarity: float = SIMILARITY, far: int = F
         if waiting:
             yield solve(np.concatenate(held, axis=1))
 
-    keyed = classes.select(F.explode("runs").alias("key"), "id", "sim", "n").repartition("key").sortWithinPartitions("key")
+    keyed = classes.select(F.explode("runs").alias("key"), "id", "sim", "n", "o", "p").repartition("key").sortWithinPartitions("key")
     return keyed.mapInArrow(thin, "key long, id long")
 
 
