@@ -3,16 +3,19 @@
 Base findings come from three fixed patterns over each whole text. Beyond these, parts that are weak on their
 own (account names, endpoints, mixed strings) are looked for in every text and reported only when a scope, wherever it
 starts, also holds the parts that complete a credential: an access identifier, a secret and, for endpoints and
-account names, both of them.
+account names, both of them. A scope never leaves its text, so the intervals of scopes and parts are joined inside the
+row, by one sweep over the parts in order: nothing is shuffled, and rows of one id never mix.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # The patterns of the base findings, in the order in which kinds are listed.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,6 +34,7 @@ KINDS = ("assign", "access", "hex", "mixed", "endpoint", "account")
 SCOPE = 512
 
 _FOUND = "array<struct<kind:int,start:int,stop:int>>"
+Part = tuple[int, int, int]
 
 
 def _scanner():
@@ -39,8 +43,8 @@ def _scanner():
     endpoint, account, mixed = re.compile(ENDPOINT), re.compile(ACCOUNT), re.compile(MIXED)
     mixture = [re.compile(x) for x in MIXTURE]
 
-    def scan(text: str) -> list[tuple[int, int, int]]:
-        found = []
+    def scan(text: str) -> tuple[list[Part], list[Part]]:
+        found: list[Part] = []
         low = text.lower()
         if any(w in low for w in ("passw", "secret", "token", "api")):
             found += [(0, m.start(), m.end()) for m in assign.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
@@ -53,58 +57,55 @@ def _scanner():
             weak += [(4, m.start(), m.end()) for m in endpoint.finditer(text)]
         if "user" in low or "login" in low or "account" in low:
             weak += [(5, m.start(), m.end()) for m in account.finditer(text)]
-        if weak:
-            kinds = {k for k, _, _ in found + weak}
-            ident, secret = 1 in kinds, bool(kinds & {0, 2, 3})
-            if ident and 3 in kinds or secret and (ident and kinds & {4, 5} or {4, 5} <= kinds):
-                found += weak  # else no weak part is completed, whatever the distance
-        return found
+        return found, weak
 
     return scan
 
 
-def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, parts): every base finding and weak part of each whole text, as (kind, start, stop) in code points.
+def link_parts(found: list[Part], weak: list[Part], scope: int = SCOPE) -> list[Part]:
+    """The weak parts of a text, (kind, start, stop), that complementary parts complete within a scope.
 
-    A null text has no parts. Kinds are positions in KINDS. Texts whose parts taken together complete no weak part
-    carry none.
+    A scope is any `scope` code points of the text, and holds the parts that start in it. A mixed string needs an access
+    identifier; an endpoint needs an access identifier or account name, an account name an access identifier, both
+    together with a secret (assignment, hex or mixed string).
     """
+    if not weak:
+        return []
+    parts = sorted(found + weak, key=lambda p: p[1])
+    starts = [p[1] for p in parts]
+    upto = {n: [0, *accumulate(p[0] in kinds for p in parts)] for n, kinds in (("ident", (1,)), ("secret", (0, 2, 3)), ("account", (5,)))}
+    fits: dict[int, list[int]] = {3: [], 4: [], 5: []}  # whether the scope that starts with a part completes a kind
+    for at in starts:
+        low, high = bisect_left(starts, at), bisect_left(starts, at + scope)
+        ident, secret, account = (upto[n][high] > upto[n][low] for n in ("ident", "secret", "account"))
+        fits[3].append(ident)
+        fits[4].append(secret and (ident or account))
+        fits[5].append(secret and ident)
+    total = {k: [0, *accumulate(v)] for k, v in fits.items()}
+    return [p for p in weak if total[p[0]][bisect_right(starts, p[1])] > total[p[0]][bisect_right(starts, p[1] - scope)]]
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+    """(id, base, linked) of each row: base findings and completed weak parts of its whole text.
+
+    Both are arrays of (kind, start, stop) in code points, kinds as positions in KINDS, and empty for null, empty or
+    clean texts. Each row stands for itself: ids may be null or repeated.
+    """
+    part = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scanner()
-        part = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+        laid = lambda parts: [{"kind": k, "start": a, "stop": b} for k, a, b in parts]
         for batch in batches:
-            rows = [
-                [] if text is None else [{"kind": k, "start": a, "stop": b} for k, a, b in scan(text)]
-                for text in batch.column(1).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(part))], ["id", "parts"])
+            base, linked = [], []
+            for text in batch.column(1).to_pylist():
+                found, weak = scan(text or "")
+                base.append(laid(found))
+                linked.append(laid(link_parts(found, weak, scope)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, part), pa.array(linked, part)], ["id", "base", "linked"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, parts {_FOUND}")
-
-
-def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(id, kind, start, stop) of the weak parts that complementary parts complete within a scope.
-
-    A scope is any `scope` code points of the text, and holds the parts that start in it. What is held by the scope
-    that starts with a part is gathered over the parts ahead, and each part then looks back at the scopes it is in, so
-    no pair of parts is ever formed. A mixed string needs an access identifier; an endpoint needs an access
-    identifier or account name, an account name an access identifier, both together with a secret (assignment, hex or
-    mixed string).
-    """
-    by_start = Window.partitionBy("id").orderBy("start")
-    ahead, behind = by_start.rangeBetween(0, scope - 1), by_start.rangeBetween(1 - scope, 0)
-    has = {n: F.max(F.col("kind").isin(*k)).over(ahead) for n, k in (("ident", [1]), ("secret", [0, 2, 3]), ("account", [5]))}
-    held = parts.select("*", *[c.alias(n) for n, c in has.items()])
-    complete = {
-        3: F.max("ident").over(behind),
-        4: F.max(F.col("secret") & (F.col("ident") | F.col("account"))).over(behind),
-        5: F.max(F.col("secret") & F.col("ident")).over(behind),
-    }
-    done = held.select("id", "kind", "start", "stop", *[c.alias(f"c{k}") for k, c in complete.items()])
-    weak = " or ".join(f"kind = {k} and c{k}" for k in complete)
-    return done.filter(weak).select("id", "kind", "start", "stop").distinct()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, base {_FOUND}, linked {_FOUND}")
 
 
 def _joined(spans) -> F.Column:
@@ -118,23 +119,6 @@ def _joined(spans) -> F.Column:
     )
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """One row per document: id, counts of base findings, base spans and all spans as arrays.
-
-    Returns (id, base, linked): arrays of (kind, start, stop), both empty for null, empty or clean texts.
-    Repeated rows of one id share their linked parts.
-    """
-    found = find_parts(docs, id_col, text_col)
-    rows = found.select("id", F.explode("parts").alias("p")).select("id", "p.*")
-    linked = link_parts(rows.filter(F.col("id").isNotNull()), scope).groupBy("id").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("linked"))
-    none = F.array().cast(_FOUND)
-    return found.join(linked, "id", "left").select(
-        "id",
-        F.filter("parts", lambda x: x["kind"] < 3).alias("base"),
-        F.coalesce("linked", none).alias("linked"),
-    )
-
-
 def digest(scanned: DataFrame) -> DataFrame:
     """The columns that the query returns, derived from what the scan found."""
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
