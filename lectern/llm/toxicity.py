@@ -21,7 +21,8 @@ ORDERS = (3, 4, 5)
 BITS = 20
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of their id.
 FIT_ROWS = 8_000
-#: Features that the regression sees: those with the strongest class contrast, so that long texts gather no noise.
+#: Features that the regression sees, a parameter of the model as its orders are: those with the strongest class contrast,
+#: so that long texts gather no noise. All n-grams of all fitted rows are counted to choose them.
 FEATURES = 1_024
 SMOOTH = 1.0
 THRESHOLD = 0.3
@@ -108,12 +109,14 @@ def held_out(id_col: str) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, width: int = FEATURES) -> Model:
     """Model fitted on at most `fit_rows` labelled rows that are not held out.
 
-    Null labels don't count; an id with several labels is toxic if one says so. Class counts of the n-grams are
-    summed by Spark; the driver gets `width` features and the columns of `fit_rows` rows at most. Without labels,
-    or with one class only, the model has no features and scores every text by the smoothed share of toxic rows.
+    Null labels don't count, nor do labels of ids without a document; an id with several labels is toxic if one says
+    so, and one with several texts gives the least of them. Class counts of the n-grams are summed by Spark; the driver
+    gets `width` features and the columns of `fit_rows` rows at most. Without labels, or with one class only, the model
+    has no features and scores every text by the smoothed share of toxic rows.
     """
     chosen = (
         labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
+        .join(docs.select(F.col(id_col).alias("i")), "i", "left_semi")
         .filter(F.col("y").isin(0, 1) & F.col("i").isNotNull())
         .withColumn("out", held_out("i"))
         .filter("not out")
@@ -134,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), pa.array(toxic[f]), pa.array(all_[f])], ["f", "pos", "n"])
 
     # at most fit_rows ids and labels: a bounded side
-    rows = cut(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("y", "t"))
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i")
+    rows = cut(texts.groupBy("i", "y").agg(F.min("t").alias("t")).select("y", "t"))
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     base = (toxic + SMOOTH) / (total + 2 * SMOOTH) if total else 0.0
     if not toxic or toxic == total:
