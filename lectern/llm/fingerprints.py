@@ -11,6 +11,8 @@ from lectern.llm.store import cut
 BITS = 64
 #: Hamming radius of the search, and the blocks that a fingerprint is cut into; all but `RADIUS` of them make a key.
 RADIUS, BLOCKS = 3, 6
+#: Tasks that the rows of one fingerprint are dealt out over.
+SALTS = 8
 #: Two votes are summed in one long: bit i in its lower half, bit i + 32 in its upper half.
 _LANES = (1 << 32) | 1
 _NO_ID = -(1 << 63)
@@ -48,19 +50,18 @@ def _block(value: Column, k: int, blocks: int) -> Column:
     return F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
 
 
-def near(fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(a, b, distance) of all pairs of distinct fingerprints a < b (column `fingerprint`) at most `radius` bits apart.
+def _met(fingerprints: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Pairs a < b of distinct fingerprints (fingerprint, n) at most `radius` bits apart, with na and nb, each pair once.
 
     One table for each choice of blocks - radius blocks, keyed by them: two such fingerprints differ in at most radius
     blocks, so they agree on a key. A pair that agrees on several keys is taken from the first of their tables.
     """
-    fingerprints = fingerprints.select("fingerprint").distinct()
     tables = list(combinations(range(blocks), blocks - radius))
     keyed = fingerprints.select(
-        "fingerprint",
+        "fingerprint", "n",
         F.explode(F.array(*[F.struct(F.lit(t).alias("place"), F.xxhash64(F.lit(t), *[_block(F.col("fingerprint"), k, blocks) for k in chosen]).alias("key")) for t, chosen in enumerate(tables)])).alias("t"),
-    ).select("fingerprint", "t.*")
-    one, two = keyed.withColumnRenamed("fingerprint", "a"), keyed.withColumnRenamed("fingerprint", "b")
+    ).select("fingerprint", "n", "t.*")
+    one, two = (keyed.select("place", "key", F.col("fingerprint").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
     apart = F.col("a").bitwiseXOR(F.col("b"))
     first = F.lit(len(tables))
     for t in range(len(tables) - 1, -1, -1):
@@ -68,8 +69,20 @@ def near(fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
         for k in tables[t]:
             same = same & (_block(apart, k, blocks) == 0)
         first = F.when(same, F.lit(t)).otherwise(first)
-    met = one.join(two, ["place", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius) & (F.col("place") == first))
-    return met.select("a", "b", F.bit_count(apart).alias("distance"))
+    return one.join(two, ["place", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius) & (F.col("place") == first))
+
+
+def near(fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(a, b, distance) of all pairs of distinct fingerprints a < b (column `fingerprint`) at most `radius` bits apart."""
+    pairs = _met(fingerprints.select("fingerprint").distinct().withColumn("n", F.lit(1)), radius, blocks)
+    return pairs.select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance"))
+
+
+def near_counts(fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(fingerprint, others): for distinct fingerprints (fingerprint, n), the sum of n over those within the radius, itself
+    left out. Pairs are counted for both sides in the task that finds them; none is written."""
+    sides = F.array(F.struct(F.col("a").alias("fingerprint"), F.col("nb").alias("m")), F.struct(F.col("b").alias("fingerprint"), F.col("na").alias("m")))
+    return _met(fingerprints, radius, blocks).select(F.explode(sides).alias("s")).select("s.*").groupBy("fingerprint").agg(F.sum("m").alias("others"))
 
 
 def following(docs: DataFrame) -> DataFrame:
@@ -114,13 +127,13 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # digests and fingerprints in one job, so that the texts are dealt out once
     made = cut(made.join(digests.dropDuplicates(["id", "content"]), ["id", "content"]))
     rows = light.join(made, ["id", "content"])
-    held = rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    pairs = near(held)
-    sides = pairs.select(F.col("a").alias("fingerprint"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    others = sides.join(held.select(F.col("fingerprint").alias("other"), "n"), "other").groupBy("fingerprint").agg(F.sum("n").alias("others"))
-    counted = held.join(others, "fingerprint", "left").select("fingerprint", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_within"))
+    held = cut(rows.groupBy("fingerprint").agg(F.count("*").alias("n")))
+    counted = held.join(near_counts(held), "fingerprint", "left").select("fingerprint", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_within"))
+    # copies share their fingerprint, so its rows are dealt out over SALTS tasks
+    counted = counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "content"), F.lit(SALTS)).cast("int"))
     after = order.join(made.select(F.col("id").alias("next_id"), F.col("content").alias("next_content"), F.col("fingerprint").alias("after")), ["next_id", "next_content"]).select("id", "content", "after")
-    out = rows.join(after, ["id", "content"]).join(counted, "fingerprint")
+    out = rows.join(after, ["id", "content"]).join(counted, ["fingerprint", "salt"])
     shown = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return out.select(
         F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", shown("fingerprint").alias("fingerprint"), shown("edited_fingerprint").alias("edited_fingerprint"),
