@@ -24,7 +24,9 @@ LENGTH = 200
 #: Bytes of an anchor. Shorter ones make fewer segments, longer ones fewer segments that share an anchor in vain.
 K = 50
 #: Bytes of the segments that one transform takes, and of an anchor's segments beyond which its windows are counted instead.
-BATCH, LARGE = 1 << 20, 1 << 19
+BATCH, LARGE = 1 << 20, 1 << 20
+#: Tasks that the segments of one anchor are dealt out over where they are joined with it.
+SALTS = 8
 _NO_ID = -(1 << 63)
 
 
@@ -38,12 +40,14 @@ def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(text, first, last, anchor, hash) of all segments: starts of their first and last windows, hash of their bytes."""
+    """(text, first, last, anchor, digest) of all segments: starts of their first and last windows, digest of their bytes.
+
+    Digests are compared only between segments of one anchor, which share K bytes or their hash.
+    """
     n = len(data) - length + 1
     if n <= 0:
         return tuple(np.empty(0, np.int64) for _ in range(5))
-    rolling = grams.Rolling(data)
-    h = rolling.windows(k)
+    h = grams.Rolling(data).windows(k)
     least = _sliding_min(h, length - k + 1)[:n]
     inside = np.zeros(n, np.bool_)
     for a, b in zip(offsets, offsets[1:]):
@@ -53,7 +57,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     new[1:] &= ~inside[:-1] | (least[1:] != least[:-1]) | (h[: n - 1] == least[:-1])
     first = np.flatnonzero(new)
     ends = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
-    return np.searchsorted(offsets, first, side="right") - 1, first, ends, least[first], rolling.of(first, ends + length)
+    held, digest = memoryview(data.tobytes()), hashlib.blake2b
+    digests = b"".join([digest(held[a:b], digest_size=8).digest() for a, b in zip(first.tolist(), (ends + length).tolist())])
+    return np.searchsorted(offsets, first, side="right") - 1, first, ends, least[first], np.frombuffer(digests, np.int64)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -151,7 +157,7 @@ def _all_segments(named: DataFrame, length: int, k: int) -> DataFrame:
                     at = pa.array(text + done)
                     start = offsets[text]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor.view(np.int64)), pa.array(c.view(np.int64)), pa.array((first - start).astype(np.int32)), pa.array((last - start).astype(np.int32))],
+                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor.view(np.int64)), pa.array(c), pa.array((first - start).astype(np.int32)), pa.array((last - start).astype(np.int32))],
                         ["id", "content", "a", "c", "s", "e"],
                     )
                 done += len(offsets) - 1
@@ -219,13 +225,15 @@ def _by_count(parts: DataFrame, length: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, content, s, e): ranges of window starts, in bytes, whose windows start elsewhere too; ranges may touch or overlap."""
     named = _named(docs, id_col, text_col)
-    found = _all_segments(named, length, k)
-    heads = found.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).filter("n > 1").select("a", (F.col("x") != F.col("y")).alias("mixed"))
-    shared = cut(found.join(cut(heads), "a"))
+    found = cut(_all_segments(named, length, k).withColumn("salt", F.pmod(F.xxhash64("id", "content", "s"), F.lit(SALTS)).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    heads = found.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).filter("n > 1").select("a", (F.col("x") != F.col("y")).alias("mixed"), every)
+    shared = cut(found.join(heads, ["a", "salt"]))
     whole = shared.filter("not mixed").select("id", "content", "s", "e")
     mixed = shared.filter("mixed")
     kinds = cut(mixed.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "content", "s", "e")).alias("at")).select("a", "c", "n", "at.*"))
-    whole = whole.union(mixed.join(kinds.filter("n > 1").select("a", "c"), ["a", "c"], "left_semi").select("id", "content", "s", "e"))
+    twice = kinds.filter("n > 1").select("a", "c", every)
+    whole = whole.union(mixed.join(twice, ["a", "c", "salt"], "left_semi").select("id", "content", "s", "e"))
     asked = kinds.groupBy("id", "content").agg(F.collect_list(F.struct("a", "n", "s", "e")).alias("asked"))
     texts = named.join(asked, ["id", "content"])
     bytes_of = F.col("t").cast("binary")
