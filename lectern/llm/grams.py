@@ -65,6 +65,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
     Words are the runs between white space (space, tab to carriage return) of `data`; a word never crosses texts.
     """
+    return sized_words(data, offsets)[:2]
+
+
+def sized_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with the bytes of each word."""
     low = _LOWER[data]
     solid = ~_GAP[low]
     first = np.zeros(len(data) + 1, np.bool_)
@@ -74,7 +79,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stops = solid.copy()
     stops[:-1] &= ~solid[1:] | first[1:-1]
     start, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    return Rolling(low).of(start, stop), np.searchsorted(start, offsets[1:])
+    return Rolling(low).of(start, stop), np.searchsorted(start, offsets[1:]), stop - start
 
 
 def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:

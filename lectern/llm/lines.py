@@ -26,8 +26,9 @@ SIMILARITY = 0.8
 RADIUS, FAR = 3, 20
 #: Words of a run: (words, shortest line, longest line). Where kinds overlap, lines of both lengths may be near each other.
 RUNS = ((2, 5, 15), (3, 12, None))
-#: Runs of each kind that a line is found by, the first by hash. Two lines of up to 14 words always share one of them, as two edits touch four runs at most.
-KEYS = 5
+#: Runs of each kind that a line is found by. Two lines of up to 14 words always share one of them, as two edits touch four runs
+#: at most. First come runs without short words, which are seldom those of unlike lines; words count as long from LONG bytes on.
+KEYS, LONG = 5, 6
 #: Ids of a block beyond which it is dealt out by parts; of a bucket up to which its pairs are looked at; rows gathered in a task.
 FULL_BLOCK, SMALL_BUCKET, GATHER = 1 << 18, 32, 1 << 17
 #: Bits of the filter that keeps most lines out of the second pass; of fixed size, and only ever lets too many pass.
@@ -35,20 +36,20 @@ FILTER_BITS = 1 << 26
 _NO_ID = -(1 << 63)
 
 
-def _line_words(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, line, word hashes, ends) of the non-blank lines of the texts, piece by piece; row counts from the first text."""
+def _line_words(texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, line, word hashes, ends, word lengths) of the non-blank lines of the texts, piece by piece; row counts from the first text."""
     done = 0
     for data, offsets in grams.pieces([(t or "").encode("utf-8", "surrogatepass") for t in texts]):
         breaks = np.flatnonzero(data == 10) + 1
         bounds = np.unique(np.concatenate([offsets, breaks]))
         bounds = bounds if len(bounds) > 1 else np.array([0, 0])
-        hashes, ends = grams.words(data, bounds)
+        hashes, ends, sizes = grams.sized_words(data, bounds)
         row = np.searchsorted(offsets, bounds[:-1], side="right") - 1
         first = np.searchsorted(bounds, offsets[row])
         line = np.arange(len(bounds) - 1) - first
         counts = np.diff(np.concatenate([[0], ends]))
         solid = counts > 0
-        yield row[solid] + done, line[solid], hashes, ends[solid]
+        yield row[solid] + done, line[solid], hashes, ends[solid], sizes
         done += len(offsets) - 1
 
 
@@ -79,8 +80,10 @@ def _odd(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.bitwise_xor.reduceat(np.where(half == k, one, np.uint64(0)), starts) for k in (0, 1))
 
 
-def run_keys(hashes: np.ndarray, ends: np.ndarray, kinds: tuple = RUNS, most: int = KEYS) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, ends): for each line, the first `most` of its runs of words of each kind in the order of their hashes."""
+def run_keys(hashes: np.ndarray, ends: np.ndarray, sizes: np.ndarray, kinds: tuple = RUNS, most: int = KEYS) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ends): for each line, the first `most` of its runs of words of each kind, those of longer shortest words first,
+    then by hash."""
+    short = np.uint64(LONG) - np.minimum(sizes, LONG).astype(np.uint64)
     counts = np.diff(np.concatenate([[0], ends]))
     at = np.repeat(np.arange(len(ends), dtype=np.uint64), counts)
     found = []
@@ -90,10 +93,11 @@ def run_keys(hashes: np.ndarray, ends: np.ndarray, kinds: tuple = RUNS, most: in
             continue
         fits = counts >= low if high is None else (counts >= low) & (counts <= high)
         start = np.flatnonzero((at[:m] == at[words - 1 :]) & fits[at[:m].astype(np.int64)])
-        h = np.full(len(start), words, np.uint64)
+        h, rank = np.full(len(start), words, np.uint64), np.zeros(len(start), np.uint64)
         for k in range(words):
             h = grams.mix(h + hashes[start + k])
-        laid = np.sort((at[start] << np.uint64(40)) | (h >> np.uint64(24)))
+            rank = np.maximum(rank, short[start + k])
+        laid = np.sort((at[start] << np.uint64(40)) | (rank << np.uint64(37)) | (h >> np.uint64(27)))
         laid = laid[np.concatenate([[True], laid[1:] != laid[:-1]])] if len(laid) else laid
         line = laid >> np.uint64(40)
         begin = np.searchsorted(line, line)
@@ -147,10 +151,10 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, line, hashes, ends in _line_words(batch.column(2).to_pylist()):
+            for row, line, hashes, ends, sizes in _line_words(batch.column(2).to_pylist()):
                 if len(row):
                     at = pa.array(row)
-                    keys, stops = run_keys(hashes, ends)
+                    keys, stops = run_keys(hashes, ends, sizes)
                     runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(keys.view(np.int64)))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(at), batch.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(_line_hashes(hashes, ends).view(np.int64)), pa.array(_simhashes(hashes, ends).view(np.int64)),
@@ -177,7 +181,7 @@ def _spellings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
         for batch in batches:
             texts = batch.column(0).to_pylist()
             split: dict[int, list[bytes]] = {}
-            for row, line, hashes, ends in _line_words(texts):
+            for row, line, hashes, ends, _ in _line_words(texts):
                 h = _line_hashes(hashes, ends) if len(ends) else np.empty(0, np.uint64)
                 at = h & np.uint64(FILTER_BITS - 1)
                 hit = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)

@@ -10,6 +10,8 @@ from lectern.llm.store import cut
 
 #: Ids of a bucket that one task takes; a fuller bucket is dealt out over as many tasks, or pairs of them, as it needs.
 PART = 4096
+#: Ids of a bucket beyond which hubs are tried once more before all its pairs are, hubs a round, and rounds at most.
+CROWD, HUBS, ROUNDS = 64, 8, 4
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -49,10 +51,11 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: Ca
     """(id, component) of the ids that verified links connect, among all pairs of (key, id) rows that share a key.
 
     No group's pairs are all formed: first each id is held against a hub of its buckets, the id whose buckets are the
-    fullest (copies share more keys with what they are copied from than with each other). Then only ids that share a
-    bucket and are still in different components are held against each other. Pairs inside a component can't change
-    it, so the result is that of all pairs. `verify` gets pairs (a, b), a < b, and returns those that hold. Buckets of
-    more than PART ids are dealt out by a hash of the id, and every two parts meet in a task of their own.
+    fullest (copies share more keys with what they are copied from than with each other). In crowded buckets, ids that
+    are not in one component then are held against further hubs, for a few rounds or until these join nothing. At last
+    ids that share a bucket and are still in different components are held against each other. Pairs inside a component
+    can't change it, so the result is that of all pairs. `verify` gets pairs (a, b), a < b, and returns those that hold.
+    Buckets of more than PART ids are dealt out by a hash of the id, and every two parts meet in a task of their own.
 
     `bound` may spare pairs that can't hold: given the ids still in question (column id) it returns a table of them with
     columns x and y, and a condition on (xa, ya, xb, yb) that every pair that holds fulfils.
@@ -67,22 +70,44 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: Ca
     tried = cut(met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     first = cut(verify(tried))
     known = components(first)
-    placed = shared.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q"), F.count("*").alias("m")).filter("p < q").select("key", "m")
-    placed = cut(placed.join(split, "key"))
-    may = F.lit(True)
-    if bound is not None:
-        limits, fits = bound(placed.select("id").distinct())
-        placed = cut(placed.join(limits, "id"))
-        may = fits(*[F.col(c) for c in ("xa", "ya", "xb", "yb")])
-    more = [c for c in ("x", "y") if c in placed.columns]
+    edges = first
+
+    def apart() -> DataFrame:
+        """(key, id, c, m, x, y) of the buckets that are in more than one component, m ids in each."""
+        placed = shared.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        split = placed.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q"), F.count("*").alias("m")).filter("p < q").select("key", "m")
+        placed = cut(placed.join(split, "key"))
+        return placed if bound is None else cut(placed.join(bound(placed.select("id").distinct())[0], "id"))
+
+    def side(rows: DataFrame, z: str, *more: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(c + z) for c in ("key", "c", *more, *[x for x in ("x", "y") if x in rows.columns])], F.col("id").alias(z))
+
+    may = F.lit(True) if bound is None else bound(shared.select("id").limit(0))[1](*[F.col(c) for c in ("xa", "ya", "xb", "yb")])
+    placed = apart()
+    for turn in range(ROUNDS):
+        crowd = placed.filter(F.col("m") > CROWD)
+        if not crowd.limit(1).count():
+            break
+        order = F.xxhash64("id", F.lit(turn))
+        again = crowd.groupBy("key", F.pmod(order, F.lit(HUBS)).alias("slot")).agg(F.min_by(F.struct(*[c for c in crowd.columns if c != "key"]), order).alias("h")).select("key", "h.*")
+        again = again.withColumn("part", F.explode(F.sequence(F.lit(0), _parts(F.col("m")) - 1)))
+        mine = crowd.withColumn("part", F.pmod(F.xxhash64("id"), _parts(F.col("m"))).cast("int"))
+        met = side(mine, "a", "part").join(side(again, "b", "part"), (F.col("keya") == F.col("keyb")) & (F.col("parta") == F.col("partb")) & (F.col("ca") != F.col("cb")) & may)
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        met = cut(met)
+        more = cut(verify(met))
+        if not more.limit(1).count():
+            break
+        tried, edges = tried.union(met), edges.union(more)
+        known = components(edges)
+        placed = apart()
     dealt = placed.withColumn("part", F.pmod(F.xxhash64("id"), _parts(F.col("m"))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), _parts(F.col("m")) - 1))).withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-    one, two = (dealt.select(F.col("key").alias(f"key{z}"), F.col("low").alias(f"low{z}"), F.col("high").alias(f"high{z}"), F.col("part").alias(f"part{z}"), F.col("id").alias(z), F.col("c").alias(f"c{z}"), *[F.col(m).alias(m + z) for m in more]) for z in "ab")
+    one, two = (side(dealt, z, "low", "high", "part") for z in "ab")
     same = (F.col("keya") == F.col("keyb")) & (F.col("lowa") == F.col("lowb")) & (F.col("higha") == F.col("highb"))
     across = (F.col("parta") != F.col("partb")) | (F.col("lowa") == F.col("higha"))
     rest = one.join(two, same & across & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     second = cut(verify(cut(rest)))
     if not second.limit(1).count():
         return known
-    return components(first.union(second))
+    return components(edges.union(second))

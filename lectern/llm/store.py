@@ -12,9 +12,11 @@ BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a temporary one of this machine only where that is unset (tests)."""
+    """Folder named by spark.checkpoint.dir; where that is unset, a temporary one of this machine, in local mode only (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
