@@ -170,28 +170,27 @@ def tm_age_distribution(spark, sf_dir):
 
 # -- replies
 
-REFUSED = " or ".join("contains(lower(trim(reply)), '" + p.replace("'", "''") + "')" for p in T.REFUSALS)
-CHECKS = rf"""k as (select *, length(reply) < 50 and ({REFUSED}) refusal, contains(reply, 'CRITICAL RULES') or contains(reply, 'Output only the translated text') echo,
-  len(regexp_extract_all(src, '<placeholder>')) = len(regexp_extract_all(reply, '<\s*placeholder\s*[,>]')) parity from replies_v),
-  v as (select *, case when refusal then 'refusal' when echo then 'echo' when not parity then 'mismatch' else 'ok' end as status from k)"""
+REFUSED = " or ".join("contains(lower(trim(c)), '" + p.replace("'", "''") + "')" for p in T.REFUSALS)
+CLEAN = rf"""regexp_replace(regexp_replace({STRIP.format("reply")}, '^[ "''`]+', ''), '[ "''`]+$', '')"""
+CHECKS = rf"""c as (select *, coalesce({CLEAN}, '') c from replies_v), k as (select *, length(c) < 50 and ({REFUSED}) refusal, contains(c, 'You are a professional translation engine') or contains(c, 'CRITICAL RULES') echo,
+  len(regexp_extract_all(src, '<placeholder>')) = len(regexp_extract_all(c, '<\s*placeholder\s*[,>]')) parity from c),
+  v as (select *, case when reply is null then 'error' when c = '' then 'empty' when refusal then 'refusal' when echo then 'echo' when not parity then 'mismatch' else 'ok' end as status from k)"""
 
 
-@query(duck(f"+ {CHECKS} select unit_id, attempt, refusal, echo, parity, length(reply) < 10 short, status from v", "replies_v"))
+@query(duck(f"+ {CHECKS} select unit_id, attempt, refusal, echo, parity, length(c) < 10 short, status from v", "replies_v"))
 def validate_translations(spark, sf_dir):
     """Refusals, echoes, placeholder parity, short replies and the verdict of each reply."""
     src, reply = F.col("src"), F.col("reply")
+    clean = T.clean_reply(reply)
     return view(spark, sf_dir, "replies_v").select(
-        "unit_id", "attempt", validate.is_refusal(reply).alias("refusal"), validate.is_echo(reply).alias("echo"), validate.placeholders_match(src, reply).alias("parity"), validate.is_short(reply).alias("short"), validate.status(src, reply).alias("status")
+        "unit_id", "attempt", validate.is_refusal(clean).alias("refusal"), validate.is_echo(clean).alias("echo"), validate.placeholders_match(src, clean).alias("parity"), validate.is_short(clean).alias("short"), validate.status(src, reply).alias("status")
     )
 
 
-CLEAN = STRIP.format("reply")
-
-
 @query(duck(rf"""+ {CHECKS}, e as (select unit_id, min(attempt) filter (status in ('ok', 'refusal')) a, arg_max(status, attempt) last, any_value(src) src from v group by unit_id),
-  j as (select e.*, v.status s, v.reply from e left join v on v.unit_id = e.unit_id and v.attempt = e.a)
+  j as (select e.*, v.status s, v.c from e left join v on v.unit_id = e.unit_id and v.attempt = e.a)
   select unit_id, case when s = 'ok' then a end attempt, coalesce(s, last) as status,
-  case when s = 'ok' then regexp_replace(regexp_replace({CLEAN}, '^[ "''`]+', ''), '[ "''`]+$', '') else src end final_text from j""", "replies_v"))
+  case when s = 'ok' then c else src end final_text from j""", "replies_v"))
 def first_valid_attempt(spark, sf_dir):
     return validate.first_valid_attempt(view(spark, sf_dir, "replies_v"))
 
@@ -234,14 +233,28 @@ def _tex(spark, sf_dir):
 TEX = "t as (select doc_id, string_agg(line, chr(10)||chr(10) order by line_no) as text from tex_lines_v group by doc_id)"
 
 
-@query()
+#: Placeholders by the rules of the view: its documents hold no command but those of lines 0, 1 and 2 of six.
+GUARDED = """g0 as (select *, case line_no%6 when 0 then 1 when 1 then 2 when 2 then 2 end k from tex_lines_v),
+  g1 as (select *, row_number() over (partition by doc_id, k order by line_no desc) pos, count(*) filter (k = 1) over (partition by doc_id) c, count(*) filter (k = 2) over (partition by doc_id) r,
+    row_number() over (partition by doc_id, line_no%6 order by line_no desc) nth from g0),
+  guarded as (select doc_id, line_no, line raw, case line_no%6 when 0 then '<CITE_' || pos || '>' || substr(line, strpos(line, '}') + 1) when 1 then 'See <REF_' || (c + pos) || '>' || substr(line, strpos(line, '}') + 1)
+    when 2 then '<NEWCOMMAND_' || (c + r + nth) || '>' else line end line, line_no%6 = 0 or line_no%6 = 1 or line_no%6 = 2 marked, line_no%6 = 2 twice from g1)"""
+
+
+@query(duck(f"""+ {GUARDED} select doc_id, (count(*) filter (marked) + count(*) filter (twice))::int n, md5(string_agg(line, chr(10)||chr(10) order by line_no)) protected_md5, true restored from guarded group by doc_id""", "tex_lines_v"))
 def protect_latex(spark, sf_dir):
-    """Placeholders of each document and whether they restore it; held against brute force in the tests."""
+    """Placeholders of each document and whether they restore it."""
     whole = _tex(spark, sf_dir).withColumn("before", F.col("text"))
     made = latex.protect(whole)
     return made.select("doc_id", F.size("placeholders").alias("n"), F.md5("text").alias("protected_md5"), (latex.restore(F.col("text"), F.col("placeholders")) == F.col("before")).alias("restored"))
 
 
+@query(duck("select doc_id, md5(string_agg(line, chr(10)||chr(10) order by line_no)) text_md5 from tex_lines_v group by doc_id", "tex_lines_v"))
+def restore_latex(spark, sf_dir):
+    made = latex.protect(_tex(spark, sf_dir))
+    return made.select("doc_id", F.md5(latex.restore(F.col("text"), F.col("placeholders"))).alias("text_md5"))
+
+
 @query(duck(rf"+ {TEX}, p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: {STRIP.format('x')}), lambda x: x <> '') ps from t) select doc_id, len(ps)::int n, md5(array_to_string(ps, '|')) all_md5 from p", "tex_lines_v"))
 def split_paragraphs(spark, sf_dir):
     p = latex.paragraphs(F.col("text"))
@@ -255,22 +268,42 @@ def split_sentences(spark, sf_dir):
     return view(spark, sf_dir, "lines_v").select("doc_id", "line_no", F.size(s).alias("n"), F.md5(F.array_join(s, "|")).alias("all_md5"))
 
 
-@query()
+def packed(table: str) -> str:
+    """SQL of the chunks (doc_id, chunk_no, text) of the lines in a table, each a paragraph: items are whole paragraphs, or the
+    sentences of those that are too long, and a walk over the items of a document keeps the open chunk."""
+    fits = "length(w.cur) + length(x) + case when long then 0 else 2 end < 1500"
+    blank, tight = STRIP.format("line"), r"regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g')"
+    return rf"""p0 as (select doc_id, line_no, {blank} p from {table}), p1 as (select * from p0 where p <> ''),
+  i0 as (select doc_id, line_no, length(p) > 1500 long, unnest(case when length(p) > 1500 then string_split({tight}, chr(1)) else [p] end) x, generate_subscripts(case when length(p) > 1500 then string_split({tight}, chr(1)) else [p] end, 1) k from p1),
+  i1 as (select *, row_number() over (partition by doc_id order by line_no, k) i from i0),
+  walk(doc_id, i, cur, closed) as (select distinct doc_id, 0::bigint, '', null::varchar from {table} union all
+    select w.doc_id, n.i, case when {fits} and w.cur <> '' and not (long and k = 1) then w.cur || (case when long then ' ' else chr(10)||chr(10) end) || x else x end,
+      case when (not ({fits}) or long and k = 1) and w.cur <> '' then w.cur end
+    from walk w join i1 n on n.doc_id = w.doc_id and n.i = w.i + 1),
+  last as (select doc_id, arg_max(cur, i) cur, max(i) i from walk group by doc_id),
+  outs as (select doc_id, i, closed as text from walk where closed is not null union all select doc_id, i + 1, cur from last where cur <> '' or i = 0),
+  chunks as (select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int chunk_no, text from outs)"""
+
+
+@query(duck(f"+ {packed('tex_lines_v')} select doc_id, chunk_no, length(text)::int n_chars, md5(text) text_md5 from chunks", "tex_lines_v", recursive=True))
 def pack_chunks(spark, sf_dir):
-    """Chunks of every document; held against brute force in the tests."""
     return latex.pack_chunks(_tex(spark, sf_dir)).select("doc_id", "chunk_no", "n_chars", F.md5("text").alias("text_md5"))
 
 
-@query(duck(r"""+ o as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint off from cls_lines_v),
+SPANS = r"""o as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint off from cls_lines_v),
   c as (select doc_id, off, line, regexp_extract(line, '%\s*(.+)$', 1) as text, 'comment' span_type from o),
-  b as (select doc_id, off, line, unnest(regexp_extract_all(line, '\{([^}]+)\}', 1)) as text, 'chinese_string' span_type from o)
-  select doc_id, off + length(line) - length(text) start, off + length(line) stop, text, span_type from c where regexp_matches(text, '[一-鿿]') union all
-  select doc_id, off + strpos(line, '{' || text || '}'), off + strpos(line, '{' || text || '}') + length(text), text, span_type from b where regexp_matches(text, '[一-鿿]') and not contains(text, chr(92))""", "cls_lines_v"))
+  b as (select doc_id, off, line, unnest(regexp_extract_all(line, '\{([^}]+)\}', 1)) as text, 'chinese_string' span_type from o),
+  spans as (select doc_id, off + length(line) - length(text) start, off + length(line) stop, text, span_type from c where regexp_matches(text, '[一-鿿]') union all
+  select doc_id, off + strpos(line, '{' || text || '}'), off + strpos(line, '{' || text || '}') + length(text), text, span_type from b where regexp_matches(text, '[一-鿿]') and not contains(text, chr(92)))"""
+
+
+@query(duck(f"+ {SPANS} select * from spans", "cls_lines_v"))
 def style_file_spans(spark, sf_dir):
     return latex.style_file_spans(view(spark, sf_dir, "cls_lines_v"))
 
 
-@query()
+@query(duck(f"""+ {SPANS}, n as (select *, row_number() over (partition by doc_id order by start, span_type, text) - 1 rn from spans)
+  select doc_id, floor(rn / 20)::bigint chunk_no, md5(string_agg('[' || span_type || '] ' || text, chr(10) order by rn)) text_md5 from n group by all""", "cls_lines_v"))
 def pack_fixed(spark, sf_dir):
     return latex.pack_fixed(latex.style_file_spans(view(spark, sf_dir, "cls_lines_v"))).select("doc_id", "chunk_no", F.md5("text").alias("text_md5"))
 
@@ -280,19 +313,33 @@ def _blocks(spark, sf_dir):
     return lines, texblocks.extract_tex_blocks(markdown.reassemble(lines))
 
 
-@query()
+#: Blocks by the rules of the view: definitions on lines 0 and 1 of nine, a command over lines 3 and 4, single ones on 5, 6 and 8.
+BLOCKS = rf"""b0 as (select *, lead(line) over (partition by doc_id order by line_no) after from cls_lines_v),
+  blocks as (select doc_id, line_no start_line, case when line_no%9 in (0, 3) and after is not null then line_no + 1 else line_no end::int end_line,
+    case line_no%9 when 0 then 'def_block' when 3 then 'command_definition' when 5 then 'theorem_definition' when 6 then 'format_command' else 'text' end block_type,
+    case when line_no%9 in (0, 3) and after is not null then line || chr(10) || after else line end as content
+    from b0 where line_no%9 in (0, 3, 5, 6) or line_no%9 = 8 and {STRIP.format("line")} <> '' and not starts_with({STRIP.format("line")}, '%')),
+  chinese as (select * from blocks where regexp_matches(regexp_replace(content, '(?m)%.*$', '', 'g'), '[一-鿿]'))"""
+
+
+@query(duck(f"+ {BLOCKS} select * from blocks", "cls_lines_v"))
 def extract_tex_blocks(spark, sf_dir):
     return _blocks(spark, sf_dir)[1]
 
 
-@query()
+@query(duck(f"+ {BLOCKS} select doc_id, start_line, block_type from chinese", "cls_lines_v"))
 def filter_chinese_blocks(spark, sf_dir):
     return texblocks.filter_chinese_blocks(_blocks(spark, sf_dir)[1]).select("doc_id", "start_line", "block_type")
 
 
-@query()
+@query(duck(f"""+ {BLOCKS}, n as (select *, row_number() over (partition by doc_id order by start_line) i, length(content) * 1.5 own from chinese),
+  walk(doc_id, i, start_line, g, total) as (select doc_id, i, start_line, 0, own from n where i = 1 union all
+    select n.doc_id, n.i, n.start_line, case when total + own > 40 and total > 0 then g + 1 else g end, case when total + own > 40 and total > 0 then own else total + own end from walk w join n on n.doc_id = w.doc_id and n.i = w.i + 1)
+  select doc_id, g group_no, list(start_line order by start_line)::varchar starts from walk group by all""", "cls_lines_v", recursive=True))
 def pack_blocks(spark, sf_dir):
-    return texblocks.pack_blocks(texblocks.filter_chinese_blocks(_blocks(spark, sf_dir)[1])).select("doc_id", "group_no", "starts")
+    """Groups of 40 instead of 2000, so that there are several in a file."""
+    packed = texblocks.pack_blocks(texblocks.filter_chinese_blocks(_blocks(spark, sf_dir)[1]), 40)
+    return packed.select("doc_id", "group_no", F.concat(F.lit("["), F.array_join("starts", ", "), F.lit("]")).alias("starts"))
 
 
 @query(duck("select doc_id, line_no, line from cls_lines_v", "cls_lines_v"))
@@ -314,12 +361,16 @@ def include_closure(spark, sf_dir):
     return graph.closure(roots, view(spark, sf_dir, "file_edges_v"), listing).select("root", "node")
 
 
-@query(duck("""+ e as (select src, 'f' || dst || '.tex' dst, dst in (select file_id from file_listing_v) found from file_edges_v) select distinct src, dst, found from e""", "file_edges_v", "file_listing_v"))
+@query(duck("""select distinct src, 'd/f' || dst || case when dst%3 = 0 then '.v2' else '' end || '.tex' dst, dst%3 <> 0 and dst in (select file_id from file_listing_v) found from file_edges_v""", "file_edges_v", "file_listing_v"))
 def resolve_file_refs(spark, sf_dir):
-    files = view(spark, sf_dir, "file_edges_v").groupBy(F.col("src").alias("path")).agg(F.concat_ws("\n", F.collect_list(F.concat(F.lit("\\input{f"), F.col("dst"), F.lit("}")))).alias("content"))
-    refs = graph.file_refs(files.withColumn("path", F.col("path").cast("string")))
-    listing = view(spark, sf_dir, "file_listing_v").select(F.concat(F.lit("f"), F.col("file_id"), F.lit(".tex")).alias("path"))
-    return graph.resolve_refs(refs, listing).select(F.col("src").cast("long").alias("src"), "dst", "found").distinct()
+    """Every third name has a dot in it, every second one spaces around it or its extension."""
+    dst = F.col("dst").cast("string")
+    name = F.concat(F.lit("f"), dst, F.when(F.col("dst") % 3 == 0, ".v2").otherwise(""))
+    shown = F.when(F.col("dst") % 2 == 0, F.concat(F.lit(" "), name, F.lit(" "))).otherwise(F.concat(name, F.lit(".tex")))
+    files = view(spark, sf_dir, "file_edges_v").groupBy("src").agg(F.concat_ws("\n", F.collect_list(F.concat(F.lit("\\input{"), shown, F.lit("}")))).alias("content"))
+    refs = graph.file_refs(files.withColumn("path", F.concat(F.lit("d/"), F.col("src").cast("string"))))
+    listing = view(spark, sf_dir, "file_listing_v").select(F.concat(F.lit("d/f"), F.col("file_id"), F.lit(".tex")).alias("path"))
+    return graph.resolve_refs(refs, listing).select(F.substring("src", 3, 20).cast("long").alias("src"), "dst", "found").distinct()
 
 
 ENDS = " or ".join(f"ends_with(lower(path), '{e}')" for e in graph.EXCLUDED_ENDS)
@@ -414,7 +465,7 @@ def _segments(spark, sf_dir):
 
 @query(duck(f"+ {RUNS} select * from g", "runs_v"))
 def merge_adjacent_runs(spark, sf_dir):
-    return _segments(spark, sf_dir).withColumn("seg_no", F.col("seg_no").cast("long"))
+    return _segments(spark, sf_dir).withColumn("seg_no", F.col("seg_no").cast("long")).drop("first_run")
 
 
 MODELED = f"{RUNS}, b as (select para_id, count(*) n_segments, string_agg(case when special then '<placeholder>' else text end, '【SEG】' order by seg_no) text_for_model from g group by para_id having bool_or(not special and regexp_matches(text, '[a-z0-9]')))"
@@ -465,9 +516,17 @@ def translate_with_memory(spark, sf_dir):
     return translate.translate_markdown(docs, held, _prefix, MODEL, DIRECTION, NOW)[0].select("doc_id", F.md5("text").alias("text_md5"))
 
 
-@query()
+AGED = """live as (select * from tm_v where try_cast(ts_raw as timestamp) is null or try_cast(ts_raw as timestamp) >= timestamp '2024-05-01' - interval 30 day order by ts_raw desc, cache_key limit 10000)"""
+
+
+@query(duck(rf"""+ {GUARDED}, {packed('guarded')}, {AGED}, reply as (select *, text as reply from chunks),
+  told as (select r.doc_id, r.chunk_no, r.text, nullif(l.txt, '') stored, {CLEAN} c from reply r left join live l on r.text <> '' and l.cache_key = md5(r.text || '|m|en-to-zh')),
+  done as (select *, stored is null and text <> '' and regexp_matches(text, '[\p{{L}}\p{{N}}]') and length(c) < 10 failed, case when stored is not null then stored when length(c) >= 10 and regexp_matches(text, '[\p{{L}}\p{{N}}]') then c else text end new from told),
+  t as (select doc_id, string_agg(new, chr(10)||chr(10) order by chunk_no) new, count(*) chunks, count(stored) hits, count(*) filter (failed) n_failed from done group by doc_id),
+  w as (select doc_id, (count(*) filter (marked) + count(*) filter (twice))::int placeholders, length(string_agg(raw, chr(10)||chr(10) order by line_no)) n_in, length(string_agg(line, chr(10)||chr(10) order by line_no)) n_safe from guarded group by doc_id)
+  select doc_id, chunks, hits, round(100.0 * hits / chunks, 1) hit_rate, n_failed::int n_failed, placeholders, (length(new) + n_in - n_safe) / n_in ratio from t join w using (doc_id)""", "tm_v", "tex_lines_v", recursive=True))
 def document_report(spark, sf_dir):
-    """The LaTeX path with a translator that gives back what it gets."""
+    """The LaTeX path with a translator that gives back what it gets; all placeholders come back, so lengths add up."""
     held = _memory(spark, sf_dir)
     report = translate.translate_latex(_tex(spark, sf_dir), held, lambda texts: texts, MODEL, DIRECTION, NOW)[2]
     return report.select("doc_id", "chunks", "hits", "hit_rate", F.size("failed").alias("n_failed"), "placeholders", "ratio")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import functions as F
 
@@ -13,26 +13,77 @@ from lectern.jobs.fixtures import duck, view
 from lectern.operators import graph, latex, markdown, memory, styles, validate
 from lectern.sources import documents
 
-for _name, _column in (("detect_refusal", "refusal"), ("detect_prompt_echo", "echo"), ("placeholder_parity", "parity"), ("short_reply_check", "short")):
+def _events(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
-    def _one(spark, sf_dir, column=_column):
-        return C.QUERIES["validate_translations"](spark, sf_dir).select("unit_id", "attempt", column)
 
-    C.QUERIES[_name] = _one
-    C.ORACLES[_name] = f"select unit_id, attempt, {_column} from ({C.ORACLES['validate_translations']})"
+def _quoted(texts) -> str:
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "]"
 
-C.QUERIES["block_count_parity"] = lambda spark, sf_dir: C.QUERIES["separator_parity"](spark, sf_dir).select("unit_id", "attempt", "blocks_ok")
-C.ORACLES["block_count_parity"] = f"select unit_id, attempt, blocks_ok from ({C.ORACLES['separator_parity']})"
-for _name, _column in (("has_chinese", "has_chinese"), ("space_preserve_flag", "needs_mark")):
-    C.QUERIES[_name] = lambda spark, sf_dir, column=_column: C.QUERIES["is_meaningful_text"](spark, sf_dir).select("doc_id", "line_no", column)
-    C.ORACLES[_name] = f"select doc_id, line_no, {_column} from ({C.ORACLES['is_meaningful_text']})"
+
+#: Replies of 49 and 50 characters around each phrase of a refusal, and some without one, by the number of an event.
+PHRASES = [*T.REFUSALS, "fine"]
+PADDED = f"rpad(upper(p[(event_id % {len(PHRASES)} + 1)::int]), (49 + event_id // {len(PHRASES)} % 2)::int, '.')"
+
+
+@query(f"with e as (select event_id, {_quoted(PHRASES)} p from events), r as (select event_id, {PADDED} reply from e) select event_id, length(reply) < 50 and event_id % {len(PHRASES)} < {len(T.REFUSALS)} refusal from r")
+def detect_refusal(spark, sf_dir):
+    phrase = F.upper(F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("event_id") % len(PHRASES) + 1).cast("int")))
+    reply = F.rpad(phrase, (49 + F.floor(F.col("event_id") / len(PHRASES)) % 2).cast("int"), F.lit("."))
+    return _events(spark, sf_dir).select("event_id", validate.is_refusal(reply).alias("refusal"))
+
+
+SAID = ["You are a professional translation engine", "CRITICAL RULES", "you are a professional translation engine", "Output only the translated text", "a plain reply", ""]
+
+
+@query("select event_id, event_id % 6 < 2 echo from events")
+def detect_prompt_echo(spark, sf_dir):
+    said = F.element_at(F.array(*[F.lit(x) for x in SAID]), (F.col("event_id") % len(SAID) + 1).cast("int"))
+    return _events(spark, sf_dir).select("event_id", validate.is_echo(F.concat(F.col("event_type"), F.lit(" "), said, F.lit(" "), F.col("event_type"))).alias("echo"))
+
+
+MARKS = ["<placeholder>", "< placeholder >", "<placeholder,", "<  placeholder  ,", "<place holder>", "placeholder>"]
+
+
+@query("select event_id, event_id % 4 = case when event_id % 6 < 4 then event_id // 4 % 4 else 0 end parity from events")
+def placeholder_parity(spark, sf_dir):
+    """Sources with none to three placeholders against replies with as many marks of six spellings, four of which count."""
+    mark = F.element_at(F.array(*[F.lit(x) for x in MARKS]), (F.col("event_id") % len(MARKS) + 1).cast("int"))
+    source = F.repeat(F.lit("a <placeholder> "), (F.col("event_id") % 4).cast("int"))
+    reply = F.repeat(F.concat(F.lit("b "), mark, F.lit(" ")), (F.floor(F.col("event_id") / 4) % 4).cast("int"))
+    return _events(spark, sf_dir).select("event_id", validate.placeholders_match(source, reply).alias("parity"))
+
+
+@query("select event_id, event_id % 7 = 0 or event_id % 21 < 10 short from events")
+def short_reply_check(spark, sf_dir):
+    reply = F.when(F.col("event_id") % 7 != 0, F.repeat(F.lit("第"), (F.col("event_id") % 21).cast("int")))
+    return _events(spark, sf_dir).select("event_id", validate.is_short(reply).alias("short"))
+
+
+@query("select event_id, event_id % 5 = event_id // 5 % 5 blocks_ok from events")
+def block_count_parity(spark, sf_dir):
+    """Replies of none to four blocks, with blank ones between and at the ends, against a number of blocks."""
+    reply = F.concat(F.lit(" ---\n"), F.repeat(F.lit("x\n---\n \t---"), (F.col("event_id") % 5).cast("int")))
+    return _events(spark, sf_dir).select("event_id", validate.blocks_match(reply, (F.floor(F.col("event_id") / 5) % 5).cast("int")).alias("blocks_ok"))
+
+
+@query("select doc_id, regexp_matches(regexp_replace(case when doc_id%3 = 0 then replace(text, ' ', ' % 注 ') when doc_id%3 = 1 then replace(text, '. ', ' 图 ') else text end, '(?m)%.*$', '', 'g'), '[一-鿿]') has_chinese from documents")
+def has_chinese(spark, sf_dir):
+    """Whole texts, with ideographs in comments or outside of them."""
+    return _docs(spark, sf_dir, "case when doc_id%3 = 0 then replace(text, ' ', ' % 注 ') when doc_id%3 = 1 then replace(text, '. ', ' 图 ') else text end").select("doc_id", T.has_chinese(F.col("text")).alias("has_chinese"))
+
+
+@query("select event_id, event_id % 4 in (1, 2) or event_id % 4 = 3 and event_id % 3 = 0 needs_mark from events")
+def space_preserve_flag(spark, sf_dir):
+    ends = F.when(F.col("event_id") % 4 == 1, F.concat(F.lit(" "), "event_type")).when(F.col("event_id") % 4 == 2, F.concat("event_type", F.lit(" "))).when(F.col("event_id") % 4 == 3, F.when(F.col("event_id") % 3 == 0, " ").otherwise("\t")).otherwise(F.col("event_type"))
+    return _events(spark, sf_dir).select("event_id", T.needs_space_mark(ends).alias("needs_mark"))
 
 
 def _docs(spark, sf_dir, expression: str):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(expression).alias("text"))
 
 
-@query(duck(rf"""select unit_id, attempt, regexp_replace(regexp_replace({C.CLEAN}, '^[ "''`]+', ''), '[ "''`]+$', '') cleaned from replies_v""", "replies_v"))
+@query(duck(f"select unit_id, attempt, {C.CLEAN} cleaned from replies_v", "replies_v"))
 def clean_reply(spark, sf_dir):
     return view(spark, sf_dir, "replies_v").select("unit_id", "attempt", T.clean_reply(F.col("reply")).alias("cleaned"))
 
@@ -106,9 +157,11 @@ def set_run_fonts(spark, sf_dir):
     return view(spark, sf_dir, "styles_v").select(F.col("style_id").alias("p_partkey"), fonts["rFonts"]["ascii"].alias("latin"), fonts["sz"]["val"].alias("sz"))
 
 
-@query()
+@query(duck(rf"""+ t as (select doc_id, string_agg(line, chr(10) order by line_no) t0 from cls_lines_v group by doc_id),
+  a as (select *, regexp_replace(t0, '{latex.STYLE_PATTERNS[0][0]}', '<COMMAND>', 'g') t1 from t), b as (select *, regexp_replace(t1, '(?s){latex.STYLE_PATTERNS[1][0]}', '<ENVIRONMENT>', 'g') t2 from a), c as (select *, regexp_replace(t2, '{latex.STYLE_PATTERNS[2][0]}', '<OPTION>', 'g') t3 from b)
+  select doc_id, (len(regexp_extract_all(t0, '{latex.STYLE_PATTERNS[0][0]}')) + len(regexp_extract_all(t1, '(?s){latex.STYLE_PATTERNS[1][0]}')) + len(regexp_extract_all(t2, '{latex.STYLE_PATTERNS[2][0]}')) + len(regexp_extract_all(t3, '{latex.STYLE_PATTERNS[3][0]}')))::int n, true restored from c""", "cls_lines_v"))
 def protect_style_file(spark, sf_dir):
-    """Placeholders of each style file, and whether they restore it; held against brute force in the tests."""
+    """Placeholders of each style file, and whether they restore it."""
     docs = markdown.reassemble(view(spark, sf_dir, "cls_lines_v")).withColumn("before", F.col("text"))
     made = latex.protect(docs, patterns=latex.STYLE_PATTERNS)
     return made.select("doc_id", F.size("placeholders").alias("n"), (latex.restore(F.col("text"), F.col("placeholders")) == F.col("before")).alias("restored"))
@@ -163,17 +216,56 @@ def translate_units(spark, sf_dir):
     return translate.translate_units(C._units(spark, sf_dir), C._prefix).select("cache_key", "reply")
 
 
-@query(duck("select cache_key, txt as text, ts_raw from tm_v where length(txt) < 50000", "tm_v"))
+@query(duck("select cache_key, txt as text, case when substr(cache_key, 1, 1) < '4' then '2024-05-01' else ts_raw end ts_raw from tm_v where length(txt) < 50000", "tm_v"))
 def read_translation_memory(spark, sf_dir):
-    """The memory written as JSON objects, one for each of 256 groups of keys, and read again."""
-    entry = F.struct(F.col("cache_key").alias("k"), F.struct("text", F.col("ts_raw").alias("timestamp")).alias("v"))
-    maps = C._memory(spark, sf_dir).groupBy(F.substring("cache_key", 1, 2).alias("g")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    path = f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
+    """The memory written as JSON objects of some hundred keys each, a quarter of them in the old layout, and read again."""
+    held = C._memory(spark, sf_dir)
+    groups = max(1, held.count() // 500)
+    new = F.to_json(F.struct("text", F.col("ts_raw").alias("timestamp")))
+    value = F.when(F.substring("cache_key", 1, 1) < "4", F.get_json_object(F.to_json(F.struct(F.to_json(F.struct("text")).alias("x"))), "$.x")).otherwise(new)
+    entry = F.concat(F.lit('"'), "cache_key", F.lit('": '), F.when(F.substring("cache_key", 1, 1) < "4", F.regexp_extract(value, r'(?s)\A\{"text":(.*)\}\z', 1)).otherwise(value))
+    maps = held.groupBy(F.pmod(F.xxhash64("cache_key"), F.lit(groups)).alias("g")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("value"))
+    path = graph.shared_folder(spark)
     maps.write.partitionBy("g").text(path)  # a file for each object
     return memory.from_json_maps(spark, path, C.NOW)
 
 
+@query(duck("select cache_key, txt as text, ts_raw from tm_v", "tm_v"))
+def write_translation_memory(spark, sf_dir):
+    """The memory written as a version and read from there."""
+    return spark.read.parquet(documents.write_memory(C._memory(spark, sf_dir), graph.shared_folder(spark), "1")).select("cache_key", "text", "ts_raw")
+
+
+GROUPED = "select doc_id % greatest(1, (select count(*) // 50 from documents)) g, string_agg(replace(text, chr(10), case when doc_id % 2 = 0 then chr(13) || chr(10) else chr(10) end), chr(10) order by doc_id) || chr(10) as text from documents group by 1"
+
+
+@query(f"with f as ({GROUPED}) select g::int g, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) text_md5 from f")
+def read_text_documents(spark, sf_dir):
+    """All documents in text files of some fifty each, half of them with other line ends, read as whole files."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    groups = max(1, docs.count() // 50)
+    ends = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    path = graph.shared_folder(spark)
+    docs.select((F.col("doc_id") % groups).alias("g"), "doc_id", ends.alias("value")).repartition("g").sortWithinPartitions("g", "doc_id").drop("doc_id").write.partitionBy("g").text(path)
+    read = documents.read_text_documents(spark, f"{path}/g=*/*.txt")
+    return read.select(F.regexp_extract("path", "/g=([0-9]+)/", 1).cast("int").alias("g"), F.md5("text").alias("text_md5"))
+
+
+@query(duck("select page_id, ltrim(lower(regexp_extract(path, '(\\.[^./]+)$', 1)), '.') format from project_files_v where regexp_matches(lower(path), '\\.(docx|md|tex|cls|sty)$')", "project_files_v"))
+def route_by_format(spark, sf_dir):
+    """Files of the supported formats."""
+    return graph.route_by_format(view(spark, sf_dir, "project_files_v"))[0].select("page_id", "format")
+
+
+@query("select 'd' || doc_id path, case when doc_id % 2 = 0 then 'md' else 'tex' end format, md5(text) text_md5 from documents")
+def write_documents(spark, sf_dir):
+    """All documents written by format, and read from there."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = graph.shared_folder(spark)
+    documents.write_documents(docs.select(F.concat(F.lit("d"), "doc_id").alias("path"), F.when(F.col("doc_id") % 2 == 0, "md").otherwise("tex").alias("format"), "text"), path)
+    return spark.read.parquet(path).select("path", F.col("format").cast("string").alias("format"), F.md5("text").alias("text_md5"))
+
+
 def _packages(spark, sf_dir):
     """A Word package of each document, made by the library's own writer from a template of parts."""
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("<w:p><w:r><w:t>"), F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</w:t></w:r></w:p>")))
@@ -211,3 +303,101 @@ def assemble_docx(spark, sf_dir):
     made = documents.assemble_docx(parts, runs.select("path", "part_name", "para_no", "run_no", F.concat(F.lit("T:"), "text").alias("text")))
     again = documents.parse_docx_runs(documents.explode_docx_parts(made).filter("action = 'process'"))
     return markdown.reassemble(again, "para_no", "text", id_col="path").select("path", F.md5("text").alias("text_md5"))
+
+
+# -- whole paths
+
+RICH = """<w:p><w:pPr><w:pStyle w:val="s1"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t xml:space="preserve">{a}</w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t xml:space="preserve">{b}</w:t></w:r><w:bookmarkStart w:id="0"/>
+<w:r><w:drawing/></w:r><w:hyperlink><w:r><w:rPr><w:i/></w:rPr><w:t xml:space="preserve">{c}</w:t></w:r></w:hyperlink></w:p>"""
+
+
+def _rich_packages(spark, sf_dir):
+    """A Word package of each document: a paragraph of each line, its words dealt out over two equal runs and a hyperlink."""
+    safe = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    third = lambda x: F.floor(F.length(x) / 3).cast("int")
+    cut = lambda x: {"a": F.substring(x, F.lit(1), third(x)), "b": F.substring(x, third(x) + 1, third(x)), "c": F.substring(x, 2 * third(x) + 1, F.length(x))}
+
+    def paragraph(x):
+        out, parts = [], cut(x)
+        for k, bit in enumerate(re.split(r"\{([abc])\}", RICH)):
+            out.append(safe(parts[bit]) if k % 2 else F.lit(bit))
+        return F.concat(*out)
+
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:w14="urn:fourteen" w14:Ignorable="w14"'
+    body = F.concat(F.lit(f"<w:document {space}><w:body>"), F.array_join(F.transform(F.split("text", "\n", -1), paragraph), ""), F.lit("</w:body></w:document>"))
+    part = lambda n, name, x: F.struct(F.lit(n).alias("part_no"), F.lit(name).alias("part_name"), x.cast("binary").alias("part_bytes"))
+    named = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.explode(F.array(part(0, "word/document.xml", body), part(1, "word/fontTable.xml", F.lit("<old/>")), part(2, "docProps/app.xml", F.col("source")))).alias("p"))
+    none = spark.createDataFrame([], "path string, part_name string, para_no int, run_no int, text string")
+    return documents.assemble_docx(named.select("path", "p.*", F.lit("ok").alias("status")), none)
+
+
+def _marked(texts):
+    """A translator of the Word path: a prefix before each segment, placeholders kept."""
+    return texts.map(lambda t: T.SEGMENT.join(p if p == T.PLACEHOLDER else f"T:{p}" for p in t.split(T.SEGMENT)))
+
+
+@query(rf"""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 n, unnest(string_split(text, chr(10))) line from documents),
+  c as (select *, substr(line, 1, (2 * (length(line) // 3))::int) a, substr(line, (2 * (length(line) // 3) + 1)::int) c from l),
+  t as (select *, regexp_matches(line, '[\p{{L}}\p{{N}}]') live from c),
+  r as (select *, case when live then 'T:' || a else a end x, case when not live then c else regexp_replace(regexp_replace('T:' || c, '\s+$', ''), '[ "''`]+$', '') end y from t)
+  select doc_id::varchar path, n::int para_no, md5(x) run_md5, md5(y) link_md5, case when live then 1 else 2 end runs from r""")
+def translate_docx(spark, sf_dir):
+    """The Word path over packages of all documents: what stands in the runs and hyperlinks of each paragraph afterwards."""
+    held = spark.createDataFrame([], "cache_key string, text string, ts_raw string")
+    made = translate.translate_docx(_rich_packages(spark, sf_dir), held, _marked, C.MODEL, C.DIRECTION, C.NOW, font_table=b"<new/>")[0]
+    parts = documents.explode_docx_parts(made)
+    runs = documents.parse_docx_runs(parts.filter("action = 'process'"))
+    ordered = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & ~F.col("special"), F.struct("run_no", "text")))), lambda x: x["text"]), "")
+    return runs.groupBy("path", "para_no").agg(F.md5(ordered("run")).alias("run_md5"), F.md5(ordered("hyperlink")).alias("link_md5"), F.count_if((F.col("kind") == "run") & ~F.col("special")).cast("int").alias("runs"))
+
+
+@query("select doc_id::varchar path, true declared, '<new/>' font_table, source copied, 2 * len(string_split(text, chr(10))) kept from documents")
+def docx_untouched_parts(spark, sf_dir):
+    """What the Word path must leave alone: declarations of the root, copied parts, drawings and bookmarks; the new font table."""
+    held = spark.createDataFrame([], "cache_key string, text string, ts_raw string")
+    made = translate.translate_docx(_rich_packages(spark, sf_dir), held, _marked, C.MODEL, C.DIRECTION, C.NOW, font_table=b"<new/>")[0]
+    parts = documents.explode_docx_parts(made).select("path", "part_name", F.decode("part_bytes", "UTF-8").alias("x"))
+    one = lambda name, value: F.max(F.when(F.col("part_name") == name, value))
+    kept = F.regexp_count("x", F.lit("<w:drawing/>")) + F.regexp_count("x", F.lit('<w:bookmarkStart w:id="0"/>'))
+    return parts.groupBy("path").agg(
+        one("word/document.xml", F.col("x").contains('xmlns:w14="urn:fourteen" w14:Ignorable="w14"')).alias("declared"), one("word/fontTable.xml", F.col("x")).alias("font_table"),
+        one("docProps/app.xml", F.col("x")).alias("copied"), one("word/document.xml", kept.cast("long")).alias("kept"),
+    )
+
+
+def _groups(texts):
+    """A translator of style files: one ideograph becomes a keyword; numbered blocks come back parted by ---."""
+    def one(t):
+        blocks = re.split(r"(?:\A|\n\n)【块\d+】\n", t)
+        return "---".join(b.replace("第", "Chapter") for b in (blocks[1:] or blocks))
+    return texts.map(one)
+
+
+@query(duck(rf"""+ {C.BLOCKS}, n as (select doc_id, start_line, end_line, regexp_replace({C.STRIP.format("replace(content, '第', 'Chapter')")}, '({'|'.join(T.KEYWORDS)})(\[a-zA-Z])', ' ', 'g') as new from chinese),
+  l as (select c.doc_id, c.line_no, case when n.new is not null then n.new else c.line end line from cls_lines_v c left join n on n.doc_id = c.doc_id and n.start_line = c.line_no
+    where not exists (select 1 from n m where m.doc_id = c.doc_id and c.line_no > m.start_line and c.line_no <= m.end_line)),
+  t as (select doc_id, string_agg(line, chr(10) order by line_no) as text from l group by doc_id), f as (select doc_id, count(*) found from chinese group by 1)
+  select doc_id, md5(case when found is null then text else regexp_replace(text, '
+{{4,}}', chr(10)||chr(10)||chr(10), 'g') end) text_md5, coalesce(found, 0) blocks_found, coalesce(found, 0) blocks_translated from t left join f using (doc_id)""", "cls_lines_v"))
+def translate_style_files(spark, sf_dir):
+    """The style-file path over all files, with its report."""
+    out, report = translate.translate_style_files(markdown.reassemble(view(spark, sf_dir, "cls_lines_v")), _groups)
+    return out.join(report, "doc_id").select("doc_id", F.md5("text").alias("text_md5"), "blocks_found", "blocks_translated")
+
+
+PROJECT = "select 'p/f' || s_suppkey || '.tex' path, s_name || ' is file number ' || s_suppkey || '.' t, s_suppkey k from supplier where s_suppkey%11 <> 7"
+
+
+@query(duck(f"""+ f as ({PROJECT}), r(node) as (select min(k) from f union select dst from r join file_edges_v on src = node where dst in (select k from f)),
+  e as (select src, string_agg(' ' || chr(92) || 'input{{f' || dst || '}}', '' order by dst) refs from file_edges_v group by src)
+  select path, case when k in (select node from r) then 'translate' else 'copy' end as action, md5(case when k in (select node from r) then 'T:' else '' end || t || coalesce(refs, '')) text_md5 from f left join e on src = k""", "file_edges_v", recursive=True))
+def translate_project(spark, sf_dir):
+    """The project path: what the first file reaches is translated, all else is copied."""
+    files = spark.sql(PROJECT.replace("supplier where", "{supplier} where"), supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    refs = F.array_join(F.transform(F.array_sort(F.collect_list("dst")), lambda x: F.concat(F.lit(" \\input{f"), x.cast("string"), F.lit("}"))), "")
+    edges = view(spark, sf_dir, "file_edges_v").groupBy(F.col("src").alias("k")).agg(refs.alias("refs"))
+    files = files.join(edges, "k", "left").select("path", F.concat("t", F.coalesce("refs", F.lit(""))).alias("text"), "k")
+    mains = files.orderBy("k").limit(1).select("path")
+    held = spark.createDataFrame([], "cache_key string, text string, ts_raw string")
+    out = translate.translate_project(files.select("path", "text"), mains, held, C._prefix, C.MODEL, C.DIRECTION, C.NOW)[0]
+    return out.select("path", "action", F.md5("text").alias("text_md5"))

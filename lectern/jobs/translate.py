@@ -5,30 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from lectern.functions import text as T
 from lectern.functions.text import cache_key, clean_reply, is_meaningful
-from lectern.operators import latex, markdown, memory, validate
+from lectern.operators import graph, latex, markdown, memory, styles, texblocks, validate
 from lectern.operators.graph import written
+from lectern.sources import documents
 
 #: A user's translator: texts in, as many texts out, in order; null for a failure.
 Translator = Callable[[pd.Series], pd.Series]
+#: Units that a translator is called with at most.
+BATCH = 256
 
 
-def translate_units(units: DataFrame, translate: Translator, concurrency: int | None = None) -> DataFrame:
+def _send(texts: pd.Series, translate: Translator) -> list[str | None]:
+    """Replies, null for the units that fail: a call that fails is made again in halves, down to single units."""
+    try:
+        replies = list(translate(texts))
+        if len(replies) == len(texts):
+            return replies
+    except Exception:  # noqa: BLE001  a translator may fail in any way; the source is kept then
+        pass
+    if len(texts) < 2:
+        return [None] * len(texts)
+    half = len(texts) // 2
+    return _send(texts.iloc[:half], translate) + _send(texts.iloc[half:], translate)
+
+
+def translate_units(units: DataFrame, translate: Translator, concurrency: int | None = None, batch: int = BATCH) -> DataFrame:
     """units (cache_key, text) with `reply`; null where the translator failed. Blank texts come back as they are.
 
-    Each distinct unit is sent once, `concurrency` tasks at a time; the replies are written before anything is joined
-    to them, so that no stage that runs again calls the translator again.
+    Each distinct unit is sent once, `batch` at a time and `concurrency` tasks at once; the replies are written before
+    anything is joined to them, so that no stage that runs again calls the translator again.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            try:
-                reply = pd.Series(list(translate(batch["text"])), index=batch.index, dtype="object")
-            except Exception:  # noqa: BLE001  a translator may fail in any way; the source is kept then
-                reply = pd.Series([None] * len(batch), index=batch.index, dtype="object")
-            yield batch.assign(reply=reply)
+        for rows in batches:
+            for at in range(0, len(rows), batch):
+                part = rows.iloc[at : at + batch]
+                yield part.assign(reply=pd.Series(_send(part["text"], translate), index=part.index, dtype="object"))
 
     live = units.filter(is_meaningful(F.col("text"))).select("cache_key", "text").dropDuplicates(["cache_key"])
     live = live.repartition(concurrency) if concurrency else live
@@ -37,48 +53,180 @@ def translate_units(units: DataFrame, translate: Translator, concurrency: int |
     return written(sent.unionByName(rest.withColumn("reply", F.col("text"))))
 
 
-def translate_with_memory(units: DataFrame, held: DataFrame, translate: Translator, model: str, direction: str, now: str, least: int = 0, concurrency: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(translations, memory, report) of distinct units (text).
+def attempts(units: DataFrame, translate: Translator, judge: Callable[[DataFrame], DataFrame], most: int = validate.ATTEMPTS, concurrency: int | None = None) -> DataFrame:
+    """(cache_key, text, attempt, reply, status) of up to `most` attempts at each of the units (cache_key, text).
 
-    translations: (text, translated, status): from the memory, or new if the reply passes the checks, else the source.
-    memory: with the new translations; report: hits, misses, total and hit rate.
+    judge adds `status` to (cache_key, text, reply); units whose status is not final are sent again.
     """
-    keyed = written(units.select("text").distinct().withColumn("cache_key", cache_key(F.col("text"), model, direction)))
+    left, out = units, None
+    for k in range(most):
+        got = judge(translate_units(left, translate, concurrency)).select("cache_key", "text", F.lit(k).alias("attempt"), "reply", "status")
+        out = got if out is None else out.unionByName(got)
+        left = got.filter(~validate.is_final(F.col("status"))).select("cache_key", "text")
+        if not left.limit(1).count():
+            break
+    return out
+
+
+def translate_with_memory(
+    units: DataFrame, held: DataFrame, translate: Translator, model: str, direction: str, now: str, least: int = 0, concurrency: int | None = None, most: int = validate.ATTEMPTS,
+    max_days: int | None = memory.MAX_DAYS, max_entries: int | None = memory.MAX_ENTRIES,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(translations, memory, report) of distinct units (text); null texts are no units.
+
+    The memory is aged first. translations: (text, translated, status): from the memory, or the first of `most` attempts
+    that passes the checks, else the source. memory: with the new translations; report: hits, misses, total and hit rate.
+    """
+    held = written(memory.aged(held, now, max_days, max_entries))
+    keyed = written(units.select("text").filter("text is not null").distinct().withColumn("cache_key", cache_key(F.col("text"), model, direction)))
     looked = memory.lookup(keyed, held)
-    replies = translate_units(memory.misses(keyed, held), translate, concurrency)
-    judged = replies.withColumn("status", validate.status(F.col("text"), F.col("reply"), least=least))
-    fine = judged.withColumn("new", F.when(F.col("status") == "ok", clean_reply(F.col("reply"))).otherwise(F.col("text")))
-    done = looked.join(fine.select("cache_key", "new", "status"), "cache_key", "left").select("text", F.coalesce("stored", "new", "text").alias("translated"), F.coalesce("status", F.lit("stored")).alias("status"))
-    fresh = fine.filter("status = 'ok'").select("cache_key", F.col("text").alias("source"), F.col("new").alias("text"), F.lit(now).alias("ts_raw"))
+    judge = lambda got: got.withColumn("status", validate.status(F.col("text"), F.col("reply"), least=least))
+    tried = attempts(memory.misses(keyed, held), translate, judge, most, concurrency)
+    best = validate.first_valid_attempt(tried.select(F.col("cache_key").alias("unit_id"), "attempt", F.col("text").alias("src"), "reply"), most, least)
+    fine = written(best.select(F.col("unit_id").alias("cache_key"), F.col("final_text").alias("new"), "status"))
+    done = looked.join(fine, "cache_key", "left").select("text", F.coalesce("stored", "new", "text").alias("translated"), F.coalesce("status", F.lit("stored")).alias("status"))
+    fresh = fine.filter("status = 'ok'").join(keyed, "cache_key").select("cache_key", F.col("text").alias("source"), F.col("new").alias("text"), F.lit(now).alias("ts_raw"))
     return written(done), written(memory.merge(held, fresh)), memory.stats(looked)
 
 
-def translate_markdown(docs: DataFrame, held: DataFrame, translate: Translator, model: str, direction: str, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents (doc_id, text), memory, report): lines classified, distinct texts translated, documents put together."""
-    split = markdown.split_frontmatter(docs)
+def translate_markdown(docs: DataFrame, held: DataFrame, translate: Translator, model: str, direction: str, now: str, **limits) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents (doc_id, text), memory, report): lines classified, distinct texts translated, documents put together.
+
+    doc_id must be unique. A null text stays null.
+    """
+    split = markdown.split_frontmatter(docs.select("doc_id", "text"))
     table = written(markdown.classify(markdown.lines(split)))
-    done, kept, report = translate_with_memory(table.filter("translatable").select(F.col("stripped").alias("text")), held, translate, model, direction, now)
+    done, kept, report = translate_with_memory(table.filter("translatable").select(F.col("stripped").alias("text")), held, translate, model, direction, now, **limits)
     bodies = markdown.reassemble(markdown.apply_translations(table, done))
-    out = split.select("doc_id", "front").join(bodies, "doc_id").select("doc_id", F.concat("front", "text").alias("text"))
+    out = split.select("doc_id", "front").join(bodies, "doc_id", "left").select("doc_id", F.concat("front", F.coalesce("text", F.lit(""))).alias("text"))
     return out, kept, report
 
 
-def translate_latex(docs: DataFrame, held: DataFrame, translate: Translator, model: str, direction: str, now: str, most: int = latex.CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents (doc_id, text), memory, document report): spans protected, chunks translated, spans restored."""
+def translate_latex(
+    docs: DataFrame, held: DataFrame, translate: Translator, model: str, direction: str, now: str, most: int = latex.CHUNK, fonts: str = "", **limits
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents (doc_id, text), memory, document report): spans protected, chunks translated, spans restored, the class of
+    documents that become Chinese converted, with `fonts` before their beginning.
+
+    doc_id must be unique. A null text stays null and has no chunks.
+    """
     safe = written(latex.protect(docs.select("doc_id", "text")))
     chunks = written(latex.pack_chunks(safe, most))
-    done, kept, _ = translate_with_memory(chunks.filter("text <> ''").select("text"), held, translate, model, direction, now, least=validate.SHORT)
-    placed = chunks.withColumn("k", F.md5("text")).join(done.select(F.md5("text").alias("k"), "translated", "status"), "k", "left")
+    done, kept, _ = translate_with_memory(chunks.filter("text <> ''").select("text"), held, translate, model, direction, now, least=validate.SHORT, **limits)
+    placed = written(chunks.withColumn("k", F.md5("text")).join(done.select(F.md5("text").alias("k"), "translated", "status"), "k", "left"))
     joined = markdown.reassemble(placed.withColumn("line", F.coalesce("translated", "text")), "chunk_no", "line", "\n\n")
-    restored = joined.join(safe.select("doc_id", "placeholders"), "doc_id").select("doc_id", latex.restore(F.col("text"), F.col("placeholders")).alias("text"))
-    return restored, kept, document_report(placed, safe, docs, restored)
+    whole = safe.select("doc_id", "placeholders", F.col("text").isNull().alias("none")).join(joined, "doc_id", "left")
+    restored = T.convert_document_class(latex.restore(F.coalesce("text", F.lit("")), F.col("placeholders")), direction, fonts)
+    out = whole.select("doc_id", F.when(~F.col("none"), restored).alias("text"))
+    return out, kept, document_report(placed, safe, docs, out)
+
+
+def translate_style_files(docs: DataFrame, translate: Translator, concurrency: int | None = None, most: int = validate.ATTEMPTS) -> tuple[DataFrame, DataFrame]:
+    """(documents (doc_id, text), report (doc_id, blocks_found, blocks_translated)) of style files (doc_id, text).
+
+    Chinese blocks are sent in groups, numbered; a reply holds their translations parted by ---, which get the space
+    between a keyword and a command back. A group whose last attempt has another number of parts is sent block by block;
+    one whose last attempt failed keeps its source, as does a block with a blank reply. Files without Chinese blocks stay
+    as they are; in others, more than two blank lines in a row become two.
+    """
+    blocks = written(texblocks.extract_tex_blocks(docs))
+    chinese = written(texblocks.filter_chinese_blocks(blocks))
+    groups = written(texblocks.pack_blocks(chinese).withColumn("text", T.number_blocks(F.col("contents"))).withColumn("cache_key", F.md5("text")))
+    sizes = groups.select("cache_key", F.size("contents").alias("n")).dropDuplicates(["cache_key"])
+
+    def judge(got: DataFrame) -> DataFrame:
+        fits = F.when(F.col("reply").isNull(), "error").when(validate.blocks_match(F.col("reply"), F.col("n")), "ok").otherwise("mismatch")
+        return got.join(sizes, "cache_key").withColumn("status", fits)
+
+    tried = attempts(groups.select("cache_key", "text"), translate, judge, most, concurrency)
+    last = written(tried.groupBy("cache_key").agg(F.max_by(F.struct("status", "reply"), "attempt").alias("r")).select("cache_key", "r.*"))
+    parts = F.transform(F.filter(F.transform(F.split("reply", "---", -1), T.strip), lambda x: x != ""), T.fix_keyword_spacing)
+    placed = written(groups.join(last, "cache_key"))
+    whole = placed.filter("status = 'ok'").select("doc_id", F.explode(F.arrays_zip(F.col("starts").alias("start_line"), parts.alias("new"))).alias("x")).select("doc_id", "x.start_line", "x.new")
+    single = placed.filter("status = 'mismatch'").select("doc_id", F.explode(F.arrays_zip(F.col("starts").alias("start_line"), F.col("contents").alias("text"))).alias("x")).select("doc_id", "x.*")
+    single = written(single.withColumn("cache_key", F.md5("text")))
+    alone = translate_units(single, translate, concurrency).select("cache_key", F.nullif(T.strip(F.col("reply")), F.lit("")).alias("new"))
+    new = written(whole.unionByName(single.join(alone, "cache_key").filter("new is not null").select("doc_id", "start_line", "new")))
+    translated = chinese.select("doc_id", "start_line", "end_line").join(new, ["doc_id", "start_line"]).select("doc_id", "start_line", "end_line", F.col("new").alias("text"))
+    found = chinese.groupBy("doc_id").agg(F.count("*").alias("found"))
+    lines = markdown.lines(docs.join(found.select("doc_id"), "doc_id", "left_semi"), text_col="text")
+    rebuilt = markdown.reassemble(texblocks.rebuild_from_blocks(lines, translated)).select("doc_id", T.collapse_blank_lines(F.col("text")).alias("new"))
+    out = docs.select("doc_id", "text").join(rebuilt, "doc_id", "left").select("doc_id", F.coalesce("new", "text").alias("text"))
+    counts = docs.select("doc_id").join(found, "doc_id", "left").join(new.groupBy("doc_id").agg(F.count("*").alias("done")), "doc_id", "left")
+    return out, counts.select("doc_id", F.coalesce("found", F.lit(0)).alias("blocks_found"), F.coalesce("done", F.lit(0)).alias("blocks_translated"))
+
+
+def translate_project(
+    files: DataFrame, mains: DataFrame, held: DataFrame, translate: Translator, model: str, direction: str, now: str, style_files: bool = False, fonts: str = "", **limits
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files (path, text, action), memory, report (project, succeeded, total, ok)) of projects with main files `mains` (path).
+
+    files: (path, text) of all projects. Translated is what each main file reaches by input and include, and, if asked
+    for, the classes and packages that it reaches; project files that are neither hidden nor products of a build are
+    copied. A file that several projects reach is translated once. A translated file without a text has not succeeded.
+    """
+    listing = files.select(F.col("path").alias("node"))
+    named = files.select("path", F.col("text").alias("content"))
+    is_style = F.lower("path").rlike(r"\.(cls|sty)\z")
+
+    def reached(refs: DataFrame, roots: DataFrame, add: str) -> DataFrame:
+        edges = graph.resolve_refs(refs, files.select("path"), add).filter("found").select("src", "dst")
+        return graph.closure(roots, edges, listing).select("root", F.col("node").alias("path"))
+
+    roots = mains.select(F.col("path").alias("node")).join(listing, "node", "left_semi")
+    tex = reached(graph.file_refs(named.filter(~is_style)), roots, ".tex")
+    known = written(tex.select("root", "path", F.lit("tex").alias("kind")))
+    if style_files:
+        sheets = reached(graph.style_refs(named), roots, "").join(tex, ["root", "path"], "left_anti").filter(is_style)
+        known = known.unionByName(sheets.select("root", "path", F.lit("style").alias("kind")))
+    chosen = written(files.join(known.select("path", "kind").distinct(), "path").select(F.col("path").alias("doc_id"), "text", "kind"))
+    texts, kept, _ = translate_latex(chosen.filter("kind = 'tex'").select("doc_id", "text"), held, translate, model, direction, now, fonts=fonts, **limits)
+    sheets, _ = translate_style_files(chosen.filter("kind = 'style'").select("doc_id", "text"), translate)
+    done = written(texts.unionByName(sheets).select(F.col("doc_id").alias("path"), "text"))
+    copied = graph.keep_project_files(files.join(done.select("path"), "path", "left_anti")).select("path", "text", F.lit("copy").alias("action"))
+    out = done.select("path", "text", F.lit("translate").alias("action")).unionByName(copied)
+    states = known.join(done.select("path", F.col("text").isNotNull().alias("ok")), "path").select(F.col("root").alias("project"), "ok")
+    return out, kept, graph.project_report(states)
+
+
+def translate_docx(
+    packages: DataFrame, held: DataFrame, translate: Translator, model: str, direction: str, now: str, font_table: bytes | None = None, style_sheet: bytes | None = None, **limits
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(packages (path, content, status), memory, report) of Word packages (path, content).
+
+    Neighbouring runs of equal properties, and all runs of a hyperlink, make a segment; the segments of a paragraph go to
+    the translator as one text, with marks between and placeholders for drawings and formulas. Replies come back segment
+    by segment into the first run of each, the others go; a segment without a reply, and a paragraph whose reply has more
+    parts than segments, keep their source. A package that can't be opened comes back as it is, with status bad_package.
+    """
+    parts = written(documents.explode_docx_parts(packages))
+    runs = written(documents.parse_docx_runs(parts.filter("action = 'process'")))
+    para = ["path", "part_name", "para_no"]
+    keyed = runs.withColumn("style_key", styles.run_key())
+    segments = written(styles.merge_adjacent_runs(keyed, para))
+    asked = written(styles.build_model_text(segments, para))
+    done, kept, report = translate_with_memory(asked.select(F.col("text_for_model").alias("text")), held, translate, model, direction, now, **limits)
+    replies = asked.withColumn("k", F.md5("text_for_model")).join(done.select(F.md5("text").alias("k"), F.col("translated").alias("reply")), "k")
+    replies = replies.filter(F.size(F.split("reply", T.SEGMENT, -1)) <= F.col("n_segments"))
+    changed = styles.attach_segment_translations(segments.join(replies.select(*para), para, "left_semi"), replies, para).filter("not special and translated <> text")
+    places = changed.select(*para, "seg_no", "translated", F.col("first_run").alias("run_no"))
+    numbered = styles.number_segments(keyed, para).select(*para, "run_no", "seg_no")
+    texts = numbered.join(places.withColumnRenamed("run_no", "lead"), [*para, "seg_no"]).select(*para, "run_no", F.when(F.col("run_no") == F.col("lead"), F.col("translated")).alias("text"))
+    made = documents.assemble_docx(parts, texts, font_table, style_sheet)
+    bad = parts.filter("status <> 'ok'").select("path", "status").join(packages.select("path", "content"), "path").select("path", "content", "status")
+    return made.withColumn("status", F.lit("ok")).unionByName(bad), kept, report
 
 
 def document_report(chunks: DataFrame, safe: DataFrame, docs: DataFrame, out: DataFrame) -> DataFrame:
-    """(doc_id, chunks, hits, hit_rate, failed, placeholders, ratio): failed lists the positions that kept their source."""
-    hit = F.col("status") == "stored"
+    """(doc_id, chunks, hits, hit_rate, failed, placeholders, ratio): failed lists the positions that kept their source.
+
+    A document without a text has no chunks, no ratio and a rate of 0.
+    """
+    hit: Column = F.col("status") == "stored"
     failed = F.array_sort(F.collect_list(F.when(~F.col("status").isin("ok", "stored", "passthrough"), F.col("chunk_no"))))
     per = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if(hit).alias("hits"), failed.alias("failed"))
     sizes = docs.select("doc_id", F.length("text").alias("n_in")).join(out.select("doc_id", F.length("text").alias("n_out")), "doc_id")
-    both = per.join(safe.select("doc_id", F.size("placeholders").alias("placeholders")), "doc_id").join(sizes, "doc_id")
-    return both.select("doc_id", "chunks", "hits", F.round(100 * F.col("hits") / F.col("chunks"), 1).alias("hit_rate"), "failed", "placeholders", F.try_divide("n_out", "n_in").alias("ratio"))
+    both = sizes.join(per, "doc_id", "left").join(safe.select("doc_id", F.coalesce(F.size("placeholders"), F.lit(0)).alias("placeholders")), "doc_id")
+    rate = F.coalesce(F.round(100 * F.try_divide("hits", "chunks"), 1), F.lit(0.0))
+    none = F.array().cast("array<int>")
+    return both.select("doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("hits", F.lit(0)).alias("hits"), rate.alias("hit_rate"), F.coalesce("failed", none).alias("failed"), "placeholders", F.try_divide("n_out", "n_in").alias("ratio"))

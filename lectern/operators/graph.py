@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lectern.functions.text import strip
+
 # References to classes, packages and style files.
 CLASS = r"\\documentclass(?:\[.*?\])?\{([^}]+)\}"
 PACKAGE = r"\\usepackage(?:\[.*?\])?\{([^}]+)\}"
@@ -17,13 +19,21 @@ EXCLUDED_DIRS = ["__pycache__", "node_modules", "build", "dist", "__MACOSX"]
 EXCLUDED_ENDS = [".aux", ".log", ".out", ".toc", ".synctex.gz", ".fdb_latexmk", ".fls", ".bbl", ".blg", ".bcf", ".run.xml", ".nav", ".snm", ".vrb", ".lof", ".lot", ".bak", ".swp", ".tmp", "~", ".xdv"]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all executors share; a local one only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lectern-")
+    return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the folder of spark.checkpoint.dir, so that a loop's plan doesn't grow."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-")
-    path = f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
+    """The rows as a table in the shared folder, so that a loop's plan doesn't grow and nothing is worked out twice."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def file_refs(files: DataFrame) -> DataFrame:
@@ -44,8 +54,9 @@ def style_refs(files: DataFrame) -> DataFrame:
 
 
 def resolve_refs(refs: DataFrame, listing: DataFrame, add: str = ".tex") -> DataFrame:
-    """refs with `dst` (extension added where absent, taken from the folder of src unless absolute) and `found` in listing (path)."""
-    named = F.when(F.col("raw").rlike(r"\.[A-Za-z0-9]+\z"), F.col("raw")).otherwise(F.concat("raw", F.lit(add)))
+    """refs with `dst` (stripped, `add` appended unless it ends so, taken from the folder of src unless absolute) and `found` in listing (path)."""
+    raw = strip(F.col("raw"))
+    named = F.when(raw.endswith(add), raw).otherwise(F.concat(raw, F.lit(add)))
     folder = F.regexp_extract("src", r"\A(.*/)[^/]*\z", 1)
     placed = refs.withColumn("dst", F.when(named.startswith("/"), named).otherwise(F.concat(folder, named)))
     known = listing.select(F.col("path").alias("dst"), F.lit(True).alias("found")).distinct()
@@ -58,7 +69,7 @@ def closure(roots: DataFrame, edges: DataFrame, listing: DataFrame) -> DataFrame
     Breadth first: each round joins the frontier with the edges and drops what was reached, so cycles end. Each round
     is written to the shared folder.
     """
-    edges = edges.join(listing.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
+    edges = written(edges.join(listing.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct())
     seen = frontier = written(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct())
     depth = 0
     while True:

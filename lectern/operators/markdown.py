@@ -15,7 +15,8 @@ FRONT = r"(?s)\A(---\n.*?\n---\n)"
 
 
 def split_frontmatter(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `front` (the leading block between --- lines, kept verbatim, or empty) and `body` (the rest)."""
+    """docs with `front` (the leading block between --- lines, kept verbatim, or empty) and `body` (the rest),
+    in place of columns of these names; both are null for a null text."""
     front = F.regexp_extract(text_col, FRONT, 1)
     return docs.withColumn("front", front).withColumn("body", F.expr(f"substring({text_col}, length(front) + 1)"))
 

@@ -10,14 +10,25 @@ MAX_ENTRIES, MAX_DAYS = 10_000, 30
 
 
 def from_json_maps(spark: SparkSession, path: str, now: str) -> DataFrame:
-    """Memory of JSON files key -> {text, timestamp} or key -> text; entries of the second kind are as old as `now`."""
+    """Memory of JSON files key -> {text, timestamp} or key -> text; entries of the second kind are as old as `now`.
+
+    What a value is, an object or a text, is told by its JSON type, so that texts may begin as they like. A missing text
+    is empty, a missing time unreadable; values of other types are left out, as are files that hold no JSON object.
+    """
     raw = spark.read.text(path, wholetext=True)
-    entries = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("cache_key", "v"))
-    new = F.from_json("v", "text string, timestamp string")
-    rows = entries.select("cache_key", F.coalesce(new["text"], F.when(~F.col("v").startswith("{"), F.col("v"))).alias("text"), F.coalesce(new["timestamp"], F.lit(now)).alias("ts_raw"))
+    entries = raw.select(F.explode(F.from_json("value", "map<string,variant>")).alias("cache_key", "v"))
+    kind, part = F.schema_of_variant("v"), lambda p: F.try_variant_get("v", p, "string")
+    text = F.when(kind == "STRING", part("$")).when(kind.startswith("OBJECT"), F.coalesce(part("$.text"), F.lit("")))
+    rows = entries.select("cache_key", text.alias("text"), F.when(kind == "STRING", F.lit(now)).otherwise(F.coalesce(part("$.timestamp"), F.lit(""))).alias("ts_raw"))
     return rows.filter(F.col("text").isNotNull() & (F.length("text") < STORED))
 
 
+def aged(memory: DataFrame, now: str, days: int | None = MAX_DAYS, most: int | None = MAX_ENTRIES) -> DataFrame:
+    """The memory as a path takes it: expired entries go, then the oldest beyond `most`; None leaves a limit out."""
+    kept = memory if days is None else expire(memory, now, days)
+    return kept if most is None else evict(kept, most)
+
+
 def lookup(units: DataFrame, memory: DataFrame) -> DataFrame:
     """units with `stored`: the text under their key, null where there is none or an empty one."""
     return units.join(memory.select("cache_key", F.nullif("text", F.lit("")).alias("stored")), "cache_key", "left")

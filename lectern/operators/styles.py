@@ -23,26 +23,28 @@ def map_key(props: Column) -> Column:
     return F.coalesce(F.array_join(F.array_sort(entries), ","), F.lit(""))
 
 
-def style_chain(styles: DataFrame, most: int = 64) -> DataFrame:
+def run_key(kind: str = "kind", block: str = "block", rpr: str = "rpr") -> Column:
+    """Key by which neighbouring runs belong together: equal properties and nothing between; all runs of a hyperlink."""
+    return F.when(F.col(kind) == "hyperlink", F.concat(F.lit("link:"), F.col(block))).otherwise(F.concat_ws(":", kind, block, map_key(F.col(rpr))))
+
+
+def style_chain(styles: DataFrame) -> DataFrame:
     """(path, style_id, depth, ancestor): each style at depth 0, then its ancestors.
 
-    An ancestor that is missing or stands in the chain already is listed once more as the last entry. styles: (path,
-    style_id, based_on). Chains longer than `most` raise an error, as none could be that long without a cycle.
+    An ancestor that is missing or stands in the chain already is listed once more as the last entry, so chains of any
+    length end. styles: (path, style_id, based_on).
     """
     base = written(styles.select("path", F.col("style_id").alias("ancestor"), F.col("based_on").alias("up")))
-    here = written(styles.select("path", "style_id", F.lit(0).alias("depth"), F.col("style_id").alias("ancestor"), F.array("style_id").alias("seen")))
-    out = here
-    for depth in range(1, most + 1):
+    here = out = written(styles.select("path", "style_id", F.lit(0).alias("depth"), F.col("style_id").alias("ancestor"), F.array("style_id").alias("seen")))
+    depth = 0
+    while True:
+        depth += 1
         step = here.join(base, ["path", "ancestor"]).filter("up is not null").select("path", "style_id", F.lit(depth).alias("depth"), F.col("up").alias("ancestor"), "seen")
-        step = step.withColumn("again", F.expr("array_contains(seen, ancestor)"))
-        step = written(step)
+        step = written(step.withColumn("again", F.expr("array_contains(seen, ancestor)")))
         if step.limit(1).count() == 0:
-            break
+            return out.select("path", "style_id", "depth", "ancestor")
         out = out.unionByName(step.drop("again"))
         here = step.filter("not again").select("path", "style_id", "depth", "ancestor", F.concat("seen", F.array("ancestor")).alias("seen"))
-    else:
-        raise ValueError(f"a chain of styles is longer than {most}")
-    return out.select("path", "style_id", "depth", "ancestor")
 
 
 def resolve_styles(styles: DataFrame) -> DataFrame:
@@ -81,16 +83,22 @@ def materialize_run_styles(runs: DataFrame, resolved: DataFrame) -> DataFrame:
     return joined.select(*[c for c in runs.columns if c not in ("rpr", "rstyle")], F.when(live, F.lit(None)).otherwise(F.col("rstyle")).alias("rstyle"), F.when(live, merge_maps(own, under)).otherwise(F.col("rpr")).alias("rpr"))
 
 
+def number_segments(runs: DataFrame, para: list[str]) -> DataFrame:
+    """runs with `seg_no`: neighbouring ordinary runs of one style_key share it; a special run (drawing, field, formula) is alone."""
+    order = Window.partitionBy(*para).orderBy("run_no")
+    same = (F.lag("style_key").over(order).eqNullSafe(F.col("style_key"))) & ~F.col("special") & ~F.coalesce(F.lag("special").over(order), F.lit(True))
+    return runs.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("seg_no", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("new")
+
+
 def merge_adjacent_runs(runs: DataFrame, para: list[str]) -> DataFrame:
-    """(para, seg_no, style_key, special, text): neighbouring ordinary runs of one style_key as one segment, in order.
+    """(para, seg_no, style_key, special, text, first_run): neighbouring ordinary runs of one style_key as one segment, in order.
 
-    runs: (para, run_no, style_key, special, text). A special run (drawing, field, formula) is a segment of its own.
+    runs: (para, run_no, style_key, special, text). A special run is a segment of its own.
     """
-    order = Window.partitionBy(*para).orderBy("run_no")
-    same = (F.lag("style_key").over(order).eqNullSafe(F.col("style_key"))) & ~F.col("special") & ~F.coalesce(F.lag("special").over(order), F.lit(True))
-    numbered = runs.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("seg_no", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     texts = F.array_sort(F.collect_list(F.struct("run_no", "text")))
-    return numbered.groupBy(*para, "seg_no").agg(F.min_by("style_key", "run_no").alias("style_key"), F.min_by("special", "run_no").alias("special"), F.array_join(F.transform(texts, lambda x: x["text"]), "").alias("text"))
+    return number_segments(runs, para).groupBy(*para, "seg_no").agg(
+        F.min_by("style_key", "run_no").alias("style_key"), F.min_by("special", "run_no").alias("special"), F.array_join(F.transform(texts, lambda x: x["text"]), "").alias("text"), F.min("run_no").alias("first_run")
+    )
 
 
 def build_model_text(segments: DataFrame, para: list[str]) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lectern.functions.text import PLACEHOLDER, REFUSALS, SEGMENT, clean_reply, is_meaningful, strip
 
 SHORT = 10
-#: Sentences of the prompt whose presence shows that it was echoed; a parameter of the checks.
-ECHOES = ("CRITICAL RULES", "Output only the translated text")
+ATTEMPTS = 3
+# Sentences of the prompt whose presence shows that it was echoed; a parameter of the checks.
+ECHOES = ("You are a professional translation engine", "CRITICAL RULES")
 
 
 def is_refusal(reply: Column) -> Column:
@@ -45,29 +46,34 @@ def is_short(reply: Column, least: int = SHORT) -> Column:
 
 
 def status(source: Column, reply: Column, failed: Column | None = None, least: int = 0, echoes: tuple[str, ...] = ECHOES) -> Column:
-    """First verdict that applies to a reply: passthrough, error, refusal, echo, mismatch, short, ok.
+    """First verdict that applies to a reply once it is cleaned: passthrough, error, empty, refusal, echo, mismatch, short, ok.
 
     least: characters below which a reply is short; 0 leaves this check out. A null reply is an error.
     """
     failed = reply.isNull() if failed is None else failed | reply.isNull()
-    out = F.when(~is_meaningful(source), "passthrough").when(failed, "error").when(is_refusal(reply), "refusal").when(is_echo(reply, echoes), "echo").when(~placeholders_match(source, reply), "mismatch")
+    clean = clean_reply(reply)
+    out = F.when(~is_meaningful(source), "passthrough").when(failed, "error").when(clean == "", "empty").when(is_refusal(clean), "refusal").when(is_echo(clean, echoes), "echo").when(~placeholders_match(source, clean), "mismatch")
     if least:
-        out = out.when(is_short(reply, least), "short")
+        out = out.when(is_short(clean, least), "short")
     return out.otherwise("ok")
 
 
-def first_valid_attempt(replies: DataFrame, most: int = 3, least: int = 0) -> DataFrame:
+def is_final(verdict: Column) -> Column:
+    """Whether no further attempt follows a verdict."""
+    return verdict.isin("ok", "refusal", "passthrough")
+
+
+def first_valid_attempt(replies: DataFrame, most: int = ATTEMPTS, least: int = 0) -> DataFrame:
     """(unit_id, attempt, status, final_text) of units with replies (unit_id, attempt from 0, src, reply).
 
-    Attempts count in order: echoes, mismatches, errors and short replies go on to the next; a refusal ends them with the
-    source, as does passing all; the first valid reply wins. attempt is null where none did.
+    Attempts count in order: blank replies, echoes, mismatches, errors and short replies go on to the next; a refusal ends
+    them with the source, as does passing all; the first valid reply wins. attempt is null where none did.
     """
     judged = replies.filter(F.col("attempt") < most).withColumn("status", status(F.col("src"), F.col("reply"), least=least))
-    ends = F.col("status").isin("ok", "refusal", "passthrough")
-    chosen = F.min(F.when(ends, F.struct("attempt", "status", "reply"))).alias("c")
+    chosen = F.min(F.when(is_final(F.col("status")), F.struct("attempt", "status", "reply"))).alias("c")
     last = F.max_by("status", "attempt").alias("last")
     best = judged.groupBy("unit_id").agg(chosen, last, F.first("src").alias("src"))
-    won = F.col("c.status") == "ok"
+    won = F.coalesce(F.col("c.status") == "ok", F.lit(False))
     return best.select("unit_id", F.when(won, F.col("c.attempt")).alias("attempt"), F.coalesce("c.status", "last").alias("status"), F.when(won, clean_reply(F.col("c.reply"))).otherwise(F.col("src")).alias("final_text"))
 
 

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from xml.etree import ElementTree
+from xml.parsers import expat
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.functions.text import newlines
 
-#: Uncompressed bytes of a part of a package beyond which the package is reported instead of read.
-PART = 256 << 20
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
 
@@ -47,13 +49,13 @@ def write_memory(memory: DataFrame, folder: str, version: str) -> str:
 
 def part_action(name):
     """What is done with a part of a package: replace_font_table, replace_styles, process or copy."""
-    return F.when(name == "word/fontTable.xml", "replace_font_table").when(name == "word/styles.xml", "replace_styles").when(name.rlike(r"\Aword/[^/]*\.xml\z"), "process").otherwise("copy")
+    return F.when(name == "word/fontTable.xml", "replace_font_table").when(name == "word/styles.xml", "replace_styles").when(name.startswith("word/") & name.endswith(".xml"), "process").otherwise("copy")
 
 
 def explode_docx_parts(packages: DataFrame) -> DataFrame:
     """(path, part_no, part_name, part_bytes, action, status) of packages (path, content).
 
-    A package that can't be opened, or holds a part beyond PART bytes, is one row with status `bad_package` and no part.
+    A package that can't be opened is one row with status `bad_package` and no part.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,8 +64,6 @@ def explode_docx_parts(packages: DataFrame) -> DataFrame:
                 rows: list[tuple] = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                        if any(i.file_size > PART for i in z.infolist()):
-                            raise zipfile.BadZipFile("a part is too large")
                         rows = [(path, k, i.filename, z.read(i), "ok") for k, i in enumerate(z.infolist())]
                 except (zipfile.BadZipFile, TypeError, OSError, ValueError, NotImplementedError, RuntimeError):
                     rows = [(path, None, None, None, "bad_package")]
@@ -82,34 +82,142 @@ def _props(element) -> dict[str, dict[str, str]]:
 
 
 _SPECIAL = {W + x for x in ("fldChar", "instrText", "drawing", "object", "pict")}
+_NODES = {M + "oMath", M + "oMathPara", W + "drawing", W + "object"}
 
 
-def _runs_of(root) -> Iterator[tuple]:
-    for para_no, p in enumerate(root.iter(W + "p")):
-        style = p.find(f"{W}pPr/{W}pStyle")
-        align = p.find(f"{W}pPr/{W}jc")
-        about = (para_no, style.get(W + "val") if style is not None else None, align.get(W + "val") if align is not None else None)
-        run_no = 0
-        for child in p:
-            if child.tag == W + "pPr":
-                continue
-            inner = [r for r in child if r.tag == W + "r"] if child.tag == W + "hyperlink" else [child]
-            for r in inner:
-                kind = "hyperlink" if child.tag == W + "hyperlink" else "run" if r.tag == W + "r" else "non_text"
-                special = kind == "non_text" or any(x.tag in _SPECIAL for x in r)
-                text = "" if special else "".join(x.text or "" for x in r if x.tag == W + "t")
-                rpr = _props(r.find(W + "rPr"))
-                yield (*about, run_no, kind, text, special, rpr.pop("rStyle", {}).get("val"), rpr, r.tag.startswith(M))
-                run_no += 1
+@dataclass
+class _Run:
+    """A run or non-text node of a paragraph, with the places of its bytes and of those of its texts."""
 
+    about: tuple
+    run_no: int
+    block: int
+    kind: str
+    math: bool
+    depth: int
+    start: int
+    special: bool
+    stop: int = 0
+    texts: list[tuple[int, int]] = field(default_factory=list)
+    text: list[str] = field(default_factory=list)
+    rpr: dict = field(default_factory=dict)
 
-RUN_COLUMNS = "para_no int, pstyle string, jc string, run_no int, kind string, text string, special boolean, rstyle string, rpr map<string,map<string,string>>, math boolean"
+
+@dataclass
+class _Paragraph:
+    para_no: int
+    depth: int
+    style: str | None = None
+    align: str | None = None
+    runs: int = 0
+    block: int = 0
+    linked: bool = False
+    run: _Run | None = None
+
+
+def _tag_stop(data: bytes, at: int) -> int:
+    """Where the tag that starts at `at` ends; > in quotes doesn't end it."""
+    return re.compile(rb"""(?:[^>"']|"[^"]*"|'[^']*')*>""").match(data, at).end()
+
+
+def _scan(data: bytes) -> list[_Run]:
+    """Runs of a part, paragraphs at any depth in document order; the numbers are those that texts are put back by.
+
+    block changes with every child of a paragraph that isn't an ordinary run, so that runs on both sides of it never
+    belong together. Children that hold no text of their own (bookmarks and the like) make no run.
+    """
+    parser = expat.ParserCreate(namespace_separator="}")
+    names: list[str] = []
+    open_: list[_Paragraph] = []
+    done: list[_Run] = []
+    count = 0
+    in_text = False
+    prop: dict = {}
+    bare = lambda x: x.rpartition("}")[2]
+
+    def start(name: str, attrs: dict) -> None:
+        nonlocal count, in_text, prop
+        name, depth = "{" + name, len(names)
+        names.append(name)
+        value = attrs.get(W[1:] + "val")
+        if name == W + "p":
+            open_.append(_Paragraph(count, depth))
+            count += 1
+            return
+        if not open_:
+            return
+        p = open_[-1]
+        if name in _SPECIAL:
+            for other in open_:
+                if other.run is not None and other.run.kind != "hyperlink":
+                    other.run.special = True
+        if depth == p.depth + 2 and names[-2] == W + "pPr":
+            p.style = value if name == W + "pStyle" else p.style
+            p.align = value if name == W + "jc" else p.align
+        linked = depth == p.depth + 2 and p.linked and name == W + "r"
+        if depth == p.depth + 1:
+            p.linked = name == W + "hyperlink"
+            p.block += name != W + "r"
+        if linked or depth == p.depth + 1 and (name == W + "r" or name in _NODES):
+            kind = "hyperlink" if linked else "run" if name == W + "r" else "non_text"
+            p.run = _Run((p.para_no, p.style, p.align), p.runs, p.block, kind, name.startswith(M), depth, parser.CurrentByteIndex, kind == "non_text")
+            p.runs += 1
+            done.append(p.run)
+        elif p.run is not None:
+            if depth == p.run.depth + 1 and name == W + "t":
+                p.run.texts.append((parser.CurrentByteIndex, 0))
+                in_text = True
+            elif depth == p.run.depth + 2 and names[-2] == W + "rPr":
+                p.run.rpr[bare(name)] = {bare(k): v for k, v in attrs.items()}
+
+    def stop(begun: int) -> int:
+        """Where the element that begun there ends; the parser stands behind an empty one, before the end tag of others."""
+        first = _tag_stop(data, begun)
+        return first if data[first - 2 : first] == b"/>" else _tag_stop(data, parser.CurrentByteIndex)
+
+    def end(name: str) -> None:
+        nonlocal in_text
+        names.pop()
+        if not open_:
+            return
+        p, depth = open_[-1], len(names)
+        if depth == p.depth:
+            open_.pop()
+        elif p.run is not None and depth == p.run.depth:
+            p.run.stop = stop(p.run.start)
+            p.run = None
+        elif p.run is not None and in_text and depth == p.run.depth + 1:
+            p.run.texts[-1] = (p.run.texts[-1][0], stop(p.run.texts[-1][0]))
+            in_text = False
+        elif depth == p.depth + 1 and p.linked:
+            p.linked = False
+
+    def chars(text: str) -> None:
+        if in_text and open_ and open_[-1].run is not None:
+            open_[-1].run.text.append(text)
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, chars
+    parser.buffer_text = True
+    parser.Parse(data, True)
+    return done
+
+
+def _utf8(data: bytes) -> bytes:
+    """A part in UTF-8, whatever it was in; its declaration says so."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        text = data.decode("utf-16")
+        return re.sub(r"""(<\?xml[^>]*encoding=["'])[^"']*""", r"\g<1>UTF-8", text, count=1).encode()
+    return data
+
+
+RUN_COLUMNS = "para_no int, pstyle string, jc string, run_no int, block int, kind string, text string, special boolean, rstyle string, rpr map<string,map<string,string>>, math boolean"
 
 
 def parse_docx_runs(parts: DataFrame) -> DataFrame:
-    """Runs of parts (path, part_name, part_bytes), paragraphs at any depth, in order; unknown children are non-text.
+    """Runs of parts (path, part_name, part_bytes), paragraphs at any depth, in order.
 
-    A part that is no XML gives no rows.
+    kind is run, hyperlink (a run in one) or non_text (a formula, drawing or object); runs of one hyperlink share their
+    block, and so do ordinary runs with nothing else between them. A part that is no XML gives no rows.
     """
     names = [c.split()[0] for c in RUN_COLUMNS.split(", ")]
 
@@ -117,9 +225,10 @@ def parse_docx_runs(parts: DataFrame) -> DataFrame:
         for batch in batches:
             for path, name, data in zip(batch["path"], batch["part_name"], batch["part_bytes"]):
                 try:
-                    rows = list(_runs_of(ElementTree.fromstring(bytes(data))))
-                except (ElementTree.ParseError, TypeError):
-                    rows = []
+                    found = _scan(_utf8(bytes(data)))
+                except (expat.ExpatError, TypeError, UnicodeDecodeError):
+                    found = []
+                rows = [(*r.about, r.run_no, r.block, r.kind, "" if r.special else "".join(r.text), r.special, r.rpr.pop("rStyle", {}).get("val"), r.rpr, r.math) for r in found]
                 if rows:
                     yield pd.DataFrame(rows, columns=names).assign(path=path, part_name=name)[["path", "part_name", *names]]
 
@@ -150,13 +259,19 @@ def parse_docx_styles(parts: DataFrame) -> DataFrame:
     return parts.filter("action = 'replace_styles'").select("path", "part_bytes").mapInPandas(run, schema)
 
 
-def assemble_docx(parts: DataFrame, texts: DataFrame) -> DataFrame:
-    """(path, content): packages with translated runs (path, part_name, para_no, run_no, text) put back.
+def assemble_docx(parts: DataFrame, texts: DataFrame, font_table: bytes | None = None, styles: bytes | None = None) -> DataFrame:
+    """(path, content): packages with translated runs (path, part_name, para_no, run_no, text) put back; a run whose text is
+    null goes, as its text stands in another one. font_table and styles replace those parts where they are given.
 
-    A part that can't be parsed keeps its bytes. All parts of one package meet in a task: a package is one file.
+    Only the bytes of the texts change: all else in a part, its declarations included, stays as it is, and so does a part
+    that can't be parsed. All parts of one package meet in a task: a package is one file.
     """
     given = F.collect_list(F.struct("para_no", "run_no", F.col("text").alias("t")))
-    joined = parts.filter("status = 'ok'").join(texts.groupBy("path", "part_name").agg(given.alias("texts")), ["path", "part_name"], "left")
+    data = F.col("part_bytes")
+    for action, new in (("replace_font_table", font_table), ("replace_styles", styles)):
+        if new is not None:
+            data = F.when(part_action(F.col("part_name")) == action, F.lit(bytearray(new))).otherwise(data)
+    joined = parts.filter("status = 'ok'").withColumn("part_bytes", data).join(texts.groupBy("path", "part_name").agg(given.alias("texts")), ["path", "part_name"], "left")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
@@ -164,32 +279,35 @@ def assemble_docx(parts: DataFrame, texts: DataFrame) -> DataFrame:
             for name, data, texts in rows.sort_values("part_no")[["part_name", "part_bytes", "texts"]].itertuples(index=False):
                 data = bytes(data)
                 if texts is not None and len(texts):
-                    data = _with_texts(data, {(x["para_no"], x["run_no"]): x["t"] for x in texts})
+                    data = with_texts(data, {(x["para_no"], x["run_no"]): x["t"] for x in texts})
                 z.writestr(name, data)
         return pd.DataFrame({"path": rows["path"].iloc[:1].to_list(), "content": [out.getvalue()]})
 
-    return joined.groupBy("path").applyInPandas(build, "path string, content binary")
+    return joined.select("path", "part_no", "part_name", "part_bytes", "texts").groupBy("path").applyInPandas(build, "path string, content binary")
 
 
-def _with_texts(data: bytes, texts: dict[tuple[int, int], str]) -> bytes:
+def with_texts(data: bytes, texts: dict[tuple[int, int], str | None]) -> bytes:
+    """A part with the texts of its runs, by (para_no, run_no), in place; runs whose text is None are taken out."""
+    data = _utf8(data)
     try:
-        root = ElementTree.fromstring(data)
-    except ElementTree.ParseError:
+        runs = _scan(data)
+    except expat.ExpatError:
         return data
-    for para_no, p in enumerate(root.iter(W + "p")):
-        run_no = 0
-        for child in p:
-            if child.tag == W + "pPr":
-                continue
-            for r in [x for x in child if x.tag == W + "r"] if child.tag == W + "hyperlink" else [child]:
-                text = texts.get((para_no, run_no))
-                run_no += 1
-                own = [x for x in r if x.tag == W + "t"]
-                if text is None or not own:
-                    continue
-                own[0].text = text
-                if text != text.strip(" "):
-                    own[0].set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
-                for x in own[1:]:
-                    r.remove(x)
-    return ElementTree.tostring(root, encoding="utf-8", xml_declaration=True)
+    edits: list[tuple[int, int, bytes]] = []
+    for r in runs:
+        where = (r.about[0], r.run_no)
+        if where not in texts or not r.texts and texts[where] is not None:
+            continue
+        if texts[where] is None:
+            edits.append((r.start, r.stop, b""))
+            continue
+        text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]", "", texts[where])
+        tag = re.match(rb"<([^\s/>]+)", data[r.texts[0][0] :])[1]
+        space = b' xml:space="preserve"' if text != text.strip(" ") else b""
+        edits.append((*r.texts[0], b"<" + tag + space + b">" + escape(text).encode() + b"</" + tag + b">"))
+        edits += [(a, b, b"") for a, b in r.texts[1:]]
+    out, at = [], 0
+    for a, b, new in sorted(edits):
+        out += [data[at:a], new]
+        at = b
+    return b"".join([*out, data[at:]])

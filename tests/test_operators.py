@@ -7,7 +7,7 @@ import re
 import zipfile
 
 import pytest
-from hypothesis import HealthCheck, given, settings, strategies as st
+from hypothesis import HealthCheck, Phase, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -65,9 +65,11 @@ def test_fences_and_translations(spark):
 
 
 def test_memory(spark, tmp_path):
-    (tmp_path / "m.json").write_text('{"k1": {"text": "one", "timestamp": "2024-01-01T00:00:00"}, "k2": "two", "k3": "' + "x" * 50000 + '"}')
-    held = memory.from_json_maps(spark, str(tmp_path / "m.json"), "2024-02-01")
-    assert {(r["cache_key"], r["text"], r["ts_raw"]) for r in held.collect()} == {("k1", "one", "2024-01-01T00:00:00"), ("k2", "two", "2024-02-01")}
+    (tmp_path / "m.json").write_text('{"k1": {"text": "one", "timestamp": "2024-01-01T00:00:00"}, "k2": "two", "k3": "' + "x" * 50000 + '", "k5": "{x} y", "k6": "{\\"text\\": 1}", "k7": 5, "k8": {"timestamp": "t"}}')
+    (tmp_path / "bad.json").write_text("no json")
+    held = memory.from_json_maps(spark, str(tmp_path / "*.json"), "2024-02-01")
+    assert {(r["cache_key"], r["text"], r["ts_raw"]) for r in held.collect()} == {("k1", "one", "2024-01-01T00:00:00"), ("k2", "two", "2024-02-01"), ("k5", "{x} y", "2024-02-01"), ("k6", '{"text": 1}', "2024-02-01"), ("k8", "", "t")}
+    held = held.filter("cache_key in ('k1', 'k2')")
     fresh = spark.createDataFrame([("k1", "s", "new", "2024-03-01"), ("k4", "s" * 20001, "long", "2024-03-01")], "cache_key string, source string, text string, ts_raw string")
     merged = {r["cache_key"]: r["text"] for r in memory.merge(held, fresh).collect()}
     assert merged == {"k1": "new", "k2": "two"}
@@ -83,12 +85,12 @@ def test_replies(spark):
     refusal = "Sorry, I cannot do that." + " " * 25
     assert len(refusal) == 49
     assert many(spark, validate.is_refusal(F.col("x")), [refusal, refusal + " ", "fine", None, "对不起"]) == [True, False, False, False, True]
-    tests = [("--", "x", "passthrough"), ("a", None, "error"), ("a", "I can't", "refusal"), ("a", "CRITICAL RULES of this very long prompt that was echoed back", "echo"), ("a <placeholder>", "b", "mismatch"), ("a", "abc", "short"), ("a", "a long enough reply", "ok")]
+    tests = [("--", "x", "passthrough"), ("a", None, "error"), ("a", ' "` ', "empty"), ("a", " " * 60 + "sorry", "refusal"), ("a", "Here you are: You are a professional translation engine and so on", "echo"), ("a", "I can't", "refusal"), ("a", "CRITICAL RULES of this very long prompt that was echoed back", "echo"), ("a <placeholder>", "b", "mismatch"), ("a", "abc", "short"), ("a", "a long enough reply", "ok")]
     rows = spark.createDataFrame([(k, s, r) for k, (s, r, _) in enumerate(tests)], "k int, s string, r string").orderBy("k")
     assert [r[0] for r in rows.select(validate.status(F.col("s"), F.col("r"), least=10)).collect()] == [t[2] for t in tests]
-    replies = [(1, 0, "src", "CRITICAL RULES are repeated in this long reply of the model"), (1, 1, "src", '"good"'), (2, 0, "src", "sorry"), (2, 1, "src", "good"), (3, 0, "src", None), (3, 1, "src", None), (4, 3, "src", "late")]
+    replies = [(1, 0, "src", "CRITICAL RULES are repeated in this long reply of the model"), (1, 1, "src", '"good"'), (2, 0, "src", "sorry"), (2, 1, "src", "good"), (3, 0, "src", None), (3, 1, "src", None), (4, 3, "src", "late"), (5, 0, "src", "  "), (5, 1, "src", "second"), (6, 0, "src", "")]
     got = {r["unit_id"]: (r["attempt"], r["status"], r["final_text"]) for r in validate.first_valid_attempt(spark.createDataFrame(replies, "unit_id int, attempt int, src string, reply string")).collect()}
-    assert got == {1: (1, "ok", "good"), 2: (None, "refusal", "src"), 3: (None, "error", "src")}
+    assert got == {1: (1, "ok", "good"), 2: (None, "refusal", "src"), 3: (None, "error", "src"), 5: (1, "ok", "second"), 6: (None, "empty", "src")}
     bodies = [(200, '{"choices": [{"message": {"content": " hi "}, "finish_reason": "length"}], "usage": {"total_tokens": 5}}'), (500, ""), (200, '{"error": {"m": 1}}'), (200, '{"choices": []}'), (200, "no json")]
     parsed = validate.parse_responses(spark.createDataFrame([(k, 0, c, b) for k, (c, b) in enumerate(bodies)], "unit_id int, attempt int, status_code int, body string")).orderBy("unit_id").collect()
     assert [(r["outcome"], r["reply"], r["truncated"], r["total_tokens"]) for r in parsed] == [("ok", "hi", True, 5), ("http_error", None, False, None), ("api_error", None, False, None), ("no_choices", None, False, None), ("no_choices", None, False, None)]
@@ -97,53 +99,37 @@ def test_replies(spark):
 # -- LaTeX
 
 
-def brute_protect(text):
-    found, count = [], 0
-    for pattern, prefix in latex.PATTERNS:
-        for m in reversed(list(re.finditer(pattern, text, re.S | re.M))):
-            name = f"<{prefix}_{count}>"
-            found.append((name, m[0]))
-            text = text[: m.start()] + name + text[m.end() :]
-            count += 1
-    return text, found
-
-
-def brute_chunks(text, most):
-    out, cur = [], ""
-    for p in [x for x in (re.sub(r"\A\s+|\s+\Z", "", y) for y in re.split(r"\n\s*\n", text)) if x]:
-        if len(cur) + len(p) + 2 < most:
-            cur = f"{cur}\n\n{p}" if cur else p
-            continue
-        if cur:
-            out.append(cur)
-        cur = p
-        if len(p) > most:
-            cur = ""
-            for s in re.split(r"(?<=[.!?])\s+", p):
-                if len(cur) + len(s) < most:
-                    cur = f"{cur} {s}" if cur else s
-                else:
-                    if cur:
-                        out.append(cur)
-                    cur = s
-    if cur:
-        out.append(cur)
-    return out or [""]
+def test_placeholder_numbers(spark):
+    """One counter from 1 over all patterns, the last match of a pattern first; later spans may hold earlier placeholders."""
+    text = "\\ref{a} \\cite[p]{b} \\ref{c} \\newcommand{\\x}{\\ref{d}} \\label{e}"
+    docs = spark.createDataFrame([(1, text, "kept", "clash"), (2, "plain", "k", "c"), (3, None, "k", "c"), (4, "<REF_1> \\ref{z} <REF_9> <X_0>", "k", "c")], "doc_id int, text string, t string, m string")
+    rows = {r["doc_id"]: r for r in latex.protect(docs).withColumn("back", latex.restore(F.col("text"), F.col("placeholders"))).collect()}
+    assert rows[1]["text"] == "<REF_4> <CITE_1> <REF_3> <NEWCOMMAND_6> <LABEL_5>"
+    assert [tuple(p) for p in rows[1]["placeholders"]] == [
+        ("<CITE_1>", "\\cite[p]{b}"), ("<REF_2>", "\\ref{d}"), ("<REF_3>", "\\ref{c}"), ("<REF_4>", "\\ref{a}"), ("<LABEL_5>", "\\label{e}"), ("<NEWCOMMAND_6>", "\\newcommand{\\x}{<REF_2>}"),
+    ]
+    assert (rows[1]["back"], rows[1]["t"], rows[1]["m"]) == (text, "kept", "clash")
+    assert (rows[2]["text"], list(rows[2]["placeholders"]), rows[2]["back"], rows[3]["text"], rows[3]["back"]) == ("plain", [], "plain", None, None)
+    assert rows[4]["text"] == "<REF_1> <REF_1> <REF_9> <X_0>"  # what looks like a placeholder and is none stays, unless it names one
 
 
 TEX = st.lists(st.sampled_from(["\\cite[p]{a}", "\\ref{x}", "text. ", "More text! ", "\n\n", "\n", "\\newcommand{\\y}{\\ref{z}}", "\\documentclass[a]{b}", "é第", " ", "{}", "\\label{q}", "word "]), max_size=25).map("".join)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=12, deadline=None, phases=[Phase.generate], suppress_health_check=list(HealthCheck))
 @given(st.lists(TEX, min_size=5, max_size=25))
-def test_latex_against_brute_force(spark, texts):
+def test_latex_properties(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     rows = latex.protect(docs).withColumn("back", latex.restore(F.col("text"), F.col("placeholders"))).withColumn("chunks", latex.chunks(F.col("text"), 30)).collect()
     for r in rows:
-        want, found = brute_protect(texts[r["doc_id"]])
-        assert (r["text"], [tuple(p) for p in r["placeholders"]]) == (want, found)
-        assert r["back"] == texts[r["doc_id"]]
-        assert r["chunks"] == brute_chunks(want, 30)
+        text, names = texts[r["doc_id"]], [p["placeholder"] for p in r["placeholders"]]
+        assert r["back"] == text
+        assert [int(re.search(r"\d+", n)[0]) for n in names] == list(range(1, len(names) + 1))
+        assert not any(x in r["text"] for x in ("\\cite", "\\ref", "\\label", "\\documentclass[a]{b}"))
+        # chunks: all words in order; short but for single sentences
+        chunks, words = r["chunks"], r["text"].split()
+        assert " ".join(chunks).split() == words and (words or chunks == [""])
+        assert all(len(c) < 32 or not re.search(r"[.!?]\s|\n\n", c) for c in chunks)
 
 
 def test_style_protection_and_typed_lines(spark):
@@ -176,10 +162,10 @@ def test_tex_blocks(spark):
 
 
 def test_files(spark):
-    files = spark.createDataFrame([("d/m.tex", "\\input{a} \\include{b.tex} \\usepackage[x]{p, q}\\documentclass{k}\\input{/z/r.sty}")], "path string, content string")
+    files = spark.createDataFrame([("d/m.tex", "\\input{ a } \\input{fig.v2} \\include{b.tex} \\usepackage[x]{p, q}\\documentclass{k}\\input{/z/r.sty}")], "path string, content string")
     listing = spark.createDataFrame([("d/a.tex",), ("d/p.sty",)], "path string")
     got = {(r["dst"], r["found"]) for r in graph.resolve_refs(graph.file_refs(files), listing).collect()}
-    assert got == {("d/a.tex", True), ("d/b.tex", False), ("/z/r.sty", False)}
+    assert got == {("d/a.tex", True), ("d/fig.v2.tex", False), ("d/b.tex", False), ("/z/r.sty.tex", False)}
     got = {(r["kind"], r["dst"], r["found"]) for r in graph.resolve_refs(graph.style_refs(files), listing, "").collect()}
     assert got == {("package", "d/p.sty", True), ("package", "d/q.sty", False), ("class", "d/k.cls", False), ("input", "/z/r.sty", False)}
     nodes = spark.createDataFrame([(k,) for k in range(5)], "node int")
@@ -213,6 +199,14 @@ DOCUMENT = f"""<w:document {W}><w:body><w:p><w:pPr><w:pStyle w:val="kid"/></w:pP
 STYLES = f'<w:styles {W}><w:style w:type="paragraph" w:styleId="kid"><w:name w:val="Kid"/><w:basedOn w:val="base"/><w:rPr><w:sz w:val="24"/></w:rPr></w:style><w:style/></w:styles>'
 
 
+def test_chunk_packing(spark):
+    """Paragraphs stay together while they fit below the limit with the joiner; long ones are cut into sentences."""
+    texts = ["aaa\n\nbbb", "a" * 14 + "\n\n" + "b" * 13, "a" * 14 + "\n\n" + "b" * 14, "One. " * 9, "a\n\n" + "Long one here. " * 3 + "\n\nz", "x" * 50, "", " \n \n "]
+    want = [["aaa\n\nbbb"], ["a" * 14 + "\n\n" + "b" * 13], ["a" * 14, "b" * 14], ["One. One. One. One. One. One.", "One. One. One."], ["a", "Long one here. Long one here.", "Long one here.\n\nz"], ["x" * 50], [""], [""]]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "k int, x string").orderBy("k").select(latex.chunks(F.col("x"), 30)).collect()]
+    assert got == want
+
+
 @pytest.fixture
 def packages(spark):
     out = io.BytesIO()
@@ -229,13 +223,13 @@ def test_word_packages(spark, packages):
     }
     runs = documents.parse_docx_runs(parts.filter("action = 'process'"))
     got = [(r["para_no"], r["run_no"], r["kind"], r["text"], r["special"]) for r in runs.orderBy("para_no", "run_no").collect()]
-    assert got == [(0, 0, "run", "Hello ", False), (0, 1, "run", "world", False), (0, 2, "non_text", "", True), (0, 3, "run", "", True), (0, 4, "hyperlink", "li", False), (0, 5, "hyperlink", "nk", False), (1, 0, "run", "cell", False)]
+    assert got == [(0, 0, "run", "Hello ", False), (0, 1, "run", "world", False), (0, 2, "run", "", True), (0, 3, "hyperlink", "li", False), (0, 4, "hyperlink", "nk", False), (1, 0, "run", "cell", False)]
     style = documents.parse_docx_styles(parts).collect()
     assert [(s["style_id"], s["based_on"], s["direct_size"]) for s in style] == [("kid", "base", 24)]
-    keyed = runs.withColumn("style_key", F.concat("kind", styles.map_key(F.col("rpr"))))
+    keyed = runs.withColumn("style_key", styles.run_key())
     segments = styles.merge_adjacent_runs(keyed, ["path", "part_name", "para_no"])
     model = {r["para_no"]: r["text_for_model"] for r in styles.build_model_text(segments, ["path", "part_name", "para_no"]).collect()}
-    assert model == {0: "Hello world【SEG】<placeholder>【SEG】<placeholder>【SEG】link", 1: "cell"}
+    assert model == {0: "Hello world【SEG】<placeholder>【SEG】link", 1: "cell"}
     texts = spark.createDataFrame([("a.docx", "word/document.xml", 1, 0, "Zelle ")], "path string, part_name string, para_no int, run_no int, text string")
     made = documents.assemble_docx(parts, texts).collect()
     assert len(made) == 1
@@ -244,6 +238,101 @@ def test_word_packages(spark, packages):
         assert "Zelle </" in z.read("word/document.xml").decode() and z.read("word/bad.xml") == b"<open>"
 
 
+RICH = f"""<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
+<w:document {W} xmlns:w14="urn:fourteen" xmlns:mc="urn:mc" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" mc:Ignorable="w14"><w:body><w:p w14:id="1"><w:pPr><w:jc w:val="left"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t xml:space="preserve">One </w:t></w:r><w:bookmarkStart w:id="0"/><w:r><w:rPr><w:b/></w:rPr><w:t>two</w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:tab/><w:t>three &amp; more</w:t></w:r><m:oMath><m:r><m:t>x</m:t></m:r></m:oMath><w:hyperlink w:x="a&gt;b"><w:r><w:t>go</w:t></w:r><w:r><w:rPr><w:i/></w:rPr><w:t/><w:t> there</w:t></w:r></w:hyperlink><w:hyperlink><w:r><w:t>here</w:t></w:r></w:hyperlink></w:p><w:p><w:r><w:pict><w:txbx><w:p><w:r><w:t>boxed</w:t></w:r></w:p></w:txbx></w:pict></w:r><w:r><w:t>after</w:t></w:r></w:p><w:p><w:r><w:t>--</w:t></w:r><w:r/></w:p></w:body></w:document>"""
+
+
+def test_word_path(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in (("word/document.xml", RICH), ("word/glossary/document.xml", RICH.encode("utf-16") if False else RICH.replace("two", "TWO")), ("word/styles.xml", STYLES), ("word/fontTable.xml", "<f/>"), ("word/bad.xml", "<open>"), ("other.bin", b"\0\1")):
+            z.writestr(name, data)
+    packages = spark.createDataFrame([("a.docx", bytearray(out.getvalue())), ("b.docx", bytearray(b"no zip"))], "path string, content binary")
+    held = spark.createDataFrame([], "cache_key string, text string, ts_raw string")
+    same, kept, report = translate.translate_docx(packages, held, lambda x: x, "m", "d", "2024-01-01")
+    rows = {r["path"]: r for r in same.collect()}
+    assert (rows["b.docx"]["status"], bytes(rows["b.docx"]["content"])) == ("bad_package", b"no zip")
+    with zipfile.ZipFile(io.BytesIO(bytes(rows["a.docx"]["content"]))) as z:
+        assert z.read("word/document.xml").decode() == RICH and z.read("word/bad.xml") == b"<open>" and z.read("other.bin") == b"\0\1"
+    assert report.first()["misses"] == 4 and kept.count() == 4
+
+    def shout(texts):
+        return texts.map(lambda t: T.SEGMENT.join(p if p == T.PLACEHOLDER else f"<{p}> " for p in t.split(T.SEGMENT)))
+
+    made, _, _ = translate.translate_docx(packages, held, shout, "m", "d", "2024-01-01", font_table=b"<fonts/>", style_sheet=b"<styles/>")
+    with zipfile.ZipFile(io.BytesIO(bytes(made.filter("status = 'ok'").first()["content"]))) as z:
+        document = z.read("word/document.xml").decode()
+        assert z.read("word/fontTable.xml") == b"<fonts/>" and z.read("word/styles.xml") == b"<styles/>" and "TWO" in z.read("word/glossary/document.xml").decode()
+    want = RICH.replace('<w:t xml:space="preserve">One </w:t>', "<w:t>&lt;One &gt;</w:t>").replace("<w:t>two</w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:tab/><w:t>three &amp; more</w:t></w:r>", '<w:t xml:space="preserve">&lt;twothree &amp; more&gt; </w:t></w:r>')
+    want = want.replace("<w:t>go</w:t></w:r><w:r><w:rPr><w:i/></w:rPr><w:t/><w:t> there</w:t></w:r>", '<w:t xml:space="preserve">&lt;go there&gt; </w:t></w:r>').replace("<w:t>here</w:t>", "<w:t>&lt;here&gt;</w:t>")
+    want = want.replace("<w:t>boxed</w:t>", "<w:t>&lt;boxed&gt;</w:t>").replace("<w:t>after</w:t>", "<w:t>&lt;after&gt;</w:t>")
+    # the last part of a reply is stripped; one that was not last keeps its space
+    want = want.replace("<w:t>&lt;One &gt;</w:t>", '<w:t xml:space="preserve">&lt;One &gt; </w:t>')
+    assert document == want
+
+
+def test_style_file_and_project_paths(spark):
+    held = spark.createDataFrame([], "cache_key string, text string, ts_raw string")
+
+    def groups(texts):
+        """Translates numbered blocks; drops the parting of one that holds `odd`, fails on `bad`."""
+        def one(t):
+            if "bad" in t:
+                raise RuntimeError
+            if not t.startswith("【块"):
+                return "" if "empty" in t else t.replace("第", "No").strip()
+            bodies = [re.sub("^【块\\d+】\\n", "", p) for p in t.split("\n\n【块")]
+            bodies = [p.partition("\n")[2] if k else p for k, p in enumerate(bodies)]
+            return ("" if "odd" in t else "---").join(p.replace("第", "Chapter").strip() for p in bodies)
+        return texts.map(one)
+
+    files = [("a", "\\def\\x{第\\y}\n% 注 kept\n\n\n\n\n\\newtheorem{t}{第}\nplain"), ("b", "\\def\\x{第 odd}\nplain 第\nempty 第"), ("c", "\\def\\x{第 bad}"), ("d", "nothing\n\n\n\n\nhere"), ("e", None), ("f", "")]
+    out, report = translate.translate_style_files(spark.createDataFrame(files, "doc_id string, text string"), groups)
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got["a"] == "\\def\\x{Chapter \\y}\n% 注 kept\n\n\n\\newtheorem{t}{Chapter}\nplain"
+    assert got["b"] == "\\def\\x{No odd}\nplain No\nempty 第" and got["c"] == files[2][1] and got["d"] == files[3][1] and got["e"] is None and got["f"] == ""
+    assert {r["doc_id"]: (r["blocks_found"], r["blocks_translated"]) for r in report.collect()} == {"a": (2, 2), "b": (3, 2), "c": (1, 0), "d": (0, 0), "e": (0, 0), "f": (0, 0)}
+
+    listing = [("p/main.tex", "\\documentclass{article}\\documentclass{own}\\usepackage{deep}\n\n\\begin{document} Text of main. \\input{ch/one}"), ("p/ch/one.tex", "Text of one, \\input{two} here."), ("p/ch/two.tex", "Text of two, ends. \\include{/p/main}"), ("p/own.cls", "\\def\\x{第}"), ("p/deep.sty", None), ("p/pic.png", "bytes"), ("p/.git/x", "h"), ("p/main.log", "l"), ("p/alone.tex", "Not reached.")]
+    frame = spark.createDataFrame(listing, "path string, text string")
+    mains = spark.createDataFrame([("p/main.tex",), ("p/lost.tex",)], "path string")
+    out, _, report = translate.translate_project(frame, mains, held, lambda x: x.str.replace("Text", "Satz").str.replace("第", "No"), "m", "en-to-zh", "2024-01-01", style_files=True, fonts="F")
+    got = {r["path"]: (r["action"], r["text"]) for r in out.collect()}
+    assert set(got) == {"p/main.tex", "p/ch/one.tex", "p/own.cls", "p/deep.sty", "p/pic.png", "p/alone.tex", "p/ch/two.tex"}
+    assert got["p/main.tex"] == ("translate", "\\documentclass{ctexart}\\documentclass{own}\\usepackage{deep}\n\nF\\begin{document} Satz of main. \\input{ch/one}")
+    assert got["p/ch/one.tex"] == ("translate", "Satz of one, \\input{two} here.") and got["p/own.cls"][0] == "translate" and got["p/pic.png"] == ("copy", "bytes") and got["p/alone.tex"][0] == "copy"
+    assert [tuple(r) for r in report.select("project", "succeeded", "total", "ok").collect()] == [("p/main.tex", 4, 5, False)]
+
+
+def test_attempts_and_failing_units(spark):
+    """Failures stay with their unit, blank and echoing replies are asked for again, nothing is lost."""
+    held = spark.createDataFrame([("k", "old", "2020-01-01")], "cache_key string, text string, ts_raw string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def moody(texts):
+        if len(texts) > 1 and any("poison" in t for t in texts):
+            raise RuntimeError
+        calls.add(len(texts))
+        return texts.map(lambda t: None if "poison" in t else "" if "blank" in t else "Sorry, I cannot" if "refuse" in t else "CRITICAL RULES" if "echo" in t else f"T {t}")
+
+    lines = ["fine one", "poison", "blank one", "refuse this", "echo this", "fine two", "--", "a <placeholder> b"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, ""), (4, "fine one")], "doc_id int, text string")
+    out, kept, report = translate.translate_markdown(docs, held, moody, "m", "d", "2024-01-01")
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got == {1: "\n".join(["T fine one", "poison", "blank one", "refuse this", "echo this", "T fine two", "--", "T a <placeholder> b"]), 2: None, 3: "", 4: "T fine one"}
+    assert {r["text"] for r in kept.collect()} == {"T fine one", "T fine two", "T a <placeholder> b"}  # the expired entry has gone
+    assert report.first()["misses"] == 8 and calls.value >= 3 * 3 + 4
+    tex, _, report = translate.translate_latex(docs, held, moody, "m", "d", "2024-01-01")
+    assert {r["doc_id"]: r["text"] for r in tex.collect()}[2] is None and report.count() == 4
+
+
+def test_long_chains(spark):
+    rows = [("x", f"s{k}", f"s{k + 1}" if k < 80 else None, {"sz": {"val": "9"}} if k == 80 else None) for k in range(81)]
+    frame = spark.createDataFrame(rows, "path string, style_id string, based_on string, rpr map<string,map<string,string>>").filter("style_id in ('s0') or cast(substr(style_id, 2) as int) > 0").coalesce(1)
+    deepest = styles.style_chain(frame).filter("style_id = 's0'").agg(F.max("depth")).first()[0]
+    assert deepest == 80
+
+
 def test_reading(spark, tmp_path):
     (tmp_path / "a.md").write_bytes(b"a\r\nb\xffc\rd")
     assert documents.read_text_documents(spark, str(tmp_path / "a.md"), drop_bad_bytes=True).first()["text"] == "a\nbc\nd"
