@@ -29,6 +29,8 @@ RUNS = ((2, 5, 15), (3, 12, None))
 #: Runs of each kind that a line is found by. Two lines of up to 14 words always share one of them, as two edits touch four runs
 #: at most. First come runs without short words, which are seldom those of unlike lines; words count as long from LONG bytes on.
 KEYS, LONG = 5, 6
+#: Longs of the odd sketch of a line.
+ODD = 8
 #: Ids of a block beyond which it is dealt out by parts; of a bucket up to which its pairs are looked at; rows gathered in a task.
 FULL_BLOCK, SMALL_BUCKET, GATHER = 1 << 18, 32, 1 << 17
 #: Bits of the filter that keeps most lines out of the second pass; of fixed size, and only ever lets too many pass.
@@ -72,12 +74,12 @@ def _simhashes(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.packbits(2 * votes > (stops - starts)[:, None], axis=1).view(np.uint64).ravel()
 
 
-def _odd(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Odd sketch of each line's words, 128 bits in two halves: one edit of a word flips two of them at most."""
+def _odd(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Odd sketch of each line's words, ODD words of 64 bits: one edit of a word flips two bits at most."""
     starts = np.concatenate([[0], ends[:-1]])
     one = np.uint64(1) << ((hashes >> np.uint64(7)) & np.uint64(63))
-    half = (hashes >> np.uint64(13)) & np.uint64(1)
-    return tuple(np.bitwise_xor.reduceat(np.where(half == k, one, np.uint64(0)), starts) for k in (0, 1))
+    place = (hashes >> np.uint64(13)) & np.uint64(ODD - 1)
+    return np.stack([np.bitwise_xor.reduceat(np.where(place == k, one, np.uint64(0)), starts) for k in range(ODD)], axis=1)
 
 
 def run_keys(hashes: np.ndarray, ends: np.ndarray, sizes: np.ndarray, kinds: tuple = RUNS, most: int = KEYS) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +148,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, content, line, h, sim, n, o, p, runs) of every non-blank line: hashes of the text it stands in and of its words,
+    """(id, content, line, h, sim, n, odd, runs) of every non-blank line: hashes of the text it stands in and of its words,
     SimHash, number of words, odd sketch, keys of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,14 +157,15 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if len(row):
                     at = pa.array(row)
                     keys, stops = run_keys(hashes, ends, sizes)
+                    odd = pa.ListArray.from_arrays(pa.array(np.arange(0, ODD * len(row) + 1, ODD, dtype=np.int32)), pa.array(_odd(hashes, ends).view(np.int64).ravel()))
                     runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(keys.view(np.int64)))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(at), batch.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(_line_hashes(hashes, ends).view(np.int64)), pa.array(_simhashes(hashes, ends).view(np.int64)),
-                         pa.array(np.diff(np.concatenate([[0], ends])).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in _odd(hashes, ends)), runs],
-                        ["id", "content", "line", "h", "sim", "n", "o", "p", "runs"],
+                         pa.array(np.diff(np.concatenate([[0], ends])).astype(np.int32)), odd, runs],
+                        ["id", "content", "line", "h", "sim", "n", "odd", "runs"],
                     )
 
-    return _named(docs, id_col, text_col).mapInArrow(run, "id long, content long, line int, h long, sim long, n int, o long, p long, runs array<long>")
+    return _named(docs, id_col, text_col).mapInArrow(run, "id long, content long, line int, h long, sim long, n int, odd array<long>, runs array<long>")
 
 
 def _spellings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -204,23 +207,26 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     id is the smallest long where the document's is null. Rows of one id with equal texts count as one row.
     """
     lines = line_hashes(docs, id_col, text_col)
-    first = F.min(F.struct("id", "content", "line", "sim", "n", "o", "p", "runs")).alias("at")
-    classes = cut(lines.groupBy("h").agg(first).select(F.col("h").alias("id"), F.struct("at.id", "at.content", "at.line").alias("at"), *[f"at.{c}" for c in ("sim", "n", "o", "p", "runs")]))
-    buckets = cut(near_buckets(classes, radius).union(run_buckets(classes, similarity)))
-    wanted = cut(buckets.select("id").distinct())
-    sims = cut(classes.select("id", "sim", "n", "o", "p").join(wanted, "id"))
+    first = F.min(F.struct("id", "content", "line", "sim", "n", "odd", "runs")).alias("at")
+    classes = cut(lines.groupBy("h").agg(first).select(F.col("h").alias("id"), F.struct("at.id", "at.content", "at.line").alias("at"), *[f"at.{c}" for c in ("sim", "n", "odd", "runs")]))
+    met = cut(near_buckets(classes, radius).union(run_buckets(classes, similarity)))
+    pairs, crowded = met.filter("key is null").select("a", "b").distinct(), met.filter("key is not null").select("key", F.col("a").alias("id")).distinct()
+    wanted = cut(met.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct())
+    sims = cut(classes.select("id", "sim", "n", "odd").join(wanted, "id"))
     spelled = cut(_spellings(docs, wanted, id_col, text_col))
 
     def alike(xa, ya, xb, yb):
         """SimHashes are near, and so are odd sketches: words in only one of two lines flip one parity each, and an edit of a word leaves two such words at most."""
-        apart = F.bit_count(ya[0].bitwiseXOR(yb[0])) + F.bit_count(ya[1].bitwiseXOR(yb[1]))
-        return (F.bit_count(ya[2].bitwiseXOR(yb[2])) <= FAR) & (apart <= 2 * F.floor(F.greatest(xa, xb) * F.lit(1 - similarity) + 1e-9))
+        apart = sum((F.bit_count(ya[k].bitwiseXOR(yb[k])) for k in range(1, ODD + 1)), F.lit(0))
+        return (F.bit_count(ya[0].bitwiseXOR(yb[0])) <= FAR) & (apart <= 2 * F.floor(F.greatest(xa, xb) * F.lit(1 - similarity) + 1e-9))
+
+    sketch = F.concat(F.array("sim"), "odd")
 
     def bound(ids: DataFrame) -> tuple[DataFrame, object]:
-        return sims.join(ids, "id", "left_semi").select("id", F.col("n").alias("x"), F.array("o", "p", "sim").alias("y")), alike
+        return sims.join(ids, "id", "left_semi").select("id", F.col("n").alias("x"), sketch.alias("y")), alike
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sides = [sims.select(F.col("id").alias(c), F.col("n").alias(f"x{c}"), F.array("o", "p", "sim").alias(f"y{c}")) for c in "ab"]
+        sides = [sims.select(F.col("id").alias(c), F.col("n").alias(f"x{c}"), sketch.alias(f"y{c}")) for c in "ab"]
         near = pairs.join(sides[0], "a").join(sides[1], "b").filter(alike(*[F.col(c) for c in ("xa", "ya", "xb", "yb")])).select("a", "b")
         one, two = (spelled.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
         return near.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(near_words, "a long, b long")
@@ -234,48 +240,62 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
                 good.append(edits(x, y, most) <= most)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    found = link(buckets, verify, bound)
+    found = link(crowded, verify, bound, cut(verify(pairs)))
     grouped = classes.join(found, "id", "left").select(F.coalesce("component", "id").alias("group"), "at")
     stay = grouped.groupBy("group").agg(F.min("at").alias("at")).select("at.*")
     return stay.groupBy("id", "content").agg(F.array_sort(F.collect_list("line")).alias("stay"))
 
 
-def run_buckets(classes: DataFrame, similarity: float = SIMILARITY, far: int = FAR) -> DataFrame:
-    """(key, id): buckets of ids (id, sim, n, o, p, runs) that share the key of a run.
+_MET = "a long, b long, key long"
 
-    Ids of small buckets stay only if another one of the bucket is near enough by SimHash and odd sketch; the ids of
-    large buckets all stay, and pass through a task one batch after the other.
-    """
+
+def _met(a: np.ndarray, b: np.ndarray | None = None, keys: np.ndarray | None = None) -> pa.RecordBatch:
+    """Pairs a < b, or members a of large buckets with their keys."""
+    none = pa.nulls(len(a), pa.int64())
+    low, high = (a, None) if b is None else (np.minimum(a, b), np.maximum(a, b))
+    return pa.RecordBatch.from_arrays([pa.array(low), none if b is None else pa.array(high), none if keys is None else pa.array(keys)], ["a", "b", "key"])
+
+
+def _pairs(keys: np.ndarray, ids: np.ndarray, near: Callable) -> Iterator[pa.RecordBatch]:
+    """What sorted keys bring together: pairs of small buckets that are near (positions, and how far apart), large buckets whole."""
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    size = np.repeat(np.diff(edge), np.diff(edge))
+    large = size > SMALL_BUCKET
+    if large.any():
+        yield _met(ids[large], keys=keys[large])
+    for d in range(1, min(SMALL_BUCKET, len(keys))):
+        one = np.flatnonzero((keys[d:] == keys[:-d]) & ~large[d:])
+        if not len(one):
+            break
+        one = near(one, d)
+        yield _met(ids[one], ids[one + d])
+
+
+def run_buckets(classes: DataFrame, similarity: float = SIMILARITY, far: int = FAR) -> DataFrame:
+    """(a, b, key): pairs a < b of ids (id, sim, n, odd, runs) that share the key of a run and are near enough by SimHash and
+    odd sketch; the ids of large buckets (a, key) all stay, and pass through a task one batch after the other."""
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         waiting, full = 0, None
 
-        def out(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "id"])
-
-        def solve(rows: np.ndarray) -> pa.RecordBatch:
-            edge = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1], [True]]))
-            size = np.repeat(np.diff(edge), np.diff(edge))
-            rows, size = rows[:, size > 1], size[size > 1]
+        def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            twice = np.concatenate([rows[0, 1:] == rows[0, :-1], [False]])
+            rows = rows[:, twice | np.concatenate([[False], twice[:-1]])]
             keys, ids, sims, n, o, p = rows
             apart = lambda x, one, d: np.bitwise_count((x[one] ^ x[one + d]).view(np.uint64)).astype(np.int64)
-            near = size > SMALL_BUCKET
-            for d in range(1, min(SMALL_BUCKET, len(keys))):
-                one = np.flatnonzero((keys[d:] == keys[:-d]) & (size[d:] <= SMALL_BUCKET))
-                if not len(one):
-                    break
+
+            def near(one: np.ndarray, d: int) -> np.ndarray:
                 one = one[apart(sims, one, d) <= far]
-                most = np.floor(np.maximum(n[one], n[one + d]) * (1 - similarity) + 1e-9)
-                close = one[apart(o, one, d) + apart(p, one, d) <= 2 * most]
-                near[close] = near[close + d] = True
-            return out(keys[near], ids[near])
+                return one[apart(o, one, d) + apart(p, one, d) <= 2 * np.floor(np.maximum(n[one], n[one + d]) * (1 - similarity) + 1e-9)]
+
+            yield from _pairs(keys, ids, near)
 
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
             if full is not None:  # the bucket that has been found to be large goes on
                 stop = int(np.searchsorted(rows[0], full, side="right"))
-                yield out(rows[0, :stop], rows[1, :stop])
+                yield _met(rows[1, :stop], keys=rows[0, :stop])
                 rows = rows[:, stop:]
             if not rows.shape[1]:
                 continue
@@ -286,25 +306,27 @@ def run_buckets(classes: DataFrame, similarity: float = SIMILARITY, far: int = F
                 rows = np.concatenate(held, axis=1)
                 stop = int(np.searchsorted(rows[0], rows[0, -1]))  # the last bucket may go on in the next batch
                 if stop:
-                    yield solve(rows[:, :stop])
+                    yield from solve(rows[:, :stop])
                 held, waiting = [rows[:, stop:]], rows.shape[1] - stop
                 if waiting > SMALL_BUCKET:
-                    yield out(held[0][0], held[0][1])
+                    yield _met(held[0][1], keys=held[0][0])
                     full, held, waiting = held[0][0, -1], [], 0
         if waiting:
-            yield solve(np.concatenate(held, axis=1))
+            yield from solve(np.concatenate(held, axis=1))
 
-    keyed = classes.select(F.explode("runs").alias("key"), "id", "sim", "n", "o", "p").repartition("key").sortWithinPartitions("key")
-    return keyed.mapInArrow(thin, "key long, id long")
+    fold = lambda at: F.expr(" ^ ".join(f"odd[{k}]" for k in at))
+    light = classes.select("id", "sim", "n", fold(range(ODD // 2)).alias("o"), fold(range(ODD // 2, ODD)).alias("p"), "runs")
+    keyed = light.select(F.explode("runs").alias("key"), "id", "sim", "n", "o", "p").repartition("key").sortWithinPartitions("key")
+    return keyed.mapInArrow(thin, _MET)
 
 
 def near_buckets(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(key, id): buckets of ids whose SimHashes agree on a block and on a part of the rest, for radius + 1 blocks and parts.
+    """(a, b, key): pairs a < b of ids (id, sim) whose SimHashes differ in at most radius bits, and large buckets (a, key).
 
     Two SimHashes that differ in at most radius bits agree on one of radius + 1 blocks, and, as their other bits hold
     all that differs, on one of radius + 1 parts of those too. Blocks are what Spark deals out by; parts are grouped
     inside the task. A block that very many ids share makes a bucket of each of its parts instead, so no task gets it
-    whole. Ids of small buckets stay only if another one of the bucket is within the radius; large buckets stay whole.
+    whole. The pairs of small buckets are looked at in the task; large buckets stay whole.
     """
     count = radius + 1
     low = [64 * k // count for k in range(count + 1)]
@@ -336,28 +358,17 @@ def near_buckets(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
             ids, sims, t, g = rows
             sims = sims.view(np.uint64)
             for k in range(count):
-                at = np.arange(len(ids))
-                value = np.zeros(len(at), np.uint64)
+                value = np.zeros(len(ids), np.uint64)
                 for x in range(count):
                     mine = t == x
                     s = sims[mine]
                     r = (s & np.uint64((1 << low[x]) - 1)) | ((s >> np.uint64(low[x + 1]) if x + 1 < count else np.zeros_like(s)) << np.uint64(low[x]))
                     a, b = widths[x] * k // count, widths[x] * (k + 1) // count
                     value[mine] = (r >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
-                keys = grams.mix(grams.mix(value * np.uint64(count) + np.uint64(k)) + g[at].view(np.uint64))
+                keys = grams.mix(grams.mix(value * np.uint64(count) + np.uint64(k)) + g.view(np.uint64))
                 order = np.argsort(keys, kind="stable")
-                keys, at = keys[order], at[order]
-                edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-                size = np.repeat(np.diff(edge), np.diff(edge))
-                near = size > SMALL_BUCKET
-                own = sims[at]
-                for d in range(1, min(SMALL_BUCKET, len(keys))):
-                    one = np.flatnonzero((keys[d:] == keys[:-d]) & (size[d:] <= SMALL_BUCKET))
-                    if not len(one):
-                        break
-                    close = one[np.bitwise_count(own[one] ^ own[one + d]) <= radius]
-                    near[close] = near[close + d] = True
-                yield pa.RecordBatch.from_arrays([pa.array(keys[near].view(np.int64)), pa.array(ids[at[near]])], ["key", "id"])
+                own = sims[order]
+                yield from _pairs(keys[order].view(np.int64), ids[order], lambda one, d: one[np.bitwise_count(own[one] ^ own[one + d]) <= radius])  # noqa: B023
 
         waiting = 0
         for batch in batches:
@@ -373,8 +384,8 @@ def near_buckets(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held:
             yield from solve(np.concatenate(held, axis=1))
 
-    inside = few.select("id", "sim", "t", "g").repartition("g").sortWithinPartitions("g").mapInArrow(find, "key long, id long")
-    return inside.union(many.select(F.col("g").alias("key"), "id")).distinct()
+    inside = few.select("id", "sim", "t", "g").repartition("g").sortWithinPartitions("g").mapInArrow(find, _MET)
+    return inside.union(many.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("g").alias("key")))
 
 
 def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

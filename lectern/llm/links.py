@@ -11,7 +11,7 @@ from lectern.llm.store import cut
 #: Ids of a bucket that one task takes; a fuller bucket is dealt out over as many tasks, or pairs of them, as it needs.
 PART = 4096
 #: Ids of a bucket beyond which hubs are tried once more before all its pairs are, hubs a round, and rounds at most.
-CROWD, HUBS, ROUNDS = 64, 8, 4
+CROWD, HUBS, ROUNDS = 64, 8, 2
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def _parts(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / F.lit(PART))).cast("int")
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: Callable[[DataFrame], tuple[DataFrame, Callable]] | None = None) -> DataFrame:
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: Callable[[DataFrame], tuple[DataFrame, Callable]] | None = None, held: DataFrame | None = None) -> DataFrame:
     """(id, component) of the ids that verified links connect, among all pairs of (key, id) rows that share a key.
 
     No group's pairs are all formed: first each id is held against a hub of its buckets, the id whose buckets are the
@@ -58,8 +58,11 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: Ca
     Buckets of more than PART ids are dealt out by a hash of the id, and every two parts meet in a task of their own.
 
     `bound` may spare pairs that can't hold: given the ids still in question (column id) it returns a table of them with
-    columns x and y, and a condition on (xa, ya, xb, yb) that every pair that holds fulfils.
+    columns x and y, and a condition on (xa, ya, xb, yb) that every pair that holds fulfils. `held` are verified pairs that
+    are known beforehand.
     """
+    if held is not None and not buckets.limit(1).count():
+        return components(held)
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut(buckets.join(sizes, "key").distinct())
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
@@ -68,9 +71,10 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: Ca
     mine = shared.withColumn("part", F.pmod(F.xxhash64("id"), _parts(F.col("n"))).cast("int"))
     met = mine.join(spread, ["key", "part"]).filter("id != hub")
     tried = cut(met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
-    first = cut(verify(tried))
-    known = components(first)
-    edges = first
+    edges = cut(verify(tried))
+    if held is not None:
+        edges = edges.union(held)
+    known = components(edges)
 
     def apart() -> DataFrame:
         """(key, id, c, m, x, y) of the buckets that are in more than one component, m ids in each."""

@@ -198,15 +198,18 @@ def test_buckets_hold_all_near_pairs(spark, monkeypatch):
             sims.append(np.uint64(x))
     sims = np.array(sims, np.uint64).view(np.int64).tolist()
     frame = spark.createDataFrame([(k, v) for k, v in enumerate(sims)], "id long, sim long")
-    want = {(a, b) for a in range(len(sims)) for b in range(a) if bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1") <= 3}
+    want = {(b, a) for a in range(len(sims)) for b in range(a) if bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1") <= 3}
     for full, small in ((1 << 18, 32), (3, 32), (1 << 18, 2)):
         monkeypatch.setattr(lines, "FULL_BLOCK", full)
         monkeypatch.setattr(lines, "SMALL_BUCKET", small)
-        by = defaultdict(set)
+        by, met = defaultdict(set), set()
         for r in lines.near_buckets(frame).collect():
-            by[r["key"]].add(r["id"])
-        met = {(a, b) for v in by.values() for a in v for b in v if a > b}
-        assert want <= met and len(met) < 3 * len(want)
+            if r["key"] is None:
+                met.add((r["a"], r["b"]))
+            else:
+                by[r["key"]].add(r["a"])
+        assert small == 2 or full == 3 or not by and met == want
+        assert want <= met | {(a, b) for v in by.values() for a in v for b in v if a < b}
 
 
 def test_lines_are_taken_out(spark, none):
@@ -388,7 +391,7 @@ def test_mixing(spark, none):
         drawn[r["source"]] += r["n_tokens"]
         assert abs(r["weight"] - weight.get(r["source"], 0)) < 1e-9
     for s in share:
-        assert weight[s] * total - 7 <= drawn[s] <= weight[s] * total + 1e-6
+        assert abs(drawn[s] - weight[s] * total) <= 4  # half of the longest document, and the rounding
     assert max(weight[s] / share[s] for s in share) <= 3.0 + 1e-6
     assert mixing.mix(none).count() == 0
 
@@ -402,6 +405,12 @@ def test_mixing_limit_and_repeats(spark):
     assert tight["small"] in (19, 20) and 79 <= tight["big"] <= 80
 
 
+def test_a_source_of_one_long_document_is_drawn(spark):
+    docs = spark.createDataFrame([(k, "w " * 10, "big") for k in range(20)] + [(99, "w " * 300, "long")], "doc_id long, text string, source string")
+    drawn = Counter(r["source"] for r in mixing.mix(docs, target_entropy=1.0, max_repeats=None).collect())
+    assert drawn["long"] == 1 and drawn["big"] == 25
+
+
 def test_many_sources_are_joined_with_salts(docs, monkeypatch):
     few = sorted(map(tuple, mixing.mix(docs).collect()), key=str)
     monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
@@ -642,6 +651,26 @@ def test_groups_larger_than_a_neighbourhood_are_linked(spark):
         assert (vectors.range_search(unit, vectors._padded(lists), unit, np.float32(0.95), 32, own) & want).sum() >= 0.97 * want.sum()
 
 
+def test_clusters_are_split_until_they_fit(spark, monkeypatch):
+    """Many small groups in a table of many shards: clusters split level by level, no shard meets another, links are found."""
+    from lectern.llm import vectors
+
+    for name, value in (("SHARD", 60), ("AIM", 40), ("SAMPLE", 64), ("DRAW", 60), ("FAN", 4), ("TASK", 50)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(23)
+    x = (np.repeat(rng.normal(size=(400, 24)), 3, 0) + 0.08 * rng.normal(size=(1200, 24))).astype(np.float32)
+    x[1100:] = x[1099] + 0.05 * rng.normal(size=(100, 24))  # a dense group beyond a shard
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    levels = []
+    split = vectors._split
+    monkeypatch.setattr(vectors, "_split", lambda *a: levels.append(split(*a)) or levels[-1])
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    assert len(levels) > 2 and got[0]["audited_recall"] >= 0.97
+    assert sum(r["n_links"] for r in got.values()) >= 0.95 * near.sum() and all(got[k]["n_links"] <= near[k].sum() for k in range(1200))
+
+
 def test_shards_are_compared_exactly_if_the_search_finds_nothing(spark, monkeypatch):
     from lectern.llm import vectors
 
