@@ -2,7 +2,8 @@
 
 Token shares of the sources are raised to an exponent and normalised; the exponent is bisected to meet a target
 entropy or a repetition limit. The weights are realised by drawing whole permutations of a source's documents, one
-block after another, until its budget of tokens is used up; the last permutation is cut where the budget ends.
+block after another, until its budget of tokens is used up; the last permutation is cut where the budget ends, before or
+after the document that it ends in, whichever is nearer the budget.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ def plan(docs: DataFrame, target_entropy: float | None = 0.98, max_repeats: floa
     """(source, tokens, weight, epochs, cut, exponent): how often each source is drawn whole, and where the last draw ends.
 
     budget: tokens of the mixture, those of all documents by default. A document is in the cut draw if its place comes
-    before `cut`. Documents without tokens take part in whole draws only as their place says; sources without any
+    before `cut`; the document that the budget ends in counts if that is nearer the budget, or if its source had no draw else. Documents without tokens take part in whole draws only as their place says; sources without any
     token have weight 0 and one whole draw, as they cost nothing.
     """
     rows = stored(docs.select(*keyed(docs, id_col, text_col, source_col, seed)).groupBy("source", "place").agg(F.sum("n_tokens").alias("n")))
@@ -138,10 +139,13 @@ def plan(docs: DataFrame, target_entropy: float | None = 0.98, max_repeats: floa
         .join(edge, ["source", "block"])
         .withColumn("upto", F.col("before") + F.sum("n").over(by_place))
         .filter("upto > rest")
-        .groupBy("source").agg(F.min("place").alias("cut"))
+        .groupBy("source").agg(F.min(F.struct("place", "upto", "n")).alias("at"))
+        .select("source", F.col("at.place").alias("place"), F.col("at.upto").alias("upto"), (F.col("at.upto") - F.col("at.n")).alias("under"))
     )
+    nearer = (F.col("upto") - F.col("rest") < F.col("rest") - F.col("under")) | ((F.col("epochs") == 0) & (F.col("under") == 0) & (F.col("aim") > 0))
+    cut = F.when(nearer, F.concat("place", F.lit("~"))).otherwise(F.col("place"))  # places are hexadecimal and of one length
     # a source whose rest covers all its documents has been drawn whole already, up to rounding: nothing is left to cut
-    return stored(drawn.join(ends, "source", "left").select("source", "tokens", "weight", "epochs", F.coalesce("cut", F.lit("")).alias("cut"), F.lit(found.exponent).alias("exponent")))
+    return stored(drawn.join(ends, "source", "left").select("source", "tokens", "weight", "epochs", F.coalesce(cut, F.lit("")).alias("cut"), F.lit(found.exponent).alias("exponent")))
 
 
 def draws(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, keep: list[str] | None = None, blocks: int = BLOCKS) -> DataFrame:

@@ -1,7 +1,8 @@
 """Near-duplicate vectors through a robust-pruned flat graph.
 
 Equal vectors form a class. Classes are laid into overlapping clusters around centroids that are fitted on a bounded
-sample. In each shard of a cluster a graph is built whose neighbour lists are pruned robustly, the lists of a vector
+sample; clusters that hold more than a shard are split in the same way, level by level, so that there are as many clusters
+as the classes need, unless a cluster is dense: then its vectors are so near each other that splits would part links. In each shard of a cluster a graph is built whose neighbour lists are pruned robustly, the lists of a vector
 from all its shards are united, and every vector searches the shards of its clusters: greedily from the shard's medoid and
 from its own place, then through everything within range. What is found is verified in double precision, counted, and
 reduced to a forest before it leaves the task. Recall is audited against brute force on a sample of queries; the search is
@@ -20,8 +21,12 @@ from lectern.llm.store import cut
 LEAST = 0.95
 #: Vectors that centroids are fitted on at most, vectors that a cluster aims at, and those that a shard holds at most.
 SAMPLE, AIM, SHARD = 8192, 1200, 2048
-#: Queries of the recall audit, and the recall below which the search is widened.
-AUDIT, RECALL = 256, 0.97
+#: Vectors of a cluster that its split is fitted on about, clusters that it is split into at most, vectors that one task assigns.
+DRAW, FAN, TASK = 2048, 64, 50_000
+#: Share of linked pairs among those drawn from a cluster from which on it is dense.
+DENSE = 0.02
+#: Queries of the recall audit, the recall below which the search is widened, and that which must be reached at last.
+AUDIT, RECALL, ENOUGH = 256, 0.97, 0.9
 #: (clusters of each vector, width of the beam), tried in turn.
 WIDTHS = ((2, 32), (4, 64), (8, 128))
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
@@ -231,12 +236,19 @@ def _search(classes: DataFrame, n: int, least: float, overlap: int, beam: int |
                 out[k] = sorted(int(y) for y in x)
         return pd.Series(out)
 
-    laid = cut(classes.withColumn("clusters", nearest("v")))
-    member = laid.withColumn("cluster", F.explode("clusters")).withColumn("dim", F.size("v"))
-    # a row for each cluster: at most as many as the sample allows; clusters beyond a shard are dealt out by a hash
+    laid = cut(classes.withColumn("dim", F.size("v")).withColumn("clusters", nearest("v")))
+    member = laid.withColumn("cluster", F.explode(F.transform("clusters", lambda x: x.cast("long")))).drop("clusters")
+    level = 0
+    while True:
+        level += 1
+        split = _split(member, least, overlap, level, classes.schema["id"].dataType.simpleString())
+        if split is None:
+            break
+        member = split
+    paths = member.groupBy("id").agg(F.array_sort(F.collect_list("cluster")).alias("clusters"))  # overlap for each level at most
     sizes = member.groupBy("dim", "cluster").agg(F.count("*").alias("members"))
     parts = F.ceil(F.col("members") / F.lit(SHARD)).cast("int").alias("parts")
-    member = member.join(sizes.select("dim", "cluster", parts), ["dim", "cluster"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    member = member.join(paths, "id").join(sizes.select("dim", "cluster", parts), ["dim", "cluster"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["id"].to_numpy()
@@ -293,6 +305,47 @@ def _search(classes: DataFrame, n: int, least: float, overlap: int, beam: int |
     return results.filter("to is null").groupBy("id").agg(F.sum("found").alias("found")), results.filter("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b"))
 
 
+def _split(member: DataFrame, least: float, overlap: int, level: int, kind: str) -> DataFrame | None:
+    """member (id, v, n, dim, cluster) with the clusters beyond a shard split around centroids of their own, each vector in
+    the nearest `overlap` of them; None where nothing is left to split. Dense clusters stay whole.
+
+    Centroids stay in Spark: a row for each cluster that is split, next to the parts of its vectors, is all that a task gets.
+    """
+    sizes = member.groupBy("dim", "cluster").agg(F.count("*").alias("m")).filter(F.col("m") > SHARD)
+    big = member.join(sizes, ["dim", "cluster"])
+    drawn = big.filter(F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) < F.lit(1 << 30) / F.col("m") * DRAW)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(rows["v"])
+        m = int(rows["m"].iloc[0])
+        k = min(FAN, -(-m // AIM), len(x) // 8)
+        linked = ((x @ x.T >= least).sum() - len(x)) / max(len(x) * (len(x) - 1), 1)
+        found = [] if k < 2 or linked >= DENSE else [(rows["dim"].iloc[0], rows["cluster"].iloc[0], m, centroids(x, k).ravel().tolist())]
+        return pd.DataFrame(found, columns=["dim", "cluster", "m", "middle"]).astype({"dim": "int32", "cluster": "int64", "m": "int64"})
+
+    made = cut(drawn.groupBy("dim", "cluster").applyInPandas(fit, "dim int, cluster long, m long, middle array<double>"))
+    if not made.limit(1).count():
+        return None
+    salts = F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(TASK))).cast("int")
+    lead = made.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    mine = member.join(made.select("dim", "cluster", "m"), ["dim", "cluster"]).withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).drop("m")
+    base = 1 << (12 + 8 * level)  # numbers of one level are apart from those of all others
+
+    def assign(rows: pd.DataFrame, middles: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(middles):
+            return rows.assign(cluster=np.int64(0))[["id", "v", "n", "dim", "cluster"]].iloc[:0]
+        c = np.array(middles["middle"].iloc[0]).reshape(-1, int(rows["dim"].iloc[0]))
+        near = np.argsort(-(_unit(rows["v"]) @ c.T), axis=1, kind="stable")[:, :overlap]
+        out = rows.loc[rows.index.repeat(near.shape[1])].copy()
+        out["cluster"] = base + rows["cluster"].iloc[0] * FAN + near.ravel()
+        return out[["id", "v", "n", "dim", "cluster"]]
+
+    keys = ["dim", "cluster", "salt"]
+    fresh = mine.groupBy(*keys).cogroup(lead.groupBy(*keys)).applyInPandas(assign, f"id {kind}, v array<double>, n long, dim int, cluster long")
+    rest = member.join(made.select("dim", "cluster"), ["dim", "cluster"], "left_anti")
+    return cut(rest.select("id", "v", "n", "dim", "cluster").union(fresh))
+
+
 def audit(classes: DataFrame, found: DataFrame, least: float, queries: int = AUDIT) -> tuple[int, int]:
     """(links found, links there are) of a sample of classes that is held against all classes by brute force."""
     # `queries` rows at most: bounded, and sent to the tasks that hold all others in blocks
@@ -326,7 +379,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, id_col: str = "vec
     n = classes.count()
     recall = None
     found = edges = None
-    widths = [*WIDTHS, (WIDTHS[-1][0], None)]
+    widths = [*WIDTHS, (WIDTHS[-1][0], None), (2 * WIDTHS[-1][0], None)]
     while widths:
         overlap, beam = widths.pop(0)
         found, edges = _search(classes, n, least, overlap, beam)
@@ -335,7 +388,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, id_col: str = "vec
         if recall is not None and recall >= RECALL:
             break
         if recall is None:  # no link was met, so the search can't be judged: exactly, once
-            widths = widths[-1:]
+            widths = [w for w in widths if w[1] is None][:1]
+    if recall is not None and recall < ENOUGH:
+        raise ValueError(f"the audit found {got} of {real} links")
     grouped = components(edges)
     placed = classes.select("id", "v", "n").join(found, "id", "left").join(grouped, "id", "left")
     per = placed.select("v", (F.col("n") - 1 + F.coalesce("found", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
