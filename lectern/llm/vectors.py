@@ -23,6 +23,8 @@ LEAST = 0.95
 SAMPLE, AIM, SHARD = 8192, 1200, 2048
 #: Vectors of a cluster that its split is fitted on about, clusters that it is split into at most, vectors that one task assigns.
 DRAW, FAN, TASK = 2048, 64, 50_000
+#: Levels of splits at most: enough for 10^12 vectors.
+LEVELS = 5
 #: Share of linked pairs among those drawn from a cluster from which on it is dense.
 DENSE = 0.02
 #: Queries of the recall audit, the recall below which the search is widened, and that which must be reached at last.
@@ -221,7 +223,7 @@ def _search(classes: DataFrame, n: int, least: float, overlap: int, beam: int |
     by_size: dict[int, list] = {}
     for v in sample:
         by_size.setdefault(len(v), []).append(v)
-    middle = {d: centroids(_unit(x), max(1, min(len(x) // 8, -(-n * len(x) // max(len(sample), 1) // AIM)))) for d, x in by_size.items()}
+    middle = {d: centroids(_unit(x), max(1, min(len(x) // 8, -(-overlap * n * len(x) // max(len(sample), 1) // AIM)))) for d, x in by_size.items()}
 
     @F.pandas_udf("array<int>")
     def nearest(vectors: pd.Series) -> pd.Series:
@@ -239,7 +241,7 @@ def _search(classes: DataFrame, n: int, least: float, overlap: int, beam: int |
     laid = cut(classes.withColumn("dim", F.size("v")).withColumn("clusters", nearest("v")))
     member = laid.withColumn("cluster", F.explode(F.transform("clusters", lambda x: x.cast("long")))).drop("clusters")
     level = 0
-    while True:
+    while level < LEVELS:
         level += 1
         split = _split(member, least, overlap, level, classes.schema["id"].dataType.simpleString())
         if split is None:
@@ -318,9 +320,9 @@ def _split(member: DataFrame, least: float, overlap: int, level: int, kind: str)
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         x = _unit(rows["v"])
         m = int(rows["m"].iloc[0])
-        k = min(FAN, -(-m // AIM), len(x) // 8)
+        k = min(FAN, -(-overlap * m // AIM), len(x) // 8)
         linked = ((x @ x.T >= least).sum() - len(x)) / max(len(x) * (len(x) - 1), 1)
-        found = [] if k < 2 or linked >= DENSE else [(rows["dim"].iloc[0], rows["cluster"].iloc[0], m, centroids(x, k).ravel().tolist())]
+        found = [] if k < 2 * overlap or linked >= DENSE else [(rows["dim"].iloc[0], rows["cluster"].iloc[0], m, centroids(x, k).ravel().tolist())]
         return pd.DataFrame(found, columns=["dim", "cluster", "m", "middle"]).astype({"dim": "int32", "cluster": "int64", "m": "int64"})
 
     made = cut(drawn.groupBy("dim", "cluster").applyInPandas(fit, "dim int, cluster long, m long, middle array<double>"))
