@@ -1,11 +1,11 @@
 """Removal of passages that occur elsewhere, byte for byte, by a threshold-bounded suffix structure.
 
 Every string of LENGTH bytes is a window. A window belongs to the smallest hash among its K-byte strings, its anchor,
-so equal windows share their anchor. Neighbouring windows of one anchor form a segment. Where all segments of an anchor
-have the same bytes, all their windows repeat; anchors of one segment have none that does. Only where segments of an
-anchor differ are their bytes gathered: a Burrows-Wheeler transform over them is walked by backward extension, breadth
-first, which yields the lengths of common prefixes in rising order and stops at LENGTH. What is left unset then starts
-with the same LENGTH bytes as its neighbour.
+so equal windows share their anchor. Neighbouring windows of one anchor form a segment; segments of equal bytes, told by
+a digest, form a class. Of every anchor that more than one segment has, the bytes of each class are gathered, those of
+classes of several segments twice. A Burrows-Wheeler transform over them is walked by backward extension, breadth first,
+which yields the lengths of common prefixes in rising order and stops at LENGTH. What is left unset then starts with the
+same LENGTH bytes as its neighbour. What the transform marks in a class holds for all its segments.
 """
 
 from __future__ import annotations
@@ -170,22 +170,24 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+_MARKED = "a long, c long, f int, t int"
+
+
 def _by_transform(parts: DataFrame, length: int) -> DataFrame:
-    """(id, content, s, e): first and last repeated windows in single segments, from (a, n, id, content, s, bytes) sorted by a."""
-    names = ["id", "content", "s", "e"]
+    """(a, c, f, t): first and last repeated windows of each class, from its start on, from (a, c, lead, part) sorted by a."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        text = np.concatenate([np.concatenate([np.frombuffer(r[5], np.uint8).astype(np.uint16) + 1, np.zeros(1, np.uint16)]) for r in rows])
+        text = np.concatenate([np.concatenate([np.frombuffer(r[3], np.uint8).astype(np.uint16) + 1, np.zeros(1, np.uint16)]) for r in rows])
         found = repeated_starts(text, length)
         out: list[list[int]] = [[], [], [], []]
         at = 0
-        for _, n, i, content, s, part in rows:
-            if n == 1:
-                for a, b in zip(*_runs(found[at : at + len(part)])):
-                    for column, x in zip(out, (i, content, s + int(a), s + int(b) - 1)):
+        for a, c, lead, part in rows:
+            if lead:
+                for f, t in zip(*_runs(found[at : at + len(part)])):
+                    for column, x in zip(out, (a, c, int(f), int(t) - 1)):
                         column.append(x)
             at += len(part) + 1
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names)
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["a", "c", "f", "t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -196,30 +198,30 @@ def _by_transform(parts: DataFrame, length: int) -> DataFrame:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[3])
         if held:
             yield solve(held)
 
-    return parts.mapInArrow(run, "id long, content long, s int, e int")
+    return parts.mapInArrow(run, _MARKED)
 
 
 def _by_count(parts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many segments: their windows are counted by two hashes, however many they are."""
+    """The same for anchors whose classes hold more than one task should: their windows are counted by two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, n, i, content, s, part in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, c, lead, part in zip(*(c.to_pylist() for c in batch.columns)):
                 data = np.frombuffer(part, np.uint8)
                 one, two = grams.Rolling(data).windows(length), grams.Rolling(data[::-1]).windows(length)[::-1]
                 m = len(one)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(np.ascontiguousarray(two).view(np.int64)), pa.array(np.full(m, n)), pa.array(np.full(m, i)), pa.array(np.full(m, content)), pa.array((s + np.arange(m)).astype(np.int32))],
-                    ["w", "v", "n", "id", "content", "s"],
+                    [pa.array(one.view(np.int64)), pa.array(np.ascontiguousarray(two).view(np.int64)), pa.array(np.full(m, a)), pa.array(np.full(m, c)), pa.array(np.full(m, lead)), pa.array(np.arange(m, dtype=np.int32))],
+                    ["w", "v", "a", "c", "lead", "f"],
                 )
 
-    windows = parts.mapInArrow(run, "w long, v long, n long, id long, content long, s int")
+    windows = parts.mapInArrow(run, "w long, v long, a long, c long, lead boolean, f int")
     often = windows.groupBy("w", "v").agg(F.count("*").alias("times")).filter("times > 1").select("w", "v")
-    return windows.filter("n = 1").join(often, ["w", "v"], "left_semi").select("id", "content", "s", F.col("s").alias("e"))
+    return windows.filter("lead").join(often, ["w", "v"], "left_semi").select("a", "c", "f", F.col("f").alias("t"))
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,23 +229,24 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K, id_col:
     named = _named(docs, id_col, text_col)
     found = cut(_all_segments(named, length, k).withColumn("salt", F.pmod(F.xxhash64("id", "content", "s"), F.lit(SALTS)).cast("int")))
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    heads = found.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).filter("n > 1").select("a", (F.col("x") != F.col("y")).alias("mixed"), every)
+    heads = found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a", every)
     shared = cut(found.join(heads, ["a", "salt"]))
-    whole = shared.filter("not mixed").select("id", "content", "s", "e")
-    mixed = shared.filter("mixed")
-    kinds = cut(mixed.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "content", "s", "e")).alias("at")).select("a", "c", "n", "at.*"))
-    twice = kinds.filter("n > 1").select("a", "c", every)
-    whole = whole.union(mixed.join(twice, ["a", "c", "salt"], "left_semi").select("id", "content", "s", "e"))
-    asked = kinds.groupBy("id", "content").agg(F.collect_list(F.struct("a", "n", "s", "e")).alias("asked"))
-    texts = named.join(asked, ["id", "content"])
-    bytes_of = F.col("t").cast("binary")
-    parts = texts.select("id", "content", bytes_of.alias("t"), F.explode("asked").alias("p"))
-    parts = cut(parts.select("p.a", "p.n", "id", "content", "p.s", F.substring("t", F.col("p.s") + 1, F.col("p.e") - F.col("p.s") + length).alias("part")).dropDuplicates(["a", "id", "content", "s"]))
-    large = parts.groupBy("a").agg(F.sum(F.length("part")).alias("size")).filter(F.col("size") > LARGE).select("a")
-    large = cut(large)
-    few = parts.join(large, "a", "left_anti").repartition("a").sortWithinPartitions("a")
+    kinds = shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "content", "s", "e")).alias("one"), F.max(F.struct("id", "content", "s", "e")).alias("two"))
+
+    def member(p: str, lead: bool) -> F.Column:
+        return F.struct(F.lit(lead).alias("lead"), *[F.col(p)[x].alias(x) for x in ("id", "content", "s", "e")])
+
+    # a class of several segments is gathered from its first and its last, so that their bytes meet
+    members = F.when(F.col("n") > 1, F.array(member("one", True), member("two", False))).otherwise(F.array(member("one", True)))
+    asked = kinds.select("a", "c", F.explode(members).alias("m")).select("a", "c", "m.*").groupBy("id", "content").agg(F.collect_list(F.struct("a", "c", "lead", "s", "e")).alias("asked"))
+    texts = named.join(asked, ["id", "content"]).select(F.col("t").cast("binary").alias("t"), F.explode("asked").alias("p"))
+    wanted = texts.select("p.a", "p.c", "p.lead", F.substring("t", F.col("p.s") + 1, F.col("p.e") - F.col("p.s") + length).alias("part"))
+    parts = cut(wanted.dropDuplicates(["a", "c", "lead"]))  # rows of one id and text are asked once each
+    large = cut(parts.groupBy("a").agg(F.sum(F.length("part")).alias("size")).filter(F.col("size") > LARGE).select("a"))
+    few = parts.join(large, "a", "left_anti").repartition("a").sortWithinPartitions("a").select(*parts.columns)
     many = parts.join(large, "a", "left_semi").select(*parts.columns)
-    return whole.union(_by_transform(few.select(*parts.columns), length)).union(_by_count(many, length))
+    marked = cut(_by_transform(few, length).union(_by_count(many, length))).withColumn("salt", every)
+    return shared.join(marked, ["a", "c", "salt"]).select("id", "content", (F.col("s") + F.col("f")).alias("s"), (F.col("s") + F.col("t")).alias("e"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
