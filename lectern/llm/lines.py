@@ -26,11 +26,10 @@ SIMILARITY = 0.8
 RADIUS, FAR = 3, 20
 #: Words of a run: (words, shortest line, longest line). Where kinds overlap, lines of both lengths may be near each other.
 RUNS = ((2, 5, 15), (3, 12, None))
-#: Runs of each kind that a line is found by. Two lines of up to 14 words always share one of them, as two edits touch four runs
-#: at most. First come runs without short words, which are seldom those of unlike lines; words count as long from LONG bytes on.
-KEYS, LONG = 5, 6
+#: Runs of each kind that a line is found by. First come runs without short words, which are seldom those of unlike lines; words count as long from LONG bytes on.
+KEYS, LONG = 4, 6
 #: Longs of the odd sketch of a line.
-ODD = 8
+ODD = 4
 #: Ids of a block beyond which it is dealt out by parts; of a bucket up to which its pairs are looked at; rows gathered in a task.
 FULL_BLOCK, SMALL_BUCKET, GATHER = 1 << 18, 32, 1 << 17
 #: Bits of the filter that keeps most lines out of the second pass; of fixed size, and only ever lets too many pass.
@@ -69,9 +68,14 @@ def _simhashes(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
     stops = np.searchsorted(keys, np.arange(1, len(ends) + 1, dtype=np.uint64) << np.uint64(40))
     starts = np.concatenate([[0], stops[:-1]])
-    bits = np.unpackbits(grams.mix(keys & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8), axis=1)
-    votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    return np.packbits(2 * votes > (stops - starts)[:, None], axis=1).view(np.uint64).ravel()
+    voters, counts = grams.mix(keys & np.uint64((1 << 40) - 1)), stops - starts
+    # bit 8 j + k of the voters is summed in byte j of plane k, which holds 255 voters; longer lines are counted bit by bit
+    planes = [np.add.reduceat((voters >> np.uint64(k)) & np.uint64(0x0101010101010101), starts) for k in range(8)]
+    sums = np.stack(planes, axis=1).view(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1).astype(np.int64)
+    for line in np.flatnonzero(counts > 255):
+        bits = np.unpackbits(voters[starts[line] : stops[line]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums[line] = bits.sum(axis=0, dtype=np.int64).reshape(8, 8)
+    return np.packbits((2 * sums > counts[:, None, None]).reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def _odd(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -405,6 +409,6 @@ def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col:
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, stay): lines of each document, blank ones included, and the numbers of those that stay."""
-    mine = _named(docs, id_col, text_col).select("id", "content", F.coalesce(F.regexp_count("t", F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"))
+    mine = _named(docs, id_col, text_col).select("id", "content", F.coalesce(F.octet_length("t") - F.octet_length(F.replace("t", F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     out = mine.join(repeated_lines(docs, id_col=id_col, text_col=text_col), ["id", "content"], "left")
     return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_lines", F.coalesce("stay", F.array().cast("array<int>")).alias("stay"))

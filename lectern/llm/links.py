@@ -11,7 +11,7 @@ from lectern.llm.store import cut
 #: Ids of a bucket that one task takes; a fuller bucket is dealt out over as many tasks, or pairs of them, as it needs.
 PART = 4096
 #: Ids of a bucket beyond which hubs are tried once more before all its pairs are, hubs a round, and rounds at most.
-CROWD, HUBS, ROUNDS = 64, 8, 2
+CROWD, HUBS, ROUNDS = 64, 16, 1
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
