@@ -14,11 +14,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm import grams
-from lectern.llm.links import link
+from lectern.llm.links import PART, components
 from lectern.llm.store import cut
 
 SIMILARITY = 0.8
@@ -27,7 +28,7 @@ RADIUS, FAR = 3, 20
 #: Words of a run: (words, shortest line, longest line). Where kinds overlap, lines of both lengths may be near each other.
 RUNS = ((2, 5, 15), (3, 12, None))
 #: Runs of each kind that a line is found by. First come runs without short words, which are seldom those of unlike lines; words count as long from LONG bytes on.
-KEYS, LONG = 4, 6
+KEYS, LONG = 5, 6
 #: Longs of the odd sketch of a line.
 ODD = 4
 #: Ids of a block beyond which it is dealt out by parts; of a bucket up to which its pairs are looked at; rows gathered in a task.
@@ -226,9 +227,6 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
 
     sketch = F.concat(F.array("sim"), "odd")
 
-    def bound(ids: DataFrame) -> tuple[DataFrame, object]:
-        return sims.join(ids, "id", "left_semi").select("id", F.col("n").alias("x"), sketch.alias("y")), alike
-
     def verify(pairs: DataFrame) -> DataFrame:
         sides = [sims.select(F.col("id").alias(c), F.col("n").alias(f"x{c}"), sketch.alias(f"y{c}")) for c in "ab"]
         near = pairs.join(sides[0], "a").join(sides[1], "b").filter(alike(*[F.col(c) for c in ("xa", "ya", "xb", "yb")])).select("a", "b")
@@ -244,7 +242,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
                 good.append(edits(x, y, most) <= most)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    found = link(crowded, verify, bound, cut(verify(pairs)))
+    found = components(cut(verify(pairs).union(crowded_links(crowded, sims, spelled, similarity))))
     grouped = classes.join(found, "id", "left").select(F.coalesce("component", "id").alias("group"), "at")
     stay = grouped.groupBy("group").agg(F.min("at").alias("at")).select("at.*")
     return stay.groupBy("id", "content").agg(F.array_sort(F.collect_list("line")).alias("stay"))
@@ -275,6 +273,39 @@ def _pairs(keys: np.ndarray, ids: np.ndarray, near: Callable) -> Iterator[pa.Rec
         yield _met(ids[one], ids[one + d])
 
 
+def crowded_links(crowded: DataFrame, sims: DataFrame, spelled: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links that connect what is alike in large buckets (key, id), from sketches (id, sim, n, odd) and words (id, s).
+
+    A task takes a bucket of up to PART ids, or two parts of a larger one. From each line on it follows links to lines not
+    reached yet, so that of a group of copies few pairs are looked at, and each at most once.
+    """
+    parts = F.ceil(F.col("m") / F.lit(PART)).cast("int")
+    dealt = crowded.join(crowded.groupBy("key").agg(F.count("*").alias("m")), "key").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id")
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, n, part, across = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["part"].to_numpy(), rows["low"].iloc[0] != rows["high"].iloc[0]
+        sketches = np.column_stack([rows["sim"].to_numpy(), np.stack(rows["odd"].to_list())]).astype(np.int64).view(np.uint64)
+        words, left, out = [bytes(x).split(b" ") for x in rows["s"]], np.ones(len(ids), np.bool_), []
+        for start in range(len(ids)):
+            edge = [start] if left[start] else []
+            left[start] = False
+            while edge:
+                u = edge.pop()
+                near = np.flatnonzero(left & (part != part[u]) if across else left)
+                apart = np.bitwise_count(sketches[near] ^ sketches[u]).astype(np.int64)
+                most = np.floor(np.maximum(n[near], n[u]) * (1 - similarity) + 1e-9).astype(np.int64)
+                fits = (apart[:, 0] <= FAR) & (apart[:, 1:].sum(axis=1) <= 2 * most)
+                for v, d in zip(near[fits].tolist(), most[fits].tolist()):
+                    if edits(words[u], words[v], d) <= d:
+                        left[v] = False
+                        edge.append(v)
+                        out.append((min(ids[u], ids[v]), max(ids[u], ids[v])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.join(sims, "id").join(spelled, "id").groupBy("key", "low", "high").applyInPandas(solve, "a long, b long")
+
+
 def run_buckets(classes: DataFrame, similarity: float = SIMILARITY, far: int = FAR) -> DataFrame:
     """(a, b, key): pairs a < b of ids (id, sim, n, odd, runs) that share the key of a run and are near enough by SimHash and
     odd sketch; the ids of large buckets (a, key) all stay, and pass through a task one batch after the other."""
