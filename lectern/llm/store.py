@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch: whole texts are handed to Python, so a batch must stay small whatever their length.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch: whole texts are handed to Python, so a batch must stay small whatever their length.
+BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,11 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, unless it has a lower bound already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the Arrow batches of this session, unless it has lower bounds already. A text beyond the bytes is a batch of its own."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

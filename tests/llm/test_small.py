@@ -368,6 +368,12 @@ def test_every_linked_span(spark):
     assert got == want and sum(len(x[2]) for x in want) > 20
 
 
+def test_empty_tables(spark, none):
+    assert pieces.encode(none).count() == 0 and fingerprints.edited_fingerprints(none).count() == 0
+    assert pages_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert lines.counted(none).count() == 0 and mixing.mixed_documents(none).count() == 0
+
+
 # -- mixing
 
 
