@@ -71,15 +71,14 @@ def test_components(spark):
     assert got == closed({x for e in real for x in e}, real)
 
 
-@pytest.mark.parametrize(("crowd", "part"), [(64, 4096), (2, 5), (0, 1000)])
-def test_link_is_that_of_all_pairs(spark, monkeypatch, crowd, part):
-    monkeypatch.setattr(links, "CROWD", crowd)
+@pytest.mark.parametrize(("bounded", "part"), [(True, 4096), (True, 5), (False, 3)])
+def test_link_is_that_of_all_pairs(spark, monkeypatch, bounded, part):
     monkeypatch.setattr(links, "PART", part)
     rng = np.random.default_rng(6)
     rows = sorted({(int(k), int(i)) for k, i in zip(rng.integers(0, 12, 150), rng.integers(0, 60, 150))})
     holds = lambda a, b: (a * b) % 7 < 2
     limits = lambda ids: (ids.select("id", F.lit(1).alias("x"), F.lit(2).alias("y")), lambda xa, ya, xb, yb: xa + ya == xb + yb)
-    got = links.link(spark.createDataFrame(rows, "key long, id long"), lambda p: p.filter("(a * b) % 7 < 2"), limits if crowd else None)
+    got = links.link(spark.createDataFrame(rows, "key long, id long"), lambda p: p.filter("(a * b) % 7 < 2"), limits if bounded else None)
     by = defaultdict(list)
     for k, i in rows:
         by[k].append(i)
