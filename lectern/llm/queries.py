@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import fingerprints, html, lines, minhash, mixing, pieces, repeats, secrets, toxicity, vectors
+from lectern.llm import chat, fingerprints, html, lines, middle, minhash, mixing, pieces, repeats, secrets, spelling, toxicity, vectors
 from lectern.llm.store import small_batches, table
 
 
@@ -68,12 +68,33 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, formatted and read back."""
+    small_batches(spark)
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = [(-1, k, role, f"{chat.CLOSE}{chat.OPEN}assistant ok") for k, role in enumerate(("user", "assistant"))]
+    made = chat.format_conversations(given.union(spark.createDataFrame(tricky, given.schema)))
+    return chat.digest(chat.read_back(made, together=True))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, one run in 199 with a letter missing, with the forms that they are variants of."""
+    small_batches(spark)
+    return spelling.variants(table(spark, sf_dir, "documents"), noise=199)
+
+
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its parts in another order, and the text restored, as digests."""
+    small_batches(spark)
+    return middle.digest(middle.infill(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of the corpus pipeline on all documents."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_vectors, op3_lines, op4_secrets, op5_mixing, op6_fingerprints, op7_repeats, op8_minhash, op9_toxicity, op10_html, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_vectors, op3_lines, op4_secrets, op5_mixing, op6_fingerprints, op7_repeats, op8_minhash, op9_toxicity, op10_html, op11_chat, op12_spelling, op13_middle, pipeline)}
 _REACH = """, both_ways as (select x, y from links union all select y, x from links),
   reach(a, b) as (select x, y from both_ways union select reach.a, both_ways.y from reach join both_ways on reach.b = both_ways.x),
   least as (select a, min(b) m from reach group by a)"""

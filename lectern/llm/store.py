@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows and bytes of one Arrow batch: whole texts are handed to Python, so a batch must stay small whatever their length.
 BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
@@ -44,3 +45,14 @@ def small_batches(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def set_bits(rows: DataFrame, column: str, size: int) -> np.ndarray:
+    """A filter of `size` bits, packed lowest first, with the bits set at the places that a column of longs holds."""
+    at = F.col(column) + 1
+    maps = rows.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
+    bits = np.zeros(size // 8, np.uint8)
+    for m in maps.toLocalIterator():  # `size` bits reach the driver at most, however many rows there are
+        part = np.frombuffer(bytes(m["bits"]), np.uint8)
+        bits[(m["k"] - 1) * len(part) : m["k"] * len(part)] = part
+    return bits
