@@ -111,6 +111,33 @@ ORACLES: dict[str, str] = {
   n as (select doc_id, count(*) n from s group by doc_id), p as (select a.doc_id x, b.doc_id y, count(*) i from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
   links as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * i >= 85 * (a.n + b.n - i)) {_REACH}
   select doc_id, coalesce(n.n, 0)::bigint n_shingles, least(doc_id, coalesce(m, doc_id)) component_id, doc_id <= coalesce(m, doc_id) kept from documents left join n using (doc_id) left join least on least.a = doc_id""",
+    "op11_chat": r"""with c as (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations
+    union all select -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
+  e as (select *, row_number() over (partition by conv_id order by turn nulls first, r, t) k, regexp_replace(t, '<(\\*)[|]im_(start|end)[|]>', '<\1\\|im_\2|>', 'g') safe,
+    regexp_replace(replace(replace(r, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '<(\\*)[|]im_(start|end)[|]>', '<\1\\|im_\2|>', 'g') named from c)
+  select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by k)) turns_sha256, coalesce(sum(length(t)) filter (r = 'assistant'), 0)::bigint loss_chars,
+    sha256(coalesce(string_agg(t, '' order by k) filter (r = 'assistant'), '')) loss_sha256, sum(length(named) + length(safe) + 24)::bigint formatted_chars from e group by conv_id""",
+    "op12_spelling": f"""with recursive bits as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when (c & 1) = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) crc),
+  runs as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) r from documents),
+  low as (select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') r, count(*) n from runs group by all),
+  hashed as (select r, n, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::varchar, '') || ':' || r)), '..'), lambda x: ('0x' || x)::bigint)),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) h from low, bits),
+  typed as (select case when h % 199 = 0 then substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) else r end as word, n from hashed),
+  v as (select word, sum(n)::bigint n from typed where length(word) >= 6 group by word having sum(n) >= 5),
+  gaps as (select word, n, length(word) size, k, substr(word, 1, k) || substr(word, k + 2) gap from (select *, unnest(range(length(word))) k from v)),
+  near as (select distinct a.word w, b.word x from gaps a join gaps b on a.k = b.k and a.gap = b.gap and a.word <> b.word and a.size = b.size
+    union select gaps.word, v.word from gaps join v on v.word = gap union select v.word, gaps.word from gaps join v on v.word = gap),
+  best as (select w, count(*) n_near, arg_min(x, row(-v.n, encode(x))) form, max(v.n) form_n from near join v on v.word = x group by w),
+  rated as (select word, n, coalesce(n_near, 0) n_near, case when form_n >= 5 * n then form end form, case when form_n >= 5 * n then form_n end form_n from v left join best on w = word),
+  walk(word, root, up) as (select word, word, form from rated union all select walk.word, walk.up, rated.form from walk join rated on rated.word = walk.up)
+  select word, rated.form, walk.root, n, n_near, form_n from rated join walk using (word) where walk.up is null""",
+    "op13_middle": r"""with u as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[ \x09-\x0D]*[^ \x09-\x0D]+|[ \x09-\x0D]+') ts, sha256('42:' || doc_id) h from documents),
+  s as (select *, len(ts) n, ('0x' || h[1:8])::bigint a, ('0x' || h[9:16])::bigint b, ('0x' || h[17:24])::bigint c, ('0x' || h[25:32])::bigint d from u),
+  p as (select *, least(a % (n + 1), b % (n + 1)) lo, greatest(a % (n + 1), b % (n + 1)) hi, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or c % 100 >= 50 then 'plain'
+    when d % 100 < 80 then 'spm' else 'psm' end form from s),
+  x as (select *, array_to_string(ts[1:lo], '') pre, array_to_string(ts[lo + 1:hi], '') mid, array_to_string(ts[hi + 1:], '') suf from p)
+  select doc_id, n, form, case when form <> 'plain' then length(pre) end prefix_chars, case when form <> 'plain' then length(mid) end middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(t) restored_sha256 from x""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
