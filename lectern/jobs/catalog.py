@@ -476,13 +476,17 @@ def build_model_text(spark, sf_dir):
     return styles.build_model_text(_segments(spark, sf_dir), ["para_id"])
 
 
-@query(duck(f"+ {MODELED} select para_id, seg_no, case when special then '<placeholder>' else text end translated from g where para_id in (select para_id from b)", "runs_v"))
+@query(duck(f"""+ {MODELED} select para_id, seg_no, seg_no % 3 = 1 or para_id % 5 = 0 and seg_no = n_segments - 1 and n_segments > 1 kept,
+  case when seg_no % 3 = 1 or para_id % 5 = 0 and seg_no = n_segments - 1 and n_segments > 1 then '' else 'T:' end || case when special then '<placeholder>' else text end translated from g join b using (para_id)""", "runs_v"))
 def attach_segment_translations(spark, sf_dir):
-    """An identity reply comes back to its segments."""
+    """Replies with a prefix come back to their segments; every third part is blank, and every fifth reply lacks its last part."""
     segments = _segments(spark, sf_dir)
-    replies = styles.build_model_text(segments, ["para_id"]).select("para_id", F.col("text_for_model").alias("reply"))
+    parts = F.transform(F.split("text_for_model", T.SEGMENT, -1), lambda x, i: F.when(i % 3 == 1, F.repeat(F.lit(" "), (i % 2).cast("int"))).otherwise(F.concat(F.lit("T:"), x)))
+    short = (F.col("para_id") % 5 == 0) & (F.size(parts) > 1)
+    reply = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - short.cast("int")), T.SEGMENT)
+    replies = styles.build_model_text(segments, ["para_id"]).select("para_id", reply.alias("reply"))
     live = segments.join(replies.select("para_id"), "para_id", "left_semi")
-    return styles.attach_segment_translations(live, replies, ["para_id"]).select("para_id", F.col("seg_no").cast("long").alias("seg_no"), "translated")
+    return styles.attach_segment_translations(live, replies, ["para_id"]).select("para_id", F.col("seg_no").cast("long").alias("seg_no"), "kept", "translated")
 
 
 @query(duck("""+ t as (select para_id, style_key, count(*) n from runs_v where not special group by all), c as (select para_id, count(*) n, count(*) filter (not special) styled from runs_v group by 1)

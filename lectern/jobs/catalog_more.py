@@ -271,7 +271,7 @@ def _packages(spark, sf_dir):
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("<w:p><w:r><w:t>"), F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</w:t></w:r></w:p>")))
     space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     body = F.concat(F.lit(f"<w:document {space}><w:body>"), F.array_join(lines, ""), F.lit("</w:body></w:document>"))
-    sheet = F.concat(F.lit(f'<w:styles {space}><w:style w:styleId="s'), F.col("doc_id"), F.lit('" w:type="paragraph"><w:rPr><w:sz w:val="24"/></w:rPr></w:style></w:styles>'))
+    sheet = F.concat(F.lit(f'<w:styles {space}><w:style w:styleId="s'), F.col("doc_id"), F.lit('" w:type="paragraph"><w:rPr><w:sz w:val="'), (F.col("doc_id") % 7 + 20), F.lit('"/></w:rPr></w:style></w:styles>'))
     part = lambda n, name, x: F.struct(F.lit(n).alias("part_no"), F.lit(name).alias("part_name"), x.cast("binary").alias("part_bytes"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.explode(F.array(part(0, "word/document.xml", body), part(1, "word/styles.xml", sheet), part(2, "docProps/app.xml", F.col("source")))).alias("p"))
     none = spark.createDataFrame([], "path string, part_name string, para_no int, run_no int, text string")
@@ -290,7 +290,7 @@ def parse_docx_runs(spark, sf_dir):
     return documents.parse_docx_runs(parts).select("path", "para_no", "text")
 
 
-@query("select doc_id::varchar path, 's' || doc_id style_id, 24 direct_size from documents")
+@query("select doc_id::varchar path, 's' || doc_id style_id, (doc_id % 7 + 20)::int direct_size from documents")
 def parse_docx_styles(spark, sf_dir):
     return documents.parse_docx_styles(documents.explode_docx_parts(_packages(spark, sf_dir))).select("path", "style_id", "direct_size")
 
@@ -332,14 +332,24 @@ def _rich_packages(spark, sf_dir):
 
 
 def _marked(texts):
-    """A translator of the Word path: a prefix before each segment, placeholders kept."""
-    return texts.map(lambda t: T.SEGMENT.join(p if p == T.PLACEHOLDER else f"T:{p}" for p in t.split(T.SEGMENT)))
+    """A translator of the Word path: a prefix before each segment, placeholders kept; the last part is blank where the length
+    of the first can be divided by five."""
 
+    def one(t):
+        parts = t.split(T.SEGMENT)
+        out = [p if p == T.PLACEHOLDER else f"T:{p}" for p in parts]
+        return T.SEGMENT.join([*out[:-1], " "] if len(parts) > 1 and len(parts[0]) % 5 == 0 else out)
+
+    return texts.map(one)
 
-@query(rf"""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 n, unnest(string_split(text, chr(10))) line from documents),
+
+RICH_LINES = rf"""with l as (select doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) - 1 n, unnest(string_split(text, chr(10))) line from documents),
   c as (select *, substr(line, 1, (2 * (length(line) // 3))::int) a, substr(line, (2 * (length(line) // 3) + 1)::int) c from l),
-  t as (select *, regexp_matches(line, '[\p{{L}}\p{{N}}]') live from c),
-  r as (select *, case when live then 'T:' || a else a end x, case when not live then c else regexp_replace(regexp_replace('T:' || c, '\s+$', ''), '[ "''`]+$', '') end y from t)
+  t as (select *, regexp_matches(line, '[\p{{L}}\p{{N}}]') live, length(a) % 5 = 0 blank from c)"""
+
+
+@query(rf"""{RICH_LINES},
+  r as (select *, case when live then 'T:' || a else a end x, case when not live or blank then c else regexp_replace(regexp_replace('T:' || c, '\s+$', ''), '[ "''`]+$', '') end y from t)
   select doc_id::varchar path, n::int para_no, md5(x) run_md5, md5(y) link_md5, case when live then 1 else 2 end runs from r""")
 def translate_docx(spark, sf_dir):
     """The Word path over packages of all documents: what stands in the runs and hyperlinks of each paragraph afterwards."""
@@ -351,20 +361,65 @@ def translate_docx(spark, sf_dir):
     return runs.groupBy("path", "para_no").agg(F.md5(ordered("run")).alias("run_md5"), F.md5(ordered("hyperlink")).alias("link_md5"), F.count_if((F.col("kind") == "run") & ~F.col("special")).cast("int").alias("runs"))
 
 
-@query("select doc_id::varchar path, true declared, '<new/>' font_table, source copied, 2 * len(string_split(text, chr(10))) kept from documents")
+@query(rf"""{RICH_LINES} select doc_id::varchar path, case when bool_or(live and blank and regexp_matches(c, '[\p{{L}}\p{{N}}]')) then 'partial' else 'ok' end as status,
+  true declared, '<new/>' font_table, any_value(source) copied, 2 * count(*) kept from t group by doc_id""")
 def docx_untouched_parts(spark, sf_dir):
     """What the Word path must leave alone: declarations of the root, copied parts, drawings and bookmarks; the new font table."""
     held = spark.createDataFrame([], "cache_key string, text string, ts_raw string")
     made = translate.translate_docx(_rich_packages(spark, sf_dir), held, _marked, C.MODEL, C.DIRECTION, C.NOW, font_table=b"<new/>")[0]
-    parts = documents.explode_docx_parts(made).select("path", "part_name", F.decode("part_bytes", "UTF-8").alias("x"))
+    parts = documents.explode_docx_parts(made).select("path", "part_name", F.decode("part_bytes", "UTF-8").alias("x")).join(made.select("path", "status"), "path")
     one = lambda name, value: F.max(F.when(F.col("part_name") == name, value))
     kept = F.regexp_count("x", F.lit("<w:drawing/>")) + F.regexp_count("x", F.lit('<w:bookmarkStart w:id="0"/>'))
-    return parts.groupBy("path").agg(
+    return parts.groupBy("path", "status").agg(
         one("word/document.xml", F.col("x").contains('xmlns:w14="urn:fourteen" w14:Ignorable="w14"')).alias("declared"), one("word/fontTable.xml", F.col("x")).alias("font_table"),
         one("docProps/app.xml", F.col("x")).alias("copied"), one("word/document.xml", kept.cast("long")).alias("kept"),
     )
 
 
+SHEET = """<w:style w:styleId="s0" w:type="paragraph"><w:rPr><w:sz w:val="{size}"/><w:u w:val="single"/></w:rPr></w:style><w:style w:styleId="s1" w:type="paragraph"><w:basedOn w:val="s0"/><w:rPr><w:color w:val="c{id}"/></w:rPr></w:style>
+<w:style w:styleId="r0" w:type="character"><w:rPr><w:i/><w:color w:val="d{id}"/></w:rPr></w:style><w:style w:styleId="r1" w:type="character"><w:basedOn w:val="r0"/><w:rPr><w:b/></w:rPr></w:style>"""
+STYLED = """<w:p><w:pPr><w:pStyle w:val="s1"/></w:pPr><w:r><w:t xml:space="preserve">{a} x</w:t></w:r><w:r><w:rPr><w:rStyle w:val="r1"/><w:sz w:val="99"/></w:rPr><w:t xml:space="preserve">{b} y</w:t></w:r><w:r><w:rPr><w:rStyle w:val="r1"/></w:rPr><w:t>-</w:t></w:r>
+<m:oMath><m:r><m:rPr/><m:t>z</m:t></m:r><m:r><w:rPr><w:rStyle w:val="r1"/></w:rPr><m:t>{c} q</m:t></m:r></m:oMath><w:hyperlink><w:r><w:rPr><w:rStyle w:val="r1"/></w:rPr><w:t>link</w:t></w:r></w:hyperlink></w:p>"""
+
+
+def _styled_packages(spark, sf_dir):
+    """A Word package of each document whose styles hold its id; a paragraph of each line, with runs that lean on them."""
+    names = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
+    safe = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def filled(template: str, values: dict):
+        return F.concat(*[values[bit] if k % 2 else F.lit(bit) for k, bit in enumerate(re.split(r"\{(\w+)\}", template))])
+
+    line = lambda x: filled(STYLED, {"a": safe(F.substring(x, 1, 9)), "b": safe(F.substring(x, 10, 9)), "c": safe(F.substring(x, 19, 9))})
+    body = F.concat(F.lit(f"<w:document {names}><w:body>"), F.array_join(F.transform(F.split("text", "\n", -1), line), ""), F.lit("</w:body></w:document>"))
+    sheet = F.concat(F.lit(f"<w:styles {names}>"), filled(SHEET, {"id": F.col("doc_id").cast("string"), "size": (F.col("doc_id") % 30 + 10).cast("string")}), F.lit("</w:styles>"))
+    part = lambda n, name, x: F.struct(F.lit(n).alias("part_no"), F.lit(name).alias("part_name"), x.cast("binary").alias("part_bytes"))
+    named = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.explode(F.array(part(0, "word/document.xml", body), part(1, "word/styles.xml", sheet))).alias("p"))
+    none = spark.createDataFrame([], "path string, part_name string, para_no int, run_no int, text string")
+    return documents.assemble_docx(named.select("path", "p.*", F.lit("ok").alias("status")), none)
+
+
+@query("""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 n, unnest(string_split(text, chr(10))) line from documents),
+  r as (select *, unnest([{'run_no': 0, 'kind': 'run', 'rstyle': null, 'p': true, 'c': false, 'sz': null}, {'run_no': 1, 'kind': 'run', 'rstyle': null, 'p': true, 'c': true, 'sz': '99'}, {'run_no': 2, 'kind': 'run', 'rstyle': 'r1', 'p': false, 'c': false, 'sz': null},
+    {'run_no': 0, 'kind': 'math_run', 'rstyle': null, 'p': false, 'c': false, 'sz': null}, {'run_no': 1, 'kind': 'math_run', 'rstyle': null, 'p': false, 'c': true, 'sz': null}, {'run_no': 4, 'kind': 'hyperlink', 'rstyle': 'r1', 'p': false, 'c': false, 'sz': null}], recursive := true) from l)
+  select doc_id::varchar path, n::int para_no, run_no::int run_no, kind, rstyle, coalesce(sz, case when p then (doc_id % 30 + 10)::varchar end) size, case when c then 'd' || doc_id when p then 'c' || doc_id end color,
+    c bold, case when p then 'single' end line, true same from r""")
+def materialize_docx_styles(spark, sf_dir):
+    """The Word path over styled packages with a translator that changes nothing: the properties of every run afterwards, and
+    whether each package but for its run properties and style sheet is as it was."""
+    held = spark.createDataFrame([], "cache_key string, text string, ts_raw string")
+    given = graph.written(_styled_packages(spark, sf_dir))
+    made = translate.translate_docx(given, held, lambda texts: texts, C.MODEL, C.DIRECTION, C.NOW, style_sheet=b"<new/>")[0]
+    parts = documents.explode_docx_parts(made)
+    rest = F.md5(F.regexp_replace(F.decode("part_bytes", "UTF-8"), "<w:rPr>.*?</w:rPr>", ""))
+    old, new = (documents.explode_docx_parts(x).filter("part_no = 0").select("path", rest.alias(c)) for x, c in ((given, "old"), (made, "new")))
+    same = old.join(new, "path").select("path", F.col("old").eqNullSafe(F.col("new")).alias("same"))
+    runs = documents.parse_docx_runs(parts.filter("action = 'process'"), formulas=True).filter("kind <> 'non_text'")
+    val = lambda tag: F.col("rpr")[tag]["val"]
+    found = runs.select("path", "para_no", "run_no", "kind", "rstyle", val("sz").alias("size"), val("color").alias("color"), F.map_contains_key("rpr", "b").alias("bold"), val("u").alias("line"))
+    return found.join(same, "path")
+
+
 def _groups(texts):
     """A translator of style files: one ideograph becomes a keyword; numbered blocks come back parted by ---."""
     def one(t):

@@ -190,31 +190,47 @@ def translate_project(
 
 
 def translate_docx(
-    packages: DataFrame, held: DataFrame, translate: Translator, model: str, direction: str, now: str, font_table: bytes | None = None, style_sheet: bytes | None = None, **limits
+    packages: DataFrame, held: DataFrame, translate: Translator, model: str, direction: str, now: str, font_table: bytes | None = None, style_sheet: bytes | None = None,
+    materialize: bool | None = None, fonts: tuple[str, str] | None = None, languages: tuple[str, str] | None = None, **limits,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(packages (path, content, status), memory, report) of Word packages (path, content).
 
     Neighbouring runs of equal properties, and all runs of a hyperlink, make a segment; the segments of a paragraph go to
     the translator as one text, with marks between and placeholders for drawings and formulas. Replies come back segment
-    by segment into the first run of each, the others go; a segment without a reply, and a paragraph whose reply has more
-    parts than segments, keep their source. A package that can't be opened comes back as it is, with status bad_package.
+    by segment into the first run of each, the others go; a segment whose part of the reply is missing or blank, and a
+    paragraph whose reply has more parts than segments, keep their source.
+
+    materialize writes what runs inherit from the package's own styles into the runs and takes their run styles off, so
+    that another style sheet doesn't change their looks; that is done where a style sheet is given, unless asked otherwise.
+    fonts and languages (Latin, East Asian) are set with it. status: ok, partial (a text that was to be translated kept its
+    source) or bad_package (can't be opened, comes back as it is).
     """
     parts = written(documents.explode_docx_parts(packages))
-    runs = written(documents.parse_docx_runs(parts.filter("action = 'process'")))
+    every = written(documents.parse_docx_runs(parts.filter("action = 'process'"), formulas=True))
+    runs, properties = every.filter("kind <> 'math_run'"), None
+    if style_sheet is not None if materialize is None else materialize:
+        sheet = written(documents.parse_docx_styles(parts))
+        properties = written(styles.inherited_properties(every, styles.resolve_styles(sheet, "xml", "map<string,string>"), fonts, languages))
+        plain = styles.materialize_run_styles(runs.filter("kind = 'run'"), styles.resolve_styles(sheet))
+        runs = plain.select(runs.columns).unionByName(runs.filter("kind <> 'run'"))
     para = ["path", "part_name", "para_no"]
-    keyed = runs.withColumn("style_key", styles.run_key())
+    keyed = written(runs.withColumn("style_key", styles.run_key()))
     segments = written(styles.merge_adjacent_runs(keyed, para))
     asked = written(styles.build_model_text(segments, para))
     done, kept, report = translate_with_memory(asked.select(F.col("text_for_model").alias("text")), held, translate, model, direction, now, **limits)
-    replies = asked.withColumn("k", F.md5("text_for_model")).join(done.select(F.md5("text").alias("k"), F.col("translated").alias("reply")), "k")
-    replies = replies.filter(F.size(F.split("reply", T.SEGMENT, -1)) <= F.col("n_segments"))
-    changed = styles.attach_segment_translations(segments.join(replies.select(*para), para, "left_semi"), replies, para).filter("not special and translated <> text")
-    places = changed.select(*para, "seg_no", "translated", F.col("first_run").alias("run_no"))
+    replies = asked.withColumn("k", F.md5("text_for_model")).join(done.select(F.md5("text").alias("k"), F.col("translated").alias("reply"), "status"), "k")
+    replies = written(replies.withColumn("fits", F.size(F.split("reply", T.SEGMENT, -1)) <= F.col("n_segments")))
+    good = replies.filter("fits")
+    attached = written(styles.attach_segment_translations(segments.join(good.select(*para), para, "left_semi"), good, para).filter("not special"))
+    places = attached.filter("translated <> text").select(*para, "seg_no", "translated", F.col("first_run").alias("run_no"))
     numbered = styles.number_segments(keyed, para).select(*para, "run_no", "seg_no")
     texts = numbered.join(places.withColumnRenamed("run_no", "lead"), [*para, "seg_no"]).select(*para, "run_no", F.when(F.col("run_no") == F.col("lead"), F.col("translated")).alias("text"))
-    made = documents.assemble_docx(parts, texts, font_table, style_sheet)
+    made = documents.assemble_docx(parts, texts, font_table, style_sheet, properties)
+    failed = replies.filter(~F.col("fits") | ~F.col("status").isin("ok", "stored", "passthrough")).select("path")
+    failed = failed.unionByName(attached.filter(F.col("kept") & is_meaningful(F.col("text"))).select("path")).distinct().withColumn("failed", F.lit(True))
+    made = made.join(failed, "path", "left").select("path", "content", F.when(F.col("failed"), "partial").otherwise("ok").alias("status"))
     bad = parts.filter("status <> 'ok'").select("path", "status").join(packages.select("path", "content"), "path").select("path", "content", "status")
-    return made.withColumn("status", F.lit("ok")).unionByName(bad), kept, report
+    return made.unionByName(bad), kept, report
 
 
 def document_report(chunks: DataFrame, safe: DataFrame, docs: DataFrame, out: DataFrame) -> DataFrame:

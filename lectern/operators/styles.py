@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from xml.sax.saxutils import quoteattr
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lectern.functions.text import PLACEHOLDER, SEGMENT, is_meaningful
+from lectern.functions.text import PLACEHOLDER, SEGMENT, is_meaningful, strip
 from lectern.operators.graph import written
 
 PROPS = "map<string,map<string,string>>"
+WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
 
-def merge_maps(over: Column, under: Column) -> Column:
+def merge_maps(over: Column, under: Column, kind: str = PROPS) -> Column:
     """Entries of both maps, those of `over` where both have a key; null counts as empty."""
-    over, under = F.coalesce(over, F.create_map().cast(PROPS)), F.coalesce(under, F.create_map().cast(PROPS))
+    over, under = F.coalesce(over, F.create_map().cast(kind)), F.coalesce(under, F.create_map().cast(kind))
     return F.map_concat(over, F.map_filter(under, lambda k, _: ~F.map_contains_key(over, k)))
 
 
@@ -23,9 +26,9 @@ def map_key(props: Column) -> Column:
     return F.coalesce(F.array_join(F.array_sort(entries), ","), F.lit(""))
 
 
-def run_key(kind: str = "kind", block: str = "block", rpr: str = "rpr") -> Column:
-    """Key by which neighbouring runs belong together: equal properties and nothing between; all runs of a hyperlink."""
-    return F.when(F.col(kind) == "hyperlink", F.concat(F.lit("link:"), F.col(block))).otherwise(F.concat_ws(":", kind, block, map_key(F.col(rpr))))
+def run_key(kind: str = "kind", block: str = "block", rpr: str = "rpr", rstyle: str = "rstyle") -> Column:
+    """Key by which neighbouring runs belong together: equal properties and run styles, nothing between; all runs of a hyperlink."""
+    return F.when(F.col(kind) == "hyperlink", F.concat(F.lit("link:"), F.col(block))).otherwise(F.concat_ws(":", kind, block, F.coalesce(rstyle, F.lit("")), map_key(F.col(rpr))))
 
 
 def style_chain(styles: DataFrame) -> DataFrame:
@@ -47,12 +50,15 @@ def style_chain(styles: DataFrame) -> DataFrame:
         here = step.filter("not again").select("path", "style_id", "depth", "ancestor", F.concat("seen", F.array("ancestor")).alias("seen"))
 
 
-def resolve_styles(styles: DataFrame) -> DataFrame:
-    """(path, style_id, rpr): properties merged over the chain, those of the nearest style win, tag by tag."""
-    own = styles.select("path", F.col("style_id").alias("ancestor"), F.explode("rpr").alias("tag", "attrs"))
+def resolve_styles(styles: DataFrame, rpr: str = "rpr", kind: str = PROPS) -> DataFrame:
+    """(path, style_id, rpr): properties merged over the chain, those of the nearest style win, tag by tag.
+
+    rpr names the map of properties by tag, of type `kind`.
+    """
+    own = styles.select("path", F.col("style_id").alias("ancestor"), F.explode(rpr).alias("tag", "attrs"))
     nearest = style_chain(styles).join(own, ["path", "ancestor"]).groupBy("path", "style_id", "tag").agg(F.min_by("attrs", "depth").alias("attrs"))
     made = nearest.groupBy("path", "style_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "attrs"))).alias("rpr"))
-    return styles.select("path", "style_id").join(made, ["path", "style_id"], "left").select("path", "style_id", F.coalesce("rpr", F.create_map().cast(PROPS)).alias("rpr"))
+    return styles.select("path", "style_id").join(made, ["path", "style_id"], "left").select("path", "style_id", F.coalesce("rpr", F.create_map().cast(kind)).alias("rpr"))
 
 
 def style_sizes(resolved: DataFrame) -> DataFrame:
@@ -83,6 +89,31 @@ def materialize_run_styles(runs: DataFrame, resolved: DataFrame) -> DataFrame:
     return joined.select(*[c for c in runs.columns if c not in ("rpr", "rstyle")], F.when(live, F.lit(None)).otherwise(F.col("rstyle")).alias("rstyle"), F.when(live, merge_maps(own, under)).otherwise(F.col("rpr")).alias("rpr"))
 
 
+def inherited_properties(runs: DataFrame, resolved: DataFrame, fonts: tuple[str, str] | None = None, languages: tuple[str, str] | None = None) -> DataFrame:
+    """(path, part_name, para_no, run_no, math_run, xml, drop) of the runs whose own properties don't say all: elements that they
+    inherit from run style and paragraph style, by tag, and the tags of their own that go, the run-style link among them.
+
+    runs: as parsed, those in formulas included; resolved: (path, style_id, rpr) with whole elements by tag. Runs without a
+    letter or digit and those of hyperlinks are left out; formulas skip the paragraph's style. fonts and languages, Latin
+    and East Asian, go to all runs where they are given.
+    """
+    xml = "map<string,string>"
+    para, own = (resolved.select("path", F.col("style_id").alias(c), F.col("rpr").alias(f"{c}_xml")) for c in ("pstyle", "rstyle"))
+    live = runs.filter(F.col("lettered") & F.col("kind").isin("run", "math_run")).withColumn("math_run", F.col("kind") == "math_run")
+    joined = live.join(para, ["path", "pstyle"], "left").join(own, ["path", "rstyle"], "left")
+    under = merge_maps(F.col("rstyle_xml"), F.when(~F.col("math_run"), F.col("pstyle_xml")), xml)
+    forced = {}
+    if fonts:
+        forced["rFonts"] = f'<w:rFonts xmlns:w="{WORD}" w:ascii={quoteattr(fonts[0])} w:hAnsi={quoteattr(fonts[0])} w:eastAsia={quoteattr(fonts[1])} w:hint="eastAsia"/>'
+    if languages:
+        forced["lang"] = f'<w:lang xmlns:w="{WORD}" w:val={quoteattr(languages[0])} w:eastAsia={quoteattr(languages[1])}/>'
+    drop = F.array(*[F.lit(x) for x in ("rStyle", *forced)])
+    missing = F.map_filter(under, lambda k, _: ~F.map_contains_key("rpr", k) & ~F.array_contains(drop, k))
+    listed = F.concat(F.transform(F.array_sort(F.map_entries(missing)), lambda x: x["value"]), F.array(*[F.lit(x) for x in forced.values()]).cast("array<string>"))
+    made = joined.select("path", "part_name", "para_no", "run_no", "math_run", listed.alias("xml"), drop.alias("drop"), "rstyle")
+    return made.filter((F.size("xml") > 0) | F.col("rstyle").isNotNull()).drop("rstyle")
+
+
 def number_segments(runs: DataFrame, para: list[str]) -> DataFrame:
     """runs with `seg_no`: neighbouring ordinary runs of one style_key share it; a special run (drawing, field, formula) is alone."""
     order = Window.partitionBy(*para).orderBy("run_no")
@@ -112,10 +143,12 @@ def build_model_text(segments: DataFrame, para: list[str]) -> DataFrame:
 
 
 def attach_segment_translations(segments: DataFrame, replies: DataFrame, para: list[str]) -> DataFrame:
-    """segments with `translated`: part i of the paragraph's reply, the own text or placeholder where it is missing."""
+    """segments with `translated`, part i of the paragraph's reply, and `kept`: whether that part is missing or blank, so that
+    the own text or placeholder stands in its place."""
     parts = replies.select(*para, F.posexplode(F.split("reply", SEGMENT, -1)).alias("seg_no", "part"))
     own = F.when(F.col("special"), PLACEHOLDER).otherwise(F.col("text"))
-    return segments.join(parts, [*para, "seg_no"], "left").withColumn("translated", F.coalesce("part", own)).drop("part")
+    given = F.when(strip(F.col("part")) != "", F.col("part"))
+    return segments.join(parts, [*para, "seg_no"], "left").withColumn("translated", F.coalesce(given, own)).withColumn("kept", given.isNull()).drop("part")
 
 
 def common_run_style(runs: DataFrame, group: list[str]) -> DataFrame:

@@ -18,6 +18,7 @@ from lectern.functions.text import newlines
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
+ElementTree.register_namespace("w", W[1:-1])
 
 
 def read_text_documents(spark: SparkSession, paths: str | list[str], drop_bad_bytes: bool = False) -> DataFrame:
@@ -73,12 +74,25 @@ def explode_docx_parts(packages: DataFrame) -> DataFrame:
     return parts.withColumn("action", F.when(F.col("status") == "ok", part_action(F.col("part_name"))))
 
 
+def _tag(name: str) -> str:
+    """Name of a property: without its namespace if that is Word's own."""
+    return name.removeprefix(W)
+
+
 def _props(element) -> dict[str, dict[str, str]]:
-    """Property tags with their attributes, names without their namespace."""
+    """Property tags with their attributes, names of these without their namespace."""
     if element is None:
         return {}
-    bare = lambda x: x.rpartition("}")[2]
-    return {bare(c.tag): {bare(k): v for k, v in c.attrib.items()} for c in element}
+    return {_tag(c.tag): {k.rpartition("}")[2]: v for k, v in c.attrib.items()} for c in element}
+
+
+def _whole_props(element) -> dict[str, str]:
+    """Property tags with their whole elements, which declare the namespaces that they use."""
+    out = {}
+    for c in element if element is not None else ():
+        c.tail = None
+        out[_tag(c.tag)] = ElementTree.tostring(c, encoding="unicode")
+    return out
 
 
 _SPECIAL = {W + x for x in ("fldChar", "instrText", "drawing", "object", "pict")}
@@ -97,22 +111,30 @@ class _Run:
     depth: int
     start: int
     special: bool
+    prefix: bytes
     stop: int = 0
     texts: list[tuple[int, int]] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
     rpr: dict = field(default_factory=dict)
+    #: Where the properties stand, and each of them (tag, from, to); in a formula, where its own properties end.
+    held: tuple[int, int] | None = None
+    props: list[tuple[str, int, int]] = field(default_factory=list)
+    formula: tuple[int, int] | None = None
 
 
 @dataclass
 class _Paragraph:
     para_no: int
     depth: int
+    prefix: bytes
     style: str | None = None
     align: str | None = None
     runs: int = 0
+    maths: int = 0
     block: int = 0
     linked: bool = False
     run: _Run | None = None
+    math: _Run | None = None
 
 
 def _tag_stop(data: bytes, at: int) -> int:
@@ -120,11 +142,17 @@ def _tag_stop(data: bytes, at: int) -> int:
     return re.compile(rb"""(?:[^>"']|"[^"]*"|'[^']*')*>""").match(data, at).end()
 
 
+def _prefix(data: bytes, at: int) -> bytes:
+    """Prefix of the tag that starts at `at`, with its colon."""
+    return re.compile(rb"<([^\s/>:]+:)?").match(data, at)[1] or b""
+
+
 def _scan(data: bytes) -> list[_Run]:
     """Runs of a part, paragraphs at any depth in document order; the numbers are those that texts are put back by.
 
     block changes with every child of a paragraph that isn't an ordinary run, so that runs on both sides of it never
-    belong together. Children that hold no text of their own (bookmarks and the like) make no run.
+    belong together. Children that hold no text of their own (bookmarks and the like) make no run. Runs inside a formula
+    are of kind math_run and are counted for themselves.
     """
     parser = expat.ParserCreate(namespace_separator="}")
     names: list[str] = []
@@ -132,16 +160,14 @@ def _scan(data: bytes) -> list[_Run]:
     done: list[_Run] = []
     count = 0
     in_text = False
-    prop: dict = {}
-    bare = lambda x: x.rpartition("}")[2]
 
     def start(name: str, attrs: dict) -> None:
-        nonlocal count, in_text, prop
-        name, depth = "{" + name, len(names)
+        nonlocal count, in_text
+        name, depth, at = "{" + name, len(names), parser.CurrentByteIndex
         names.append(name)
         value = attrs.get(W[1:] + "val")
         if name == W + "p":
-            open_.append(_Paragraph(count, depth))
+            open_.append(_Paragraph(count, depth, _prefix(data, at)))
             count += 1
             return
         if not open_:
@@ -160,15 +186,25 @@ def _scan(data: bytes) -> list[_Run]:
             p.block += name != W + "r"
         if linked or depth == p.depth + 1 and (name == W + "r" or name in _NODES):
             kind = "hyperlink" if linked else "run" if name == W + "r" else "non_text"
-            p.run = _Run((p.para_no, p.style, p.align), p.runs, p.block, kind, name.startswith(M), depth, parser.CurrentByteIndex, kind == "non_text")
+            p.run = _Run((p.para_no, p.style, p.align), p.runs, p.block, kind, name.startswith(M), depth, at, kind == "non_text", p.prefix)
             p.runs += 1
             done.append(p.run)
-        elif p.run is not None:
-            if depth == p.run.depth + 1 and name == W + "t":
-                p.run.texts.append((parser.CurrentByteIndex, 0))
-                in_text = True
-            elif depth == p.run.depth + 2 and names[-2] == W + "rPr":
-                p.run.rpr[bare(name)] = {bare(k): v for k, v in attrs.items()}
+        elif p.run is not None and p.run.math and p.math is None and name == M + "r":
+            p.math = _Run((p.para_no, p.style, p.align), p.maths, p.block, "math_run", True, depth, at, True, p.prefix)
+            p.maths += 1
+            done.append(p.math)
+        elif (r := p.math or p.run) is not None:
+            if depth == r.depth + 1:
+                if name == (M if r is p.math else W) + "t":
+                    r.texts.append((at, 0))
+                    in_text = True
+                elif name == W + "rPr" and r.held is None:
+                    r.held = (at, 0)
+                elif name == M + "rPr":
+                    r.formula = (at, 0)
+            elif depth == r.depth + 2 and names[-2] == W + "rPr" and not r.held[1]:
+                r.rpr[_tag(name)] = {k.rpartition("}")[2]: v for k, v in attrs.items()}
+                r.props.append((_tag(name), at, 0))
 
     def stop(begun: int) -> int:
         """Where the element that begun there ends; the parser stands behind an empty one, before the end tag of others."""
@@ -180,21 +216,30 @@ def _scan(data: bytes) -> list[_Run]:
         names.pop()
         if not open_:
             return
-        p, depth = open_[-1], len(names)
+        p, depth, name = open_[-1], len(names), "{" + name
+        r = p.math or p.run
         if depth == p.depth:
             open_.pop()
-        elif p.run is not None and depth == p.run.depth:
-            p.run.stop = stop(p.run.start)
-            p.run = None
-        elif p.run is not None and in_text and depth == p.run.depth + 1:
-            p.run.texts[-1] = (p.run.texts[-1][0], stop(p.run.texts[-1][0]))
-            in_text = False
+        elif r is not None and depth == r.depth:
+            r.stop = stop(r.start)
+            p.run, p.math = (p.run if r is p.math else None), None
+        elif r is not None and depth == r.depth + 1:
+            if in_text:
+                r.texts[-1] = (r.texts[-1][0], stop(r.texts[-1][0]))
+                in_text = False
+            elif name == W + "rPr" and not r.held[1]:
+                r.held = (r.held[0], stop(r.held[0]))
+            elif name == M + "rPr":
+                r.formula = (r.formula[0], stop(r.formula[0]))
+        elif r is not None and depth == r.depth + 2 and names[-1] == W + "rPr" and not r.held[1]:
+            tag, begun, _ = r.props[-1]
+            r.props[-1] = (tag, begun, stop(begun))
         elif depth == p.depth + 1 and p.linked:
             p.linked = False
 
     def chars(text: str) -> None:
-        if in_text and open_ and open_[-1].run is not None:
-            open_[-1].run.text.append(text)
+        if in_text and open_ and (r := open_[-1].math or open_[-1].run) is not None:
+            r.text.append(text)
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, chars
     parser.buffer_text = True
@@ -210,14 +255,16 @@ def _utf8(data: bytes) -> bytes:
     return data
 
 
-RUN_COLUMNS = "para_no int, pstyle string, jc string, run_no int, block int, kind string, text string, special boolean, rstyle string, rpr map<string,map<string,string>>, math boolean"
+RUN_COLUMNS = "para_no int, pstyle string, jc string, run_no int, block int, kind string, text string, special boolean, rstyle string, rpr map<string,map<string,string>>, math boolean, lettered boolean"
 
 
-def parse_docx_runs(parts: DataFrame) -> DataFrame:
+def parse_docx_runs(parts: DataFrame, formulas: bool = False) -> DataFrame:
     """Runs of parts (path, part_name, part_bytes), paragraphs at any depth, in order.
 
     kind is run, hyperlink (a run in one) or non_text (a formula, drawing or object); runs of one hyperlink share their
-    block, and so do ordinary runs with nothing else between them. A part that is no XML gives no rows.
+    block, and so do ordinary runs with nothing else between them. With `formulas` the runs inside formulas are rows too, of
+    kind math_run and with numbers of their own. lettered: whether the run holds a letter or digit, be it special or not.
+    A part that is no XML gives no rows.
     """
     names = [c.split()[0] for c in RUN_COLUMNS.split(", ")]
 
@@ -228,7 +275,7 @@ def parse_docx_runs(parts: DataFrame) -> DataFrame:
                     found = _scan(_utf8(bytes(data)))
                 except (expat.ExpatError, TypeError, UnicodeDecodeError):
                     found = []
-                rows = [(*r.about, r.run_no, r.block, r.kind, "" if r.special else "".join(r.text), r.special, r.rpr.pop("rStyle", {}).get("val"), r.rpr, r.math) for r in found]
+                rows = [(*r.about, r.run_no, r.block, r.kind, "" if r.special else "".join(r.text), r.special, r.rpr.pop("rStyle", {}).get("val"), r.rpr, r.math, any(map(str.isalnum, "".join(r.text)))) for r in found if formulas or r.kind != "math_run"]
                 if rows:
                     yield pd.DataFrame(rows, columns=names).assign(path=path, part_name=name)[["path", "part_name", *names]]
 
@@ -236,8 +283,9 @@ def parse_docx_runs(parts: DataFrame) -> DataFrame:
 
 
 def parse_docx_styles(parts: DataFrame) -> DataFrame:
-    """(path, style_id, name, style_type, based_on, direct_size, rpr) of styles parts; styles without id are left out."""
-    schema = "path string, style_id string, name string, style_type string, based_on string, direct_size int, rpr map<string,map<string,string>>"
+    """(path, style_id, name, style_type, based_on, direct_size, rpr, xml) of styles parts; styles without id are left out. xml
+    holds the properties as whole elements."""
+    schema = "path string, style_id string, name string, style_type string, based_on string, direct_size int, rpr map<string,map<string,string>>, xml map<string,string>"
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,54 +301,64 @@ def parse_docx_styles(parts: DataFrame) -> DataFrame:
                     rpr = _props(s.find(W + "rPr"))
                     size = rpr.get("sz", {}).get("val", "")
                     if s.get(W + "styleId"):
-                        rows.append((path, s.get(W + "styleId"), value(s, "name"), s.get(W + "type"), value(s, "basedOn"), int(size) if size.isdigit() else None, rpr))
+                        rows.append((path, s.get(W + "styleId"), value(s, "name"), s.get(W + "type"), value(s, "basedOn"), int(size) if size.isdigit() else None, rpr, _whole_props(s.find(W + "rPr"))))
             yield pd.DataFrame(rows, columns=columns).astype({"direct_size": "Int32"})
 
     return parts.filter("action = 'replace_styles'").select("path", "part_bytes").mapInPandas(run, schema)
 
 
-def assemble_docx(parts: DataFrame, texts: DataFrame, font_table: bytes | None = None, styles: bytes | None = None) -> DataFrame:
+def assemble_docx(parts: DataFrame, texts: DataFrame, font_table: bytes | None = None, styles: bytes | None = None, properties: DataFrame | None = None) -> DataFrame:
     """(path, content): packages with translated runs (path, part_name, para_no, run_no, text) put back; a run whose text is
     null goes, as its text stands in another one. font_table and styles replace those parts where they are given.
 
-    Only the bytes of the texts change: all else in a part, its declarations included, stays as it is, and so does a part
-    that can't be parsed. All parts of one package meet in a task: a package is one file.
+    properties: (path, part_name, para_no, run_no, math_run, xml, drop), elements that the properties of a run get before
+    its own, and the tags of its own that go. Only the bytes of texts and properties change: all else in a part, its
+    declarations included, stays as it is, and so does a part that can't be parsed. All parts of one package meet in a
+    task: a package is one file.
     """
-    given = F.collect_list(F.struct("para_no", "run_no", F.col("text").alias("t")))
-    data = F.col("part_bytes")
+    data, key = F.col("part_bytes"), ["path", "part_name"]
     for action, new in (("replace_font_table", font_table), ("replace_styles", styles)):
         if new is not None:
             data = F.when(part_action(F.col("part_name")) == action, F.lit(bytearray(new))).otherwise(data)
-    joined = parts.filter("status = 'ok'").withColumn("part_bytes", data).join(texts.groupBy("path", "part_name").agg(given.alias("texts")), ["path", "part_name"], "left")
+    given = texts.groupBy(key).agg(F.collect_list(F.struct("para_no", "run_no", F.col("text").alias("t"))).alias("texts"))
+    joined = parts.filter("status = 'ok'").withColumn("part_bytes", data).join(given, key, "left")
+    if properties is not None:
+        joined = joined.join(properties.groupBy(key).agg(F.collect_list(F.struct("para_no", "run_no", "math_run", "xml", "drop")).alias("properties")), key, "left")
+    else:
+        joined = joined.withColumn("properties", F.lit(None).cast("array<struct<para_no:int>>"))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
+        listed = lambda x: x if x is not None else ()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, data, texts in rows.sort_values("part_no")[["part_name", "part_bytes", "texts"]].itertuples(index=False):
-                data = bytes(data)
-                if texts is not None and len(texts):
-                    data = with_texts(data, {(x["para_no"], x["run_no"]): x["t"] for x in texts})
-                z.writestr(name, data)
+            for name, data, texts, more in rows.sort_values("part_no")[["part_name", "part_bytes", "texts", "properties"]].itertuples(index=False):
+                texts = {(x["para_no"], x["run_no"]): x["t"] for x in listed(texts)}
+                more = {(x["para_no"], x["run_no"], x["math_run"]): (x["xml"], x["drop"]) for x in listed(more)}
+                z.writestr(name, with_changes(bytes(data), texts, more) if texts or more else bytes(data))
         return pd.DataFrame({"path": rows["path"].iloc[:1].to_list(), "content": [out.getvalue()]})
 
-    return joined.select("path", "part_no", "part_name", "part_bytes", "texts").groupBy("path").applyInPandas(build, "path string, content binary")
+    return joined.select("path", "part_no", "part_name", "part_bytes", "texts", "properties").groupBy("path").applyInPandas(build, "path string, content binary")
 
 
-def with_texts(data: bytes, texts: dict[tuple[int, int], str | None]) -> bytes:
-    """A part with the texts of its runs, by (para_no, run_no), in place; runs whose text is None are taken out."""
-    data = _utf8(data)
+def with_changes(data: bytes, texts: dict[tuple[int, int], str | None], properties: dict[tuple[int, int, bool], tuple] | None = None) -> bytes:
+    """A part with the texts of its runs, by (para_no, run_no), in place, and with more properties (elements, tags to drop) of
+    runs by (para_no, run_no, in a formula); runs whose text is None are taken out."""
+    data, properties = _utf8(data), properties or {}
     try:
         runs = _scan(data)
     except expat.ExpatError:
         return data
     edits: list[tuple[int, int, bytes]] = []
     for r in runs:
+        formula = r.kind == "math_run"
         where = (r.about[0], r.run_no)
-        if where not in texts or not r.texts and texts[where] is not None:
-            continue
-        if texts[where] is None:
+        if not formula and texts.get(where, "") is None:
             edits.append((r.start, r.stop, b""))
             continue
+        if (*where, formula) in properties:
+            edits += _properties(data, r, *properties[(*where, formula)])
+        if formula or where not in texts or not r.texts:
+            continue
         text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]", "", texts[where])
         tag = re.match(rb"<([^\s/>]+)", data[r.texts[0][0] :])[1]
         space = b' xml:space="preserve"' if text != text.strip(" ") else b""
@@ -311,3 +369,16 @@ def with_texts(data: bytes, texts: dict[tuple[int, int], str | None]) -> bytes:
         out += [data[at:a], new]
         at = b
     return b"".join([*out, data[at:]])
+
+
+def _properties(data: bytes, r: _Run, elements: list[str], drop: list[str]) -> list[tuple[int, int, bytes]]:
+    """The change that gives a run these elements and takes those tags from it; none if it has neither."""
+    own = [data[a:b] for tag, a, b in r.props if tag not in drop]
+    if not len(elements) and len(own) == len(r.props):
+        return []
+    more = [x.encode() for x in elements]
+    if r.prefix == b"w:":  # bound to Word's namespace here: no need to say so again
+        more = [x.replace(f' xmlns:w="{W[1:-1]}"'.encode(), b"") for x in more]
+    tag = r.prefix + b"rPr>"
+    first = _tag_stop(data, r.start) if r.formula is None else r.formula[1]
+    return [(*(r.held or (first, first)), b"<" + tag + b"".join([*more, *own]) + b"</" + tag)]
