@@ -5,7 +5,8 @@ parent and, halved with each step, to the ancestors above; an element's points a
 text that stands in links. The best container is kept, or the article it stands in, and from there upwards what stands
 beside it and holds unlinked text; blocks that belong to menus, forms, adverts and the like never count. All steps take
 time in proportion to the page, whatever is in it: elements are visited once downwards and once upwards, and a tag that
-never ends is looked for once.
+never ends is looked for once. Figures and their captions belong to the article; dialog and menu elements count as notices
+and menus, and what stands in noscript, canvas, object, video and audio for readers who can't see these is left out.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # Element names of HTML by their part in a page.
-DROPPED = frozenset("script style noscript template iframe object embed svg math canvas head title nav header footer aside button select textarea input option dialog menu figure video audio map".split())
+DROPPED = frozenset("script style noscript template iframe object embed svg math canvas head title nav header footer aside button select textarea input option dialog menu video audio map".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
