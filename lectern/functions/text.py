@@ -76,6 +76,19 @@ def number_blocks(blocks: Column) -> Column:
     return F.array_join(F.transform(blocks, lambda x, i: F.concat(F.lit("【块"), i + 1, F.lit("】\n"), x)), "\n\n")
 
 
+def numbered_parts(reply: Column, n: Column) -> Column:
+    """The n parts of a reply by the numbers of its sections, null where a number is missing or its section blank.
+
+    Sections may come in any order; of several with one number the first that isn't blank counts. A line of --- at the end
+    of a section parts it from the next and is no part of it; any other --- is.
+    """
+    mark = r"【块\s*([0-9]+)】"
+    ids = F.transform(F.regexp_extract_all(reply, F.lit(mark), F.lit(1)), lambda x: x.try_cast("int"))
+    bodies = F.transform(F.slice(F.split(reply, mark, -1), F.lit(2), F.size(ids)), lambda x: strip(F.regexp_replace(x, r"\n[ \t]*---\s*\z", "")))
+    found = F.filter(F.zip_with(ids, bodies, lambda i, x: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"] != "")
+    return F.transform(F.sequence(F.lit(1), n), lambda k: F.get(F.filter(found, lambda p: p["i"] == k), F.lit(0))["x"])
+
+
 def split_by_placeholder(reply: Column, is_text: Column) -> Column:
     """Parts of a reply between placeholders, dealt in order to the text segments; what is left over joins the last one.
 

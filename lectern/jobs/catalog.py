@@ -138,9 +138,10 @@ def tm_misses(spark, sf_dir):
     return memory.misses(_units(spark, sf_dir), _memory(spark, sf_dir)).select("cache_key")
 
 
-@query(duck(f"+ {LOOKED} select count(stored) hits, count(*) - count(stored) misses, count(*) total, round(100.0 * count(stored) / count(*), 1) hit_rate from l", "tm_v"))
+@query(duck(f"""+ {LOOKED} select count(stored) hits, count(*) - count(stored) misses, count(*) total, round(100.0 * count(stored) / count(*), 1) hit_rate,
+  (select count(*) from tm_v) entries, (select sum(strlen(cache_key) + strlen(txt) + strlen(ts_raw))::bigint from tm_v) bytes from l""", "tm_v"))
 def tm_stats(spark, sf_dir):
-    return memory.stats(memory.lookup(_units(spark, sf_dir), _memory(spark, sf_dir)))
+    return memory.stats(memory.lookup(_units(spark, sf_dir), _memory(spark, sf_dir)), _memory(spark, sf_dir))
 
 
 @query(duck(f"""+ {LOOKED}, f as (select cache_key, 'T:' || text as txt, '2024-05-01' ts_raw, 1 w from l where stored is null and length(text) <= 20000 and length(text) + 2 <= 20000),
@@ -520,7 +521,7 @@ def translate_with_memory(spark, sf_dir):
     return translate.translate_markdown(docs, held, _prefix, MODEL, DIRECTION, NOW)[0].select("doc_id", F.md5("text").alias("text_md5"))
 
 
-AGED = """live as (select * from tm_v where try_cast(ts_raw as timestamp) is null or try_cast(ts_raw as timestamp) >= timestamp '2024-05-01' - interval 30 day order by ts_raw desc, cache_key limit 10000)"""
+AGED = """live as (select * from tm_v where try_cast(ts_raw as timestamp) is null or try_cast(ts_raw as timestamp) >= timestamp '2024-05-01' - interval 30 day)"""
 
 
 @query(duck(rf"""+ {GUARDED}, {packed('guarded')}, {AGED}, reply as (select *, text as reply from chunks),

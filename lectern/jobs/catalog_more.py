@@ -10,8 +10,10 @@ from lectern.functions import text as T
 from lectern.jobs import catalog as C, translate
 from lectern.jobs.catalog import query
 from lectern.jobs.fixtures import duck, view
+from lectern.jobs.requests import RequestLog
 from lectern.operators import graph, latex, markdown, memory, styles, validate
-from lectern.sources import documents
+from lectern.sources import documents, versions
+from lectern.sources.memory_store import MemoryStore
 
 def _events(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -232,8 +234,58 @@ def read_translation_memory(spark, sf_dir):
 
 @query(duck("select cache_key, txt as text, ts_raw from tm_v", "tm_v"))
 def write_translation_memory(spark, sf_dir):
-    """The memory written as a version and read from there."""
-    return spark.read.parquet(documents.write_memory(C._memory(spark, sf_dir), graph.shared_folder(spark), "1")).select("cache_key", "text", "ts_raw")
+    """The memory written as the second version, with a third one that was never finished, and the newest whole one read."""
+    held, folder = C._memory(spark, sf_dir), graph.shared_folder(spark)
+    documents.write_memory(held.filter("ts_raw = 'bad'"), folder, "1")
+    documents.write_memory(held, folder, "2")
+    held.limit(1).write.parquet(f"{folder}/version=3")
+    return documents.read_memory(spark, folder)
+
+
+STORED = """m as (select cache_key, case when substr(cache_key, 2, 1) >= '8' or length(txt) > 19998 then txt when txt = '' or substr(cache_key, 3, 1) = '0' then '' else 'N:' || txt end as text from tm_v)"""
+
+
+@query(duck(f"+ {C.UNITS}, {STORED} select u.cache_key, nullif(m.text, '') stored from u left join m using (cache_key)", "tm_v"))
+def tm_store_lookup(spark, sf_dir):
+    """Lookups in a store: a base, a part that renews half of the keys and empties some, and a part that was never finished."""
+    held, store = C._memory(spark, sf_dir), MemoryStore(spark, graph.shared_folder(spark))
+    late = F.substring("cache_key", 2, 1) < "8"
+    store.replace(held)
+    new = F.when((F.col("text") == "") | (F.substring("cache_key", 3, 1) == "0"), "").otherwise(F.concat(F.lit("N:"), "text"))
+    store.append(held.filter(late).select("cache_key", F.col("text").alias("source"), new.alias("text"), "ts_raw"))
+    held.select("cache_key", F.lit("half").alias("text"), "ts_raw").write.parquet(versions.path_of(store.folder, "broken"))
+    return store.lookup(C._units(spark, sf_dir)).select("cache_key", "stored")
+
+
+#: What comes back to the attempts at a text, by digits of its digest: each failure, a truncated reply, good and bad ones.
+ANSWER = """case when attempt = 0 then case substr(k, 1, 1) when '0' then 'http_error' when '1' then 'api_error' when '2' then 'no_choices' when '3' then 'truncated' when '4' then 'echo' when '5' then 'refusal' when '6' then 'lost' else 'ok' end
+  when substr(k, 2, 1) < '8' then case substr(k, 2 + attempt, 1) when '0' then 'http_error' when '1' then 'truncated' when '2' then 'api_error' else 'ok' end else 'ok' end"""
+
+
+@query(duck(rf"""+ u as (select distinct line as text, md5(line || '|m|en-to-zh') k from lines_v where line <> ''), a as (select text, k, unnest([0, 1, 2]) attempt from u), b as (select *, {ANSWER} outcome from a),
+  f as (select k, text, min(attempt) filter (outcome in ('ok', 'refusal', 'lost')) won from b group by all), r as (select f.*, b.outcome from f left join b on b.k = f.k and b.attempt = f.won),
+  n as (select *, regexp_matches(text, '[\p{{L}}\p{{N}}]') live from r), l as (select k, outcome last from b where attempt = 2)
+  select k cache_key, case when not live then 'passthrough' when outcome = 'lost' then 'open' when outcome = 'ok' then 'ok' when outcome = 'refusal' then 'refusal' else last end as status,
+    case when live and outcome = 'ok' then 'T' || won || ':' || text else text end translated, case when not live then 0 when outcome in ('ok', 'refusal') then won + 1 when outcome = 'lost' then 1 else 3 end asked from n join l using (k)""", "lines_v"))
+def resumed_requests(spark, sf_dir):
+    """A path of requests and responses run seven times: deliveries come late, twice and in parts, every outcome among them; some
+    never come. Verdict and text of each unit at the end, and how many requests were made for it."""
+    units = C._units(spark, sf_dir)
+    log, held = RequestLog(spark, graph.shared_folder(spark), C.MODEL, "Translate."), spark.createDataFrame([], "cache_key string, text string, ts_raw string")
+    content = F.from_json("request", "messages array<struct<content:string>>")["messages"][1]["content"]
+    said = F.when(F.col("outcome") == "echo", "CRITICAL RULES").when(F.col("outcome") == "refusal", "Sorry, I cannot").otherwise(F.concat(F.lit("T"), "attempt", F.lit(":"), content))
+    choice = F.struct(F.struct(said.alias("content")).alias("message"), F.when(F.col("outcome") == "truncated", "length").otherwise("stop").alias("finish_reason"))
+    body = F.when(F.col("outcome") == "api_error", F.lit('{"error": "quota"}')).when(F.col("outcome") == "no_choices", F.lit('{"choices": []}')).otherwise(F.to_json(F.struct(F.array(choice).alias("choices"))))
+    code = F.when(F.col("outcome") == "http_error", 500).otherwise(200)
+    for k in range(6):
+        translate.translate_with_memory(units, held, log, C.MODEL, C.DIRECTION, C.NOW)
+        answers = graph.written(log.open_requests().withColumn("k", F.col("unit_id")).withColumn("outcome", F.expr(ANSWER)).filter("outcome <> 'lost'").select("unit_id", "attempt", code.alias("status_code"), body.alias("body")))
+        early = F.substring("unit_id", 5, 1) < "8"
+        log.deliver(answers.filter(early).unionByName(answers.filter(early)) if k % 2 == 0 else answers)  # half of them wait for the next run
+    asked = log.requests().groupBy(F.col("unit_id").alias("cache_key")).agg(F.count("*").cast("int").alias("asked"))
+    done = translate.translate_with_memory(units, held, log, C.MODEL, C.DIRECTION, C.NOW)[0]
+    keyed = done.withColumn("cache_key", T.cache_key(F.col("text"), C.MODEL, C.DIRECTION))
+    return keyed.join(asked, "cache_key", "left").select("cache_key", "status", "translated", F.coalesce("asked", F.lit(0)).alias("asked"))
 
 
 GROUPED = "select doc_id % greatest(1, (select count(*) // 50 from documents)) g, string_agg(replace(text, chr(10), case when doc_id % 2 = 0 then chr(13) || chr(10) else chr(10) end), chr(10) order by doc_id) || chr(10) as text from documents group by 1"

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lectern.functions import text as T
 from lectern.functions.text import cache_key, clean_reply, is_meaningful
 from lectern.operators import graph, latex, markdown, memory, styles, texblocks, validate
+from lectern.jobs.requests import RequestLog
 from lectern.operators.graph import written
 from lectern.sources import documents
+from lectern.sources.memory_store import MemoryStore
 
-#: A user's translator: texts in, as many texts out, in order; null for a failure.
-Translator = Callable[[pd.Series], pd.Series]
+#: A user's translator: texts in, as many texts out, in order; null for a failure. Or the log of requests that others send.
+Translator = Callable[[pd.Series], pd.Series] | RequestLog
 #: Units that a translator is called with at most.
 BATCH = 256
 
@@ -54,13 +56,20 @@ def translate_units(units: DataFrame, translate: Translator, concurrency: int |
 
 
 def attempts(units: DataFrame, translate: Translator, judge: Callable[[DataFrame], DataFrame], most: int = validate.ATTEMPTS, concurrency: int | None = None) -> DataFrame:
-    """(cache_key, text, attempt, reply, status) of up to `most` attempts at each of the units (cache_key, text).
+    """(cache_key, text, attempt, reply, failure, status) of up to `most` attempts at each of the units (cache_key, text).
 
-    judge adds `status` to (cache_key, text, reply); units whose status is not final are sent again.
+    judge adds `status` to (cache_key, text, reply); units whose status is not final are sent again. With a log of requests
+    these are the attempts that it knows of, and those that follow are asked for there.
     """
+    columns = ["cache_key", "text", "attempt", "reply", "failure", "status"]
+    if isinstance(translate, RequestLog):
+        known = written(translate.replies(units, most))
+        got = written(judge(known).withColumn("status", F.coalesce("failure", "status")).select(columns))
+        translate.ask(units, got, most)
+        return got
     left, out = units, None
     for k in range(most):
-        got = judge(translate_units(left, translate, concurrency)).select("cache_key", "text", F.lit(k).alias("attempt"), "reply", "status")
+        got = judge(translate_units(left, translate, concurrency)).withColumns({"attempt": F.lit(k), "failure": F.lit(None).cast("string")}).select(columns)
         out = got if out is None else out.unionByName(got)
         left = got.filter(~validate.is_final(F.col("status"))).select("cache_key", "text")
         if not left.limit(1).count():
@@ -69,24 +78,32 @@ def attempts(units: DataFrame, translate: Translator, judge: Callable[[DataFrame
 
 
 def translate_with_memory(
-    units: DataFrame, held: DataFrame, translate: Translator, model: str, direction: str, now: str, least: int = 0, concurrency: int | None = None, most: int = validate.ATTEMPTS,
-    max_days: int | None = memory.MAX_DAYS, max_entries: int | None = memory.MAX_ENTRIES,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+    units: DataFrame, held: DataFrame | MemoryStore, translate: Translator, model: str, direction: str, now: str, least: int = 0, concurrency: int | None = None, most: int = validate.ATTEMPTS,
+    max_days: int | None = memory.MAX_DAYS, max_entries: int | None = None,
+) -> tuple[DataFrame, DataFrame | MemoryStore, DataFrame]:
     """(translations, memory, report) of distinct units (text); null texts are no units.
 
     The memory is aged first. translations: (text, translated, status): from the memory, or the first of `most` attempts
-    that passes the checks, else the source. memory: with the new translations; report: hits, misses, total and hit rate.
+    that passes the checks, else the source. memory: with the new translations; report: hits, misses, total and hit rate,
+    entries and bytes of the memory. A memory store is looked up in place, expired entries left out, and gets the new ones
+    as a part; max_entries is for tables only. Units that a log of requests waits for have status `open` and their source.
     """
-    held = written(memory.aged(held, now, max_days, max_entries))
+    store = isinstance(held, MemoryStore)
+    held = held if store else written(memory.aged(held, now, max_days, max_entries))
     keyed = written(units.select("text").filter("text is not null").distinct().withColumn("cache_key", cache_key(F.col("text"), model, direction)))
-    looked = memory.lookup(keyed, held)
+    looked = written(held.lookup(keyed, now, max_days)) if store else memory.lookup(keyed, held)
+    missed = looked.filter("stored is null").select(keyed.columns) if store else memory.misses(keyed, held)
     judge = lambda got: got.withColumn("status", validate.status(F.col("text"), F.col("reply"), least=least))
-    tried = attempts(memory.misses(keyed, held), translate, judge, most, concurrency)
-    best = validate.first_valid_attempt(tried.select(F.col("cache_key").alias("unit_id"), "attempt", F.col("text").alias("src"), "reply"), most, least)
+    tried = attempts(missed, translate, judge, most, concurrency)
+    best = validate.first_valid_attempt(tried.select(F.col("cache_key").alias("unit_id"), "attempt", F.col("text").alias("src"), "reply", "failure"), most, least)
     fine = written(best.select(F.col("unit_id").alias("cache_key"), F.col("final_text").alias("new"), "status"))
-    done = looked.join(fine, "cache_key", "left").select("text", F.coalesce("stored", "new", "text").alias("translated"), F.coalesce("status", F.lit("stored")).alias("status"))
+    done = looked.join(fine, "cache_key", "left").select("text", F.coalesce("stored", "new", "text").alias("translated"), F.when(F.col("stored").isNotNull(), "stored").otherwise(F.coalesce("status", F.lit("open"))).alias("status"))
     fresh = fine.filter("status = 'ok'").join(keyed, "cache_key").select("cache_key", F.col("text").alias("source"), F.col("new").alias("text"), F.lit(now).alias("ts_raw"))
-    return written(done), written(memory.merge(held, fresh)), memory.stats(looked)
+    if store:
+        done, report = written(done), written(memory.stats(looked, held.whole()))
+        held.append(fresh)
+        return done, held, report
+    return written(done), written(memory.merge(held, fresh)), memory.stats(looked, held)
 
 
 def translate_markdown(docs: DataFrame, held: DataFrame, translate: Translator, model: str, direction: str, now: str, **limits) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -103,18 +120,21 @@ def translate_markdown(docs: DataFrame, held: DataFrame, translate: Translator,
 
 
 def translate_latex(
-    docs: DataFrame, held: DataFrame, translate: Translator, model: str, direction: str, now: str, most: int = latex.CHUNK, fonts: str = "", **limits
+    docs: DataFrame, held: DataFrame, translate: Translator, model: str, direction: str, now: str, most: int = latex.CHUNK, fonts: str = "", by_chunk: bool = False, **limits
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents (doc_id, text), memory, document report): spans protected, chunks translated, spans restored, the class of
     documents that become Chinese converted, with `fonts` before their beginning.
 
-    doc_id must be unique. A null text stays null and has no chunks.
+    doc_id must be unique. A null text stays null and has no chunks. by_chunk numbers placeholders chunk by chunk, so that a
+    change elsewhere in a document leaves the keys of its other chunks in the memory alone.
     """
     safe = written(latex.protect(docs.select("doc_id", "text")))
-    chunks = written(latex.pack_chunks(safe, most))
+    chunks = latex.pack_chunks(safe, most, measure=latex.measured if by_chunk else F.length)
+    chunks = written(latex.number_by_chunk(chunks) if by_chunk else chunks)
     done, kept, _ = translate_with_memory(chunks.filter("text <> ''").select("text"), held, translate, model, direction, now, least=validate.SHORT, **limits)
     placed = written(chunks.withColumn("k", F.md5("text")).join(done.select(F.md5("text").alias("k"), "translated", "status"), "k", "left"))
-    joined = markdown.reassemble(placed.withColumn("line", F.coalesce("translated", "text")), "chunk_no", "line", "\n\n")
+    line = F.coalesce("translated", "text")
+    joined = markdown.reassemble(placed.withColumn("line", latex.number_by_document(line, F.col("held")) if by_chunk else line), "chunk_no", "line", "\n\n")
     whole = safe.select("doc_id", "placeholders", F.col("text").isNull().alias("none")).join(joined, "doc_id", "left")
     restored = T.convert_document_class(latex.restore(F.coalesce("text", F.lit("")), F.col("placeholders")), direction, fonts)
     out = whole.select("doc_id", F.when(~F.col("none"), restored).alias("text"))
@@ -124,28 +144,38 @@ def translate_latex(
 def translate_style_files(docs: DataFrame, translate: Translator, concurrency: int | None = None, most: int = validate.ATTEMPTS) -> tuple[DataFrame, DataFrame]:
     """(documents (doc_id, text), report (doc_id, blocks_found, blocks_translated)) of style files (doc_id, text).
 
-    Chinese blocks are sent in groups, numbered; a reply holds their translations parted by ---, which get the space
-    between a keyword and a command back. A group whose last attempt has another number of parts is sent block by block;
-    one whose last attempt failed keeps its source, as does a block with a blank reply. Files without Chinese blocks stay
-    as they are; in others, more than two blank lines in a row become two.
+    Chinese blocks are sent in groups, numbered; a reply holds their translations under the same numbers, in any order, or
+    else as many parts as blocks, parted by ---. Keywords get the space before a command back. A block takes the last
+    attempt that has its number; blocks that no attempt has are sent one by one if the last one had a reply, and keep their
+    source otherwise, as does a block with a blank reply. Files without Chinese blocks stay as they are; in others, more than
+    two blank lines in a row become two.
     """
     blocks = written(texblocks.extract_tex_blocks(docs))
     chinese = written(texblocks.filter_chinese_blocks(blocks))
     groups = written(texblocks.pack_blocks(chinese).withColumn("text", T.number_blocks(F.col("contents"))).withColumn("cache_key", F.md5("text")))
     sizes = groups.select("cache_key", F.size("contents").alias("n")).dropDuplicates(["cache_key"])
 
+    def dealt(n: Column) -> Column:
+        """The parts of a reply by the numbers of their blocks, null where it has none."""
+        by_place = F.filter(F.transform(F.split("reply", "---", -1), T.strip), lambda x: x != "")
+        return F.when(F.col("reply").contains("【块"), T.numbered_parts(F.col("reply"), n)).when(F.size(by_place) == n, by_place).otherwise(F.array_repeat(F.lit(None).cast("string"), n))
+
     def judge(got: DataFrame) -> DataFrame:
-        fits = F.when(F.col("reply").isNull(), "error").when(validate.blocks_match(F.col("reply"), F.col("n")), "ok").otherwise("mismatch")
+        fits = F.when(F.col("reply").isNull(), "error").when(F.forall(dealt(F.col("n")), lambda x: x.isNotNull()), "ok").otherwise("mismatch")
         return got.join(sizes, "cache_key").withColumn("status", fits)
 
     tried = attempts(groups.select("cache_key", "text"), translate, judge, most, concurrency)
-    last = written(tried.groupBy("cache_key").agg(F.max_by(F.struct("status", "reply"), "attempt").alias("r")).select("cache_key", "r.*"))
-    parts = F.transform(F.filter(F.transform(F.split("reply", "---", -1), T.strip), lambda x: x != ""), T.fix_keyword_spacing)
-    placed = written(groups.join(last, "cache_key"))
-    whole = placed.filter("status = 'ok'").select("doc_id", F.explode(F.arrays_zip(F.col("starts").alias("start_line"), parts.alias("new"))).alias("x")).select("doc_id", "x.start_line", "x.new")
-    single = placed.filter("status = 'mismatch'").select("doc_id", F.explode(F.arrays_zip(F.col("starts").alias("start_line"), F.col("contents").alias("text"))).alias("x")).select("doc_id", "x.*")
+    judged = written(tried.join(sizes, "cache_key").withColumn("parts", F.transform(dealt(F.col("n")), T.fix_keyword_spacing)))
+    waits = F.lit(isinstance(translate, RequestLog)) & (F.count("*") < most)  # for further attempts at the group
+    last = judged.groupBy("cache_key").agg(F.max_by("status", "attempt").alias("status"), waits.alias("waits"))
+    by_number = judged.select("cache_key", "attempt", F.posexplode("parts").alias("k", "part")).filter("part is not null").groupBy("cache_key", "k").agg(F.max_by("part", "attempt").alias("new"))
+    placed = groups.select("doc_id", "cache_key", F.posexplode(F.arrays_zip(F.col("starts").alias("start_line"), F.col("contents").alias("text"))).alias("k", "x")).select("doc_id", "cache_key", "k", "x.*")
+    placed = written(placed.join(by_number, ["cache_key", "k"], "left").join(last, "cache_key", "left"))
+    whole = placed.filter("new is not null").select("doc_id", "start_line", "new")
+    single = placed.filter("new is null and status = 'mismatch' and not waits").select("doc_id", "start_line", "text")
     single = written(single.withColumn("cache_key", F.md5("text")))
-    alone = translate_units(single, translate, concurrency).select("cache_key", F.nullif(T.strip(F.col("reply")), F.lit("")).alias("new"))
+    alone = attempts(single.select("cache_key", "text").distinct(), translate, lambda got: got.withColumn("status", F.lit("ok")), 1, concurrency)
+    alone = alone.select("cache_key", F.nullif(T.strip(F.col("reply")), F.lit("")).alias("new"))
     new = written(whole.unionByName(single.join(alone, "cache_key").filter("new is not null").select("doc_id", "start_line", "new")))
     translated = chinese.select("doc_id", "start_line", "end_line").join(new, ["doc_id", "start_line"]).select("doc_id", "start_line", "end_line", F.col("new").alias("text"))
     found = chinese.groupBy("doc_id").agg(F.count("*").alias("found"))

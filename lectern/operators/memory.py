@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lectern.operators.graph import written
+
 #: Entries with more characters on either side are not stored; stored ones of STORED or more are dropped at load.
 ENTRY, STORED = 20_000, 50_000
+#: Limits of a desktop memory; paths take the second alone, as the first would empty the memory of a corpus.
 MAX_ENTRIES, MAX_DAYS = 10_000, 30
 
 
@@ -23,7 +26,7 @@ def from_json_maps(spark: SparkSession, path: str, now: str) -> DataFrame:
     return rows.filter(F.col("text").isNotNull() & (F.length("text") < STORED))
 
 
-def aged(memory: DataFrame, now: str, days: int | None = MAX_DAYS, most: int | None = MAX_ENTRIES) -> DataFrame:
+def aged(memory: DataFrame, now: str, days: int | None = MAX_DAYS, most: int | None = None) -> DataFrame:
     """The memory as a path takes it: expired entries go, then the oldest beyond `most`; None leaves a limit out."""
     kept = memory if days is None else expire(memory, now, days)
     return kept if most is None else evict(kept, most)
@@ -52,20 +55,45 @@ def _time(ts_raw: Column) -> Column:
 
 def expire(memory: DataFrame, now: str, days: int = MAX_DAYS) -> DataFrame:
     """Entries that are not older than `days`; those with unreadable times stay."""
+    return memory.filter(is_fresh(F.col("ts_raw"), now, days))
+
+
+def is_fresh(ts_raw: Column, now: str, days: int) -> Column:
+    """Whether a time is unreadable or at most so many days before now."""
     cutoff = F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(days))
-    return memory.filter(_time(F.col("ts_raw")).isNull() | (_time(F.col("ts_raw")) >= cutoff))
+    return _time(ts_raw).isNull() | (_time(ts_raw) >= cutoff)
 
 
 def evict(memory: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
-    """The newest entries by the text of their time; ties by key."""
-    return memory.orderBy(F.col("ts_raw").desc(), "cache_key").limit(most)
+    """The newest entries by the text of their time, null the oldest; ties by key. Keys are unique: repeats of the last one stay.
 
-
-def stats(looked_up: DataFrame) -> DataFrame:
-    """One row: hits, misses, total, hit_rate in percent."""
+    Times and keys alone are dealt out by ranges and counted; the range in which `most` is reached gives the last key that
+    stays, and what is kept is a filter on the memory, so no task ever takes more than one range.
+    """
+    time, order = F.coalesce("ts_raw", F.lit("")), [F.col("t").desc(), F.col("cache_key").asc()]
+    laid = written(memory.select(time.alias("t"), "cache_key").repartitionByRange(*order).withColumn("p", F.spark_partition_id()))
+    left = most
+    for p, n in sorted(tuple(r) for r in laid.groupBy("p").count().collect()):  # a row for each range
+        if left <= n:
+            break
+        left -= n
+    else:
+        return memory
+    if left < 1:
+        return memory.limit(0)
+    last = laid.filter(F.col("p") == p).orderBy(*order).offset(left - 1).first()
+    return memory.filter((time > last["t"]) | ((time == last["t"]) & (F.col("cache_key") <= last["cache_key"])))
+
+
+def stats(looked_up: DataFrame, memory: DataFrame | None = None) -> DataFrame:
+    """One row: hits, misses, total, hit_rate in percent; with a memory, its entries and the bytes of their keys, texts and times."""
     hit = F.col("stored").isNotNull()
     counts = looked_up.agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.count("*").alias("total"))
-    return counts.withColumn("hit_rate", F.when(F.col("total") == 0, 0.0).otherwise(F.round(100 * F.col("hits") / F.col("total"), 1)))
+    rated = counts.withColumn("hit_rate", F.when(F.col("total") == 0, 0.0).otherwise(F.round(100 * F.col("hits") / F.col("total"), 1)))
+    if memory is None:
+        return rated
+    width = sum((F.octet_length(F.coalesce(c, F.lit(""))) for c in ("cache_key", "text", "ts_raw")), F.lit(0))
+    return rated.join(memory.agg(F.count("*").alias("entries"), F.coalesce(F.sum(width), F.lit(0)).cast("long").alias("bytes")), F.lit(True))  # one row each
 
 
 def age_distribution(memory: DataFrame, now: str) -> DataFrame:

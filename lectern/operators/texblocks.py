@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.functions.text import has_chinese
 
@@ -76,20 +78,31 @@ def filter_chinese_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def pack_blocks(blocks: DataFrame, most: float = GROUP_COST, cost: float = COST_PER_CHAR) -> DataFrame:
-    """(doc_id, group_no, starts, contents): blocks by start line; a new group opens when the cost would pass `most`."""
+    """(doc_id, group_no, starts, contents): blocks by start line; a new group opens when the cost would pass `most`.
+
+    Lengths alone are handed to Python, to find the groups; blocks are cut by that once.
+    """
+
+    @F.pandas_udf("array<int>")
+    def begins(lengths: pd.Series) -> pd.Series:
+        return pd.Series([group_starts(x, most, cost) for x in lengths], dtype="object")
+
     ordered = F.array_sort(F.collect_list(F.struct("start_line", "content")))
-    start = F.struct(F.lit(0).alias("g"), F.lit(0.0).cast("double").alias("sum"), F.array().cast("array<int>").alias("groups"))
-
-    def step(s: Column, x: Column) -> Column:
-        own = F.length(x["content"]) * cost
-        new = (s["sum"] + own > most) & (s["sum"] > 0)
-        g = F.when(new, s["g"] + 1).otherwise(s["g"])
-        return F.struct(g.alias("g"), F.when(new, own).otherwise(s["sum"] + own).cast("double").alias("sum"), F.concat(s["groups"], F.array(g)).alias("groups"))
-
-    numbered = blocks.groupBy("doc_id").agg(ordered.alias("b")).withColumn("g", F.aggregate("b", start, step, lambda s: s["groups"]))
-    rows = numbered.select("doc_id", F.explode(F.arrays_zip("b", "g")).alias("x")).select("doc_id", F.col("x.g").alias("group_no"), "x.b.*")
-    packed = F.array_sort(F.collect_list(F.struct("start_line", "content")))
-    return rows.groupBy("doc_id", "group_no").agg(F.transform(packed, lambda x: x["start_line"]).alias("starts"), F.transform(packed, lambda x: x["content"]).alias("contents"))
+    laid = blocks.groupBy("doc_id").agg(ordered.alias("b")).withColumn("at", begins(F.transform("b", lambda x: F.length(x["content"]))))
+    mine = lambda at, k: F.slice("b", at + 1, F.coalesce(F.get("at", k + 1), F.size("b")) - at)
+    rows = laid.select("doc_id", F.posexplode(F.transform("at", mine)).alias("group_no", "g"))
+    return rows.select("doc_id", "group_no", F.transform("g", lambda x: x["start_line"]).alias("starts"), F.transform("g", lambda x: x["content"]).alias("contents"))
+
+
+def group_starts(lengths: np.ndarray, most: float, cost: float) -> list[int]:
+    """First blocks of the groups of a file."""
+    starts, total = [], 0.0
+    for k, n in enumerate(lengths.tolist()):
+        if not starts or total > 0 and total + n * cost > most:
+            starts.append(k)
+            total = 0.0
+        total += n * cost
+    return starts
 
 
 def rebuild_from_blocks(lines: DataFrame, translated: DataFrame) -> DataFrame:

@@ -67,9 +67,11 @@ def first_valid_attempt(replies: DataFrame, most: int = ATTEMPTS, least: int = 0
     """(unit_id, attempt, status, final_text) of units with replies (unit_id, attempt from 0, src, reply).
 
     Attempts count in order: blank replies, echoes, mismatches, errors and short replies go on to the next; a refusal ends
-    them with the source, as does passing all; the first valid reply wins. attempt is null where none did.
+    them with the source, as does passing all; the first valid reply wins. attempt is null where none did. Where replies
+    have a column `failure`, what it names is the verdict.
     """
-    judged = replies.filter(F.col("attempt") < most).withColumn("status", status(F.col("src"), F.col("reply"), least=least))
+    verdict = status(F.col("src"), F.col("reply"), least=least)
+    judged = replies.filter(F.col("attempt") < most).withColumn("status", F.coalesce("failure", verdict) if "failure" in replies.columns else verdict)
     chosen = F.min(F.when(is_final(F.col("status")), F.struct("attempt", "status", "reply"))).alias("c")
     last = F.max_by("status", "attempt").alias("last")
     best = judged.groupBy("unit_id").agg(chosen, last, F.first("src").alias("src"))
@@ -93,14 +95,16 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
 
 
-def emit_requests(units: DataFrame, model: str, system: str, temperature: float, path: str) -> DataFrame:
-    """(unit_id, request) with one chat request as JSON for each unit (unit_id, text).
+def emit_requests(units: DataFrame, model: str, system: str, temperature: float, path: str, keep: list[str] | None = None) -> DataFrame:
+    """(unit_id, request) with one chat request as JSON for each unit (unit_id, text), and the columns to keep.
 
-    path sets the limit of tokens: latex two for each character, markdown and group 4096, block 2048, word none.
+    path sets the limit of tokens: latex two for each character, markdown and group 4096, block 2048, word none. Where
+    units have a column `growth`, the limit is multiplied by it.
     """
     limit = {"latex": (2 * F.length("text")).cast("long"), "markdown": F.lit(4096).cast("long"), "group": F.lit(4096).cast("long"), "block": F.lit(2048).cast("long")}.get(path, F.lit(None).cast("long"))
+    limit = limit * F.col("growth") if "growth" in units.columns else limit
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     fields = [F.lit(model).alias("model"), F.array(message("system", F.lit(system)), message("user", F.col("text"))).alias("messages"), F.lit(float(temperature)).alias("temperature"), limit.alias("max_tokens")]
     if path == "latex":
         fields.append(F.lit(0.9).alias("top_p"))
-    return units.select("unit_id", F.to_json(F.struct(*fields)).alias("request"))
+    return units.select("unit_id", F.to_json(F.struct(*fields)).alias("request"), *(keep or []))

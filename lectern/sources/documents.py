@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.functions.text import newlines
+from lectern.sources import versions
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
@@ -42,12 +43,19 @@ def write_documents(docs: DataFrame, path: str) -> None:
 
 
 def write_memory(memory: DataFrame, folder: str, version: str) -> str:
-    """A memory as a new version below folder; the version that is read is never written to."""
+    """A memory as a new version below folder; the version that is read is never written to, and is named once it is whole."""
     path = f"{folder.rstrip('/')}/version={version}"
     memory.write.parquet(path)
+    versions.tell_version(memory.sparkSession, folder, version)
     return path
 
 
+def read_memory(spark: SparkSession, folder: str) -> DataFrame:
+    """The last version below folder that was written to its end; an empty memory where there is none."""
+    found = versions.newest(spark, folder)
+    return spark.createDataFrame([], "cache_key string, text string, ts_raw string") if found is None else found.select("cache_key", "text", "ts_raw")
+
+
 def part_action(name):
     """What is done with a part of a package: replace_font_table, replace_styles, process or copy."""
     return F.when(name == "word/fontTable.xml", "replace_font_table").when(name == "word/styles.xml", "replace_styles").when(name.startswith("word/") & name.endswith(".xml"), "process").otherwise("copy")
