@@ -3,9 +3,10 @@
 A line is normalised to its words, A-Z lower-cased. Lines of equal words form a class. Two kinds of pigeonhole blocks
 make candidates. Blocks of bits: classes whose 64-bit SimHashes differ in at most RADIUS bits. Those are few of the lines
 that are alike enough, as a fifth of all words changed turns 13 of 64 bits in the mean. Blocks of words: edits of words
-leave some runs of words untouched, so that two lines near each other share one of the first few runs in a common order;
-of these pairs, those whose SimHashes differ in at most FAR bits are candidates. Candidates are linked if the edit
-similarity of their word sequences (1 - edit distance in words / words of the longer line) is high enough. Of each
+leave some runs of words untouched, so that two lines near each other share one of the first runs in a common order. Of
+lines of up to 24 words as many runs are taken as this needs whatever the edits are; of longer ones KEYS, of which made
+pairs with a fifth of their words edited at random share one in more than nineteen cases of twenty. Of the pairs that meet
+so, those whose SimHashes differ in at most FAR bits are candidates. Candidates are linked if the edit similarity of their word sequences (1 - edit distance in words / words of the longer line) is high enough. Of each
 connected group the first occurrence stays. Lines of fewer than five words have exact copies only: one edit is too many.
 """
 
@@ -24,11 +25,11 @@ from lectern.llm.store import cut
 
 SIMILARITY = 0.8
 #: Radius of the candidates by blocks of bits, and of those by blocks of words.
-RADIUS, FAR = 3, 20
+RADIUS, FAR = 3, 22
 #: Words of a run: (words, shortest line, longest line). Where kinds overlap, lines of both lengths may be near each other.
-RUNS = ((2, 5, 15), (3, 12, None))
-#: Runs of each kind that a line is found by. First come runs without short words, which are seldom those of unlike lines; words count as long from LONG bytes on.
-KEYS, LONG = 5, 6
+RUNS = ((2, 5, 24), (3, 20, None))
+#: Runs of the last kind that a line is found by. First come runs without short words, which are seldom those of unlike lines; words count as long from LONG bytes on.
+KEYS, LONG = 10, 6
 #: Longs of the odd sketch of a line.
 ODD = 4
 #: Ids of a block beyond which it is dealt out by parts; of a bucket up to which its pairs are looked at; rows gathered in a task.
@@ -87,9 +88,20 @@ def _odd(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduceat(np.where(place == k, one, np.uint64(0)), starts) for k in range(ODD)], axis=1)
 
 
-def run_keys(hashes: np.ndarray, ends: np.ndarray, sizes: np.ndarray, kinds: tuple = RUNS, most: int = KEYS) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, ends): for each line, the first `most` of its runs of words of each kind, those of longer shortest words first,
-    then by hash."""
+def runs_needed(n: np.ndarray, words: int, similarity: float = SIMILARITY) -> np.ndarray:
+    """So many of its first runs in a common order must a line of n words be found by to share one with every line near it.
+
+    An edit changes as many runs as a run has words, an inserted word one less: of two lines with k edits between them, d
+    of them insertions, all but words * k - d runs of the shorter are in the longer.
+    """
+    longer = np.arange(0, 2 + int(1 / max(1 - similarity, 0.01)))
+    edits_ = np.floor((n[:, None] + longer) * (1 - similarity) + 1e-9)
+    return (words * edits_ - longer).max(axis=1).astype(np.int64) + 1
+
+
+def run_keys(hashes: np.ndarray, ends: np.ndarray, sizes: np.ndarray, kinds: tuple = RUNS, most: int = KEYS, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ends): for each line, the first of its runs of words of each kind, those of longer shortest words first, then by
+    hash: as many as needed of a kind for lines up to a length, `most` of one for all lengths."""
     short = np.uint64(LONG) - np.minimum(sizes, LONG).astype(np.uint64)
     counts = np.diff(np.concatenate([[0], ends]))
     at = np.repeat(np.arange(len(ends), dtype=np.uint64), counts)
@@ -108,7 +120,8 @@ def run_keys(hashes: np.ndarray, ends: np.ndarray, sizes: np.ndarray, kinds: tup
         laid = laid[np.concatenate([[True], laid[1:] != laid[:-1]])] if len(laid) else laid
         line = laid >> np.uint64(40)
         begin = np.searchsorted(line, line)
-        laid = laid[np.arange(len(laid)) - begin < most]
+        limit = most if high is None else runs_needed(counts[line.astype(np.int64)], words, similarity)
+        laid = laid[np.arange(len(laid)) - begin < limit]
         found.append((laid >> np.uint64(40), grams.mix((laid & np.uint64((1 << 40) - 1)) + (np.uint64(words) << np.uint64(56)))))
     if not found:
         return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
@@ -152,7 +165,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("t"))
 
 
-def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def line_hashes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """(id, content, line, h, sim, n, odd, runs) of every non-blank line: hashes of the text it stands in and of its words,
     SimHash, number of words, odd sketch, keys of its runs."""
 
@@ -161,7 +174,7 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for row, line, hashes, ends, sizes in _line_words(batch.column(2).to_pylist()):
                 if len(row):
                     at = pa.array(row)
-                    keys, stops = run_keys(hashes, ends, sizes)
+                    keys, stops = run_keys(hashes, ends, sizes, similarity=similarity)
                     odd = pa.ListArray.from_arrays(pa.array(np.arange(0, ODD * len(row) + 1, ODD, dtype=np.int32)), pa.array(_odd(hashes, ends).view(np.int64).ravel()))
                     runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(keys.view(np.int64)))
                     yield pa.RecordBatch.from_arrays(
@@ -211,11 +224,11 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     Blank lines are in no list, as they are neither repeated nor unique; texts without a line that stays are missing.
     id is the smallest long where the document's is null. Rows of one id with equal texts count as one row.
     """
-    lines = line_hashes(docs, id_col, text_col)
+    lines = line_hashes(docs, id_col, text_col, similarity)
     first = F.min(F.struct("id", "content", "line", "sim", "n", "odd", "runs")).alias("at")
     classes = cut(lines.groupBy("h").agg(first).select(F.col("h").alias("id"), F.struct("at.id", "at.content", "at.line").alias("at"), *[f"at.{c}" for c in ("sim", "n", "odd", "runs")]))
     met = cut(near_buckets(classes, radius).union(run_buckets(classes, similarity)))
-    pairs, crowded = met.filter("key is null").select("a", "b").distinct(), met.filter("key is not null").select("key", F.col("a").alias("id")).distinct()
+    pairs, crowded = met.filter("key is null").select("a", "b").distinct(), met.filter("key is not null").select("key", F.col("a").alias("id"), "far").distinct()
     wanted = cut(met.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct())
     sims = cut(classes.select("id", "sim", "n", "odd").join(wanted, "id"))
     spelled = cut(_spellings(docs, wanted, id_col, text_col))
@@ -248,43 +261,45 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     return stay.groupBy("id", "content").agg(F.array_sort(F.collect_list("line")).alias("stay"))
 
 
-_MET = "a long, b long, key long"
+_MET = "a long, b long, key long, far int"
 
 
-def _met(a: np.ndarray, b: np.ndarray | None = None, keys: np.ndarray | None = None) -> pa.RecordBatch:
-    """Pairs a < b, or members a of large buckets with their keys."""
+def _met(a: np.ndarray, b: np.ndarray | None = None, keys: np.ndarray | None = None, far: int = FAR) -> pa.RecordBatch:
+    """Pairs a < b, or members a of large buckets with their keys and the radius within which they may be linked."""
     none = pa.nulls(len(a), pa.int64())
     low, high = (a, None) if b is None else (np.minimum(a, b), np.maximum(a, b))
-    return pa.RecordBatch.from_arrays([pa.array(low), none if b is None else pa.array(high), none if keys is None else pa.array(keys)], ["a", "b", "key"])
+    return pa.RecordBatch.from_arrays([pa.array(low), none if b is None else pa.array(high), none if keys is None else pa.array(keys), pa.array(np.full(len(a), far, np.int32))], ["a", "b", "key", "far"])
 
 
-def _pairs(keys: np.ndarray, ids: np.ndarray, near: Callable) -> Iterator[pa.RecordBatch]:
+def _pairs(keys: np.ndarray, ids: np.ndarray, near: Callable, far: int) -> Iterator[pa.RecordBatch]:
     """What sorted keys bring together: pairs of small buckets that are near (positions, and how far apart), large buckets whole."""
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     size = np.repeat(np.diff(edge), np.diff(edge))
     large = size > SMALL_BUCKET
     if large.any():
-        yield _met(ids[large], keys=keys[large])
+        yield _met(ids[large], keys=keys[large], far=far)
     for d in range(1, min(SMALL_BUCKET, len(keys))):
         one = np.flatnonzero((keys[d:] == keys[:-d]) & ~large[d:])
         if not len(one):
             break
         one = near(one, d)
-        yield _met(ids[one], ids[one + d])
+        yield _met(ids[one], ids[one + d], far=far)
 
 
 def crowded_links(crowded: DataFrame, sims: DataFrame, spelled: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): links that connect what is alike in large buckets (key, id), from sketches (id, sim, n, odd) and words (id, s).
+    """(a, b): links that connect what is alike in large buckets (key, id, far), from sketches (id, sim, n, odd) and words (id, s).
+    far is how many bits of the SimHashes may differ, as in small buckets of the same kind.
 
     A task takes a bucket of up to PART ids, or two parts of a larger one. From each line on it follows links to lines not
     reached yet, so that of a group of copies few pairs are looked at, and each at most once.
     """
     parts = F.ceil(F.col("m") / F.lit(PART)).cast("int")
-    dealt = crowded.join(crowded.groupBy("key").agg(F.count("*").alias("m")), "key").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id")
+    dealt = crowded.join(crowded.groupBy("key", "far").agg(F.count("*").alias("m")), ["key", "far"]).withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "far")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         ids, n, part, across = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["part"].to_numpy(), rows["low"].iloc[0] != rows["high"].iloc[0]
+        far = rows["far"].iloc[0]
         sketches = np.column_stack([rows["sim"].to_numpy(), np.stack(rows["odd"].to_list())]).astype(np.int64).view(np.uint64)
         words, left, out = [bytes(x).split(b" ") for x in rows["s"]], np.ones(len(ids), np.bool_), []
         for start in range(len(ids)):
@@ -295,7 +310,7 @@ def crowded_links(crowded: DataFrame, sims: DataFrame, spelled: DataFrame, simil
                 near = np.flatnonzero(left & (part != part[u]) if across else left)
                 apart = np.bitwise_count(sketches[near] ^ sketches[u]).astype(np.int64)
                 most = np.floor(np.maximum(n[near], n[u]) * (1 - similarity) + 1e-9).astype(np.int64)
-                fits = (apart[:, 0] <= FAR) & (apart[:, 1:].sum(axis=1) <= 2 * most)
+                fits = (apart[:, 0] <= far) & (apart[:, 1:].sum(axis=1) <= 2 * most)
                 for v, d in zip(near[fits].tolist(), most[fits].tolist()):
                     if edits(words[u], words[v], d) <= d:
                         left[v] = False
@@ -303,7 +318,7 @@ def crowded_links(crowded: DataFrame, sims: DataFrame, spelled: DataFrame, simil
                         out.append((min(ids[u], ids[v]), max(ids[u], ids[v])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.join(sims, "id").join(spelled, "id").groupBy("key", "low", "high").applyInPandas(solve, "a long, b long")
+    return dealt.join(sims, "id").join(spelled, "id").groupBy("key", "far", "low", "high").applyInPandas(solve, "a long, b long")
 
 
 def run_buckets(classes: DataFrame, similarity: float = SIMILARITY, far: int = FAR) -> DataFrame:
@@ -324,13 +339,13 @@ def run_buckets(classes: DataFrame, similarity: float = SIMILARITY, far: int = F
                 one = one[apart(sims, one, d) <= far]
                 return one[apart(o, one, d) + apart(p, one, d) <= 2 * np.floor(np.maximum(n[one], n[one + d]) * (1 - similarity) + 1e-9)]
 
-            yield from _pairs(keys, ids, near)
+            yield from _pairs(keys, ids, near, far)
 
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
             if full is not None:  # the bucket that has been found to be large goes on
                 stop = int(np.searchsorted(rows[0], full, side="right"))
-                yield _met(rows[1, :stop], keys=rows[0, :stop])
+                yield _met(rows[1, :stop], keys=rows[0, :stop], far=far)
                 rows = rows[:, stop:]
             if not rows.shape[1]:
                 continue
@@ -344,7 +359,7 @@ def run_buckets(classes: DataFrame, similarity: float = SIMILARITY, far: int = F
                     yield from solve(rows[:, :stop])
                 held, waiting = [rows[:, stop:]], rows.shape[1] - stop
                 if waiting > SMALL_BUCKET:
-                    yield _met(held[0][1], keys=held[0][0])
+                    yield _met(held[0][1], keys=held[0][0], far=far)
                     full, held, waiting = held[0][0, -1], [], 0
         if waiting:
             yield from solve(np.concatenate(held, axis=1))
@@ -403,7 +418,7 @@ def near_buckets(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 keys = grams.mix(grams.mix(value * np.uint64(count) + np.uint64(k)) + g.view(np.uint64))
                 order = np.argsort(keys, kind="stable")
                 own = sims[order]
-                yield from _pairs(keys[order].view(np.int64), ids[order], lambda one, d: one[np.bitwise_count(own[one] ^ own[one + d]) <= radius])  # noqa: B023
+                yield from _pairs(keys[order].view(np.int64), ids[order], lambda one, d: one[np.bitwise_count(own[one] ^ own[one + d]) <= radius], radius)  # noqa: B023
 
         waiting = 0
         for batch in batches:
@@ -420,7 +435,7 @@ def near_buckets(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield from solve(np.concatenate(held, axis=1))
 
     inside = few.select("id", "sim", "t", "g").repartition("g").sortWithinPartitions("g").mapInArrow(find, _MET)
-    return inside.union(many.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("g").alias("key")))
+    return inside.union(many.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("g").alias("key"), F.lit(radius).alias("far")))
 
 
 def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -185,6 +185,47 @@ def test_lines_at_the_similarity_are_found(spark, monkeypatch):
         assert sum(b in stay for _, b in pairs) <= 0.1 * len(pairs)
 
 
+def test_plain_prose_is_found_at_every_length(spark):
+    """Half of the words are six short ones, a fifth of all is edited: nine of ten pairs at every length, nearly all of the short ones."""
+    rng = np.random.default_rng(18)
+    vocabulary = [w for w in words(19, 6000) if len(w) > 4]
+    short = ["a", "of", "the", "in", "to", "and"]
+    texts, cells = [], defaultdict(list)
+    for n in (5, 9, 12, 16, 20, 24, 25, 30, 45, 60):
+        for _ in range(150):
+            base = [rng.choice(short) if rng.random() < 0.5 else rng.choice(vocabulary) for _ in range(n)]
+            other = list(base)
+            for at in rng.choice(n, n // 5, replace=False):
+                other[at] = f"new{rng.integers(10**9)}"
+            cells[n].append(len(texts) + 1)
+            texts += [" ".join(base), " ".join(other)]
+    stay = {r["doc_id"] for r in lines.counted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r["stay"]}
+    lost = {n: sum(b in stay for b in v) / len(v) for n, v in cells.items()}
+    print(lost)
+    assert max(lost.values()) <= 0.1 and max(lost[n] for n in cells if n <= 24) <= 0.05, lost
+
+
+def test_enough_runs_are_taken(spark):
+    """Two lines of up to 24 words share one of their first runs whatever the edits, in any order of the runs."""
+    rng = np.random.default_rng(20)
+    for _ in range(3000):
+        base = list(rng.integers(0, 40, rng.integers(5, 25)))
+        other = list(base)
+        for _ in range(int(rng.integers(0, 6))):
+            at, kind = int(rng.integers(len(other))), rng.integers(3)
+            other[at : at + int(kind > 0)] = [int(rng.integers(100, 1000))] * int(kind < 2)
+            if not other:
+                break
+        n = max(len(base), len(other))
+        if not 5 <= len(other) <= 24 or distance(base, other) > int(0.2 * n + 1e-9):
+            continue
+        found = []
+        for line in (base, other):
+            runs = sorted(set(zip(line, line[1:])), key=lambda r: hash((r, 7)))
+            found.append(set(runs[: int(lines.runs_needed(np.array([len(line)]), 2)[0])]))
+        assert found[0] & found[1], (base, other)
+
+
 def test_buckets_hold_all_near_pairs(spark, monkeypatch):
     rng = np.random.default_rng(12)
     base = rng.integers(0, 2**63, 60).astype(np.uint64)
