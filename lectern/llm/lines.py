@@ -13,6 +13,7 @@ connected group the first occurrence stays. Lines of fewer than five words have
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from operator import ne
 
 import numpy as np
 import pandas as pd
@@ -161,6 +162,24 @@ def edits(a: list, b: list, most: int) -> int:
     return score
 
 
+def near_in_words(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two lines (words joined by spaces) are alike enough.
+
+    The distance is worked out where bounds leave it open: words that only one line has are edits, one each at least, and
+    words that differ place by place are as many edits at most.
+    """
+    x, y = a.split(b" "), b.split(b" ")
+    most = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
+    if abs(len(x) - len(y)) > most:
+        return False
+    if len(x) == len(y) and sum(map(ne, x, y)) <= most:
+        return True
+    p, q = set(x), set(y)
+    if len(p - q) > most or len(q - p) > most:
+        return False
+    return edits(x, y, most) <= most
+
+
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("t"))
 
@@ -248,11 +267,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
 
     def near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = x.split(b" "), y.split(b" ")
-                most = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
-                good.append(edits(x, y, most) <= most)
+            good = [near_in_words(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     found = components(cut(verify(pairs).union(crowded_links(crowded, sims, spelled, similarity))))

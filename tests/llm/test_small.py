@@ -164,6 +164,16 @@ def test_edits():
             assert got == d if d <= most else got > most
 
 
+def test_bounds_of_edits():
+    rng = np.random.default_rng(21)
+    spelled = words(22, 8)
+    a, b = ([" ".join(rng.choice(spelled, rng.integers(1, 40))).encode() for _ in range(400)] for _ in range(2))
+    b[:150] = [b" ".join([*x.split()[:-2], b"new"]) for x in a[:150]]
+    b[150:250] = [b" ".join([b"new", *x.split()[:-1]]) for x in a[150:250]]
+    want = [distance(x.split(), y.split()) <= int(0.2 * max(len(x.split()), len(y.split())) + 1e-9) for x, y in zip(a, b)]
+    assert [lines.near_in_words(x, y, 0.8) for x, y in zip(a, b)] == want and 100 < sum(want) < 300
+
+
 def test_lines_at_the_similarity_are_found(spark, monkeypatch):
     """Pairs with as many edited words as 0.8 allows, at random places, of all lengths and edits: nine of ten and more."""
     rng = np.random.default_rng(16)
