@@ -291,6 +291,17 @@ def pack_chunks(spark, sf_dir):
     return latex.pack_chunks(_tex(spark, sf_dir)).select("doc_id", "chunk_no", "n_chars", F.md5("text").alias("text_md5"))
 
 
+@query(duck(rf"""+ {GUARDED}, bare as (select doc_id, line_no, regexp_replace(line, '<([A-Z]+)_[0-9]+>', '<\1_>') line from guarded), {packed('bare')},
+  cut as (select *, string_split(text, '_>') ps from chunks), named as (select *, array_to_string(list_transform(ps, lambda x, i: case when i < len(ps) then x || '_' || i || '>' else x end), '') local from cut)
+  select doc_id, chunk_no, md5(local || '|m|en-to-zh') cache_key, len(ps)::int - 1 n, true back from named""", "tex_lines_v", recursive=True))
+def protect_latex_by_chunk(spark, sf_dir):
+    """Keys of chunks whose placeholders are numbered in the chunk, and whether the document's numbers come back."""
+    chunks = latex.pack_chunks(graph.written(latex.protect(_tex(spark, sf_dir))), measure=latex.measured).withColumn("before", F.col("text"))
+    local = latex.number_by_chunk(chunks)
+    back = latex.number_by_document(F.col("text"), F.col("held")) == F.col("before")
+    return local.select("doc_id", "chunk_no", T.cache_key(F.col("text"), MODEL, DIRECTION).alias("cache_key"), F.size("held").alias("n"), back.alias("back"))
+
+
 SPANS = r"""o as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint off from cls_lines_v),
   c as (select doc_id, off, line, regexp_extract(line, '%\s*(.+)$', 1) as text, 'comment' span_type from o),
   b as (select doc_id, off, line, unnest(regexp_extract_all(line, '\{([^}]+)\}', 1)) as text, 'chinese_string' span_type from o),

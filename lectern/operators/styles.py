@@ -31,34 +31,94 @@ def run_key(kind: str = "kind", block: str = "block", rpr: str = "rpr", rstyle:
     return F.when(F.col(kind) == "hyperlink", F.concat(F.lit("link:"), F.col(block))).otherwise(F.concat_ws(":", kind, block, F.coalesce(rstyle, F.lit("")), map_key(F.col(rpr))))
 
 
+def _nodes(styles: DataFrame) -> DataFrame:
+    """(path, node, up): every style with the one that it is based on, and every missing one that is named; ends have no up."""
+    own = styles.groupBy("path", F.col("style_id").alias("node")).agg(F.min("based_on").alias("up"))  # an id is there once
+    named = own.filter("up is not null").select("path", F.col("up").alias("node")).join(own, ["path", "node"], "left_anti").distinct()
+    return written(own.unionByName(named.withColumn("up", F.lit(None).cast("string"))))
+
+
+def _jumps(nodes: DataFrame) -> list[DataFrame]:
+    """Tables (path, node, far) of nodes (path, node, up): entry k has the ancestor 2^k steps up of all nodes that have one.
+
+    Each round joins a table with itself, so a chain of n styles takes log n of them. Circles would never end: the last
+    table then holds the nodes that lead into one, with a node of it.
+    """
+    most = nodes.count()
+    found = [written(nodes.filter("up is not null").select("path", "node", F.col("up").alias("far")))]
+    while True:
+        last = found[-1]
+        on = last.select("path", F.col("node").alias("far"), F.col("far").alias("farther"))
+        step = written(last.join(on, ["path", "far"]).select("path", "node", F.col("farther").alias("far")))
+        if not step.limit(1).count():
+            return found
+        found.append(step)
+        if 1 << (len(found) - 1) > most:
+            return found
+
+
+def _reached(nodes: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(path, node, depth, ancestor): nodes at depth 0 and all their ancestors, where no chain is a circle."""
+    out = nodes.select("path", "node", F.lit(0).alias("depth"), F.col("node").alias("ancestor"))
+    for k, jump in enumerate(jumps):
+        on = out.select("path", F.col("node").alias("far"), "depth", "ancestor")
+        out = written(out.unionByName(jump.join(on, ["path", "far"]).select("path", "node", (F.col("depth") + (1 << k)).alias("depth"), "ancestor")))
+    return out
+
+
 def style_chain(styles: DataFrame) -> DataFrame:
     """(path, style_id, depth, ancestor): each style at depth 0, then its ancestors.
 
     An ancestor that is missing or stands in the chain already is listed once more as the last entry, so chains of any
-    length end. styles: (path, style_id, based_on).
+    length end. styles: (path, style_id, based_on). A chain of n styles takes log n rounds; where styles stand in a circle,
+    it is opened behind its smallest style, and what is found on the way there is put together again.
     """
-    base = written(styles.select("path", F.col("style_id").alias("ancestor"), F.col("based_on").alias("up")))
-    here = out = written(styles.select("path", "style_id", F.lit(0).alias("depth"), F.col("style_id").alias("ancestor"), F.array("style_id").alias("seen")))
-    depth = 0
-    while True:
-        depth += 1
-        step = here.join(base, ["path", "ancestor"]).filter("up is not null").select("path", "style_id", F.lit(depth).alias("depth"), F.col("up").alias("ancestor"), "seen")
-        step = written(step.withColumn("again", F.expr("array_contains(seen, ancestor)")))
-        if step.limit(1).count() == 0:
-            return out.select("path", "style_id", "depth", "ancestor")
-        out = out.unionByName(step.drop("again"))
-        here = step.filter("not again").select("path", "style_id", "depth", "ancestor", F.concat("seen", F.array("ancestor")).alias("seen"))
+    nodes = _nodes(styles)
+    known = styles.select("path", F.col("style_id").alias("node")).distinct()
+    own = nodes.filter("up = node").select("path", "node")  # styles based on themselves: a circle of one
+    jumps = _jumps(nodes.withColumn("up", F.when(F.col("up") != F.col("node"), F.col("up"))))
+    most = nodes.count()
+    ring = None
+    if 1 << (len(jumps) - 1) > most:
+        ring = written(jumps[-1].select("path", F.col("far").alias("node")).distinct())
+        circle = nodes.join(ring, ["path", "node"], "left_semi")
+        least = circle.select("path", "node", F.col("node").alias("low"))
+        for jump in jumps:  # the smallest of the next 2^k styles of a circle
+            on = least.select("path", F.col("node").alias("far"), F.col("low").alias("lower"))
+            least = written(least.join(jump, ["path", "node"]).join(on, ["path", "far"]).select("path", "node", F.least("low", "lower").alias("low")))
+        steps = _jumps(circle.join(least, ["path", "node"]).withColumn("up", F.when(F.col("up") != F.col("low"), F.col("up"))).select("path", "node", "up"))
+        away = _reached(circle, steps).groupBy("path", "node").agg(F.max("depth").alias("left"))  # steps to the last style before the smallest
+        placed = written(least.join(away, ["path", "node"]))
+        size = placed.groupBy("path", "low").agg((F.max("left") + 1).alias("size"))
+        other = placed.select("path", "low", F.col("node").alias("ancestor"), F.col("left").alias("there"))
+        around = placed.join(size, ["path", "low"]).join(other, ["path", "low"]).select("path", "node", F.pmod(F.col("left") - F.col("there"), F.col("size")).alias("depth"), "ancestor")
+        around = written(around.unionByName(placed.join(size, ["path", "low"]).select("path", "node", F.col("size").alias("depth"), F.col("node").alias("ancestor"))))
+        straight = nodes.join(ring.withColumn("in", F.lit(True)), ["path", "node"], "left").withColumn("up", F.when(F.col("in").isNull() & (F.col("up") != F.col("node")), F.col("up"))).select("path", "node", "up")
+        jumps = _jumps(written(straight))
+    out = _reached(nodes, jumps)
+    if ring is not None:
+        into = out.join(ring.withColumnRenamed("node", "ancestor"), ["path", "ancestor"], "left_semi").select("path", F.col("node").alias("style_id"), F.col("depth").alias("before"), F.col("ancestor").alias("node"))
+        more = into.join(around.filter("depth > 0"), ["path", "node"]).select("path", F.col("style_id").alias("node"), (F.col("before") + F.col("depth")).cast("int").alias("depth"), "ancestor")
+        out = out.unionByName(more)
+    again = out.join(own.withColumnRenamed("node", "ancestor"), ["path", "ancestor"], "left_semi").select("path", "node", (F.col("depth") + 1).alias("depth"), "ancestor")
+    return out.unionByName(again).join(known, ["path", "node"], "left_semi").select("path", F.col("node").alias("style_id"), "depth", "ancestor")
 
 
 def resolve_styles(styles: DataFrame, rpr: str = "rpr", kind: str = PROPS) -> DataFrame:
     """(path, style_id, rpr): properties merged over the chain, those of the nearest style win, tag by tag.
 
-    rpr names the map of properties by tag, of type `kind`.
+    rpr names the map of properties by tag, of type `kind`. Each round merges the properties of 2^k styles up with those
+    of the next 2^k, so a chain of n styles takes log n rounds; in a circle nothing new is found after one turn.
     """
-    own = styles.select("path", F.col("style_id").alias("ancestor"), F.explode(rpr).alias("tag", "attrs"))
-    nearest = style_chain(styles).join(own, ["path", "ancestor"]).groupBy("path", "style_id", "tag").agg(F.min_by("attrs", "depth").alias("attrs"))
-    made = nearest.groupBy("path", "style_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "attrs"))).alias("rpr"))
-    return styles.select("path", "style_id").join(made, ["path", "style_id"], "left").select("path", "style_id", F.coalesce("rpr", F.create_map().cast(kind)).alias("rpr"))
+    none = F.create_map().cast(kind)
+    base = styles.dropDuplicates(["path", "style_id"]).select("path", "style_id", F.when(F.col("based_on") != F.col("style_id"), F.col("based_on")).alias("far"), F.coalesce(rpr, none).alias("rpr"))
+    table, rounds = written(base), 0
+    most = table.count()
+    while 1 << rounds <= most and table.filter("far is not null").limit(1).count():
+        on = table.select("path", F.col("style_id").alias("far"), F.col("far").alias("farther"), F.col("rpr").alias("under"))
+        step = table.filter("far is not null").join(on, ["path", "far"], "left").select("path", "style_id", F.col("farther").alias("far"), merge_maps(F.col("rpr"), F.col("under"), kind).alias("rpr"))
+        table, rounds = written(step.unionByName(table.filter("far is null"))), rounds + 1
+    return table.select("path", "style_id", "rpr")
 
 
 def style_sizes(resolved: DataFrame) -> DataFrame:

@@ -291,8 +291,8 @@ def parse_docx_runs(parts: DataFrame, formulas: bool = False) -> DataFrame:
 
 
 def parse_docx_styles(parts: DataFrame) -> DataFrame:
-    """(path, style_id, name, style_type, based_on, direct_size, rpr, xml) of styles parts; styles without id are left out. xml
-    holds the properties as whole elements."""
+    """(path, style_id, name, style_type, based_on, direct_size, rpr, xml) of styles parts; styles without id are left out, and
+    of several with one id the last counts. xml holds the properties as whole elements."""
     schema = "path string, style_id string, name string, style_type string, based_on string, direct_size int, rpr map<string,map<string,string>>, xml map<string,string>"
     columns = [c.split()[0] for c in schema.split(", ")]
 
@@ -305,7 +305,7 @@ def parse_docx_styles(parts: DataFrame) -> DataFrame:
                 except (ElementTree.ParseError, TypeError):
                     continue
                 value = lambda s, tag: None if (x := s.find(W + tag)) is None else x.get(W + "val")
-                for s in root.iter(W + "style"):
+                for s in {s.get(W + "styleId"): s for s in root.iter(W + "style")}.values():
                     rpr = _props(s.find(W + "rPr"))
                     size = rpr.get("sz", {}).get("val", "")
                     if s.get(W + "styleId"):

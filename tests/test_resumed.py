@@ -312,3 +312,42 @@ def test_packing_takes_time_in_proportion(spark):
     blocks = spark.range(50_000).selectExpr("1 doc_id", "cast(id as int) start_line", "'\\\\def\\\\x{第}' content")
     groups = texblocks.pack_blocks(blocks)
     assert groups.selectExpr("sum(size(starts))").first()[0] == 50_000 and markdown.reassemble(groups, "group_no", "doc_id").count() == 1
+
+
+def plain_chain(up: dict, style: str) -> list[str]:
+    chain = [style]
+    while up.get(chain[-1]) is not None:
+        chain.append(up[chain[-1]])
+        if chain[-1] in chain[:-1] or chain[-1] not in up:
+            break
+    return chain
+
+
+def test_chains_with_circles_and_missing_styles(spark):
+    rng, rows, want, props = random.Random(9), [], {}, {}
+    for p in range(12):
+        n = rng.randrange(1, 30)
+        up = {f"s{k}": None if rng.random() < 0.15 else f"s{rng.randrange(n + 3)}" if p % 3 else f"s{max(0, k - 1 - rng.randrange(2))}" for k in range(n)}
+        own = {s: {t: f"{s}{t}" for t in "abc" if rng.random() < 0.3} for s in up}
+        rows += [(f"p{p}", s, u, {t: {"val": v} for t, v in own[s].items()}) for s, u in up.items()]
+        for s in up:
+            want[f"p{p}", s] = plain_chain(up, s)
+            props[f"p{p}", s] = {t: v for a in reversed(want[f"p{p}", s]) for t, v in own.get(a, {}).items()}
+    frame = spark.createDataFrame(rows + rows[:2], "path string, style_id string, based_on string, rpr map<string,map<string,string>>")
+    got: dict = {}
+    for r in styles.style_chain(frame).orderBy("depth").collect():
+        got.setdefault((r["path"], r["style_id"]), []).append((r["depth"], r["ancestor"]))
+    assert got == {k: list(enumerate(v)) for k, v in want.items()}
+    resolved = {(r["path"], r["style_id"]): {t: v["val"] for t, v in r["rpr"].items()} for r in styles.resolve_styles(frame).collect()}
+    for k, chain in want.items():
+        assert resolved[k].keys() == props[k].keys()
+        nearest = {t: next(f"{a}{t}" for a in chain if f"{a}{t}" == resolved[k][t] or (a in {s for p, s in want if p == k[0]} and t in dict(next(x[3] for x in rows if x[0] == k[0] and x[1] == a)))) for t in resolved[k]}
+        assert nearest == resolved[k]
+    assert styles.style_chain(frame.limit(0)).count() == 0 and styles.resolve_styles(frame.limit(0)).count() == 0
+
+
+def test_ten_thousand_styles_in_a_chain(spark):
+    frame = spark.range(10_000).selectExpr("'p' path", "concat('s', id) style_id", "if(id = 9999, null, concat('s', id + 1)) based_on", "if(id = 9999, map('sz', map('val', '9')), map()) rpr")
+    frame = frame.withColumn("rpr", F.col("rpr").cast("map<string,map<string,string>>"))
+    assert len(styles._jumps(styles._nodes(frame))) == 14
+    assert styles.resolve_styles(frame).filter("style_id = 's0'").first()["rpr"] == {"sz": {"val": "9"}}
