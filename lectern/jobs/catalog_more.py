@@ -185,12 +185,29 @@ def style_closure(spark, sf_dir):
     return graph.closure(listing, view(spark, sf_dir, "file_edges_v"), listing).select("root", "node")
 
 
-@query(duck("select distinct src, 'f' || dst || '.sty' dst, dst in (select file_id from file_listing_v) found from file_edges_v", "file_edges_v", "file_listing_v"))
+@query(duck("select distinct src, case when src % 2 = 0 then 'd/' else '' end || 'f' || dst || '.sty' dst, src % 2 = 0 and dst in (select file_id from file_listing_v) found from file_edges_v", "file_edges_v", "file_listing_v"))
 def resolve_style_refs(spark, sf_dir):
+    """Packages named by files in subfolders are those of the project's folder: d for half of the files, none for the others."""
     names = F.concat_ws(", ", F.collect_list(F.concat(F.lit("f"), F.col("dst"))))
-    files = view(spark, sf_dir, "file_edges_v").groupBy("src").agg(names.alias("n")).select(F.col("src").cast("string").alias("path"), F.concat(F.lit("\\usepackage[x]{"), "n", F.lit("}")).alias("content"))
-    listing = view(spark, sf_dir, "file_listing_v").select(F.concat(F.lit("f"), F.col("file_id"), F.lit(".sty")).alias("path"))
-    return graph.resolve_refs(graph.style_refs(files), listing, "").select(F.col("src").cast("long").alias("src"), "dst", "found").distinct()
+    files = view(spark, sf_dir, "file_edges_v").groupBy("src").agg(names.alias("n")).select(F.concat(F.lit("d/sub"), F.col("src") % 3, F.lit("/"), "src").alias("path"), F.concat(F.lit("\\usepackage[x]{"), "n", F.lit("}")).alias("content"))
+    listing = view(spark, sf_dir, "file_listing_v").select(F.concat(F.lit("d/f"), F.col("file_id"), F.lit(".sty")).alias("path"))
+    src = F.regexp_extract("src", "([0-9]+)$", 1).cast("long")
+    refs = graph.style_refs(files).withColumn("main", F.when(src % 2 == 0, "d/main.tex").otherwise("main.tex"))
+    return graph.resolve_refs(refs, listing, "", "main").select(src.alias("src"), "dst", "found").distinct()
+
+
+@query(duck("""+ r(node) as (select file_id from file_listing_v where file_id % 10 = 1 union select dst from r join file_edges_v on src = node where dst in (select file_id from file_listing_v)),
+  p as (select node, 'd' root from r union all select file_id, 'e' from file_listing_v where file_id % 10 = 1) select root, node::bigint node from p""", "file_edges_v", "file_listing_v", recursive=True))
+def style_reach(spark, sf_dir):
+    """Packages that two projects reach from the same files in subfolders: those of d stand in its folder, e has none."""
+    listing = view(spark, sf_dir, "file_listing_v")
+    names = F.concat_ws(", ", F.collect_list(F.concat(F.lit("f"), F.col("dst"))))
+    files = view(spark, sf_dir, "file_edges_v").groupBy("src").agg(names.alias("n")).select(F.concat(F.lit("d/f"), "src", F.lit(".sty")).alias("path"), F.concat(F.lit("\\RequirePackage{"), "n", F.lit("}")).alias("content"))
+    paths = listing.select(F.concat(F.lit("d/f"), F.col("file_id"), F.lit(".sty")).alias("path"))
+    firsts = listing.filter("file_id % 10 = 1").select(F.concat(F.lit("d/f"), F.col("file_id"), F.lit(".sty")).alias("node"))
+    roots = firsts.withColumn("root", F.explode(F.array(F.lit("d/main.tex"), F.lit("e/main.tex"))))
+    found = graph.style_reach(roots, graph.style_refs(files), paths)
+    return found.select(F.substring("root", 1, 1).alias("root"), F.regexp_extract("node", "f([0-9]+)", 1).cast("long").alias("node"))
 
 
 @query(duck(f"+ {C.RESOLVED} select style_id::varchar style_id, sz size from r where sz is not null", "styles_v", recursive=True))

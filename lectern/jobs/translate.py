@@ -12,6 +12,7 @@ from lectern.functions.text import cache_key, clean_reply, is_meaningful
 from lectern.operators import graph, latex, markdown, memory, styles, texblocks, validate
 from lectern.jobs.requests import RequestLog
 from lectern.operators.graph import written
+from lectern.operators.hot import join_texts
 from lectern.sources import documents
 from lectern.sources.memory_store import MemoryStore
 
@@ -132,7 +133,7 @@ def translate_latex(
     chunks = latex.pack_chunks(safe, most, measure=latex.measured if by_chunk else F.length)
     chunks = written(latex.number_by_chunk(chunks) if by_chunk else chunks)
     done, kept, _ = translate_with_memory(chunks.filter("text <> ''").select("text"), held, translate, model, direction, now, least=validate.SHORT, **limits)
-    placed = written(chunks.withColumn("k", F.md5("text")).join(done.select(F.md5("text").alias("k"), "translated", "status"), "k", "left"))
+    placed = written(join_texts(chunks.withColumn("k", F.md5("text")), done.select(F.md5("text").alias("k"), "translated", "status"), "k", "doc_id", "left"))
     line = F.coalesce("translated", "text")
     joined = markdown.reassemble(placed.withColumn("line", latex.number_by_document(line, F.col("held")) if by_chunk else line), "chunk_no", "line", "\n\n")
     whole = safe.select("doc_id", "placeholders", F.col("text").isNull().alias("none")).join(joined, "doc_id", "left")
@@ -193,21 +194,20 @@ def translate_project(
 
     files: (path, text) of all projects. Translated is what each main file reaches by input and include, and, if asked
     for, the classes and packages that it reaches; project files that are neither hidden nor products of a build are
-    copied. A file that several projects reach is translated once. A translated file without a text has not succeeded.
+    copied. Included files are sought beside the file that names them, classes and packages in the folder of the main
+    file. A file that several projects reach is translated once. A translated file without a text has not succeeded.
     """
     listing = files.select(F.col("path").alias("node"))
     named = files.select("path", F.col("text").alias("content"))
     is_style = F.lower("path").rlike(r"\.(cls|sty)\z")
 
-    def reached(refs: DataFrame, roots: DataFrame, add: str) -> DataFrame:
-        edges = graph.resolve_refs(refs, files.select("path"), add).filter("found").select("src", "dst")
-        return graph.closure(roots, edges, listing).select("root", F.col("node").alias("path"))
-
     roots = mains.select(F.col("path").alias("node")).join(listing, "node", "left_semi")
-    tex = reached(graph.file_refs(named.filter(~is_style)), roots, ".tex")
+    edges = graph.resolve_refs(graph.file_refs(named.filter(~is_style)), files.select("path")).filter("found").select("src", "dst")
+    tex = written(graph.closure(roots, edges, listing).select("root", F.col("node").alias("path")))
     known = written(tex.select("root", "path", F.lit("tex").alias("kind")))
     if style_files:
-        sheets = reached(graph.style_refs(named), roots, "").join(tex, ["root", "path"], "left_anti").filter(is_style)
+        sheets = graph.style_reach(tex.select("root", F.col("path").alias("node")), graph.style_refs(named), files.select("path"))
+        sheets = sheets.withColumnRenamed("node", "path").join(tex, ["root", "path"], "left_anti").filter(is_style)
         known = known.unionByName(sheets.select("root", "path", F.lit("style").alias("kind")))
     chosen = written(files.join(known.select("path", "kind").distinct(), "path").select(F.col("path").alias("doc_id"), "text", "kind"))
     texts, kept, _ = translate_latex(chosen.filter("kind = 'tex'").select("doc_id", "text"), held, translate, model, direction, now, fonts=fonts, **limits)
@@ -248,7 +248,7 @@ def translate_docx(
     segments = written(styles.merge_adjacent_runs(keyed, para))
     asked = written(styles.build_model_text(segments, para))
     done, kept, report = translate_with_memory(asked.select(F.col("text_for_model").alias("text")), held, translate, model, direction, now, **limits)
-    replies = asked.withColumn("k", F.md5("text_for_model")).join(done.select(F.md5("text").alias("k"), F.col("translated").alias("reply"), "status"), "k")
+    replies = join_texts(asked.withColumn("k", F.md5("text_for_model")), done.select(F.md5("text").alias("k"), F.col("translated").alias("reply"), "status"), "k", "path")
     replies = written(replies.withColumn("fits", F.size(F.split("reply", T.SEGMENT, -1)) <= F.col("n_segments")))
     good = replies.filter("fits")
     attached = written(styles.attach_segment_translations(segments.join(good.select(*para), para, "left_semi"), good, para).filter("not special"))

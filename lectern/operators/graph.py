@@ -53,11 +53,20 @@ def style_refs(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("src"), F.explode(found).alias("x")).select("src", "x.*")
 
 
-def resolve_refs(refs: DataFrame, listing: DataFrame, add: str = ".tex") -> DataFrame:
-    """refs with `dst` (stripped, `add` appended unless it ends so, taken from the folder of src unless absolute) and `found` in listing (path)."""
+def folder_of(path: Column) -> Column:
+    """Folder of a path, with its slash; empty for a bare name."""
+    return F.regexp_extract(path, r"\A(.*/)[^/]*\z", 1)
+
+
+def resolve_refs(refs: DataFrame, listing: DataFrame, add: str = ".tex", root: str | None = None) -> DataFrame:
+    """refs with `dst` (stripped, `add` appended unless it ends so, taken from a folder unless absolute) and `found` in listing (path).
+
+    The folder is that of src, as for input and include; for classes and packages it is the project's: `root` names the
+    column of refs that holds a file in it, whichever file refers to them.
+    """
     raw = strip(F.col("raw"))
     named = F.when(raw.endswith(add), raw).otherwise(F.concat(raw, F.lit(add)))
-    folder = F.regexp_extract("src", r"\A(.*/)[^/]*\z", 1)
+    folder = folder_of(F.col(root or "src"))
     placed = refs.withColumn("dst", F.when(named.startswith("/"), named).otherwise(F.concat(folder, named)))
     known = listing.select(F.col("path").alias("dst"), F.lit(True).alias("found")).distinct()
     return placed.join(known, "dst", "left").withColumn("found", F.coalesce("found", F.lit(False)))
@@ -81,6 +90,24 @@ def closure(roots: DataFrame, edges: DataFrame, listing: DataFrame) -> DataFrame
         seen = seen.unionByName(frontier)
 
 
+def style_reach(roots: DataFrame, refs: DataFrame, listing: DataFrame) -> DataFrame:
+    """(root, node): the classes and packages of listing (path) that each root reaches over refs (src, kind, raw), its own folder
+    being where they stand; roots: (root, node), the files of each to begin with, which are listed too.
+
+    A name means another file under another root, so roots are followed each for itself, a step at a time: classes build on
+    few others, and what is reached again is dropped.
+    """
+    refs = written(refs.select("src", "raw").distinct())
+    seen = frontier = written(roots.select("root", "node").distinct())
+    while True:
+        named = frontier.join(refs, F.col("node") == F.col("src")).select("root", "src", "raw")
+        step = resolve_refs(named, listing, "", "root").filter("found").select("root", F.col("dst").alias("node")).distinct()
+        frontier = written(step.join(seen, ["root", "node"], "left_anti"))
+        if not frontier.limit(1).count():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
 def keep_project_files(files: DataFrame) -> DataFrame:
     """Files (path) outside excluded and hidden folders that are neither hidden nor products of a build."""
     parts = F.split("path", "/")

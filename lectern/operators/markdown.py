@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.text import strip
+from lectern.operators.hot import join_texts
 
 # Marks and patterns of the lines that are protected.
 FENCE = "```"
@@ -74,11 +75,11 @@ def apply_translations(classified: DataFrame, translations: DataFrame) -> DataFr
     translation after as many spaces as they were indented by; all others stay.
 
     translations: (text, translated), one row for each text of the corpus. Blank lines and fenced ones never enter the
-    joins; texts are joined by their digest.
+    joins; texts are joined by their digest, those of very many documents apart.
     """
     open_ = classified.filter(~F.col("fence") & ~F.col("in_code") & (F.col("stripped") != ""))
     units = dedupe_units(classified.filter("translatable")).select("doc_id", F.md5("text").alias("k"))
-    known = units.join(translations.select(F.md5("text").alias("k"), "translated"), "k")
+    known = join_texts(units, translations.select(F.md5("text").alias("k"), "translated"), "k", "doc_id")
     done = open_.withColumn("k", F.md5("stripped")).join(known, ["doc_id", "k"], "left")
     line = F.when(F.col("translated").isNotNull(), F.concat(F.repeat(F.lit(" "), F.col("indent")), "translated")).otherwise(F.col("line"))
     rest = classified.filter(F.col("fence") | F.col("in_code") | (F.col("stripped") == ""))

@@ -16,6 +16,7 @@ from lectern.functions import text as T
 from lectern.jobs import translate
 from lectern.jobs.requests import RequestLog
 from lectern.operators import graph, latex, markdown, memory, styles, texblocks
+from lectern.operators.hot import join_texts
 from lectern.sources import documents, versions
 from lectern.sources.memory_store import MemoryStore
 
@@ -351,3 +352,19 @@ def test_ten_thousand_styles_in_a_chain(spark):
     frame = frame.withColumn("rpr", F.col("rpr").cast("map<string,map<string,string>>"))
     assert len(styles._jumps(styles._nodes(frame))) == 14
     assert styles.resolve_styles(frame).filter("style_id = 's0'").first()["rpr"] == {"sz": {"val": "9"}}
+
+
+def test_hot_texts_are_joined_apart(spark):
+    units = spark.createDataFrame([(k, f"t{k % 7 if k % 3 else 0}" if k % 11 else None) for k in range(300)], "doc_id int, k string")
+    texts = spark.createDataFrame([(f"t{k}", f"T{k}") for k in range(5)], "k string, translated string")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, units.join(texts, "k", how).select("doc_id", "k", "translated").collect()), key=str)
+        for hot, sent in ((1, 1 << 20), (100, 1 << 20), (100, 0), (1, 0), (1000, 0)):
+            assert sorted(map(tuple, join_texts(units, texts, "k", "doc_id", how, hot, sent).select("doc_id", "k", "translated").collect()), key=str) == want
+
+
+def test_packages_stand_in_the_folder_of_the_main_file(spark):
+    held = spark.createDataFrame([], HELD)
+    files = [("p/main.tex", "\\documentclass{styles/foo} Text here \\input{ch/one}"), ("p/ch/one.tex", "Text there \\usepackage{baz}"), ("p/styles/foo.cls", "\\RequirePackage{bar} % 第"), ("p/bar.sty", "\\def\\x{第}"), ("p/baz.sty", "\\def\\y{第}"), ("p/styles/bar.sty", "\\def\\z{第}"), ("p/ch/baz.sty", "\\def\\w{第}")]
+    out, _, report = translate.translate_project(spark.createDataFrame(files, "path string, text string"), spark.createDataFrame([("p/main.tex",)], "path string"), held, lambda t: t.str.replace("第", "No"), "m", "zh-to-en", "2024-01-01", style_files=True)
+    assert {r["path"] for r in out.collect() if r["action"] == "translate"} == {"p/main.tex", "p/ch/one.tex", "p/styles/foo.cls", "p/bar.sty", "p/baz.sty"} and report.first()["total"] == 5
