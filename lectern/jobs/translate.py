@@ -259,7 +259,7 @@ def translate_docx(
     failed = replies.filter(~F.col("fits") | ~F.col("status").isin("ok", "stored", "passthrough")).select("path")
     failed = failed.unionByName(attached.filter(F.col("kept") & is_meaningful(F.col("text"))).select("path")).distinct().withColumn("failed", F.lit(True))
     made = made.join(failed, "path", "left").select("path", "content", F.when(F.col("failed"), "partial").otherwise("ok").alias("status"))
-    bad = parts.filter("status <> 'ok'").select("path", "status").join(packages.select("path", "content"), "path").select("path", "content", "status")
+    bad = parts.filter("status <> 'ok'").select("path", F.col("part_bytes").alias("content"), "status")
     return made.unionByName(bad), kept, report
 
 

@@ -64,7 +64,7 @@ def part_action(name):
 def explode_docx_parts(packages: DataFrame) -> DataFrame:
     """(path, part_no, part_name, part_bytes, action, status) of packages (path, content).
 
-    A package that can't be opened is one row with status `bad_package` and no part.
+    A package that can't be opened is one row with status `bad_package` and no part; its bytes stand in part_bytes.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +75,7 @@ def explode_docx_parts(packages: DataFrame) -> DataFrame:
                     with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
                         rows = [(path, k, i.filename, z.read(i), "ok") for k, i in enumerate(z.infolist())]
                 except (zipfile.BadZipFile, TypeError, OSError, ValueError, NotImplementedError, RuntimeError):
-                    rows = [(path, None, None, None, "bad_package")]
+                    rows = [(path, None, None, None if content is None else bytes(content), "bad_package")]
                 yield pd.DataFrame(rows, columns=["path", "part_no", "part_name", "part_bytes", "status"]).astype({"part_no": "Int32"})
 
     parts = packages.select("path", "content").mapInPandas(run, "path string, part_no int, part_name string, part_bytes binary, status string")
