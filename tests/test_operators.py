@@ -120,7 +120,10 @@ TEX = st.lists(st.sampled_from(["\\cite[p]{a}", "\\ref{x}", "text. ", "More text
 @given(st.lists(TEX, min_size=5, max_size=25))
 def test_latex_properties(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    rows = latex.protect(docs).withColumn("back", latex.restore(F.col("text"), F.col("placeholders"))).withColumn("chunks", latex.chunks(F.col("text"), 30)).collect()
+    safe = graph.written(latex.protect(docs))
+    packed = latex.pack_chunks(safe, 30).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "text")))["text"].alias("chunks"))
+    rows = safe.withColumn("back", latex.restore(F.col("text"), F.col("placeholders"))).join(packed, "doc_id").collect()
+    assert len(rows) == len(texts)
     for r in rows:
         text, names = texts[r["doc_id"]], [p["placeholder"] for p in r["placeholders"]]
         assert r["back"] == text
@@ -203,8 +206,10 @@ def test_chunk_packing(spark):
     """Paragraphs stay together while they fit below the limit with the joiner; long ones are cut into sentences."""
     texts = ["aaa\n\nbbb", "a" * 14 + "\n\n" + "b" * 13, "a" * 14 + "\n\n" + "b" * 14, "One. " * 9, "a\n\n" + "Long one here. " * 3 + "\n\nz", "x" * 50, "", " \n \n "]
     want = [["aaa\n\nbbb"], ["a" * 14 + "\n\n" + "b" * 13], ["a" * 14, "b" * 14], ["One. One. One. One. One. One.", "One. One. One."], ["a", "Long one here. Long one here.", "Long one here.\n\nz"], ["x" * 50], [""], [""]]
-    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "k int, x string").orderBy("k").select(latex.chunks(F.col("x"), 30)).collect()]
-    assert got == want
+    got: dict = {}
+    for r in latex.pack_chunks(spark.createDataFrame(list(enumerate(texts)), "k int, x string"), 30, "k", "x").orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert list(got.values()) == want
 
 
 @pytest.fixture
