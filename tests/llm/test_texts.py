@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from lectern.llm import chat, middle, spelling
+from lectern.llm import html as pages_text
 
 # -- fill in middle
 
@@ -139,6 +140,17 @@ def test_conversations_of_odd_rows(spark):
     assert chat.digest(chat.read_back(chat.format_conversations(table.limit(0)), together=True)).count() == 0
 
 
+# -- pages
+
+
+def test_captions_belong_to_the_article(spark):
+    body = "Some words of the article, with commas, and more of them. " * 5
+    page = f"<html><body><nav><a href='x'>Menu</a></nav><main><p>{body}</p><figure><img src='a'><figcaption>Cap text</figcaption></figure><p>{body}</p></main><aside>Side</aside></body></html>"
+    rows = [(1, "u", page), (2, "u", "<main><p>Short.</p><figure><figcaption>Only &amp; caption</figcaption></figure></main>"), (3, "u", None)]
+    got = {r["page_id"]: r["text"] for r in pages_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == f"{body.strip()}\nCap text\n{body.strip()}" and "Only & caption" in got[2] and got[3] == ""
+
+
 # -- spelling
 
 
