@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions.text import strip
 from lectern.operators.hot import join_texts
+from lectern.operators.scan import sum_before
 
 # Marks and patterns of the lines that are protected.
 FENCE = "```"
@@ -43,9 +44,9 @@ def rule(line: Column) -> Column:
 
 def code_fence_state(table: DataFrame) -> DataFrame:
     """Adds `fence` and `in_code`; a line that starts with a fence toggles and belongs to neither side."""
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    fence = strip(F.col("line")).startswith(FENCE)
-    return table.withColumn("fence", fence).withColumn("in_code", (F.coalesce(F.sum(F.col("fence").cast("int")).over(before), F.lit(0)) % 2 == 1) & ~F.col("fence"))
+    marked = table.withColumn("fence", strip(F.col("line")).startswith(FENCE))
+    counted = sum_before(marked, F.col("fence").cast("int"), "in_code")
+    return counted.withColumn("in_code", (F.col("in_code") % 2 == 1) & ~F.col("fence"))
 
 
 def classify(table: DataFrame) -> DataFrame:

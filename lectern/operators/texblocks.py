@@ -8,11 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions.text import has_chinese
 
 GROUP_COST, COST_PER_CHAR = 2000, 1.5
+#: Lines of a block that are laid out at once.
+SPAN = 4096
 # Commands by the type of block that they open.
 _OPENERS = [
     (re.compile(r"\\(?:new|renew|provide)command"), "command_definition", True),
@@ -108,12 +110,14 @@ def group_starts(lengths: np.ndarray, most: float, cost: float) -> list[int]:
 def rebuild_from_blocks(lines: DataFrame, translated: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): lines under a translated block (doc_id, start_line, end_line, text) give way to its text.
 
-    Blocks of a document don't overlap, so the block of a line is the last one that starts at or before it: a window
-    over lines and block starts, not a join by range.
+    Blocks of a document don't overlap, so a line is under one at most. Blocks are laid out as the numbers of their lines,
+    the text with the first alone, and joined by document and line: a document spans as many tasks as there are.
     """
-    starts = translated.select("doc_id", F.col("start_line").alias("line_no"), F.struct("start_line", "end_line", "text").alias("b"))
-    marked = lines.join(starts, ["doc_id", "line_no"], "left")
-    last = F.last("b", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line_no"))
-    covered = F.coalesce(F.col("line_no") <= F.col("block.end_line"), F.lit(False))
-    placed = marked.withColumn("block", last)
-    return placed.filter(~covered | (F.col("line_no") == F.col("block.start_line"))).select("doc_id", "line_no", F.when(covered, F.col("block.text")).otherwise(F.col("line")).alias("line"))
+    spans = F.sequence(F.col("start_line").cast("long"), F.col("end_line").cast("long"), F.lit(SPAN).cast("long"))
+    numbers = F.sequence("x.line_no", F.least(F.col("x.line_no") + (SPAN - 1), F.col("end_line").cast("long")))
+    named = lambda x, first, text: F.struct(x.alias("line_no"), (x == first).alias("first"), F.when(x == first, text).alias("text"))
+    cut = F.explode(F.transform(spans, lambda x: named(x, F.col("start_line"), F.col("text")))).alias("x")
+    parts = translated.filter("end_line >= start_line").select("doc_id", "start_line", "end_line", cut)
+    covered = parts.select("doc_id", F.explode(F.transform(numbers, lambda x: named(x, F.col("start_line"), F.col("x.text")))).alias("y")).select("doc_id", "y.*")
+    placed = lines.join(covered, ["doc_id", "line_no"], "left").filter("first is null or first")
+    return placed.select("doc_id", "line_no", F.when(F.col("first"), F.col("text")).otherwise(F.col("line")).alias("line"))
