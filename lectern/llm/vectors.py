@@ -5,8 +5,9 @@ sample; clusters that hold more than a shard are split in the same way, level by
 as the classes need, unless a cluster is dense: then its vectors are so near each other that splits would part links. In each shard of a cluster a graph is built whose neighbour lists are pruned robustly, the lists of a vector
 from all its shards are united, and every vector searches the shards of its clusters: greedily from the shard's medoid and
 from its own place, then through everything within range. What is found is verified in double precision, counted, and
-reduced to a forest before it leaves the task. Recall is audited against brute force on a sample of queries; the search is
-widened if short, and shards are compared exactly if it stays short or no link is met.
+reduced to a forest before it leaves the task. Recall is audited against brute force on a sample of queries and on copies of
+them that are planted at the threshold, so that there is something to find in any table; the search is widened if short,
+and shards are compared exactly if it stays short.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ DRAW, FAN, TASK = 2048, 64, 50_000
 LEVELS = 5
 #: Share of linked pairs among those drawn from a cluster from which on it is dense.
 DENSE = 0.02
-#: Queries of the recall audit, the recall below which the search is widened, and that which must be reached at last.
+#: Vectors drawn for the recall audit, the recall below which the search is widened, and that which must be reached at last.
 AUDIT, RECALL, ENOUGH = 256, 0.97, 0.9
+#: How far above the threshold copies are planted, as a share of what is between it and 1.
+TURN = 0.02
 #: (clusters of each vector, width of the beam), tried in turn.
 WIDTHS = ((2, 32), (4, 64), (8, 128))
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
@@ -217,7 +220,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def _search(classes: DataFrame, n: int, least: float, overlap: int, beam: int | None) -> tuple[DataFrame, DataFrame]:
     """(id, found): weight of the classes linked with each class; (a, b): edges that connect what is linked.
 
-    Without a beam the shards that meet are compared exactly.
+    Without a beam the shards that meet are compared exactly. Classes of weight 0, the planted ones, find and are no edges.
     """
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
     by_size: dict[int, list] = {}
@@ -299,7 +302,7 @@ def _search(classes: DataFrame, n: int, least: float, overlap: int, beam: int |
             found[a, b] = np.einsum("ij,ij->i", exact[a], exact[b]) >= least
         found &= found.T
         total = found @ weight
-        links = [(ids[a], ids[b]) for a, b in _forest(found)]
+        links = [(ids[a], ids[b]) for a, b in _forest(found & (weight > 0) & (weight > 0)[:, None])]
         out = [(i, None, int(t)) for i, t in zip(ids, total) if t] + [(a, b, 0) for a, b in links]
         return pd.DataFrame(out, columns=["id", "to", "found"]).astype({"id": rows["id"].dtype, "to": "Int64", "found": "int64"})
 
@@ -348,10 +351,25 @@ def _split(member: DataFrame, least: float, overlap: int, level: int, kind: str)
     return cut(rest.select("id", "v", "n", "dim", "cluster").union(fresh))
 
 
-def audit(classes: DataFrame, found: DataFrame, least: float, queries: int = AUDIT) -> tuple[int, int]:
-    """(links found, links there are) of a sample of classes that is held against all classes by brute force."""
-    # `queries` rows at most: bounded, and sent to the tasks that hold all others in blocks
-    asked = classes.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(queries).select("id", "v").toPandas()
+def planted(asked: pd.DataFrame, least: float, first: int) -> pd.DataFrame:
+    """(id, v) of a copy of each vector asked for, turned in a random direction to a cosine just above `least`; ids go down
+    from first."""
+    rng, made = np.random.default_rng(SEED), []
+    cosine = least + (1 - least) * TURN
+    for v in asked["v"]:
+        u = _unit([v])[0]
+        w = rng.normal(size=len(u))
+        w -= (w @ u) * u
+        size = np.linalg.norm(w)
+        made.append((cosine * u + np.sqrt(1 - cosine * cosine) * w / size if len(u) > 1 and size > 0 else u).tolist())
+    return pd.DataFrame({"id": [first - k for k in range(len(made))], "v": made})
+
+
+def audit(classes: DataFrame, found: DataFrame, least: float, asked: pd.DataFrame) -> tuple[int, int]:
+    """(links found, links there are) of the vectors asked for, which are held against all classes by brute force.
+
+    asked (id, v) is bounded, and sent to the tasks that hold all classes in blocks.
+    """
 
     def run(batches):
         by_size = {d: (g["id"].to_numpy(), _unit(g["v"])) for d, g in asked.groupby(asked["v"].map(len))}
@@ -374,25 +392,27 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, id_col: str = "vec
     Two vectors are linked if the cosine in double precision is at least `least`; no pair below it is reported. Equal
     vectors are linked by class, whatever their number. Null, empty and zero vectors, and those with null or non-finite
     components, link with nothing; vectors of different lengths don't link. component_id is the smallest id that links
-    lead to. A null id has component null and is kept. audited_recall is null where the audit met no link.
+    lead to. A null id has component null and is kept. audited_recall is the share of the links of drawn vectors, and of
+    copies of them planted at the threshold, that the search found; it is null only where no vector can link.
     """
     rows = usable(vectors, id_col, vector_col)
     classes = cut(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    n = classes.count()
-    recall = None
+    n, first = classes.agg(F.count("*"), F.min("id")).first()
+    asked = classes.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(AUDIT).select("id", "v").toPandas()
+    copies = planted(asked, least, int(first or 0) - 1)
+    kind = classes.schema["id"].dataType.simpleString()
+    laid = classes.union(vectors.sparkSession.createDataFrame(copies, f"id {kind}, v array<double>").select("v", "id", F.lit(0).cast("long")).coalesce(1))
+    asked = pd.concat([asked, copies], ignore_index=True)
+    got = real = 0
     found = edges = None
-    widths = [*WIDTHS, (WIDTHS[-1][0], None), (2 * WIDTHS[-1][0], None)]
-    while widths:
-        overlap, beam = widths.pop(0)
-        found, edges = _search(classes, n, least, overlap, beam)
-        got, real = audit(classes, found, least)
-        recall = got / real if real else None
-        if recall is not None and recall >= RECALL:
+    for overlap, beam in [*WIDTHS, (WIDTHS[-1][0], None), (2 * WIDTHS[-1][0], None)]:
+        found, edges = _search(laid, n, least, overlap, beam)
+        got, real = audit(classes, found, least, asked)
+        if got >= RECALL * real:
             break
-        if recall is None:  # no link was met, so the search can't be judged: exactly, once
-            widths = [w for w in widths if w[1] is None][:1]
-    if recall is not None and recall < ENOUGH:
+    if got < ENOUGH * real:
         raise ValueError(f"the audit found {got} of {real} links")
+    recall = got / real if real else None
     grouped = components(edges)
     placed = classes.select("id", "v", "n").join(found, "id", "left").join(grouped, "id", "left")
     per = placed.select("v", (F.col("n") - 1 + F.coalesce("found", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))

@@ -735,3 +735,22 @@ def test_shards_are_compared_exactly_if_the_search_finds_nothing(spark, monkeypa
     x = np.concatenate([x, x + 0.01]).astype(np.float32)
     got = vectors.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"))
     assert {r["n_links"] for r in got.collect()} == {1}
+
+
+def test_the_audit_has_planted_copies_that_link_nothing(spark):
+    """Vectors 35 degrees apart: each planted copy, 18 degrees from its vector, is near the next one too."""
+    from lectern.llm import vectors
+
+    turns = np.deg2rad(35 * np.arange(10))
+    rows = [(k, [float(np.cos(a)), float(np.sin(a))]) for k, a in enumerate(turns)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(k, 0, k, True) for k in range(10)]
+    assert {r["audited_recall"] for r in got} == {1.0}
+    import pandas as pd
+
+    x = np.random.default_rng(2).normal(size=(30, 12))
+    copies = vectors.planted(pd.DataFrame({"id": range(30), "v": x.tolist()}), 0.95, -1)
+    y = np.array(copies["v"].tolist())
+    cosine = np.einsum("ij,ij->i", x, y) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)
+    assert np.allclose(cosine, 0.951) and copies["id"].tolist() == list(range(-1, -31, -1))
+    assert vectors.planted(pd.DataFrame({"id": [4], "v": [[-2.0]]}), 0.95, 3)["v"].tolist() == [[-1.0]]
