@@ -392,7 +392,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, id_col: str = "vec
     Two vectors are linked if the cosine in double precision is at least `least`; no pair below it is reported. Equal
     vectors are linked by class, whatever their number. Null, empty and zero vectors, and those with null or non-finite
     components, link with nothing; vectors of different lengths don't link. component_id is the smallest id that links
-    lead to. A null id has component null and is kept. audited_recall is the share of the links of drawn vectors, and of
+    lead to. Rows of one id are one vertex: each of them has the links of all. Ids are integers, of which the AUDIT below the
+    smallest must exist in their type. A null id has component null and is kept. audited_recall is the share of the links of drawn vectors, and of
     copies of them planted at the threshold, that the search found; it is null only where no vector can link.
     """
     rows = usable(vectors, id_col, vector_col)

@@ -754,3 +754,12 @@ def test_the_audit_has_planted_copies_that_link_nothing(spark):
     cosine = np.einsum("ij,ij->i", x, y) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)
     assert np.allclose(cosine, 0.951) and copies["id"].tolist() == list(range(-1, -31, -1))
     assert vectors.planted(pd.DataFrame({"id": [4], "v": [[-2.0]]}), 0.95, 3)["v"].tolist() == [[-1.0]]
+
+
+def test_rows_of_one_vector_id_are_one_vertex(spark):
+    from lectern.llm import vectors
+
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.05]), (3, [0.05, 1.0]), (4, [-1.0, 0.0]), (4, [-1.0, 0.0])]
+    for kind in ("long", "int"):
+        got = vectors.near_duplicates(spark.createDataFrame(rows, f"vec_id {kind}, embedding array<float>")).drop("audited_recall").collect()
+        assert sorted(map(tuple, got)) == [(1, 2, 1, True)] * 2 + [(2, 1, 1, False), (3, 1, 1, False)] + [(4, 1, 4, True)] * 2
