@@ -4,10 +4,11 @@ A line is normalised to its words, A-Z lower-cased. Lines of equal words form a
 make candidates. Blocks of bits: classes whose 64-bit SimHashes differ in at most RADIUS bits. Those are few of the lines
 that are alike enough, as a fifth of all words changed turns 13 of 64 bits in the mean. Blocks of words: edits of words
 leave some runs of words untouched, so that two lines near each other share one of the first runs in a common order. Of
-lines of up to 24 words as many runs are taken as this needs whatever the edits are; of longer ones KEYS, of which made
+lines of up to 24 words as many runs are taken as this needs whatever the edits are, so that those whose near lines are
+no longer than that stay out of the blocks of bits; of longer ones KEYS, of which made
 pairs with a fifth of their words edited at random share one in more than nineteen cases of twenty. Of the pairs that meet
 so, those whose SimHashes differ in at most FAR bits are candidates. Candidates are linked if the edit similarity of their word sequences (1 - edit distance in words / words of the longer line) is high enough. Of each
-connected group the first occurrence stays. Lines of fewer than five words have exact copies only: one edit is too many.
+connected group the first occurrence stays. Lines of fewer than four words have exact copies only, those of four also lines of five: one edit is a fifth of five words.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm import grams
 from lectern.llm.links import PART, components
-from lectern.llm.store import cut
+from lectern.llm.store import cut, long_batches
 
 SIMILARITY = 0.8
 #: Radius of the candidates by blocks of bits, and of those by blocks of words.
 RADIUS, FAR = 3, 22
 #: Words of a run: (words, shortest line, longest line). Where kinds overlap, lines of both lengths may be near each other.
-RUNS = ((2, 5, 24), (3, 20, None))
+RUNS = ((2, 4, 24), (3, 20, None))
 #: Runs of the last kind that a line is found by. First come runs without short words, which are seldom those of unlike lines; words count as long from LONG bytes on.
 KEYS, LONG = 10, 6
 #: Longs of the odd sketch of a line.
@@ -100,6 +101,15 @@ def runs_needed(n: np.ndarray, words: int, similarity: float = SIMILARITY) -> np
     return (words * edits_ - longer).max(axis=1).astype(np.int64) + 1
 
 
+def found_by_runs(similarity: float = SIMILARITY) -> tuple[int, int]:
+    """(least, most) words of the lines whose runs of the first kind bring them together with every line near them, so that
+    blocks of bits can add nothing: neither such a line nor one near it is too long, and some run outlasts the edits."""
+    words, low, high = RUNS[0]
+    n = np.arange(low, int(high * similarity + 1e-9) + 1)
+    lacks = np.flatnonzero(runs_needed(n, words, similarity) > n - words + 1)
+    return low, int(n[lacks[0]] if len(lacks) else n[-1] + 1) - 1 if len(n) else low - 1
+
+
 def run_keys(hashes: np.ndarray, ends: np.ndarray, sizes: np.ndarray, kinds: tuple = RUNS, most: int = KEYS, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """(keys, ends): for each line, the first of its runs of words of each kind, those of longer shortest words first, then by
     hash: as many as needed of a kind for lines up to a length, `most` of one for all lengths."""
@@ -120,7 +130,8 @@ def run_keys(hashes: np.ndarray, ends: np.ndarray, sizes: np.ndarray, kinds: tup
         laid = np.sort((at[start] << np.uint64(40)) | (rank << np.uint64(37)) | (h >> np.uint64(27)))
         laid = laid[np.concatenate([[True], laid[1:] != laid[:-1]])] if len(laid) else laid
         line = laid >> np.uint64(40)
-        begin = np.searchsorted(line, line)
+        edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.empty(0, np.int64)
+        begin = np.repeat(edge, np.diff(np.concatenate([edge, [len(line)]])))
         limit = most if high is None else runs_needed(counts[line.astype(np.int64)], words, similarity)
         laid = laid[np.arange(len(laid)) - begin < limit]
         found.append((laid >> np.uint64(40), grams.mix((laid & np.uint64((1 << 40) - 1)) + (np.uint64(words) << np.uint64(56)))))
@@ -131,15 +142,20 @@ def run_keys(hashes: np.ndarray, ends: np.ndarray, sizes: np.ndarray, kinds: tup
     return keys[order], np.cumsum(np.bincount(line.astype(np.int64), minlength=len(ends)))
 
 
+def differing(a: list, b: list) -> tuple[list, list]:
+    """The two without what they begin and end with alike."""
+    low, least = 0, min(len(a), len(b))
+    while low < least and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < least - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    return a[low : len(a) - high], b[low : len(b) - high]
+
+
 def edits(a: list, b: list, most: int) -> int:
     """Edit distance of two word sequences, or something above `most` if it is above; all places of a column at once, as bits."""
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
-    a, b = a[low:], b[low:]
-    while a and b and a[-1] == b[-1]:
-        a.pop()
-        b.pop()
+    a, b = differing(a, b)
     if len(a) > len(b):
         a, b = b, a
     if not a or len(b) - len(a) > most:
@@ -162,21 +178,46 @@ def edits(a: list, b: list, most: int) -> int:
     return score
 
 
+def common(a: list, b: list) -> int:
+    """Words of the longest sequence that is in both, in order."""
+    places: dict = {}
+    for k, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << k
+    full = open_ = (1 << len(a)) - 1
+    for word in b:
+        same = places.get(word)
+        if same:
+            same &= open_
+            open_ = (open_ + same) | (open_ - same)
+    return len(a) - (open_ & full).bit_count()
+
+
 def near_in_words(a: bytes, b: bytes, similarity: float) -> bool:
     """Whether two lines (words joined by spaces) are alike enough.
 
     The distance is worked out where bounds leave it open: words that only one line has are edits, one each at least, and
-    words that differ place by place are as many edits at most.
+    words that differ place by place are as many edits at most. Words outside the longest common sequence are edits, too:
+    those of the longer line at least, those of both at most.
     """
     x, y = a.split(b" "), b.split(b" ")
-    most = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
+    return _near(x, y, int(max(len(x), len(y)) * (1 - similarity) + 1e-9))
+
+
+def _near(x: list[bytes], y: list[bytes], most: int) -> bool:
     if abs(len(x) - len(y)) > most:
         return False
     if len(x) == len(y) and sum(map(ne, x, y)) <= most:
         return True
     p, q = set(x), set(y)
-    if len(p - q) > most or len(q - p) > most:
+    both = len(p & q)
+    if len(p) - both > most or len(q) - both > most:
         return False
+    x, y = differing(x, y)
+    both = common(x, y)
+    if max(len(x), len(y)) - both > most:
+        return False
+    if len(x) + len(y) - 2 * both <= most:
+        return True
     return edits(x, y, most) <= most
 
 
@@ -185,8 +226,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, content, line, h, sim, n, odd, runs) of every non-blank line: hashes of the text it stands in and of its words,
-    SimHash, number of words, odd sketch, keys of its runs."""
+    """(id, content, line, h, sim, n, runs) of every non-blank line: hashes of the text it stands in and of its words,
+    SimHash, number of words, keys of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,19 +235,18 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, similarity: float =
                 if len(row):
                     at = pa.array(row)
                     keys, stops = run_keys(hashes, ends, sizes, similarity=similarity)
-                    odd = pa.ListArray.from_arrays(pa.array(np.arange(0, ODD * len(row) + 1, ODD, dtype=np.int32)), pa.array(_odd(hashes, ends).view(np.int64).ravel()))
                     runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(keys.view(np.int64)))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(at), batch.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(_line_hashes(hashes, ends).view(np.int64)), pa.array(_simhashes(hashes, ends).view(np.int64)),
-                         pa.array(np.diff(np.concatenate([[0], ends])).astype(np.int32)), odd, runs],
-                        ["id", "content", "line", "h", "sim", "n", "odd", "runs"],
+                         pa.array(np.diff(np.concatenate([[0], ends])).astype(np.int32)), runs],
+                        ["id", "content", "line", "h", "sim", "n", "runs"],
                     )
 
-    return _named(docs, id_col, text_col).mapInArrow(run, "id long, content long, line int, h long, sim long, n int, odd array<long>, runs array<long>")
+    return _named(docs, id_col, text_col).mapInArrow(run, "id long, content long, line int, h long, sim long, n int, runs array<long>")
 
 
-def _spellings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, s): words, lower-cased and joined by spaces, of the lines whose hash is in `wanted` (column id)."""
+def _spellings(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """`wanted` with columns s, words, lower-cased and joined by spaces, of the line whose hash is its id, and odd0.., its odd sketch."""
     place = F.col("id").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
     maps = wanted.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)  # FILTER_BITS bits reach the driver at most, however many lines there are
@@ -231,10 +271,11 @@ def _spellings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
                     if r not in split:
                         split = {r: texts[r].encode("utf-8", "surrogatepass").split(b"\n")}
                     out.append(b" ".join(split[r][line[k]].translate(low).split()))
-                yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(out, pa.binary())], ["id", "s"])
+                odd = _odd(hashes, ends)[hit].view(np.int64) if len(hit) else np.empty((0, ODD), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(out, pa.binary()), *[pa.array(odd[:, k].copy()) for k in range(ODD)]], ["id", "s", *[f"odd{k}" for k in range(ODD)]])
 
-    lines = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "id long, s binary")
-    return lines.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    lines = docs.select(F.col(text_col).alias("t")).mapInArrow(run, f"id long, s binary, {', '.join(f'odd{k} long' for k in range(ODD))}")
+    return lines.join(wanted, "id").dropDuplicates(["id"])
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,33 +285,31 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     id is the smallest long where the document's is null. Rows of one id with equal texts count as one row.
     """
     lines = line_hashes(docs, id_col, text_col, similarity)
-    first = F.min(F.struct("id", "content", "line", "sim", "n", "odd", "runs")).alias("at")
-    classes = cut(lines.groupBy("h").agg(first).select(F.col("h").alias("id"), F.struct("at.id", "at.content", "at.line").alias("at"), *[f"at.{c}" for c in ("sim", "n", "odd", "runs")]))
-    met = cut(near_buckets(classes, radius).union(run_buckets(classes, similarity)))
+    first = F.min(F.struct("id", "content", "line", "sim", "n", "runs")).alias("at")
+    classes = cut(lines.groupBy("h").agg(first).select(F.col("h").alias("id"), F.struct("at.id", "at.content", "at.line").alias("at"), *[f"at.{c}" for c in ("sim", "n", "runs")]))
+    low, high = found_by_runs(similarity)
+    with long_batches(docs.sparkSession):
+        met = cut(near_buckets(classes.filter(~F.col("n").between(low, high)), radius).union(run_buckets(classes, similarity)))
     pairs, crowded = met.filter("key is null").select("a", "b").distinct(), met.filter("key is not null").select("key", F.col("a").alias("id"), "far").distinct()
-    wanted = cut(met.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct())
-    sims = cut(classes.select("id", "sim", "n", "odd").join(wanted, "id"))
-    spelled = cut(_spellings(docs, wanted, id_col, text_col))
-
-    def alike(xa, ya, xb, yb):
-        """SimHashes are near, and so are odd sketches: words in only one of two lines flip one parity each, and an edit of a word leaves two such words at most."""
-        apart = sum((F.bit_count(ya[k].bitwiseXOR(yb[k])) for k in range(1, ODD + 1)), F.lit(0))
-        return (F.bit_count(ya[0].bitwiseXOR(yb[0])) <= FAR) & (apart <= 2 * F.floor(F.greatest(xa, xb) * F.lit(1 - similarity) + 1e-9))
-
-    sketch = F.concat(F.array("sim"), "odd")
+    wanted = met.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct()
+    sims = cut(classes.select("id", "sim", "n").join(wanted, "id"))
+    spelled = cut(_spellings(docs, sims, text_col))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sides = [sims.select(F.col("id").alias(c), F.col("n").alias(f"x{c}"), sketch.alias(f"y{c}")) for c in "ab"]
-        near = pairs.join(sides[0], "a").join(sides[1], "b").filter(alike(*[F.col(c) for c in ("xa", "ya", "xb", "yb")])).select("a", "b")
-        one, two = (spelled.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-        return near.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(near_words, "a long, b long")
+        """SimHashes are near, and so are odd sketches: words in only one of two lines flip one parity each, and an edit of a word leaves two such words at most."""
+        one, two = (spelled.select(*[F.col(c).alias(f"{c}_{z}") for c in spelled.columns]) for z in "ab")
+        apart = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+        most = F.floor(F.greatest("n_a", "n_b") * F.lit(1 - similarity) + 1e-9)
+        alike = (apart("sim") <= FAR) & (F.abs(F.col("n_a") - F.col("n_b")) <= most) & (sum((apart(f"odd{k}") for k in range(ODD)), F.lit(0)) <= 2 * most)
+        near = pairs.join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b")).filter(alike)
+        return near.select("a", "b", "s_a", "s_b").mapInArrow(near_words, "a long, b long")
 
     def near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [near_in_words(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    found = components(cut(verify(pairs).union(crowded_links(crowded, sims, spelled, similarity))))
+    found = components(cut(verify(pairs).union(crowded_links(crowded, spelled, similarity))))
     grouped = classes.join(found, "id", "left").select(F.coalesce("component", "id").alias("group"), "at")
     stay = grouped.groupBy("group").agg(F.min("at").alias("at")).select("at.*")
     return stay.groupBy("id", "content").agg(F.array_sort(F.collect_list("line")).alias("stay"))
@@ -301,44 +340,80 @@ def _pairs(keys: np.ndarray, ids: np.ndarray, near: Callable, far: int) -> Itera
         yield _met(ids[one], ids[one + d], far=far)
 
 
-def crowded_links(crowded: DataFrame, sims: DataFrame, spelled: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): links that connect what is alike in large buckets (key, id, far), from sketches (id, sim, n, odd) and words (id, s).
+def bucket_links(sims: np.ndarray, odd: np.ndarray, n: np.ndarray, words: Callable[[int], list[bytes]], part: np.ndarray | None, far: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that connect what is alike in a bucket, as pairs of places; with `part`, what is alike in different parts.
+
+    From each line on, links are followed to lines not reached yet, so that of a group of copies few pairs are looked at,
+    and each at most once. What may be alike by SimHash, length and odd sketch is worked out for many lines at once.
+    """
+    size, out = len(n), []
+    left, seen = np.ones(size, np.bool_), np.zeros(size, np.bool_)
+    may = np.zeros((size, size), np.bool_)  # a bucket holds 2 * PART lines at most
+    step = max(1, (1 << 18) // max(size, 1))
+    most = np.floor(n * (1 - similarity) + 1e-9).astype(np.int64)
+
+    def look(u: int) -> None:
+        some = slice(u - u % step, u - u % step + step)
+        fits = np.bitwise_count(sims[some, None] ^ sims) <= far
+        fits &= np.abs(n[some, None] - n) <= np.maximum(most[some, None], most)
+        if part is not None:
+            fits &= part[some, None] != part
+        a, b = np.nonzero(fits)
+        apart = np.bitwise_count(odd[some][a] ^ odd[b]).sum(axis=1, dtype=np.int64)
+        good = apart <= 2 * np.maximum(most[some][a], most[b])
+        may[some][a[good], b[good]] = True
+        seen[some] = True
+
+    for start in range(size):
+        edge = [start] if left[start] else []
+        left[start] = False
+        while edge:
+            u = edge.pop()
+            if len(out) + start + 1 >= size and not left.any():
+                return out
+            if not seen[u]:
+                look(u)
+            for v in np.flatnonzero(may[u] & left).tolist():
+                if _near(words(u), words(v), int(max(most[u], most[v]))):
+                    left[v] = False
+                    edge.append(v)
+                    out.append((u, v))
+    return out
+
+
+def crowded_links(crowded: DataFrame, spelled: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links that connect what is alike in large buckets (key, id, far), from sketches and words (id, sim, n, odd0.., s).
     far is how many bits of the SimHashes may differ, as in small buckets of the same kind.
 
-    A task takes a bucket of up to PART ids, or two parts of a larger one. From each line on it follows links to lines not
-    reached yet, so that of a group of copies few pairs are looked at, and each at most once.
+    A task takes a bucket of up to PART ids, or two parts of a larger one.
     """
     parts = F.ceil(F.col("m") / F.lit(PART)).cast("int")
     dealt = crowded.join(crowded.groupBy("key", "far").agg(F.count("*").alias("m")), ["key", "far"]).withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "far")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, n, part, across = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["part"].to_numpy(), rows["low"].iloc[0] != rows["high"].iloc[0]
-        far = rows["far"].iloc[0]
-        sketches = np.column_stack([rows["sim"].to_numpy(), np.stack(rows["odd"].to_list())]).astype(np.int64).view(np.uint64)
-        words, left, out = [bytes(x).split(b" ") for x in rows["s"]], np.ones(len(ids), np.bool_), []
-        for start in range(len(ids)):
-            edge = [start] if left[start] else []
-            left[start] = False
-            while edge:
-                u = edge.pop()
-                near = np.flatnonzero(left & (part != part[u]) if across else left)
-                apart = np.bitwise_count(sketches[near] ^ sketches[u]).astype(np.int64)
-                most = np.floor(np.maximum(n[near], n[u]) * (1 - similarity) + 1e-9).astype(np.int64)
-                fits = (apart[:, 0] <= far) & (apart[:, 1:].sum(axis=1) <= 2 * most)
-                for v, d in zip(near[fits].tolist(), most[fits].tolist()):
-                    if edits(words[u], words[v], d) <= d:
-                        left[v] = False
-                        edge.append(v)
-                        out.append((min(ids[u], ids[v]), max(ids[u], ids[v])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.join(sims, "id").join(spelled, "id").groupBy("key", "far", "low", "high").applyInPandas(solve, "a long, b long")
+        ids, texts, split = rows["id"].to_numpy(), rows["s"].to_numpy(), {}
+        across = rows["low"].iloc[0] != rows["high"].iloc[0]
+        odd = np.column_stack([rows[f"odd{k}"].to_numpy() for k in range(ODD)]).view(np.uint64)
+
+        def words(k: int) -> list[bytes]:
+            if k not in split:
+                split[k] = bytes(texts[k]).split(b" ")
+            return split[k]
+
+        found = bucket_links(rows["sim"].to_numpy().view(np.uint64), odd, rows["n"].to_numpy().astype(np.int64), words, rows["part"].to_numpy() if across else None, int(rows["far"].iloc[0]), similarity)
+        return pd.DataFrame([(min(ids[u], ids[v]), max(ids[u], ids[v])) for u, v in found], columns=["a", "b"], dtype="int64")
+
+    return dealt.join(spelled, "id").groupBy("key", "far", "low", "high").applyInPandas(solve, "a long, b long")
 
 
 def run_buckets(classes: DataFrame, similarity: float = SIMILARITY, far: int = FAR) -> DataFrame:
-    """(a, b, key): pairs a < b of ids (id, sim, n, odd, runs) that share the key of a run and are near enough by SimHash and
-    odd sketch; the ids of large buckets (a, key) all stay, and pass through a task one batch after the other."""
+    """(a, b, key): pairs a < b of ids (id, sim, n, runs) that share the key of a run and are near enough by SimHash and
+    length; the ids of large buckets (a, key) all stay, and pass through a task one batch after the other.
+
+    Most keys are those of one line only, so rows are short: the key's last 16 bits give way to the line's length.
+    """
+    length = (1 << 16) - 1
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -347,17 +422,17 @@ def run_buckets(classes: DataFrame, similarity: float = SIMILARITY, far: int = F
         def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             twice = np.concatenate([rows[0, 1:] == rows[0, :-1], [False]])
             rows = rows[:, twice | np.concatenate([[False], twice[:-1]])]
-            keys, ids, sims, n, o, p = rows
-            apart = lambda x, one, d: np.bitwise_count((x[one] ^ x[one + d]).view(np.uint64)).astype(np.int64)
+            keys, ids, sims, n = rows
 
             def near(one: np.ndarray, d: int) -> np.ndarray:
-                one = one[apart(sims, one, d) <= far]
-                return one[apart(o, one, d) + apart(p, one, d) <= 2 * np.floor(np.maximum(n[one], n[one + d]) * (1 - similarity) + 1e-9)]
+                one = one[np.bitwise_count((sims[one] ^ sims[one + d]).view(np.uint64)) <= far]
+                return one[np.abs(n[one] - n[one + d]) <= np.floor(np.maximum(n[one], n[one + d]) * (1 - similarity) + 1e-9)]
 
             yield from _pairs(keys, ids, near, far)
 
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            key, ids, sims = (c.to_numpy() for c in batch.columns)
+            rows = np.stack([key >> 16, ids, sims, key & length])
             if full is not None:  # the bucket that has been found to be large goes on
                 stop = int(np.searchsorted(rows[0], full, side="right"))
                 yield _met(rows[1, :stop], keys=rows[0, :stop], far=far)
@@ -379,9 +454,9 @@ def run_buckets(classes: DataFrame, similarity: float = SIMILARITY, far: int = F
         if waiting:
             yield from solve(np.concatenate(held, axis=1))
 
-    fold = lambda at: F.expr(" ^ ".join(f"odd[{k}]" for k in at))
-    light = classes.select("id", "sim", "n", fold(range(ODD // 2)).alias("o"), fold(range(ODD // 2, ODD)).alias("p"), "runs")
-    keyed = light.select(F.explode("runs").alias("key"), "id", "sim", "n", "o", "p").repartition("key").sortWithinPartitions("key")
+    keyed = classes.select(F.explode("runs").alias("key"), "id", "sim", "n")
+    keyed = keyed.select(F.col("key").bitwiseAND(F.lit(~length)).bitwiseOR(F.least("n", F.lit(length))).alias("key"), "id", "sim")
+    keyed = keyed.repartition(F.shiftright("key", 16)).sortWithinPartitions("key")
     return keyed.mapInArrow(thin, _MET)
 
 
@@ -407,49 +482,51 @@ def near_buckets(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     sim = F.col("sim")
     block = lambda t: F.shiftrightunsigned(sim, low[t]).bitwiseAND(F.lit((1 << (low[t + 1] - low[t])) - 1))
-    tables = F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), block(t).alias("b"), rest(sim, t).alias("r")) for t in range(count)])
-    laid = classes.select("id", "sim", F.explode(tables).alias("x")).select("id", "sim", "x.*")
+    # the last six bits of a block's key say which block it is
+    tables = F.array(*[F.xxhash64(block(t)).bitwiseAND(F.lit(~63)).bitwiseOR(F.lit(t)) for t in range(count)])
+    laid = classes.select("id", "sim", F.explode(tables).alias("g"))
     # no more rows than blocks have values: 4 times 65,536 at the radius of 3
-    full = F.broadcast(laid.groupBy("t", "b").agg(F.count("*").alias("m")).filter(F.col("m") > FULL_BLOCK).select("t", "b", F.lit(True).alias("full")))
-    parts = F.array(*[F.struct(F.lit(j).cast("byte").alias("j"), sum((F.when(F.col("t") == t, part(F.col("r"), t, j)).otherwise(F.lit(0)) for t in range(count)), F.lit(0)).alias("v")) for j in range(count)])
-    dealt = laid.join(full, ["t", "b"], "left")
-    few = dealt.filter("full is null").select("id", "sim", "t", F.xxhash64("t", "b").alias("g"))
-    many = dealt.filter("full").select("id", "t", "b", F.explode(parts).alias("x")).select("id", F.xxhash64("t", "b", "x.j", "x.v").alias("g"))
+    full = F.broadcast(laid.groupBy("g").agg(F.count("*").alias("m")).filter(F.col("m") > FULL_BLOCK).select("g", F.lit(True).alias("full")))
+    mine = F.col("g").bitwiseAND(F.lit(63))
+    parts = F.array(*[F.struct(F.lit(j).alias("j"), sum((F.when(mine == t, part(rest(sim, t), t, j)).otherwise(F.lit(0)) for t in range(count)), F.lit(0)).alias("v")) for j in range(count)])
+    dealt = laid.join(full, "g", "left")
+    few = dealt.filter("full is null").select("id", "sim", "g")
+    many = dealt.filter("full").select("id", "g", F.explode(parts).alias("x")).select("id", F.xxhash64("g", "x.j", "x.v").alias("g"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            ids, sims, t, g = rows
-            sims = sims.view(np.uint64)
+            ids, sims, g = rows[0], rows[1].view(np.uint64), rows[2].view(np.uint64)
+            t = (g & np.uint64(63)).astype(np.int64)
+            under, over = np.array(low[:-1], np.uint64)[t], np.array(low[1:], np.uint64)[t]
+            above = np.where(over < 64, sims >> np.minimum(over, np.uint64(63)), np.uint64(0))
+            others = (sims & ((np.uint64(1) << under) - np.uint64(1))) | (above << under)
+            bits = np.uint64(len(ids).bit_length())  # keys give their last bits to the row, so that one sort of numbers does
             for k in range(count):
-                value = np.zeros(len(ids), np.uint64)
-                for x in range(count):
-                    mine = t == x
-                    s = sims[mine]
-                    r = (s & np.uint64((1 << low[x]) - 1)) | ((s >> np.uint64(low[x + 1]) if x + 1 < count else np.zeros_like(s)) << np.uint64(low[x]))
-                    a, b = widths[x] * k // count, widths[x] * (k + 1) // count
-                    value[mine] = (r >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
-                keys = grams.mix(grams.mix(value * np.uint64(count) + np.uint64(k)) + g.view(np.uint64))
-                order = np.argsort(keys, kind="stable")
-                own = sims[order]
-                yield from _pairs(keys[order].view(np.int64), ids[order], lambda one, d: one[np.bitwise_count(own[one] ^ own[one + d]) <= radius], radius)  # noqa: B023
+                a, b = (np.array([w * x // count for w in widths], np.uint64)[t] for x in (k, k + 1))
+                value = (others >> a) & ((np.uint64(1) << (b - a)) - np.uint64(1))
+                keys = grams.mix(grams.mix(value * np.uint64(count) + np.uint64(k)) + g)
+                laid = np.sort(((keys >> bits) << bits) | np.arange(len(ids), dtype=np.uint64))
+                order, own = (laid & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), (laid >> bits) << bits
+                s = sims[order]
+                yield from _pairs(own.view(np.int64), ids[order], lambda one, d: one[np.bitwise_count(s[one] ^ s[one + d]) <= radius], radius)  # noqa: B023
 
         waiting = 0
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            rows = np.stack([c.to_numpy() for c in batch.columns])
             held.append(rows)
             waiting += rows.shape[1]
             if waiting >= GATHER:
                 rows = np.concatenate(held, axis=1)
-                stop = int(np.searchsorted(rows[3], rows[3, -1]))  # the last block may go on in the next batch
+                stop = int(np.searchsorted(rows[2], rows[2, -1]))  # the last block may go on in the next batch
                 if stop:
                     yield from solve(rows[:, :stop])
                 held, waiting = [rows[:, stop:]], rows.shape[1] - stop
         if held:
             yield from solve(np.concatenate(held, axis=1))
 
-    inside = few.select("id", "sim", "t", "g").repartition("g").sortWithinPartitions("g").mapInArrow(find, _MET)
+    inside = few.repartition("g").sortWithinPartitions("g").mapInArrow(find, _MET)
     return inside.union(many.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("g").alias("key"), F.lit(radius).alias("far")))
 
 

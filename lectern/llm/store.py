@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows and bytes of one Arrow batch: whole texts are handed to Python, so a batch must stay small whatever their length.
 BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
+#: Rows of one batch of a few numbers each.
+LONG_BATCH = 1 << 14
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +46,18 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+@contextmanager
+def long_batches(spark: SparkSession) -> Iterator[None]:
+    """Longer Arrow batches for what is run meanwhile: rows of a few numbers, of which small batches cost more than they hold."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(LONG_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

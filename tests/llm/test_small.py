@@ -215,6 +215,54 @@ def test_plain_prose_is_found_at_every_length(spark):
     assert max(lost.values()) <= 0.1 and max(lost[n] for n in cells if n <= 24) <= 0.05, lost
 
 
+def test_four_words_and_one_added_are_found(spark):
+    """An edit of five words is a fifth of them: the shortest lines that may be near each other have four and five."""
+    vocabulary = words(23, 400)
+    texts = []
+    for k in range(60):
+        five = [vocabulary[5 * k + j] for j in range(5)]
+        texts += [" ".join(five), " ".join(five[: k % 5] + five[k % 5 + 1 :])]
+    stay = {r["doc_id"] for r in lines.counted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r["stay"]}
+    assert stay == set(range(0, 120, 2))
+    assert lines.found_by_runs(0.8) == (4, 19) and lines.found_by_runs(0.3)[1] < 4
+
+
+def test_large_buckets_compare_few_words(monkeypatch):
+    """Of a bucket, words are compared of lines alike in sketch and length only, and of copies of one line about once each."""
+    rng = np.random.default_rng(24)
+    vocabulary = words(25, 2000)
+    texts = [[str(x) for x in rng.choice(vocabulary, n)] for n in rng.integers(8, 50, 70)]
+    texts += [[*texts[0][:-1], f"end{k}"] for k in range(50)]
+    part = np.arange(len(texts)) % 2
+    hashed = [lines.grams.sized_words(np.frombuffer(" ".join(t).encode(), np.uint8), np.array([0, len(" ".join(t))])) for t in texts]
+    sims, odd = (np.concatenate([f(h, e) for h, e, _ in hashed]) for f in (lines._simhashes, lines._odd))
+    n = np.array([len(t) for t in texts])
+    near, compared = lines._near, []
+    monkeypatch.setattr(lines, "_near", lambda x, y, most: compared.append((len(x), len(y), most)) or near(x, y, most))
+    want = [(a, b) for a in range(len(texts)) for b in range(a) if distance(texts[a], texts[b]) <= int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9)]
+    for split in (None, part):
+        compared.clear()
+        got = lines.bucket_links(sims, odd, n, texts.__getitem__, split, 64)
+        held = [(a, b) for a, b in want if split is None or part[a] != part[b]]
+        places = range(len(texts))
+        assert closed(places, got) == closed(places, held) and set(map(frozenset, got)) <= set(map(frozenset, held))
+        assert all(abs(x - y) <= most for x, y, most in compared) and len(compared) < 12 * len(texts)
+
+
+def test_common_words():
+    rng = np.random.default_rng(26)
+    for _ in range(300):
+        a, b = (list(rng.integers(0, 5, rng.integers(0, 90))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        assert lines.common(a, b) == row[-1]
+        u, v = lines.differing(a, b)
+        assert distance(a, b) == distance(u, v)
+
+
 def test_enough_runs_are_taken(spark):
     """Two lines of up to 24 words share one of their first runs whatever the edits, in any order of the runs."""
     rng = np.random.default_rng(20)
