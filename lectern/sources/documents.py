@@ -5,13 +5,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.functions.text import newlines
@@ -20,6 +21,27 @@ from lectern.sources import versions
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
 ElementTree.register_namespace("w", W[1:-1])
+#: Rows of an Arrow batch that a task gives back, and bytes of packages or parts behind which one ends.
+BATCH_ROWS, BATCH_BYTES = 8192, 16 << 20
+PROPS = pa.map_(pa.string(), pa.map_(pa.string(), pa.string()))
+
+
+def _batches(found: Iterable[tuple[list[tuple], int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows of many packages or parts, given as (rows, bytes) each: a batch for each would cost more than its rows."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*rows), schema.types)], schema=schema)
+
+    held: list[tuple] = []
+    size = 0
+    for rows, n in found:
+        held += rows
+        size += n
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield from (batch(held[k : k + BATCH_ROWS]) for k in range(0, len(held), BATCH_ROWS))
+            held, size = [], 0
+    if held:
+        yield batch(held)
 
 
 def read_text_documents(spark: SparkSession, paths: str | list[str], drop_bad_bytes: bool = False) -> DataFrame:
@@ -103,13 +125,16 @@ def _whole_props(element) -> dict[str, str]:
     return out
 
 
-_SPECIAL = {W + x for x in ("fldChar", "instrText", "drawing", "object", "pict")}
-_NODES = {M + "oMath", M + "oMathPara", W + "drawing", W + "object"}
+#: Elements that the scan looks at, by a small number: names are compared once, when an element begins.
+_P, _R, _T, _RPR, _PPR, _STYLE, _ALIGN, _LINK, _MATH_R, _MATH_T, _MATH_RPR, _FORMULA, _DRAWING, _FIELD = range(1, 15)
+_CODES = {W[1:] + k: v for k, v in {"p": _P, "r": _R, "t": _T, "rPr": _RPR, "pPr": _PPR, "pStyle": _STYLE, "jc": _ALIGN, "hyperlink": _LINK, "drawing": _DRAWING, "object": _DRAWING, "fldChar": _FIELD, "instrText": _FIELD, "pict": _FIELD}.items()}
+_CODES |= {M[1:] + k: v for k, v in {"r": _MATH_R, "t": _MATH_T, "rPr": _MATH_RPR, "oMath": _FORMULA, "oMathPara": _FORMULA}.items()}
 
 
-@dataclass
+@dataclass(slots=True)
 class _Run:
-    """A run or non-text node of a paragraph, with the places of its bytes and of those of its texts."""
+    """A run or non-text node of a paragraph, with the places of its bytes and of those of its texts. A place is where an
+    element begins and where the parser stood when it ended; _stop makes its end of that."""
 
     about: tuple
     run_no: int
@@ -119,22 +144,23 @@ class _Run:
     depth: int
     start: int
     special: bool
-    prefix: bytes
+    #: Where its paragraph begins, which has the prefix of Word's namespace.
+    above: int
     stop: int = 0
     texts: list[tuple[int, int]] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
     rpr: dict = field(default_factory=dict)
-    #: Where the properties stand, and each of them (tag, from, to); in a formula, where its own properties end.
+    #: Where the properties stand, and each of them (tag, place); in a formula, where its own properties stand.
     held: tuple[int, int] | None = None
     props: list[tuple[str, int, int]] = field(default_factory=list)
     formula: tuple[int, int] | None = None
 
 
-@dataclass
+@dataclass(slots=True)
 class _Paragraph:
     para_no: int
     depth: int
-    prefix: bytes
+    start: int
     style: str | None = None
     align: str | None = None
     runs: int = 0
@@ -145,14 +171,23 @@ class _Paragraph:
     math: _Run | None = None
 
 
+_TAG, _NAME = re.compile(rb"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>"""), re.compile(rb"<([^\s/>:]+:)?")
+
+
 def _tag_stop(data: bytes, at: int) -> int:
     """Where the tag that starts at `at` ends; > in quotes doesn't end it."""
-    return re.compile(rb"""(?:[^>"']|"[^"]*"|'[^']*')*>""").match(data, at).end()
+    return _TAG.match(data, at).end()
+
+
+def _stop(data: bytes, begun: int, at: int) -> int:
+    """Where the element that begun there ends; the parser stood behind an empty one, before the end tag of others."""
+    first = _tag_stop(data, begun)
+    return first if data[first - 2 : first] == b"/>" else _tag_stop(data, at)
 
 
 def _prefix(data: bytes, at: int) -> bytes:
     """Prefix of the tag that starts at `at`, with its colon."""
-    return re.compile(rb"<([^\s/>:]+:)?").match(data, at)[1] or b""
+    return _NAME.match(data, at)[1] or b""
 
 
 def _scan(data: bytes) -> list[_Run]:
@@ -163,90 +198,101 @@ def _scan(data: bytes) -> list[_Run]:
     are of kind math_run and are counted for themselves.
     """
     parser = expat.ParserCreate(namespace_separator="}")
-    names: list[str] = []
+    codes: list[int] = []
     open_: list[_Paragraph] = []
     done: list[_Run] = []
     count = 0
     in_text = False
+    p = r = None  # the innermost paragraph that is open, and its open run or the run of a formula in it
+    val, code_of = W[1:] + "val", _CODES.get
 
     def start(name: str, attrs: dict) -> None:
-        nonlocal count, in_text
-        name, depth, at = "{" + name, len(names), parser.CurrentByteIndex
-        names.append(name)
-        value = attrs.get(W[1:] + "val")
-        if name == W + "p":
-            open_.append(_Paragraph(count, depth, _prefix(data, at)))
+        nonlocal count, in_text, p, r
+        code, depth = code_of(name, 0), len(codes)
+        codes.append(code)
+        if code == _P:
+            p, r = _Paragraph(count, depth, parser.CurrentByteIndex), None
+            open_.append(p)
             count += 1
             return
-        if not open_:
+        if p is None:
             return
-        p = open_[-1]
-        if name in _SPECIAL:
+        if code >= _DRAWING:
             for other in open_:
                 if other.run is not None and other.run.kind != "hyperlink":
                     other.run.special = True
-        if depth == p.depth + 2 and names[-2] == W + "pPr":
-            p.style = value if name == W + "pStyle" else p.style
-            p.align = value if name == W + "jc" else p.align
-        linked = depth == p.depth + 2 and p.linked and name == W + "r"
-        if depth == p.depth + 1:
-            p.linked = name == W + "hyperlink"
-            p.block += name != W + "r"
-        if linked or depth == p.depth + 1 and (name == W + "r" or name in _NODES):
-            kind = "hyperlink" if linked else "run" if name == W + "r" else "non_text"
-            p.run = _Run((p.para_no, p.style, p.align), p.runs, p.block, kind, name.startswith(M), depth, at, kind == "non_text", p.prefix)
-            p.runs += 1
-            done.append(p.run)
-        elif p.run is not None and p.run.math and p.math is None and name == M + "r":
-            p.math = _Run((p.para_no, p.style, p.align), p.maths, p.block, "math_run", True, depth, at, True, p.prefix)
+        if r is None:
+            level = depth - p.depth
+            if level == 1:
+                p.linked = code == _LINK
+                p.block += code != _R
+                if code == _R or code == _DRAWING or code == _FORMULA:
+                    r = p.run = _Run((p.para_no, p.style, p.align), p.runs, p.block, "run" if code == _R else "non_text", code == _FORMULA, depth, parser.CurrentByteIndex, code != _R, p.start)
+                    p.runs += 1
+                    done.append(r)
+            elif level == 2:
+                if code == _R and p.linked:
+                    r = p.run = _Run((p.para_no, p.style, p.align), p.runs, p.block, "hyperlink", False, depth, parser.CurrentByteIndex, False, p.start)
+                    p.runs += 1
+                    done.append(r)
+                elif codes[-2] == _PPR:
+                    if code == _STYLE:
+                        p.style = attrs.get(val)
+                    elif code == _ALIGN:
+                        p.align = attrs.get(val)
+            return
+        if code == _MATH_R and p.math is None and r.math:
+            r = p.math = _Run((p.para_no, p.style, p.align), p.maths, p.block, "math_run", True, depth, parser.CurrentByteIndex, True, p.start)
             p.maths += 1
-            done.append(p.math)
-        elif (r := p.math or p.run) is not None:
-            if depth == r.depth + 1:
-                if name == (M if r is p.math else W) + "t":
-                    r.texts.append((at, 0))
-                    in_text = True
-                elif name == W + "rPr" and r.held is None:
-                    r.held = (at, 0)
-                elif name == M + "rPr":
-                    r.formula = (at, 0)
-            elif depth == r.depth + 2 and names[-2] == W + "rPr" and not r.held[1]:
-                r.rpr[_tag(name)] = {k.rpartition("}")[2]: v for k, v in attrs.items()}
-                r.props.append((_tag(name), at, 0))
-
-    def stop(begun: int) -> int:
-        """Where the element that begun there ends; the parser stands behind an empty one, before the end tag of others."""
-        first = _tag_stop(data, begun)
-        return first if data[first - 2 : first] == b"/>" else _tag_stop(data, parser.CurrentByteIndex)
+            done.append(r)
+            return
+        level = depth - r.depth
+        if level == 1:
+            if code == (_T if p.math is None else _MATH_T):
+                r.texts.append((parser.CurrentByteIndex, 0))
+                in_text = True
+            elif code == _RPR and r.held is None:
+                r.held = (parser.CurrentByteIndex, 0)
+            elif code == _MATH_RPR:
+                r.formula = (parser.CurrentByteIndex, 0)
+        elif level == 2 and codes[-2] == _RPR and not r.held[1]:
+            tag = _tag("{" + name)
+            r.rpr[tag] = {k.rpartition("}")[2]: v for k, v in attrs.items()}
+            r.props.append((tag, parser.CurrentByteIndex, 0))
 
     def end(name: str) -> None:
-        nonlocal in_text
-        names.pop()
-        if not open_:
+        nonlocal in_text, p, r
+        code = codes.pop()
+        if p is None:
             return
-        p, depth, name = open_[-1], len(names), "{" + name
-        r = p.math or p.run
+        depth = len(codes)
         if depth == p.depth:
             open_.pop()
-        elif r is not None and depth == r.depth:
-            r.stop = stop(r.start)
-            p.run, p.math = (p.run if r is p.math else None), None
-        elif r is not None and depth == r.depth + 1:
-            if in_text:
-                r.texts[-1] = (r.texts[-1][0], stop(r.texts[-1][0]))
-                in_text = False
-            elif name == W + "rPr" and not r.held[1]:
-                r.held = (r.held[0], stop(r.held[0]))
-            elif name == M + "rPr":
-                r.formula = (r.formula[0], stop(r.formula[0]))
-        elif r is not None and depth == r.depth + 2 and names[-1] == W + "rPr" and not r.held[1]:
-            tag, begun, _ = r.props[-1]
-            r.props[-1] = (tag, begun, stop(begun))
-        elif depth == p.depth + 1 and p.linked:
+            p = open_[-1] if open_ else None
+            r = p and (p.math or p.run)
+        elif r is not None:
+            level = depth - r.depth
+            if level == 0:
+                r.stop = parser.CurrentByteIndex
+                if r is p.math:
+                    p.math, r = None, p.run
+                else:
+                    p.run = r = None
+            elif level == 1:
+                if in_text:
+                    r.texts[-1] = (r.texts[-1][0], parser.CurrentByteIndex)
+                    in_text = False
+                elif code == _RPR and not r.held[1]:
+                    r.held = (r.held[0], parser.CurrentByteIndex)
+                elif code == _MATH_RPR:
+                    r.formula = (r.formula[0], parser.CurrentByteIndex)
+            elif level == 2 and codes[-1] == _RPR and not r.held[1]:
+                r.props[-1] = (*r.props[-1][:2], parser.CurrentByteIndex)
+        elif p.linked and depth == p.depth + 1:
             p.linked = False
 
     def chars(text: str) -> None:
-        if in_text and open_ and (r := open_[-1].math or open_[-1].run) is not None:
+        if in_text and r is not None:
             r.text.append(text)
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, chars
@@ -324,28 +370,46 @@ def assemble_docx(parts: DataFrame, texts: DataFrame, font_table: bytes | None =
     declarations included, stays as it is, and so does a part that can't be parsed. All parts of one package meet in a
     task: a package is one file.
     """
-    data, key = F.col("part_bytes"), ["path", "part_name"]
+    data = F.col("part_bytes")
     for action, new in (("replace_font_table", font_table), ("replace_styles", styles)):
         if new is not None:
             data = F.when(part_action(F.col("part_name")) == action, F.lit(bytearray(new))).otherwise(data)
-    given = texts.groupBy(key).agg(F.collect_list(F.struct("para_no", "run_no", F.col("text").alias("t"))).alias("texts"))
-    joined = parts.filter("status = 'ok'").withColumn("part_bytes", data).join(given, key, "left")
-    if properties is not None:
-        joined = joined.join(properties.groupBy(key).agg(F.collect_list(F.struct("para_no", "run_no", "math_run", "xml", "drop")).alias("properties")), key, "left")
+    columns = ["path", "kind", "part_no", "part_name", "part_bytes", "para_no", "run_no", "text", "math_run", "xml", "drop"]
+    laid = parts.filter("status = 'ok'").select("path", F.lit(2).alias("kind"), "part_no", "part_name", data.alias("part_bytes"))
+    laid = laid.unionByName(texts.select("path", "part_name", F.lit(0).alias("kind"), "para_no", "run_no", "text"), allowMissingColumns=True)
+    if properties is None:
+        laid = laid.withColumns({"math_run": F.lit(None).cast("boolean"), "xml": F.lit(None).cast("array<string>"), "drop": F.lit(None).cast("array<string>")})
     else:
-        joined = joined.withColumn("properties", F.lit(None).cast("array<struct<para_no:int>>"))
+        laid = laid.unionByName(properties.select("path", "part_name", F.lit(1).alias("kind"), "para_no", "run_no", "math_run", "xml", "drop"), allowMissingColumns=True)
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        listed = lambda x: x if x is not None else ()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, data, texts, more in rows.sort_values("part_no")[["part_name", "part_bytes", "texts", "properties"]].itertuples(index=False):
-                texts = {(x["para_no"], x["run_no"]): x["t"] for x in listed(texts)}
-                more = {(x["para_no"], x["run_no"], x["math_run"]): (x["xml"], x["drop"]) for x in listed(more)}
-                z.writestr(name, with_changes(bytes(data), texts, more) if texts or more else bytes(data))
-        return pd.DataFrame({"path": rows["path"].iloc[:1].to_list(), "content": [out.getvalue()]})
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], int]]:
+        """Rows come by package, the changes of its parts before the parts, and a package may go on in the next batch."""
+        at, out = object(), None
+        for batch in batches:
+            for path, kind, _, name, data, para_no, run_no, text, math_run, xml, drop in zip(*(batch[c].to_pylist() for c in columns)):
+                if path != at:
+                    if out is not None:
+                        z.close()
+                        yield [(at, out.getvalue())], out.tell()
+                    at, out, changes = path, None, {}
+                if kind == 2:
+                    if out is None:
+                        out = io.BytesIO()
+                        z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                    z.writestr(name, with_changes(data, *changes[name]) if name in changes else data)
+                    continue
+                given, more = changes.setdefault(name, ({}, {}))
+                if kind:
+                    more[para_no, run_no, math_run] = (xml, drop)
+                else:
+                    given[para_no, run_no] = text
+        if out is not None:
+            z.close()
+            yield [(at, out.getvalue())], out.tell()
 
-    return joined.select("path", "part_no", "part_name", "part_bytes", "texts", "properties").groupBy("path").applyInPandas(build, "path string, content binary")
+    dealt = laid.select(columns).repartition("path").sortWithinPartitions("path", "kind", "part_no")
+    return dealt.mapInArrow(lambda batches: _batches(built(batches), schema), "path string, content binary")
 
 
 def with_changes(data: bytes, texts: dict[tuple[int, int], str | None], properties: dict[tuple[int, int, bool], tuple] | None = None) -> bytes:
@@ -361,7 +425,7 @@ def with_changes(data: bytes, texts: dict[tuple[int, int], str | None], properti
         formula = r.kind == "math_run"
         where = (r.about[0], r.run_no)
         if not formula and texts.get(where, "") is None:
-            edits.append((r.start, r.stop, b""))
+            edits.append((r.start, _stop(data, r.start, r.stop), b""))
             continue
         if (*where, formula) in properties:
             edits += _properties(data, r, *properties[(*where, formula)])
@@ -370,8 +434,9 @@ def with_changes(data: bytes, texts: dict[tuple[int, int], str | None], properti
         text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]", "", texts[where])
         tag = re.match(rb"<([^\s/>]+)", data[r.texts[0][0] :])[1]
         space = b' xml:space="preserve"' if text != text.strip(" ") else b""
-        edits.append((*r.texts[0], b"<" + tag + space + b">" + escape(text).encode() + b"</" + tag + b">"))
-        edits += [(a, b, b"") for a, b in r.texts[1:]]
+        places = [(a, _stop(data, a, b)) for a, b in r.texts]
+        edits.append((*places[0], b"<" + tag + space + b">" + escape(text).encode() + b"</" + tag + b">"))
+        edits += [(a, b, b"") for a, b in places[1:]]
     out, at = [], 0
     for a, b, new in sorted(edits):
         out += [data[at:a], new]
@@ -381,12 +446,17 @@ def with_changes(data: bytes, texts: dict[tuple[int, int], str | None], properti
 
 def _properties(data: bytes, r: _Run, elements: list[str], drop: list[str]) -> list[tuple[int, int, bytes]]:
     """The change that gives a run these elements and takes those tags from it; none if it has neither."""
-    own = [data[a:b] for tag, a, b in r.props if tag not in drop]
+    own = [data[a : _stop(data, a, b)] for tag, a, b in r.props if tag not in drop]
     if not len(elements) and len(own) == len(r.props):
         return []
     more = [x.encode() for x in elements]
-    if r.prefix == b"w:":  # bound to Word's namespace here: no need to say so again
+    prefix = _prefix(data, r.above)
+    if prefix == b"w:":  # bound to Word's namespace here: no need to say so again
         more = [x.replace(f' xmlns:w="{W[1:-1]}"'.encode(), b"") for x in more]
-    tag = r.prefix + b"rPr>"
-    first = _tag_stop(data, r.start) if r.formula is None else r.formula[1]
-    return [(*(r.held or (first, first)), b"<" + tag + b"".join([*more, *own]) + b"</" + tag)]
+    tag = prefix + b"rPr>"
+    if r.held is not None:
+        place = (r.held[0], _stop(data, *r.held))
+    else:
+        first = _tag_stop(data, r.start) if r.formula is None else _stop(data, *r.formula)
+        place = (first, first)
+    return [(*place, b"<" + tag + b"".join([*more, *own]) + b"</" + tag)]
