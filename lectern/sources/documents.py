@@ -89,18 +89,20 @@ def explode_docx_parts(packages: DataFrame) -> DataFrame:
     A package that can't be opened is one row with status `bad_package` and no part; its bytes stand in part_bytes.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("path", pa.string()), ("part_no", pa.int32()), ("part_name", pa.string()), ("part_bytes", pa.binary()), ("status", pa.string())])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], int]]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(*(batch[c].to_pylist() for c in ("path", "content"))):
                 rows: list[tuple] = []
                 try:
-                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
                         rows = [(path, k, i.filename, z.read(i), "ok") for k, i in enumerate(z.infolist())]
                 except (zipfile.BadZipFile, TypeError, OSError, ValueError, NotImplementedError, RuntimeError):
-                    rows = [(path, None, None, None if content is None else bytes(content), "bad_package")]
-                yield pd.DataFrame(rows, columns=["path", "part_no", "part_name", "part_bytes", "status"]).astype({"part_no": "Int32"})
+                    rows = [(path, None, None, content, "bad_package")]
+                yield rows, sum(len(r[3] or b"") for r in rows)
 
-    parts = packages.select("path", "content").mapInPandas(run, "path string, part_no int, part_name string, part_bytes binary, status string")
+    parts = packages.select("path", "content").mapInArrow(lambda batches: _batches(opened(batches), schema), "path string, part_no int, part_name string, part_bytes binary, status string")
     return parts.withColumn("action", F.when(F.col("status") == "ok", part_action(F.col("part_name"))))
 
 

@@ -61,3 +61,11 @@ def test_assembly_streams_packages(spark, tiny_batches):
             if k < 7:
                 want = want.replace("<w:r><w:t>three", "<w:r><w:rPr><w:i/></w:rPr><w:t>three")
             assert z.read("word/document.xml").decode() == want
+
+
+def test_packages_are_opened_in_batches(spark, tiny_batches):
+    made = documents.assemble_docx(_parts(spark, 5), spark.createDataFrame([], TEXTS)).unionByName(spark.createDataFrame([("bad", bytearray(b"no zip")), ("none", None)], "path string, content binary"))
+    parts = documents.explode_docx_parts(made)
+    assert "MapInArrow" in _plan(parts) and "MapInPandas" not in _plan(parts)
+    got = {(r["path"], r["part_no"]): (r["part_name"], r["part_bytes"] and bytes(r["part_bytes"]), r["status"]) for r in parts.collect()}
+    assert got == {(f"d{k}", 0): ("word/document.xml", BODY.encode(), "ok") for k in range(5)} | {(f"d{k}", 1): ("docProps/app.xml", f"app {k}".encode(), "ok") for k in range(5)} | {("bad", None): (None, b"no zip", "bad_package"), ("none", None): (None, None, "bad_package")}
