@@ -322,20 +322,26 @@ def parse_docx_runs(parts: DataFrame, formulas: bool = False) -> DataFrame:
     kind math_run and with numbers of their own. lettered: whether the run holds a letter or digit, be it special or not.
     A part that is no XML gives no rows.
     """
-    names = [c.split()[0] for c in RUN_COLUMNS.split(", ")]
+    string, whole, flag = pa.string(), pa.int32(), pa.bool_()
+    kinds = [string, string, whole, string, string, whole, whole, string, string, flag, string, PROPS, flag, flag]
+    columns = f"path string, part_name string, {RUN_COLUMNS}"
+    schema = pa.schema(list(zip((c.split()[0] for c in columns.split(", ")), kinds)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], int]]:
         for batch in batches:
-            for path, name, data in zip(batch["path"], batch["part_name"], batch["part_bytes"]):
+            for path, name, data in zip(*(batch[c].to_pylist() for c in ("path", "part_name", "part_bytes"))):
                 try:
-                    found = _scan(_utf8(bytes(data)))
+                    found = _scan(_utf8(data))
                 except (expat.ExpatError, TypeError, UnicodeDecodeError):
-                    found = []
-                rows = [(*r.about, r.run_no, r.block, r.kind, "" if r.special else "".join(r.text), r.special, r.rpr.pop("rStyle", {}).get("val"), r.rpr, r.math, any(map(str.isalnum, "".join(r.text)))) for r in found if formulas or r.kind != "math_run"]
-                if rows:
-                    yield pd.DataFrame(rows, columns=names).assign(path=path, part_name=name)[["path", "part_name", *names]]
-
-    return parts.select("path", "part_name", "part_bytes").mapInPandas(run, f"path string, part_name string, {RUN_COLUMNS}")
+                    continue
+                rows = []
+                for r in found:
+                    if formulas or r.kind != "math_run":
+                        text, rstyle = "".join(r.text), r.rpr.pop("rStyle", {}).get("val")
+                        rows.append((path, name, *r.about, r.run_no, r.block, r.kind, "" if r.special else text, r.special, rstyle, [(k, list(v.items())) for k, v in r.rpr.items()], r.math, any(map(str.isalnum, text))))
+                yield rows, len(data)
+
+    return parts.select("path", "part_name", "part_bytes").mapInArrow(lambda batches: _batches(scanned(batches), schema), columns)
 
 
 def parse_docx_styles(parts: DataFrame) -> DataFrame:

@@ -69,3 +69,11 @@ def test_packages_are_opened_in_batches(spark, tiny_batches):
     assert "MapInArrow" in _plan(parts) and "MapInPandas" not in _plan(parts)
     got = {(r["path"], r["part_no"]): (r["part_name"], r["part_bytes"] and bytes(r["part_bytes"]), r["status"]) for r in parts.collect()}
     assert got == {(f"d{k}", 0): ("word/document.xml", BODY.encode(), "ok") for k in range(5)} | {(f"d{k}", 1): ("docProps/app.xml", f"app {k}".encode(), "ok") for k in range(5)} | {("bad", None): (None, b"no zip", "bad_package"), ("none", None): (None, None, "bad_package")}
+
+
+def test_runs_come_in_batches(spark, tiny_batches):
+    rows = [(f"d{k}", "word/document.xml", bytearray(BODY.encode() if k else b"<open>")) for k in range(5)] + [("none", "word/document.xml", None)]
+    runs = documents.parse_docx_runs(spark.createDataFrame(rows, "path string, part_name string, part_bytes binary"))
+    assert "MapInArrow" in _plan(runs) and "MapInPandas" not in _plan(runs)
+    got = sorted((r["path"], r["para_no"], r["run_no"], r["text"], r["rpr"] == {"b": {}}, r["rstyle"]) for r in runs.collect())
+    assert got == [(f"d{k}", *x, None) for k in range(1, 5) for x in ((0, 0, "one", False), (0, 1, "two", True), (1, 0, "three", False))]
