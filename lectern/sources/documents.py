@@ -347,26 +347,28 @@ def parse_docx_runs(parts: DataFrame, formulas: bool = False) -> DataFrame:
 def parse_docx_styles(parts: DataFrame) -> DataFrame:
     """(path, style_id, name, style_type, based_on, direct_size, rpr, xml) of styles parts; styles without id are left out, and
     of several with one id the last counts. xml holds the properties as whole elements."""
-    schema = "path string, style_id string, name string, style_type string, based_on string, direct_size int, rpr map<string,map<string,string>>, xml map<string,string>"
-    columns = [c.split()[0] for c in schema.split(", ")]
+    columns = "path string, style_id string, name string, style_type string, based_on string, direct_size int, rpr map<string,map<string,string>>, xml map<string,string>"
+    string = pa.string()
+    schema = pa.schema(list(zip((c.split()[0] for c in columns.split(", ")), [*[string] * 5, pa.int32(), PROPS, pa.map_(string, string)])))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], int]]:
         for batch in batches:
-            rows = []
-            for path, data in zip(batch["path"], batch["part_bytes"]):
+            for path, data in zip(*(batch[c].to_pylist() for c in ("path", "part_bytes"))):
                 try:
-                    root = ElementTree.fromstring(bytes(data))
+                    root = ElementTree.fromstring(data)
                 except (ElementTree.ParseError, TypeError):
                     continue
+                rows = []
                 value = lambda s, tag: None if (x := s.find(W + tag)) is None else x.get(W + "val")
                 for s in {s.get(W + "styleId"): s for s in root.iter(W + "style")}.values():
                     rpr = _props(s.find(W + "rPr"))
                     size = rpr.get("sz", {}).get("val", "")
                     if s.get(W + "styleId"):
-                        rows.append((path, s.get(W + "styleId"), value(s, "name"), s.get(W + "type"), value(s, "basedOn"), int(size) if size.isdigit() else None, rpr, _whole_props(s.find(W + "rPr"))))
-            yield pd.DataFrame(rows, columns=columns).astype({"direct_size": "Int32"})
+                        props, whole = [(k, list(v.items())) for k, v in rpr.items()], list(_whole_props(s.find(W + "rPr")).items())
+                        rows.append((path, s.get(W + "styleId"), value(s, "name"), s.get(W + "type"), value(s, "basedOn"), int(size) if size.isdigit() else None, props, whole))
+                yield rows, len(data)
 
-    return parts.filter("action = 'replace_styles'").select("path", "part_bytes").mapInPandas(run, schema)
+    return parts.filter("action = 'replace_styles'").select("path", "part_bytes").mapInArrow(lambda batches: _batches(read(batches), schema), columns)
 
 
 def assemble_docx(parts: DataFrame, texts: DataFrame, font_table: bytes | None = None, styles: bytes | None = None, properties: DataFrame | None = None) -> DataFrame:

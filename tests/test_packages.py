@@ -77,3 +77,12 @@ def test_runs_come_in_batches(spark, tiny_batches):
     assert "MapInArrow" in _plan(runs) and "MapInPandas" not in _plan(runs)
     got = sorted((r["path"], r["para_no"], r["run_no"], r["text"], r["rpr"] == {"b": {}}, r["rstyle"]) for r in runs.collect())
     assert got == [(f"d{k}", *x, None) for k in range(1, 5) for x in ((0, 0, "one", False), (0, 1, "two", True), (1, 0, "three", False))]
+
+
+def test_styles_come_in_batches(spark, tiny_batches):
+    sheet = lambda k: f'<w:styles {SPACE}><w:style w:styleId="s{k}" w:type="paragraph"><w:name w:val="n"/><w:rPr><w:sz w:val="{k}"/><w:b/></w:rPr></w:style><w:style/></w:styles>'
+    rows = [(f"d{k}", bytearray(sheet(k).encode() if k else b"<open>"), "replace_styles") for k in range(5)] + [("other", bytearray(b""), "copy")]
+    found = documents.parse_docx_styles(spark.createDataFrame(rows, "path string, part_bytes binary, action string"))
+    assert "MapInArrow" in _plan(found) and "MapInPandas" not in _plan(found)
+    got = sorted((r["path"], r["style_id"], r["name"], r["style_type"], r["based_on"], r["direct_size"], r["rpr"], list(r["xml"])) for r in found.collect())
+    assert got == [(f"d{k}", f"s{k}", "n", "paragraph", None, k, {"sz": {"val": str(k)}, "b": {}}, ["sz", "b"]) for k in range(1, 5)]
