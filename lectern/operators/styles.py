@@ -182,14 +182,33 @@ def number_segments(runs: DataFrame, para: list[str]) -> DataFrame:
 
 
 def merge_adjacent_runs(runs: DataFrame, para: list[str]) -> DataFrame:
-    """(para, seg_no, style_key, special, text, first_run): neighbouring ordinary runs of one style_key as one segment, in order.
+    """(para, seg_no, style_key, special, text, first_run, runs): neighbouring ordinary runs of one style_key as one segment, in order.
 
     runs: (para, run_no, style_key, special, text). A special run is a segment of its own.
     """
     texts = F.array_sort(F.collect_list(F.struct("run_no", "text")))
     return number_segments(runs, para).groupBy(*para, "seg_no").agg(
-        F.min_by("style_key", "run_no").alias("style_key"), F.min_by("special", "run_no").alias("special"), F.array_join(F.transform(texts, lambda x: x["text"]), "").alias("text"), F.min("run_no").alias("first_run")
-    )
+        F.min_by("style_key", "run_no").alias("style_key"), F.min_by("special", "run_no").alias("special"), F.array_join(F.transform(texts, lambda x: x["text"]), "").alias("text"), F.min("run_no").alias("first_run"),
+        F.transform(texts, lambda x: x["run_no"]).alias("runs"),
+    )
+
+
+def segment_lists(segments: DataFrame, para: list[str]) -> DataFrame:
+    """(para, segs, text_for_model): the segments (special, text, runs) of each paragraph in order, and its text as
+    build_model_text makes it; paragraphs without meaningful text are left out."""
+    ordered = F.array_sort(F.collect_list(F.struct("seg_no", "special", "text", "runs")))
+    listed = segments.groupBy(*para).agg(F.transform(ordered, lambda x: F.struct(x["special"].alias("special"), x["text"].alias("text"), x["runs"].alias("runs"))).alias("segs"))
+    shown = F.transform("segs", lambda x: F.when(x["special"], PLACEHOLDER).otherwise(x["text"]))
+    return listed.filter(F.exists("segs", lambda x: ~x["special"] & is_meaningful(x["text"]))).withColumn("text_for_model", F.array_join(shown, SEGMENT))
+
+
+def segment_changes(segs: Column, reply: Column) -> tuple[Column, Column]:
+    """What a reply changes in the segments of a paragraph, (runs, text) of those whose part is another text, and whether a
+    text that was to be translated stays, as its part is missing or blank. Parts and segments are matched by place."""
+    given = F.zip_with(segs, F.split(reply, SEGMENT, -1), lambda x, y: F.struct(x["special"].alias("special"), x["text"].alias("text"), x["runs"].alias("runs"), F.when(strip(y) != "", y).alias("part")))
+    changed = F.filter(given, lambda x: ~x["special"] & F.coalesce(x["part"] != x["text"], F.lit(False)))
+    stays = F.exists(given, lambda x: ~x["special"] & x["part"].isNull() & is_meaningful(x["text"]))
+    return F.transform(changed, lambda x: F.struct(x["runs"].alias("runs"), x["part"].alias("text"))), stays
 
 
 def build_model_text(segments: DataFrame, para: list[str]) -> DataFrame:

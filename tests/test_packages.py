@@ -7,7 +7,9 @@ import zipfile
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from lectern.operators import styles
 from lectern.sources import documents
 
 SPACE = f'xmlns:w="{documents.W[1:-1]}"'
@@ -84,5 +86,21 @@ def test_styles_come_in_batches(spark, tiny_batches):
     rows = [(f"d{k}", bytearray(sheet(k).encode() if k else b"<open>"), "replace_styles") for k in range(5)] + [("other", bytearray(b""), "copy")]
     found = documents.parse_docx_styles(spark.createDataFrame(rows, "path string, part_bytes binary, action string"))
     assert "MapInArrow" in _plan(found) and "MapInPandas" not in _plan(found)
-    got = sorted((r["path"], r["style_id"], r["name"], r["style_type"], r["based_on"], r["direct_size"], r["rpr"], list(r["xml"])) for r in found.collect())
-    assert got == [(f"d{k}", f"s{k}", "n", "paragraph", None, k, {"sz": {"val": str(k)}, "b": {}}, ["sz", "b"]) for k in range(1, 5)]
+    got = sorted((r["path"], r["style_id"], r["name"], r["style_type"], r["based_on"], r["direct_size"], r["rpr"], sorted(r["xml"])) for r in found.collect())
+    assert got == [(f"d{k}", f"s{k}", "n", "paragraph", None, k, {"sz": {"val": str(k)}, "b": {}}, ["b", "sz"]) for k in range(1, 5)]
+
+
+def test_segments_of_a_paragraph_in_one_row(spark):
+    """What replies do to the segments of paragraphs, held against the operators that join them segment by segment."""
+    runs = [(p, r, key, special, text) for p in range(3) for r, (key, special, text) in enumerate((("a", False, "one "), ("a", False, "two"), ("s", True, ""), ("b", False, "--"), ("c", False, "four")))] + [(9, 0, "a", False, "..")]
+    table = spark.createDataFrame([("d", *x) for x in runs], "path string, para_no int, run_no int, style_key string, special boolean, text string")
+    para = ["path", "para_no"]
+    segments = styles.merge_adjacent_runs(table, para)
+    listed = styles.segment_lists(segments, para)
+    assert {r["para_no"]: r["text_for_model"] for r in listed.collect()} == {r["para_no"]: r["text_for_model"] for r in styles.build_model_text(segments, para).collect()}
+    said = spark.createDataFrame([("d", 0, "ONE【SEG】<placeholder>【SEG】--【SEG】four"), ("d", 1, " 【SEG】x【SEG】y"), ("d", 2, "z")], "path string, para_no int, reply string")
+    changes, stays = styles.segment_changes(F.col("segs"), F.col("reply"))
+    got = {r["para_no"]: ([(list(x["runs"]), x["text"]) for x in r["changes"]], r["stays"]) for r in listed.join(said, para).select("para_no", changes.alias("changes"), stays.alias("stays")).collect()}
+    assert got == {0: ([([0, 1], "ONE")], False), 1: ([([3], "y")], True), 2: ([([0, 1], "z")], True)}
+    attached = styles.attach_segment_translations(segments, said, para).filter("not special")
+    assert {(r["para_no"], r["first_run"], r["translated"]) for r in attached.filter("translated <> text").collect()} == {(p, x[0][0], x[1]) for p, (c, _) in got.items() for x in c}
