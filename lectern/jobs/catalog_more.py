@@ -435,7 +435,7 @@ def translate_docx(spark, sf_dir):
 def docx_untouched_parts(spark, sf_dir):
     """What the Word path must leave alone: declarations of the root, copied parts, drawings and bookmarks; the new font table."""
     held = spark.createDataFrame([], "cache_key string, text string, ts_raw string")
-    made = translate.translate_docx(_rich_packages(spark, sf_dir), held, _marked, C.MODEL, C.DIRECTION, C.NOW, font_table=b"<new/>")[0]
+    made = graph.written(translate.translate_docx(_rich_packages(spark, sf_dir), held, _marked, C.MODEL, C.DIRECTION, C.NOW, font_table=b"<new/>")[0])
     parts = documents.explode_docx_parts(made).select("path", "part_name", F.decode("part_bytes", "UTF-8").alias("x")).join(made.select("path", "status"), "path")
     one = lambda name, value: F.max(F.when(F.col("part_name") == name, value))
     kept = F.regexp_count("x", F.lit("<w:drawing/>")) + F.regexp_count("x", F.lit('<w:bookmarkStart w:id="0"/>'))
