@@ -478,7 +478,7 @@ def materialize_docx_styles(spark, sf_dir):
     whether each package but for its run properties and style sheet is as it was."""
     held = spark.createDataFrame([], "cache_key string, text string, ts_raw string")
     given = graph.written(_styled_packages(spark, sf_dir))
-    made = translate.translate_docx(given, held, lambda texts: texts, C.MODEL, C.DIRECTION, C.NOW, style_sheet=b"<new/>")[0]
+    made = graph.written(translate.translate_docx(given, held, lambda texts: texts, C.MODEL, C.DIRECTION, C.NOW, style_sheet=b"<new/>")[0])
     parts = documents.explode_docx_parts(made)
     rest = F.md5(F.regexp_replace(F.decode("part_bytes", "UTF-8"), "<w:rPr>.*?</w:rPr>", ""))
     old, new = (documents.explode_docx_parts(x).filter("part_no = 0").select("path", rest.alias(c)) for x, c in ((given, "old"), (made, "new")))
